@@ -24,7 +24,7 @@ def walk(spark: SparkSession, root: str, skip: tuple[str, ...] = ()) -> DataFram
     f = f.where(F.col("language").isNotNull() & ~F.col("file_path").rlike(r"(^|/)\."))
     for s in skip:
         f = f.where(~F.col("file_path").rlike(f"(^|/){fnmatch.translate(s)[:-2] if any(c in s for c in '*?[') else re.escape(s)}(/|$)"))
-    return f.select("file_path", F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("content_hash"), "language", "length")
+    return f.select("file_path", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"), "language", "length")
 
 
 def ignore_patterns(path: str) -> tuple[str, ...]:
