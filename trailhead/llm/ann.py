@@ -3,7 +3,8 @@
 Every row is in the index: rows are dealt by a hash into shards of about ``shard`` distinct vectors, so an index part has a bounded
 size. A shard's graph is built in growing batches (greedy beam searches propose neighbours, relaxed distance pruning keeps
 diverse edges, reverse edges are pruned when they overflow), as in DiskANN. Inner products become distances by one more
-component. The index is a table, a packed row per shard; queries meet it in packed blocks, a block and a shard a task.
+component. A vector within a small ball around a node stands behind it: it isn't a node of its own (a group of near copies would
+fill every beam that meets it) but is scored whenever the node is found. The index is a table, a packed row per shard; queries meet it in packed blocks, a block and a shard a task.
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from trailhead.llm.near_vectors import usable
 
 
 class Graph:
-    """A robust-pruned graph over the rows of x (float32), by Euclidean distance."""
+    """A robust-pruned graph over the rows of x (float32), by Euclidean distance. rep: each row's node, itself or one at a
+    squared distance of at most ball."""
 
-    def __init__(self, x: np.ndarray, degree: int = 32, beam: int = 48, alpha: float = 1.2, seed: int = 3):
+    def __init__(self, x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2, ball: float = 0.05, seed: int = 3):
         self.x, self.degree, self.slots, self.alpha, self.beam = x, degree, degree + degree // 2, alpha, beam
         n = len(x)
-        self.edges = np.full((n, self.slots), -1, np.int32)
+        self.edges, self.rep = np.full((n, self.slots), -1, np.int32), np.arange(n, dtype=np.int32)
         if n == 0:
             return
         order = np.random.default_rng(seed).permutation(n)
@@ -34,10 +36,34 @@ class Graph:
         self.start, done = middle, 1
         while done < n:
             batch = order[done : done + max(8, min(done, 2048))]
+            done += len(batch)
             found, dist = self.search(x[batch], beam)
+            near = dist[:, 0] <= ball
+            self.rep[batch[near]] = found[near, 0]
+            batch, found, dist = batch[~near], found[~near], dist[~near]
+            own = self._balls(batch, ball)
+            batch, found, dist = batch[own], found[own], dist[own]
             self.edges[batch, :degree] = self._prune(batch, found, dist)
             self._reverse(batch)
-            done += len(batch)
+
+    def _balls(self, batch: np.ndarray, ball: float) -> np.ndarray:
+        """Which rows of a batch become nodes; the others stand behind an earlier row of it."""
+        v = self.x[batch]
+        vv = (v * v).sum(1)
+        close = vv[:, None] + vv[None, :] - 2 * v @ v.T <= ball
+        free = np.ones(len(batch), bool)
+        own = np.zeros(len(batch), bool)
+        for i in range(len(batch)):
+            if free[i]:
+                own[i] = True
+                self.rep[batch[close[i] & free]] = batch[i]
+                free &= ~close[i]
+        return own
+
+    def behind(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows ordered by their node, and each node's first place and number of them."""
+        count = np.bincount(self.rep, minlength=len(self.x))
+        return np.argsort(self.rep, kind="stable"), np.cumsum(count) - count, count
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam of each query after greedy expansion: (nodes, squared distances), nearest first, -1 where empty."""
@@ -147,7 +173,7 @@ def _lift(x: np.ndarray) -> tuple[np.ndarray, float]:
     return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))[:, None]], 1).astype(np.float32), top
 
 
-def build_index(df: DataFrame, key: str, vec: str, shard: int = 16384, degree: int = 32, beam: int = 48, alpha: float = 1.2) -> DataFrame:
+def build_index(df: DataFrame, key: str, vec: str, shard: int = 16384, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> DataFrame:
     """The index as a written table, a row per shard and vector length: shard, shards, dim, n, ids and copies' offsets,
     vectors (double), edges. Rows with equal vectors share a node, where their keys stand in ascending order."""
     good = df.where(usable(vec) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.transform(vec, lambda a: a.cast("double")).alias("v")).withColumn("dim", F.size("v"))
@@ -161,13 +187,15 @@ def build_index(df: DataFrame, key: str, vec: str, shard: int = 16384, degree: i
         order = np.argsort(of.reshape(-1), kind="stable")
         g = Graph(_lift(nodes)[0], degree, beam, alpha)
         start = getattr(g, "start", 0)
-        return pd.DataFrame({"dim": [part["dim"].iloc[0]], "shard": [part["shard"].iloc[0]], "shards": [part["shards"].iloc[0]], "ids": [keys[order].tobytes()], "counts": [np.bincount(of.reshape(-1), minlength=len(nodes)).astype(np.int64).tobytes()], "vectors": [nodes.tobytes()], "edges": [g.edges.tobytes()], "start": [start]})
+        return pd.DataFrame({"dim": [part["dim"].iloc[0]], "shard": [part["shard"].iloc[0]], "shards": [part["shards"].iloc[0]], "ids": [keys[order].tobytes()], "counts": [np.bincount(of.reshape(-1), minlength=len(nodes)).astype(np.int64).tobytes()], "vectors": [nodes.tobytes()], "edges": [g.edges.tobytes()], "rep": [g.rep.tobytes()], "start": [start]})
 
-    made = dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, shards int, ids binary, counts binary, vectors binary, edges binary, start int")
+    # a stated number of partitions, so that adaptive execution doesn't put small shards, which are slow to build, in one task
+    parts = 4 * (sizes.agg(F.sum("shards")).first()[0] or 1)
+    made = dealt.repartition(parts, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, shards int, ids binary, counts binary, vectors binary, edges binary, rep binary, start int")
     return cut(made, "ann-index")
 
 
-def search(queries: DataFrame, index: DataFrame, key: str, vec: str, k: int = 20, beam: int = 192, block: int = 1024) -> DataFrame:
+def search(queries: DataFrame, index: DataFrame, key: str, vec: str, k: int = 20, beam: int = 224, block: int = 1024) -> DataFrame:
     """The k nearest rows that beam search finds per query in all shards: query_id, rank, vec_id, score.
 
     A row is never its own answer. Scores are inner products of the original vectors in double precision; equal scores go by
@@ -193,21 +221,27 @@ def search(queries: DataFrame, index: DataFrame, key: str, vec: str, k: int = 20
             first = np.cumsum(counts) - counts
             g = Graph.__new__(Graph)
             g.x, g.start, g.edges = _lift(x)[0], r.start, np.frombuffer(r.edges, np.int32).reshape(len(x), -1)
+            g.rep = np.frombuffer(r.rep, np.int32)
+            members, begin, size = g.behind()
             q, qid = np.frombuffer(r.qvectors, np.float64).reshape(-1, r.dim), np.frombuffer(r.qids, np.int64)
             unit = q / np.linalg.norm(q, axis=1, keepdims=True)
             for lo in range(0, len(q), 256):
                 found, _ = g.search(np.concatenate([unit[lo : lo + 256], np.zeros((len(unit[lo : lo + 256]), 1))], 1).astype(np.float32), beam)
                 for i, row in enumerate(found):
                     row = row[row >= 0]
+                    many = size[row]
+                    row = members[np.repeat(begin[row] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
                     score = x[row] @ q[lo + i]
-                    top = np.argsort(-score, kind="stable")
+                    # equal scores go by the smallest key behind the vector, its keys being in ascending order
+                    top = np.lexsort((ids[first[row]], -score))
                     # copies of one vector: the k + 1 smallest keys suffice, one may be the query's own
-                    kk = [(s, v) for s, n in zip(score[top[: k + 1 + beam]].tolist(), row[top[: k + 1 + beam]].tolist(), strict=True) for v in ids[first[n] : first[n] + min(counts[n], k + 1)].tolist() if v != qid[lo + i]]
+                    kk = [(s, v) for s, n in zip(score[top[: k + 1]].tolist(), row[top[: k + 1]].tolist(), strict=True) for v in ids[first[n] : first[n] + min(counts[n], k + 1)].tolist() if v != qid[lo + i]]
                     kk.sort(key=lambda t: (-t[0], t[1]))
                     out.append((int(qid[lo + i]), [v for _, v in kk[:k]], [s for s, _ in kk[:k]]))
-        return pd.DataFrame(out, columns=["query_id", "v", "s"])
+        return pd.DataFrame(out, columns=["query_id", "v", "s"], dtype=object)
 
-    found = met.groupBy("dim", "shard", "block").applyInPandas(look, "query_id long, v array<long>, s array<double>")
+    parts = packed.count() * (index.count() or 1)  # tasks, each of a block of queries and a shard
+    found = met.repartition(max(1, min(parts, 100_000)), "dim", "shard", "block").groupBy("dim", "shard", "block").applyInPandas(look, "query_id long, v array<long>, s array<double>")
     best = found.groupBy("query_id").agg(F.flatten(F.collect_list(F.transform(F.arrays_zip("s", "v"), lambda a: F.struct((-a["s"]).alias("s"), a["v"].alias("v"))))).alias("a"))
     top = best.select("query_id", F.posexplode(F.slice(F.array_distinct(F.array_sort("a")), 1, k)))
     return top.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.v").alias("vec_id"), (-F.col("col.s")).alias("score"))
