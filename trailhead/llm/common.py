@@ -82,6 +82,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 
 
+def extend(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root), written, after more links (u, v): only links between different roots are worked on."""
+    a, b = (comp.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("u", "v"))
+    open_ = links.join(a, "u", "left").join(b, "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v")).where("u <> v").distinct()
+    top = components(open_)
+    up = top.select(F.col("node").alias("root"), F.col("root").alias("high"))
+    moved = comp.join(up, "root", "left").select("node", F.coalesce("high", "root").alias("root"))
+    return cut(moved.union(top.join(comp.select("node"), "node", "left_anti")), "cc-all")
+
+
 def _state(df: DataFrame) -> tuple:
     r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return r[0], r[1]

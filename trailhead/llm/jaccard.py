@@ -5,13 +5,19 @@ share one order of shingles: by a class of how common a shingle is (from a fixed
 rarest first), then by hash. By the prefix principle two sets can only link if they share a shingle among the
 first few of each; these form the inverted index, whose entries hold set size and position.
 
+* Counting: the index takes a twelfth of a set more than the principle asks, so sets that link share at least a twelfth as
+  many lists (and one); pairs that share fewer are skipped. A set with fewer long lists than that shares a short one with
+  whatever it links to, so all sets are searched by short lists. Sets with more long lists are a crowd (copies of one thing, or
+  mostly a passage that thousands share): among these shingles are counted exactly and ordered anew, rarest first.
 * Relation first: every set is compared with the reference set that shares most index lists with it (the smallest node of
-  each list), which unites most groups of near copies by as many comparisons as there are members.
+  each list), which unites most groups of near copies by as many comparisons as there are members. In the crowd the reference
+  is the set with the fewest shingles of its own: copies that differ too much from one another still link to their original.
 * Index-level skipping: lists are cut into blocks by set size, so only blocks of sizes that can link meet, and entries
   whose positions leave too few shingles are skipped. Within a list, entries with one reference set stand together as one entry
   with their bounds; entries of one component are not compared.
 * Answer-level skipping: the overlap of two reference sets is computed once; a set that differs from its reference by few
-  shingles gets its answers from it, as its overlap with any set lies within that difference. Only pairs that stay open are expanded to
+  shingles gets its answers from it, as its overlap with any set lies within that difference; shingles that it alone has in the crowd don't
+  count. Only pairs that stay open are expanded to
   their members and verified one by one.
 
 All comparisons are exact, so components are those of all links. Nothing is sampled or capped.
@@ -24,14 +30,18 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailhead.llm.common import components, cut, small_side
+from trailhead.llm.common import components, cut, discard, extend, small_side
 from trailhead.llm.textops import shingle_set
 
 #: Counters in the sketch from which the order's classes come; its size doesn't depend on the data.
-SLOTS, CHUNKS = 1 << 18, 32
+SLOTS, CHUNKS = 1 << 20, 32
+#: The index holds one entry more per so many shingles than the prefix principle asks; linking sets share that many lists and one.
+MORE = 12
+#: Lists of so many entries are long: they are left to the sets that could link by long lists alone.
+LONG = 32
 
 
 def _node(prints: np.ndarray) -> tuple[int, bytes]:
@@ -39,12 +49,19 @@ def _node(prints: np.ndarray) -> tuple[int, bytes]:
     return int.from_bytes(d[:8], "little", signed=True), d
 
 
+def _parts(batches, rows: int = 1000):
+    """Batches in parts of so many rows, so that few documents' sets are in memory at once."""
+    for b in batches:
+        for lo in range(0, len(b), rows):
+            yield b.iloc[lo : lo + rows]
+
+
 def _sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
     """A row per document (kind 0: key, n, node, print) and a few per task (kind 1: counters of shingles, packed)."""
 
     def run(batches):
         counts = np.zeros(SLOTS, np.int64)
-        for b in batches:
+        for b in _parts(batches):
             n, node, full = [], [], []
             for t in b[text]:
                 s = shingle_set(t, k)
@@ -52,10 +69,8 @@ def _sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
                 a, d = _node(s)
                 node.append(a)
                 full.append(d)
-                counts += np.bincount((s >> np.uint64(40)).astype(np.int64) & (SLOTS - 1), minlength=SLOTS) if len(s) > 4096 else 0
-                if len(s) <= 4096:
-                    np.add.at(counts, (s >> np.uint64(40)).astype(np.int64) & (SLOTS - 1), 1)
-            yield pd.DataFrame({"kind": 0, "doc": b["doc"], "n": n, "node": node, "data": full})
+                np.add.at(counts, (s >> np.uint64(40)).astype(np.int64) & (SLOTS - 1), 1)
+            yield pd.DataFrame({"kind": 0, "doc": b["doc"].to_numpy(), "n": n, "node": node, "data": full})
         step = SLOTS // CHUNKS
         for c in range(CHUNKS):
             part = counts[c * step : (c + 1) * step]
@@ -100,8 +115,7 @@ def set_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     sets = both.where("kind = 0").drop("kind")
     classes = _classes(both.where("kind = 1").select("n", "data"))
     nodes = sets.where("n > 0").groupBy("node", "n").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"))
-    linked = _links(docs, text, k, percent, classes)
-    roots = components(linked)
+    roots = _links(docs, key, text, k, percent, classes, nodes.select("node", "doc"))
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = joined.groupBy("root").agg(F.min("doc").alias("component_id"))
     many = joined.select("node", "root").join(best, "root").select("node", "component_id")
@@ -115,94 +129,160 @@ def _need(a, b, percent: int):
     return F.floor((percent * (a + b) + 99 + percent) / (100 + percent))
 
 
-def _links(docs: DataFrame, text: str, k: int, percent: int, classes: np.ndarray) -> DataFrame:
-    """(u, v): links between nodes that, with equal sets as one node, have the components of all links."""
+def _links(docs: DataFrame, key: str, text: str, k: int, percent: int, classes: np.ndarray, known_docs: DataFrame) -> DataFrame:
+    """(node, root): components of more than one node, equal sets being one node."""
 
     def prefixes(batches):
-        for b in batches:
+        for b in _parts(batches):
             node, n, head = [], [], []
             for t in b[text]:
                 s = shingle_set(t, k)
                 if len(s):
                     node.append(_node(s)[0])
                     n.append(len(s))
-                    head.append(_ordered(s, classes)[: len(s) - (percent * len(s) + 99) // 100 + 1].view(np.int64))
-            yield pd.DataFrame({"node": node, "n": n, "head": head})
+                    # list names keep 40 bits of a hash: two shingles in one list only make more candidates
+                    head.append((_ordered(s, classes)[: len(s) - (percent * len(s) + 99) // 100 + 1 + len(s) // MORE] >> np.uint64(24)).view(np.int64))
+            yield pd.DataFrame({"node": node, "n": n, "head": pd.Series(head, dtype=object)})
 
     heads = docs.select(text).mapInPandas(prefixes, "node long, n int, head array<long>")
     heads = cut(heads.groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head")), "jj-heads")
     index = heads.select("node", "n", F.posexplode("head").alias("pos", "s"))
-    lists = index.groupBy("s").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("s", "low")
+    lists = index.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     shared = cut(index.join(lists, "s"), "jj-index")
 
-    # relation first: the reference that shares most lists
-    votes = shared.where("node <> low").groupBy("node", "low").agg(F.count(F.lit(1)).alias("c"))
-    refs = votes.groupBy("node").agg(F.max(F.struct("c", "low")).alias("m")).select(F.col("node").alias("u"), F.col("m.low").alias("v"))
+    # relation first: the reference that shares most lists, if these are about as many as a link asks
+    low = shared.groupBy("s").agg(F.min("node").alias("low"))
+    votes = shared.join(low, "s").where("node <> low").groupBy("node", "low").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    refs = votes.where(f"c > n / {MORE}").groupBy("node").agg(F.max(F.struct("c", "low")).alias("m")).select(F.col("node").alias("u"), F.col("m.low").alias("v"))
     refs = cut(refs, "jj-refs")
-    near = cut(_overlaps(docs, text, k, refs).where(f"100 * both >= {percent} * (nu + nv - both)"), "jj-near")
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        return _overlaps(docs, key, text, k, pairs, known_docs)
+
+    near = cut(compare(refs).where(f"100 * both >= {percent} * (nu + nv - both)"), "jj-near")
     first = near.select("u", "v")
     comp = components(first)
 
-    # lists by reference: who stands with whom, and how far from it
+    # short lists: all sets; a pair may share some of the long ones too, at most as many as either set has
     ref = near.select(F.col("u").alias("node"), F.col("v").alias("ref"), (F.col("nu") - F.col("both")).alias("extra"))
-    size = float(np.log(100 / percent)) * 1.02
-    known = shared.select("s", "node", "n", "pos").join(ref, "node", "left").join(comp, "node", "left")
-    known = known.select("s", "node", "n", "pos", F.coalesce("ref", "node").alias("ref"), F.coalesce("extra", F.lit(0)).alias("extra"), F.coalesce("root", "node").alias("root"))
-    mixed = known.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
-    known = known.join(mixed, "s", "left_semi").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / size).cast("int"))
-    entry = cut(known.groupBy("s", "block", "ref", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("extra").alias("extra")), "jj-entries")
-    left = entry.select("s", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(c).alias(f"{c}1") for c in ("ref", "root", "lo", "hi", "rest", "extra")])
-    right = entry.select("s", "block", *[F.col(c).alias(f"{c}2") for c in ("ref", "root", "lo", "hi", "rest", "extra")])
-    fits = (
-        (F.col("root1") < F.col("root2"))
-        & (100 * F.col("hi1") >= percent * F.col("lo2"))
-        & (100 * F.col("hi2") >= percent * F.col("lo1"))
-        # the first shared shingle of a linking pair leaves at least the needed overlap behind it in both
-        & (F.least("rest1", "rest2") >= _need(F.col("lo1"), F.col("lo2"), percent))
-    )
-    pairs = left.join(right, ["s", "block"]).where(fits)
-    pairs = pairs.groupBy("ref1", "ref2").agg(F.min("lo1").alias("lo1"), F.min("lo2").alias("lo2"), F.max("extra1").alias("e1"), F.max("extra2").alias("e2"))
+    long = shared.where(f"c >= {LONG}")
+    held = cut(long.groupBy("node").agg(F.count(F.lit(1)).alias("h"), F.first("n").alias("n")), "jj-held")
+    short = shared.where(f"c < {LONG}").select("s", "node", "n", "pos").join(held.select("node", "h"), "node", "left").withColumn("h", F.coalesce("h", F.lit(0)))
+    short = short.withColumn("stays", F.col("h") > F.floor(percent * F.col("n") / (100 * MORE)))
+
+    # long lists: only sets that have more of them than a link may leave to the short ones, and that meet another component there. Among
+    # these few sets shingles are counted exactly and ordered anew, rarest first, so what many of them share comes last
+    stay = held.where(f"h > floor({percent} * n / {100 * MORE})").select("node")
+    rooted = long.select("s", "node").join(stay, "node", "left_semi").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
+    crowd = cut(rooted.join(mixed, "s", "left_semi").select("node").distinct(), "jj-crowd")
+    own = _sets_of(docs, key, text, k, crowd, known_docs).select("node", F.size("s").alias("n"), F.explode("s").alias("s")).withColumn("s", F.shiftrightunsigned("s", 24))
+    own = cut(own, "jj-own")
+    counts = own.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    common = own.join(counts, "s").withColumn("common", F.count(F.lit(1)).over(Window.partitionBy("node")))
+    order = Window.partitionBy("node").orderBy("c", "s")  # a window holds one document's shingles
+    common = common.withColumn("pos", F.col("n") - F.col("common") + F.row_number().over(order) - 1)
+    least = F.floor((percent * F.col("n") + 99) / 100)  # a set with fewer shingles in common with the rest links with none of it
+    common = cut(common.where(F.col("common") >= least).select("s", "node", "n", "pos", (F.col("n") - F.col("common")).alias("alone")), "jj-common")
+
+    # copies that differ from one another more than from what they were made of: their reference is the set with the fewest shingles of its own
+    hubs = common.groupBy("s").agg(F.min(F.struct("alone", "node")).alias("m")).select("s", F.col("m.node").alias("hub"))
+    votes = common.join(hubs, "s").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
+    refs2 = cut(votes.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select(F.col("node").alias("u"), F.col("m.hub").alias("v")), "jj-refs")
+    near2 = cut(compare(refs2).where(f"100 * both >= {percent} * (nu + nv - both)"), "jj-near")
+    comp = extend(comp, near2.select("u", "v"))
+    ref2 = near2.select(F.col("u").alias("node"), F.col("v").alias("ref"), (F.col("nu") - F.col("both")).alias("extra"))
+    ref = cut(ref2.union(ref.join(ref2.select("node"), "node", "left_anti")), "jj-ref")
+
+    # shingles that a set has alone in the crowd are in no other set of it
+    apart = cut(common.select("node", "alone").distinct(), "jj-apart")
+    pairs = _candidates(short.withColumn("alone", F.lit(0)), ref, comp, percent).withColumn("crowd", F.lit(False))
+    head = F.col("n") - least + 1
+    pairs2 = _candidates(common.where(F.col("pos") < head).select("s", "node", "n", "pos", "alone", F.lit(0).alias("h"), F.lit(True).alias("stays")), ref, comp, percent, 0)
+    pairs = pairs.union(pairs2.withColumn("crowd", F.lit(True))).groupBy("ref1", "ref2").agg(F.min("lo1").alias("lo1"), F.min("lo2").alias("lo2"), F.max("e1").alias("e1"), F.max("e2").alias("e2"), F.min("crowd").alias("crowd"))
     pairs = cut(pairs, "jj-pairs")
-    over = _overlaps(docs, text, k, pairs.select(F.col("ref1").alias("u"), F.col("ref2").alias("v")))
+    discard(shared, refs, own, common)
+    over = compare(pairs.select(F.col("ref1").alias("u"), F.col("ref2").alias("v")))
     over = pairs.withColumnsRenamed({"ref1": "u", "ref2": "v"}).join(over, ["u", "v"])
     over = cut(over.withColumn("link", F.expr(f"100 * both >= {percent} * (nu + nv - both)")), "jj-over")
-    links = first.union(over.where("link").select("u", "v"))
+    comp = extend(comp, over.where("link").select("u", "v"))
 
     # answers from the reference's: members' overlap is at most the references' plus what they hold beyond them
     open_ = over.where("e1 + e2 > 0").where(F.col("both") + F.col("e1") + F.col("e2") >= _need(F.col("lo1"), F.col("lo2"), percent))
-    open_ = open_.select("u", "v", "both")
+    open_ = open_.select("u", "v", "both", "crowd", "lo2", "e2")
     if open_.isEmpty():
-        return links
-    comp = components(links)
-    who = heads.select("node", "n").join(ref, "node", "left").join(comp, "node", "left")
-    who = who.select("node", "n", F.coalesce("ref", "node").alias("ref"), F.coalesce("extra", F.lit(0)).alias("extra"), F.coalesce("root", "node").alias("root"))
+        return comp
+    who = heads.select("node", "n").join(ref, "node", "left").join(comp, "node", "left").join(apart, "node", "left")
+    who = who.select("node", "n", "alone", F.coalesce("ref", "node").alias("ref"), F.coalesce("extra", F.lit(0)).alias("extra"), F.coalesce("root", "node").alias("root"))
     a = who.select(*[F.col(c).alias(f"{c}1") for c in who.columns])
     b = who.select(*[F.col(c).alias(f"{c}2") for c in who.columns])
-    rest = open_.join(a, F.col("u") == F.col("ref1")).join(b, (F.col("v") == F.col("ref2")) & (F.col("root1") != F.col("root2")))
-    rest = rest.where(F.col("both") + F.col("extra1") + F.col("extra2") >= _need(F.col("n1"), F.col("n2"), percent)).where((100 * F.col("n1") >= percent * F.col("n2")) & (100 * F.col("n2") >= percent * F.col("n1")))
+    # a pair of references that only the crowd's index gave is of interest for members in the crowd, whose own shingles are known
+    beyond = [F.when(F.col("crowd"), F.greatest(F.lit(0), F.col(f"extra{i}") - F.col(f"alone{i}"))).otherwise(F.col(f"extra{i}")) for i in (1, 2)]
+    near_enough = (F.col("both") + beyond[0] + beyond[1] >= _need(F.col("n1"), F.col("n2"), percent)) & (100 * F.col("n1") >= percent * F.col("n2")) & (100 * F.col("n2") >= percent * F.col("n1"))
+    half = open_.join(a, (F.col("u") == F.col("ref1")) & (F.col("both") + beyond[0] + F.col("e2") >= _need(F.col("n1"), F.col("lo2"), percent)))
+    rest = half.join(b, (F.col("v") == F.col("ref2")) & (F.col("root1") != F.col("root2")) & near_enough)
     rest = cut(rest.select(F.col("node1").alias("u"), F.col("node2").alias("v")).distinct(), "jj-open")
-    more = cut(_overlaps(docs, text, k, rest).where(f"100 * both >= {percent} * (nu + nv - both)"), "jj-more")
-    return links.union(more.select("u", "v"))
+    more = cut(compare(rest).where(f"100 * both >= {percent} * (nu + nv - both)"), "jj-more")
+    return extend(comp, more.select("u", "v"))
+
+
+def _candidates(index: DataFrame, ref: DataFrame, comp: DataFrame, percent: int, extra_lists: int = 1) -> DataFrame:
+    """(ref1, ref2, lo1, lo2, e1, e2): pairs of reference sets of different components whose members may link by an index (s, node, n, pos, h, stays, alone).
+
+    A linking pair shares a list; with extra_lists it shares more than 1 / MORE of the smaller set's size, less the h lists that the index leaves out
+    of either, unless both sets stay in these, which are then searched beside it. The entries of one list with one reference are one entry with their bounds.
+    """
+    known = index.join(ref, "node", "left").join(comp, "node", "left")
+    known = known.select("s", "n", "pos", "h", "stays", F.coalesce("ref", "node").alias("ref"), F.greatest(F.lit(0), F.coalesce("extra", F.lit(0)) - F.col("alone")).alias("extra"), F.coalesce("root", "node").alias("root"))
+    mixed = known.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
+    size = float(np.log(100 / percent)) * 1.02
+    known = known.join(mixed, "s", "left_semi").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / size).cast("int"))
+    entry = known.groupBy("s", "block", "ref", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("extra").alias("extra"), F.max("h").alias("h"), F.min("stays").alias("stays"))
+    entry = cut(entry, "jj-entries")
+    names = ("ref", "root", "lo", "hi", "rest", "extra", "h", "stays")
+    left = entry.select("s", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(c).alias(f"{c}1") for c in names])
+    right = entry.select("s", "block", *[F.col(c).alias(f"{c}2") for c in names])
+    fits = (
+        (F.col("root1") < F.col("root2"))
+        & (100 * F.col("hi1") >= percent * F.col("lo2"))
+        & (100 * F.col("hi2") >= percent * F.col("lo1"))
+        # a linking pair's first shared lists, as many as are counted below, leave the rest of the needed overlap behind them in both
+        & (F.least("rest1", "rest2") >= _need(F.col("lo1"), F.col("lo2"), percent) - extra_lists * (F.floor(F.least("lo1", "lo2") / MORE) + 1))
+    )
+    pairs = left.join(right, ["s", "block"]).where(fits)
+    pairs = pairs.groupBy("ref1", "ref2").agg(F.min("lo1").alias("lo1"), F.min("lo2").alias("lo2"), F.max("extra1").alias("e1"), F.max("extra2").alias("e2"), F.count(F.lit(1)).alias("c"), F.max(F.when(F.col("stays1") & F.col("stays2"), 0).otherwise(F.least("h1", "h2"))).alias("slack"))
+    return pairs.where(f"c > {extra_lists} * floor(least(lo1, lo2) / {MORE}) - slack").select("ref1", "ref2", "lo1", "lo2", "e1", "e2")
 
 
-def _overlaps(docs: DataFrame, text: str, k: int, pairs: DataFrame) -> DataFrame:
-    """pairs (u, v) of nodes plus nu, nv and both (the exact overlap). Sets are made anew for the nodes that occur only."""
-    wanted = cut(pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct(), "jj-wanted")
+def _overlaps(docs: DataFrame, key: str, text: str, k: int, pairs: DataFrame, known_docs: DataFrame) -> DataFrame:
+    """pairs (u, v) of nodes plus nu, nv and both (the exact overlap). Sets are made anew for one document of each node that occurs."""
+    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = cut(_sets_of(docs, key, text, k, wanted, known_docs), "jj-compared")
+    with_u = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u")
+    met = with_u.join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
+    return met.select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("both"))
+
+
+def _sets_of(docs: DataFrame, key: str, text: str, k: int, nodes: DataFrame, known_docs: DataFrame) -> DataFrame:
+    """(node, s): the sets of some nodes, made anew from one document of each."""
+    wanted = cut(nodes.join(known_docs, "node"), "jj-wanted")
+    n = wanted.count()
 
     def run(batches):
-        for b in batches:
+        for b in _parts(batches):
             node, s = [], []
             for t in b[text]:
                 x = shingle_set(t, k)
                 node.append(_node(x)[0])
                 s.append(x.view(np.int64))
-            yield pd.DataFrame({"node": node, "s": s})
-
-    made = docs.select(text).mapInPandas(run, "node long, s array<long>").join(small_side(wanted, wanted.count()), "node", "left_semi")
-    sets = cut(made.groupBy("node").agg(F.first("s").alias("s")), "jj-compared")
-    with_u = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u")
-    met = with_u.join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
-    return met.select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("both"))
+            yield pd.DataFrame({"node": node, "s": pd.Series(s, dtype=object)})
+
+    # a node without a named document is found among the rows without a key
+    named = docs.join(small_side(wanted.where("doc is not null").select(F.col("doc").alias(key)).distinct(), n), key, "left_semi").select(text)
+    made = named.union(docs.where(F.col(key).isNull()).select(text)).mapInPandas(run, "node long, s array<long>")
+    # documents may share a name
+    made = made.join(small_side(wanted.select("node"), n), "node", "left_semi")
+    return made.groupBy("node").agg(F.first("s").alias("s"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
