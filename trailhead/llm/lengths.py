@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailhead.llm.bpe import encode
+from trailhead.llm.common import cut
 
 
 def histogram(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
@@ -19,7 +20,8 @@ def suffix_sums(hist: DataFrame, step: int = 1024) -> DataFrame:
 
     Sums run within ranges of ``step`` lengths in parallel and over the ranges' totals, of which there are max length / step.
     """
-    h = hist.withColumn("r", F.floor(F.col("n_tokens") / step)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
+    # read twice below: written, so that texts aren't encoded twice
+    h = cut(hist, "lengths").withColumn("r", F.floor(F.col("n_tokens") / step)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     ranges = h.groupBy("r").agg(F.sum("n_docs").alias("rd"), F.sum("tokens").alias("rt"))
     after = Window.orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
