@@ -7,22 +7,24 @@ joined bytes have the lowest rank, leftmost among equals, is merged until no adj
 The pairs of a match stand in a segment tree over its byte positions; a node holds the leftmost minimum of
 (rank, position), so the root names the next merge, and a merge is three logarithmic point updates: the merged
 pair, its live left neighbour and the removed right part. Short matches go through the trees of a whole batch at
-once (NumPy), long ones one by one. Encodings of words are kept in a bounded cache per Python worker.
+once (NumPy), long ones one by one. Encodings of words are kept in a bounded cache while a task runs.
 """
 
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a worker's cache, after which it starts anew; words longer than CACHED are not kept.
+#: Entries of a task's cache, after which it starts anew; words longer than CACHED are not kept.
 CACHE, CACHED = 600_000, 64
 #: Longest match in bytes that is encoded in a batch.
 SHORT = 32
@@ -218,12 +220,21 @@ class Codec:
                 out.append(head + b"".join([w if (w := words.get(p)) is not None else long[p] for p in parts[1:]]))
         return out
 
+    def forget(self) -> None:
+        """Drop the caches: a worker lives on after its task, and other stages need the memory."""
+        self.words.clear()
+        self.pieces.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
+        if trim:
+            trim(0)
+
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids given as little-endian 32-bit integers."""
         return b"".join(map(self.text.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def in_blocks(texts: Iterable[str | None], most_chars: int = 4_000_000) -> Iterator[list[str]]:
+def in_blocks(texts: Iterable[str | None], most_chars: int = 1_000_000) -> Iterator[list[str]]:
     """Texts in lists of bounded length, nulls as empty texts; a longer text alone."""
     block, n = [], 0
     for t in texts:
@@ -260,6 +271,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool
                 part["n_tokens"] = [len(x) // 4 for x in got]
                 lo += len(block)
                 yield part
+        codec.forget()
 
     return df.select(*keep, text).mapInPandas(run, schema)
 
@@ -294,5 +306,6 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
                     "decoded_sha256": [hashlib.sha256(codec.decode(x)).hexdigest() for x in got],
                 })
                 lo += len(block)
+        codec.forget()
 
     return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
