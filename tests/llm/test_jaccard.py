@@ -99,3 +99,15 @@ def test_keep_one(spark):
     out = sorted(((r["doc_id"], r["text"]) for r in keep_one(df).collect()), key=str)
     assert out == sorted([(1, "a b c d e f"), (3, "g h i j k"), (4, None), (5, ""), (None, "m n"), (None, "m n")], key=str)
     assert keep_one(df).columns == df.columns
+
+
+def test_truncated_copies_link_where_their_reference_does_not(spark):
+    rows = []
+    for seed in range(24):  # the reference is the smallest hash: A in about one case of three
+        w = [f"s{seed}w{i}" for i in range(115)]
+        a = w[:103]
+        rows += [a, a[:93], a[:91] + w[103:]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    want = brute(rows)
+    assert all(c == d - d % 3 for d, _, c in want)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want

@@ -208,7 +208,8 @@ def _links(docs: DataFrame, key: str, text: str, k: int, percent: int, classes:
     comp = extend(comp, over.where("link").select("u", "v"))
 
     # answers from the reference's: members' overlap is at most the references' plus what they hold beyond them
-    open_ = over.where("e1 + e2 > 0").where(F.col("both") + F.col("e1") + F.col("e2") >= _need(F.col("lo1"), F.col("lo2"), percent))
+    # (a member smaller than its reference needs less overlap, so it may link even if it holds nothing beyond); linked pairs are one component
+    open_ = over.where("not link").where(F.col("both") + F.col("e1") + F.col("e2") >= _need(F.col("lo1"), F.col("lo2"), percent))
     open_ = open_.select("u", "v", "both", "crowd", "lo2", "e2")
     if open_.isEmpty():
         return comp
