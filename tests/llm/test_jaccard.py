@@ -111,3 +111,13 @@ def test_truncated_copies_link_where_their_reference_does_not(spark):
     want = brute(rows)
     assert all(c == d - d % 3 for d, _, c in want)
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_shingles_alone_in_the_crowd_may_be_the_reference_s(spark):
+    from trailhead.llm.jaccard import _candidates
+
+    index = spark.createDataFrame([(7, 1, 100, 0, 0, True, 5), (7, 2, 100, 0, 0, True, 5), (7, 3, 100, 0, 0, True, 0)], "s long, node long, n int, pos int, h int, stays boolean, alone int")
+    ref = spark.createDataFrame([(1, 11, 5, None), (2, 12, 5, True)], "node long, ref long, extra int, inside boolean")
+    comp = spark.createDataFrame([(1, 1), (2, 2)], "node long, root long")
+    e = {r[f"ref{i}"]: r[f"e{i}"] for r in _candidates(index, ref, comp, 85, 0).collect() for i in (1, 2)}
+    assert e == {11: 5, 12: 0, 3: 0}

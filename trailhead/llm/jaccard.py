@@ -192,9 +192,10 @@ def _links(docs: DataFrame, key: str, text: str, k: int, percent: int, classes:
     near2 = cut(compare(refs2).where(f"100 * both >= {percent} * (nu + nv - both)"), "jj-near")
     comp = extend(comp, near2.select("u", "v"))
     ref2 = near2.select(F.col("u").alias("node"), F.col("v").alias("ref"), (F.col("nu") - F.col("both")).alias("extra"))
-    ref = cut(ref2.union(ref.join(ref2.select("node"), "node", "left_anti")), "jj-ref")
+    ref = ref2.union(ref.join(ref2.select("node"), "node", "left_anti"))
+    ref = cut(ref.join(crowd.select(F.col("node").alias("ref"), F.lit(True).alias("inside")), "ref", "left").select("node", "ref", "extra", "inside"), "jj-ref")
 
-    # shingles that a set has alone in the crowd are in no other set of it
+    # shingles that a set has alone in the crowd are in no other set of it; its reference may hold them if it isn't inside the crowd
     apart = cut(common.select("node", "alone").distinct(), "jj-apart")
     pairs = _candidates(short.withColumn("alone", F.lit(0)), ref, comp, percent).withColumn("crowd", F.lit(False))
     head = F.col("n") - least + 1
@@ -214,7 +215,7 @@ def _links(docs: DataFrame, key: str, text: str, k: int, percent: int, classes:
     if open_.isEmpty():
         return comp
     who = heads.select("node", "n").join(ref, "node", "left").join(comp, "node", "left").join(apart, "node", "left")
-    who = who.select("node", "n", "alone", F.coalesce("ref", "node").alias("ref"), F.coalesce("extra", F.lit(0)).alias("extra"), F.coalesce("root", "node").alias("root"))
+    who = who.select("node", "n", F.when(F.col("alone").isNotNull(), F.when(F.col("inside"), F.col("alone")).otherwise(0)).alias("alone"), F.coalesce("ref", "node").alias("ref"), F.coalesce("extra", F.lit(0)).alias("extra"), F.coalesce("root", "node").alias("root"))
     a = who.select(*[F.col(c).alias(f"{c}1") for c in who.columns])
     b = who.select(*[F.col(c).alias(f"{c}2") for c in who.columns])
     # a pair of references that only the crowd's index gave is of interest for members in the crowd, whose own shingles are known
@@ -229,12 +230,13 @@ def _links(docs: DataFrame, key: str, text: str, k: int, percent: int, classes:
 
 def _candidates(index: DataFrame, ref: DataFrame, comp: DataFrame, percent: int, extra_lists: int = 1) -> DataFrame:
     """(ref1, ref2, lo1, lo2, e1, e2): pairs of reference sets of different components whose members may link by an index (s, node, n, pos, h, stays, alone).
+    What a set has alone is beyond its reference only where that is inside the crowd (ref: node, ref, extra, inside).
 
     A linking pair shares a list; with extra_lists it shares more than 1 / MORE of the smaller set's size, less the h lists that the index leaves out
     of either, unless both sets stay in these, which are then searched beside it. The entries of one list with one reference are one entry with their bounds.
     """
     known = index.join(ref, "node", "left").join(comp, "node", "left")
-    known = known.select("s", "n", "pos", "h", "stays", F.coalesce("ref", "node").alias("ref"), F.greatest(F.lit(0), F.coalesce("extra", F.lit(0)) - F.col("alone")).alias("extra"), F.coalesce("root", "node").alias("root"))
+    known = known.select("s", "n", "pos", "h", "stays", F.coalesce("ref", "node").alias("ref"), F.greatest(F.lit(0), F.coalesce("extra", F.lit(0)) - F.when(F.col("inside"), F.col("alone")).otherwise(0)).alias("extra"), F.coalesce("root", "node").alias("root"))
     mixed = known.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
     size = float(np.log(100 / percent)) * 1.02
     known = known.join(mixed, "s", "left_semi").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / size).cast("int"))
