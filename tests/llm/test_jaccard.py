@@ -121,3 +121,13 @@ def test_shingles_alone_in_the_crowd_may_be_the_reference_s(spark):
     comp = spark.createDataFrame([(1, 1), (2, 2)], "node long, root long")
     e = {r[f"ref{i}"]: r[f"e{i}"] for r in _candidates(index, ref, comp, 85, 0).collect() for i in (1, 2)}
     assert e == {11: 5, 12: 0, 3: 0}
+
+
+def test_keep_one_of_repeated_keys_with_different_texts(spark):
+    a, b, c, d = "a b c d e f", "g h i j k", "m n o p q r", "s t u v w x"
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c), (3, d), (4, d), (5, None), (5, a), (6, b)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    out = keep_one(df)
+    assert out.columns == df.columns
+    # (2, a) is a copy of 1; keys 2 and 3 keep their other texts
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (3, d), (5, None)], key=str)

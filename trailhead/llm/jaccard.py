@@ -111,6 +111,12 @@ def set_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     even with one another. Null keys take part but never name a component unless all its keys are null. Rows with one
     key may have different texts; each is a row of its own. An empty table gives no rows; other columns aren't read.
     """
+    out = _rows(docs, key, text, k, percent)
+    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _rows(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
+    """(doc, n, node, root, component_id) per row of docs; root tells components apart that are named by one key."""
     both = cut(_sets(docs, key, text, k), "jj-sets")
     sets = both.where("kind = 0").drop("kind")
     classes = _classes(both.where("kind = 1").select("n", "data"))
@@ -118,10 +124,10 @@ def set_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     roots = _links(docs, key, text, k, percent, classes, nodes.select("node", "doc"))
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = joined.groupBy("root").agg(F.min("doc").alias("component_id"))
-    many = joined.select("node", "root").join(best, "root").select("node", "component_id")
+    many = joined.select("node", "root").join(best, "root").select("node", "root", "component_id")
     alone = F.when(F.col("n") == 0, F.col("doc"))
     out = sets.select("doc", "n", "node").join(many, "node", "left")
-    return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce(alone, F.when(F.col("n") > 0, F.col("component_id"))).alias("component_id"))
+    return out.select("doc", "n", "node", "root", F.coalesce(alone, F.when(F.col("n") > 0, F.col("component_id"))).alias("component_id"))
 
 
 def _need(a, b, percent: int):
@@ -288,17 +294,29 @@ def _sets_of(docs: DataFrame, key: str, text: str, k: int, nodes: DataFrame, kno
     return made.groupBy("node").agg(F.first("s").alias("s"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """docs without the rows whose key isn't their component's smallest; rows that repeat a key stay one if their texts are in one component.
 
     Rows to remove are found by key and anti-joined; the texts are shuffled only if the keys to remove are too many to broadcast.
-    Rows with an empty set, and rows with a null key, all stay.
+    Rows of a key that occurs more than once are kept or removed each by its own text. Rows with an empty set, and rows with a null
+    key, all stay.
     """
-    c = cut(set_components(docs, key, text, **how), "jj-result")
-    lost = cut(c.where(F.col(key) != F.col("component_id")).select(key).distinct(), "jj-lost")
+    c = cut(_rows(docs, key, text, k, percent), "jj-result")
+    twice = cut(c.where("doc is not null").groupBy("doc").count().where("count > 1").select("doc"), "jj-twice")
+    n = twice.count()
+    lost = cut(c.where("doc <> component_id").select("doc").union(twice).distinct().withColumnRenamed("doc", key), "jj-lost")
     out = docs.join(small_side(lost, lost.count()), key, "left_anti")
-    twice = c.where(F.col(key).isNotNull() & (F.col("n_shingles") > 0)).groupBy(key).count().where("count > 1")
-    if not twice.isEmpty():
-        again = F.broadcast(twice.select(key)) if twice.count() <= 100_000 else twice.select(key)
-        out = out.join(again, key, "left_anti").unionByName(out.join(again, key, "left_semi").dropDuplicates([key]))
-    return out
+    if not n:
+        return out
+
+    @F.pandas_udf("long")
+    def node_of(texts: pd.Series) -> pd.Series:
+        sets = (shingle_set(t, k) for t in texts)
+        return pd.Series([_node(s)[0] if len(s) else None for s in sets], dtype="Int64")
+
+    # of the rows with a component's smallest key one stays, that of the smallest node
+    stay = c.where("doc = component_id and n > 0").join(small_side(twice, n), "doc", "left_semi").groupBy("doc", "root").agg(F.min("node").alias("__node"))
+    stay = stay.select(F.col("doc").alias(key), "__node").distinct()
+    again = docs.join(small_side(twice.withColumnRenamed("doc", key), n), key, "left_semi").withColumn("__node", node_of(F.col(text)))
+    full = again.join(stay, [key, "__node"], "left_semi").dropDuplicates([key, "__node"])
+    return out.unionByName(full.drop("__node").select(docs.columns)).unionByName(again.where("__node is null").drop("__node").select(docs.columns))
