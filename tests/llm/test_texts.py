@@ -101,3 +101,26 @@ def test_license_scan(spark):
         assert docs[r["doc_id"]][r["span_start"] : r["span_end"]] == r["matched_text"] and 0.8 <= r["coverage"] <= 1
     assert [r["matched_text"] for r in got if r["doc_id"] == 3] == ["Released under the MIT license"]
     assert licenses.scan(df.limit(0)).collect() == []
+
+
+def test_license_with_words_put_in_at_several_places():
+    index, words = licenses.Index(licenses.TEMPLATES, 5, 4), licenses.TEMPLATES["gpl-3.0-notice"].split()
+    for places, size in ((2, 6), (3, 8), (4, 6)):
+        parts = [words[len(words) * i // (places + 1) : len(words) * (i + 1) // (places + 1)] for i in range(places + 1)]
+        text = "before it " + (" " + "put in " * (size // 2)).join(" ".join(p) for p in parts) + " after it"
+        got = {r[0]: r[1:] for r in licenses.scan_text(text, index, 8, 0.8)}
+        assert got["gpl-3.0-notice"][2] == 1, (places, size)
+        assert text[got["gpl-3.0-notice"][3] : got["gpl-3.0-notice"][4]] == text[10:-10]
+
+
+def test_license_lines_back_to_back():
+    index = licenses.Index(licenses.TEMPLATES, 5, 4)
+    for name in ("mit-line", "apache-2.0-line", "cc-by-nc-4.0-line", "mpl-2.0"):
+        line = licenses.TEMPLATES[name]
+        for between in (" ", " and then ", " x" * 7 + " ", " x" * 30 + " "):
+            text = between.join([line] * 40)
+            spans = [(r[4], r[5]) for r in licenses.scan_text(text, index, 8, 0.8) if r[0] == name]
+            assert len(spans) == 40 and all(text[a:b] == line.rstrip(".") for a, b in spans), (name, between)
+    line = licenses.TEMPLATES["apache-2.0-line"]  # the first without its last word, the second without its first
+    spans = [r[1] for r in licenses.scan_text(line[:-2] + " x y z " + line[len("Licensed ") :], index, 8, 0.8) if r[0] == "apache-2.0-line"]
+    assert spans == [7, 7]

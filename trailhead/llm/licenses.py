@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,27 +53,86 @@ class Index:
         self.prints = np.array(sorted(self.posts), np.uint64)
 
 
-def align(template: np.ndarray, words: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
-    """Most template words matched in order within a band around the diagonal words = template + shift; the first and
-    the last matched word's place in words. Banded longest common subsequence; ties keep the tightest span."""
-    n, width = len(template), 2 * band + 1
-    prev = [(0, -1, -1)] * width  # matched words, first and last place
+def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> list[tuple[int, int, int]]:
+    """(matched, first, last) of the longest common subsequences within the diagonals words = template + low .. template + high:
+    template words matched in order, the first and the last matched word's place in words. Only the most matched
+    are listed, each of their latest first places once, with its tightest span."""
+    n = len(template)
+    low, high = max(low, 1 - n), min(high, len(words) - 1)
+    width = high - low + 1
+    if width < 1:
+        return []
+    none = (0, -1, -1)
+    prev = [none] * width  # matched words, first and last place
     for i in range(n):
         row: list[tuple[int, int, int]] = []
+        left = none
         for c in range(width):
-            j = i + shift + c - band
-            up = prev[c + 1] if c + 1 < width else (0, -1, -1)
-            left = row[c - 1] if c else (0, -1, -1)
-            low = up if (up[0], up[1]) >= (left[0], left[1]) else left
+            j = i + low + c
+            up = prev[c + 1] if c + 1 < width else none
+            best = up if (up[0], up[1]) >= (left[0], left[1]) else left
             if 0 <= j < len(words) and template[i] == words[j]:
                 m, first, _ = prev[c]
                 new = (m + 1, j if m == 0 else first, j)
-                if (new[0], new[1]) >= (low[0], low[1]):
-                    low = new
-            row.append(low)
+                if (new[0], new[1]) >= (best[0], best[1]):
+                    best = new
+            row.append(best)
+            left = best
         prev = row
-    m, first, last = max(prev, key=lambda x: (x[0], x[1], -x[2]))
-    return m, first, last
+    most, ends = max(x[0] for x in prev), {}
+    for m, first, last in prev:
+        if m == most and last < ends.get(first, len(words)):
+            ends[first] = last
+    return [(most, a, b) for a, b in ends.items()]
+
+
+def apart(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (matched, first, last) that share no word, in order: those with the most matched words first, then the shortest."""
+    out: list[tuple[int, int, int]] = []
+    starts: list[int] = []
+    for x in sorted(set(spans), key=lambda x: (-x[0], x[2] - x[1], x[1])):
+        at = bisect.bisect(starts, x[1])
+        if (not at or out[at - 1][2] < x[1]) and (at == len(out) or out[at][1] > x[2]):
+            starts.insert(at, x[1])
+            out.insert(at, x)
+    return out
+
+
+def spans_in(template: np.ndarray, words: np.ndarray, low: int, high: int, need: float, lo: int, hi: int) -> list[tuple[int, int, int]]:
+    """Spans within words[lo:hi] and the diagonals low .. high with at least need matched words, none sharing a word: the best, then what lies between them."""
+    out, todo = [], [(lo, hi)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < need:
+            continue
+        found = [(m, a + lo, b + lo) for m, a, b in align(template, words[lo:hi], low - lo, high - lo) if m >= need]
+        if not found:
+            continue
+        found = apart(found)
+        out += found
+        edges = [lo, *[x for _, a, b in found for x in (a, b + 1)], hi]
+        todo += list(zip(edges[::2], edges[1::2], strict=True))
+    return out
+
+
+def occurrences(template: np.ndarray, words: np.ndarray, shifts: list[int], band: int, least: float) -> list[tuple[int, int, int]]:
+    """(matched, first, last) of every occurrence of a template near some diagonals, none sharing a word.
+
+    Diagonals whose bands meet are searched as one band, so words may be put in or left out at many places as long as no
+    single place moves the rest by more than two bands. Where a wide band's span holds several narrow ones, these are the occurrences.
+    """
+    shifts, need, found = sorted(shifts), least * len(template), []
+    cuts = [0, *[i for i in range(1, len(shifts)) if shifts[i] - shifts[i - 1] > 2 * band], len(shifts)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        near = shifts[lo:hi]
+        low, high = near[0] - band, near[-1] + band
+        for m, a, b in spans_in(template, words, low, high, need, max(0, low), min(len(words), high + len(template))):
+            narrow = []
+            if len(near) > 1 and b - a + 1 >= 2 * need:
+                mine = near[bisect.bisect_left(near, a - len(template) - band) : bisect.bisect(near, b + band)]
+                narrow = apart([x for s in mine for x in spans_in(template, words, s - band, s + band, need, a, b + 1)])
+            found += narrow if len(narrow) > 1 else [(m, a, b)]
+    return apart(found)
 
 
 def scan_text(text: str | None, index: Index, band: int, least: float) -> list[tuple]:
@@ -91,16 +152,11 @@ def scan_text(text: str | None, index: Index, band: int, least: float) -> list[t
             votes.setdefault(t, set()).add(j - i)
     data, found = (text or "").encode("utf-8", "surrogatepass"), []
     for t, shifts in votes.items():
-        need, done = len(index.words[t]), None
-        for shift in sorted(shifts):
-            if done is not None and shift - done <= band:
-                continue  # the band around an aligned diagonal covers this one
-            m, first, last = align(index.words[t], words, shift, band)
-            done = shift
-            if m >= least * need:
-                a, b = len(data[: start[first]].decode("utf-8", "ignore")), len(data[: end[last]].decode("utf-8", "ignore"))
-                found.append((index.names[t], m, need, m / need, a, b))
-    return sorted(set(found), key=lambda x: (x[4], x[5], x[0]))
+        need = len(index.words[t])
+        for m, first, last in occurrences(index.words[t], words, list(shifts), band, least):
+            a, b = len(data[: start[first]].decode("utf-8", "ignore")), len(data[: end[last]].decode("utf-8", "ignore"))
+            found.append((index.names[t], m, need, m / need, a, b))
+    return sorted(found, key=lambda x: (x[4], x[5], x[0]))
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, k: int = 5, window: int = 4, band: int = 8, least: float = 0.8) -> DataFrame:
@@ -109,7 +165,8 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict
 
     Templates are a bounded parameter and travel with the function, so the scan is one narrow pass. All runs of k words of
     the text are looked up, so each stretch of k + window - 1 words shared with a template is found whatever follows;
-    an occurrence is reported when at least the share ``least`` of the template's words align in order.
+    an occurrence is reported when at least the share ``least`` of the template's words align in order. All occurrences are reported,
+    repeats of one template beside one another included; those of one template share no word.
     Null and empty texts, and tables without rows, give no rows. Rows repeating a key are scanned each. The result has the
     columns named here only; df's other columns aren't read.
     """
