@@ -184,3 +184,14 @@ def test_quality_edges(spark):
     some = quality.classify(docs, spark.createDataFrame([(1, 1), (2, None), (3, 0), (None, 1), (3, 0)], kinds[1])).collect()
     assert len(some) == 5 and all(0 <= r["score"] <= 1 for r in some)
     assert quality.classify(docs.limit(0), spark.createDataFrame([(1, 1)], kinds[1])).collect() == []
+
+
+def test_small_ranks_are_compared_too(spark):
+    link = lambda host, n=1: f'<a href="http://{host}/">' * n
+    rows, to = [(0, "http://bad.com/de/", "")], "bad.com"
+    for i in (1, 2, 3):  # of 20,001 links to a host, one comes from the next
+        rows += [(i, f"http://h{i}.net/", link(to)), (10 + i, f"http://x{i}.net/", link(to, 20000))]
+        to = f"h{i}.net"
+    got = {r["page_id"]: r for r in hosts.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert 0 < got[3]["distrust"] < 5e-13 and got[3]["trust"] == 0
+    assert {r["verdict"] for r in got.values()} == {"block"}

@@ -14,6 +14,8 @@ from trailhead.llm.common import cut, discard
 
 #: (verdict, host/path) rules of the op7 query.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+#: Ranks that differ by this share of themselves count as equal; a share, as ranks shrink where there are more hosts.
+EQUAL = 1e-12
 _LINK = r"""(?i)\b(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,7 +75,7 @@ def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url",
     """One row per row of pages: key, host, path, rule (or null), verdict (allow or block), trust, distrust.
 
     A rule fits its host and all its subdomains where the path starts with the rule's; the longest fitting rule gives the verdict. Else
-    a page is blocked where its host's distrust exceeds ratio times its trust (both to 12 places), and allowed otherwise. A null
+    a page is blocked where its host's distrust exceeds ratio times its trust by more than the share EQUAL, and allowed otherwise. A null
     url, or one without ://, has an empty host and path and is allowed unless a rule fits; null html has no links. An empty table gives no rows.
     """
     rows = pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("__html"))
@@ -85,7 +87,7 @@ def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url",
     seed = {v: votes.where(F.col(v) > 0).select("host", (F.col(v) / F.lit(float(total[v]))).alias("w")) for v in ("allow", "block")}
     trust = pagerank(links, seed["allow"], rounds).withColumnRenamed("rank", "trust")
     distrust = pagerank(links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seed["block"], rounds).withColumnRenamed("rank", "distrust")
-    scores = votes.select("host").join(trust, "host", "left").join(distrust, "host", "left").select("host", *[F.round(F.coalesce(c, F.lit(0.0)), 12).alias(c) for c in ("trust", "distrust")])
+    scores = votes.select("host").join(trust, "host", "left").join(distrust, "host", "left").select("host", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("trust", "distrust")])
     out = rows.drop("__html").join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
-    verdict = F.coalesce("__fit.verdict", F.when(F.col("distrust") > ratio * F.col("trust"), "block").otherwise("allow"))
+    verdict = F.coalesce("__fit.verdict", F.when(F.col("distrust") * (1 - EQUAL) > ratio * F.col("trust"), "block").otherwise("allow"))
     return out.select(F.col(key), "host", "path", F.col("__fit.rule").alias("rule"), verdict.alias("verdict"), "trust", "distrust")
