@@ -219,3 +219,10 @@ def test_budget(spark):
     r = spark.createDataFrame([(1, i, "x" * 1000) for i in range(4)] + [(2, 0, "y")] + [(3, i, "z") for i in range(100)], "g long, o long, t string")
     got = {x["g"]: (x["content_limit"], x["rows"]) for x in budget.fit(r, "g", "o", "t", 300).collect()}
     assert got == {1: (256, 4), 2: (512, 1), 3: (0, 49)}
+
+
+def test_prefixes_of_many_lengths(spark):
+    ids = spark.createDataFrame([("x" * 90,), ("y" * 90,), ("y" * 70,)], "id string")
+    want = {"x" * n: ("found", "x" * 90) for n in range(1, 91)} | {"y" * 70: ("found", "y" * 70), "y" * 69: ("ambiguous", None), "x" * 91: ("missing", None), "": ("ambiguous", None)}
+    got = graph.resolve_prefix(ids, spark.createDataFrame([(p,) for p in want], "prefix string")).collect()
+    assert {r["prefix"]: (r["outcome"], r["id"]) for r in got} == want

@@ -179,9 +179,10 @@ def recover_stale(intents: DataFrame, now: DataFrame, timeout_hours: int = 48) -
 
 
 def resolve_prefix(ids: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Per prefix: found (with the id), ambiguous or missing. Ids are matched by their heads of the prefixes' lengths, an equi-join."""
-    sizes = [r[0] for r in prefixes.select(F.length("prefix")).distinct().orderBy(F.length("prefix")).limit(65).collect()]
-    heads = ids.select("id", F.explode(F.array_distinct(F.array(*[F.substring("id", 1, n) for n in sizes[:64]]))).alias("prefix"))
+    """Per prefix: found (with the id), ambiguous or missing. Ids are matched by their heads of all the prefixes' lengths, an equi-join."""
+    sizes = prefixes.select(F.length("prefix").alias("size")).where("size is not null").distinct()
+    heads = ids.select("id").join(F.broadcast(sizes), F.length("id") >= F.col("size"))  # a row per length, no more than the longest prefix has
+    heads = heads.select("id", F.expr("substring(id, 1, size)").alias("prefix"))
     hit = heads.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.max((F.col("id") == F.col("prefix")).cast("int")).alias("same"))
     r = prefixes.select("prefix").distinct().join(hit, "prefix", "left")
     n = F.coalesce("n", F.lit(0))
