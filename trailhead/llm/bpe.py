@@ -7,48 +7,86 @@ joined bytes have the lowest rank, leftmost among equals, is merged until no adj
 The pairs of a match stand in a segment tree over its byte positions; a node holds the leftmost minimum of
 (rank, position), so the root names the next merge, and a merge is three logarithmic point updates: the merged
 pair, its live left neighbour and the removed right part. Short matches go through the trees of a whole batch at
-once (NumPy), long ones one by one. Encodings of words are kept in a bounded cache while a task runs.
+once (NumPy), long ones one by one. Encodings of words are kept in a cache, bounded in bytes, while a task runs.
 """
 
 from __future__ import annotations
 
 import base64
-import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries of a task's cache, after which it starts anew; words longer than CACHED are not kept.
-CACHE, CACHED = 600_000, 64
+from trailhead.llm.common import named
+from trailhead.llm.textops import parts, tidy
+
+#: Bytes of a task's cache, by estimate, beyond which its oldest half goes; words of more characters than CACHED are not kept.
+CACHE, CACHED = 96 << 20, 64
+#: Bytes that Python takes for an entry of the cache besides its characters and ids.
+ENTRY = 150
 #: Longest match in bytes that is encoded in a batch.
 SHORT = 32
+# Split patterns in public use in whose matches a blank can only come first or stand among white space.
+BLANK_FIRST = (
+    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""",
+    r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s""",
+)
 _NONE = np.int64(1) << np.int64(62)
 _made: dict = {}
 
 
+class Cache:
+    """Encodings by text (``of``), with an estimate of their size in bytes."""
+
+    def __init__(self):
+        self.of: dict[str, bytes] = {}
+        self.size = 0
+
+    def learn(self, new: dict[str, bytes]) -> None:
+        self.of.update(new)
+        self.size += ENTRY * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
+
+    def trim(self, most: int) -> None:
+        """Drop the oldest half until what is left takes at most so many bytes."""
+        while self.size > most and self.of:
+            for k in list(islice(self.of, -(-len(self.of) // 2))):
+                self.size -= ENTRY + len(k) + len(self.of.pop(k))
+
+    def forget(self) -> None:
+        self.of.clear()
+        self.size = 0
+
+
+def chunks(text: str, most: int = 1 << 20) -> Iterator[str]:
+    """A long text cut before single blanks between words, into parts of about so many characters."""
+    lo, at = 0, most
+    while at < len(text) and (at := text.find(" ", at)) > 0 and at + 1 < len(text):
+        if not text[at - 1].isspace() and not text[at + 1].isspace():
+            yield text[lo:at]
+            lo, at = at, at + most
+        else:
+            at += 1
+    yield text[lo:]
+
+
 class Codec:
     """Encoder and decoder for one rank file and split pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = CACHE):
         self.ranks, self.text = ranks, {v: k for k, v in ranks.items()}
         self.split = regex.compile(pattern).findall
-        pairs = {}
-        for whole, rank in ranks.items():
-            for i in range(1, len(whole)):
-                if whole[:i] in ranks and whole[i:] in ranks:
-                    pairs[(ranks[whole[:i]] << 32) | ranks[whole[i:]]] = rank
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        self.cuts = pattern in BLANK_FIRST
+        pairs = np.array([((ranks[whole[:i]] << 32) | ranks[whole[i:]], rank) for whole, rank in ranks.items() for i in range(1, len(whole)) if whole[:i] in ranks and whole[i:] in ranks], np.int64).reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0])]
+        self.keys, self.values = pairs[:, 0].copy(), pairs[:, 1].copy()
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces, self.cache = Cache(), Cache(), cache
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
@@ -59,15 +97,19 @@ class Codec:
             _made[path, pattern] = cls(ranks, pattern)
         return _made[path, pattern]
 
+    def pair(self, a: int, b: int) -> int | None:
+        """The rank of two adjacent parts, if they merge."""
+        return self.ranks.get(self.text[a] + self.text[b])
+
     def merge_long(self, data: bytes) -> list[int]:
         """Ids of one match by its own segment tree."""
         n = len(data)
-        ids, pairs = self.byte[np.frombuffer(data, np.uint8)].tolist(), self.pairs
+        ids, pair = self.byte[np.frombuffer(data, np.uint8)].tolist(), self.pair
         width = 1 << max(0, n - 1).bit_length()
         none = int(_NONE)
         tree = [none] * (2 * width)
         for i in range(n - 1):
-            r = pairs.get((ids[i] << 32) | ids[i + 1])
+            r = pair(ids[i], ids[i + 1])
             if r is not None:
                 tree[width + i] = (r << 32) | i
         for i in range(width - 1, 0, -1):
@@ -96,10 +138,10 @@ class Codec:
             r = None
             if k >= 0:
                 before[k] = i
-                r = pairs.get((ids[i] << 32) | ids[k])
+                r = pair(ids[i], ids[k])
             put(i, none if r is None else (r << 32) | i)
             if h >= 0:
-                r = pairs.get((ids[h] << 32) | ids[i])
+                r = pair(ids[h], ids[i])
                 put(h, none if r is None else (r << 32) | h)
         return [x for x in ids if x >= 0]
 
@@ -177,19 +219,22 @@ class Codec:
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, as little-endian 32-bit integers.
 
-        A text is cut at single blanks. A part that neither begins nor ends with white space is split and encoded
-        alike wherever it stands, so its encoding is kept; a text with another part is split as a whole.
+        With a pattern of BLANK_FIRST a text is cut at single blanks: a part that neither begins nor ends with white space is split and
+        encoded alike wherever it stands, so its encoding is kept; a text with another part, and any text with another pattern, is split as a whole.
         """
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
+        if self.cuts and max(map(len, texts), default=0) > 2 << 20:
+            return [b"".join(b for c in chunks(t) for b in self._encode([c])) for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        self.words.trim(self.cache - self.cache // 3)
+        self.pieces.trim(self.cache // 3)
+        words = self.words.of
         cut = [t.split(" ") for t in texts]
         fresh, whole = set(), set()
         for n, parts in enumerate(cut):
-            first = parts[0]
-            missing = set(parts[1:]).difference(self.words)
-            if any(not p or p[0].isspace() or p[-1].isspace() for p in missing) or first and (first[0].isspace() or first[-1].isspace()) or not first and len(parts) > 1:
+            first, missing = parts[0], set(parts[1:]).difference(words)
+            if not self.cuts or any(not p or p[0].isspace() or p[-1].isspace() for p in missing) or first and (first[0].isspace() or first[-1].isspace()):
                 whole.add(n)
             else:
                 fresh |= missing
@@ -199,15 +244,15 @@ class Codec:
         need: set[str] = set()
         for found in (*matched.values(), *at_start.values(), *as_whole.values()):
             need.update(found)
-        known = {p: v for p in need if (v := self.pieces.get(p)) is not None}
+        known = {p: v for p in need if (v := self.pieces.of.get(p)) is not None}
         new: dict[str, bytes] = {}
         self._learn(need.difference(known), new)
         known |= new
-        self.pieces.update((p, v) for p, v in new.items() if len(p) <= CACHED)
+        self.pieces.learn({p: v for p, v in new.items() if len(p) <= CACHED})
         of = known.__getitem__
-        words, long = self.words, {}
-        for p, found in matched.items():
-            (words if len(p) <= CACHED else long)[p] = b"".join(map(of, found))
+        made = {p: b"".join(map(of, found)) for p, found in matched.items()}
+        self.words.learn({p: v for p, v in made.items() if len(p) <= CACHED})
+        long = {p: v for p, v in made.items() if len(p) > CACHED}
         out = []
         for n, parts in enumerate(cut):
             if n in whole:
@@ -222,12 +267,8 @@ class Codec:
 
     def forget(self) -> None:
         """Drop the caches: a worker lives on after its task, and other stages need the memory."""
-        self.words.clear()
-        self.pieces.clear()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps freed memory otherwise
-        if trim:
-            trim(0)
+        self.words.forget()
+        self.pieces.forget()
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes of ids given as little-endian 32-bit integers."""
@@ -248,64 +289,66 @@ def in_blocks(texts: Iterable[str | None], most_chars: int = 1_000_000) -> Itera
         yield block
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True) -> DataFrame:
-    """df's columns, less the text's, plus bpe_ids (binary, little-endian 32-bit ids; only with ids) and n_tokens long.
+def _over(path: str, pattern: str, column: int, of, cache: int = CACHE):
+    """A function of Arrow batches: of(codec, part, ids of its texts) for parts of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.load(path, pattern)
+        codec.cache = cache
+        try:
+            for part, texts in parts(batches, column, most=1 << 20):
+                yield of(codec, part, codec.encode_batch([t or "" for t in texts]))
+        finally:
+            codec.forget()
+
+    return tidy(run)
+
+
+def _lengths(got: list[bytes]) -> pa.Array:
+    return pa.array([len(x) // 4 for x in got], pa.int64())
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool = True, cache: int = CACHE) -> DataFrame:
+    """df's columns, less the text's, plus bpe_ids (binary, little-endian 32-bit ids; only with ids) and n_tokens long. cache: bytes of
+    the cache of encoded words that each running task holds.
 
     One narrow pass: no shuffle, and a lost executor's part is computed again alone. A null text is an empty one;
-    an empty text has no ids. A column of df named like a new one is replaced.
+    an empty text has no ids. A column of df named like a new one is replaced. Rows that repeat a key are encoded each; an empty table
+    gives no rows. A match of any length is encoded whole.
     """
     new = ["bpe_ids", "n_tokens"] if ids else ["n_tokens"]
     keep = [c for c in df.columns if c not in (text, *new)]
-    schema = df.select(*keep).schema
+    schema = df.select(*map(named, keep)).schema
     schema = schema.add("bpe_ids", "binary").add("n_tokens", "long") if ids else schema.add("n_tokens", "long")
+    names = schema.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec.load(path, pattern)
-        for b in batches:
-            lo = 0
-            for block in in_blocks(b[text]):
-                got = codec.encode_batch(block)
-                part = b[keep].iloc[lo : lo + len(block)].copy()
-                if ids:
-                    part["bpe_ids"] = got
-                part["n_tokens"] = [len(x) // 4 for x in got]
-                lo += len(block)
-                yield part
-        codec.forget()
+    def of(codec: Codec, part: pa.RecordBatch, got: list[bytes]) -> pa.RecordBatch:
+        more = [pa.array(got, pa.binary())] if ids else []
+        return pa.RecordBatch.from_arrays([*part.columns[:-1], *more, _lengths(got)], names)
 
-    return df.select(*keep, text).mapInPandas(run, schema)
+    return df.select(*map(named, keep), named(text)).mapInArrow(_over(path, pattern, len(keep), of, cache), schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "bpe_ids", out: str = "bpe_bytes") -> DataFrame:
     """df plus out (binary): the bytes that the ids stand for. Null ids give null; unknown ids are an error."""
 
-    @F.pandas_udf("binary")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def run(column: pa.Array) -> pa.Array:
         codec = Codec.load(path, pattern)
-        for s in parts:
-            yield pd.Series([None if x is None else codec.decode(x) for x in s])
+        return pa.array([None if x is None else codec.decode(x) for x in column.to_pylist()], pa.binary())
 
-    return df.withColumn(out, run(F.col(ids)))
+    return df.withColumn(out, run(named(ids)))
 
 
 def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, n_tokens, ids_sha256 and decoded_sha256 (lower-case hex) of the whole text's encoding and of the
-    bytes decoded from it. Encodes and decodes within one pass, so neither ids nor bytes leave the worker."""
-    kind = dict(df.dtypes)[key]
+    bytes decoded from it. Encodes and decodes within one pass, so neither ids nor bytes leave the worker. Null texts and keys, repeated
+    rows and empty tables are as in ``encode``."""
+    schema = df.select(named(key)).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    names = schema.names
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec.load(path, pattern)
-        for b in batches:
-            lo = 0
-            for block in in_blocks(b[text]):
-                got = codec.encode_batch(block)
-                yield pd.DataFrame({
-                    key: b[key].iloc[lo : lo + len(block)].to_numpy(),
-                    "n_tokens": [len(x) // 4 for x in got],
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in got],
-                    "decoded_sha256": [hashlib.sha256(codec.decode(x)).hexdigest() for x in got],
-                })
-                lo += len(block)
-        codec.forget()
-
-    return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def of(codec: Codec, part: pa.RecordBatch, got: list[bytes]) -> pa.RecordBatch:
+        hexes = [[hashlib.sha256(x).hexdigest() for x in got], [hashlib.sha256(codec.decode(x)).hexdigest() for x in got]]
+        return pa.RecordBatch.from_arrays([part.column(0), _lengths(got), *(pa.array(x, pa.string()) for x in hexes)], names)
+
+    return df.select(named(key), named(text)).mapInArrow(_over(path, pattern, 1, of), schema)

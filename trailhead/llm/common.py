@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
+import re
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of (long, few longs) up to which a side is broadcast: at most some 64 MB in memory. Beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
 
+#: Rows and bytes of an Arrow batch that goes to a Python worker while a table is cut: executor and worker both hold a batch.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests on one machine), a folder under /tmp/checkpoints."""
+    """The folder in spark.checkpoint.dir. Where it is unset, a folder under /tmp/checkpoints if all of Spark runs on this machine;
+    on a cluster an error, as executors don't see one another's local folders."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not given and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (given or "file:///tmp/checkpoints").rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches for what is run within; the session's settings come back at the end."""
+    before = {k: spark.conf.get(k, None) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/trailhead/{name}-{uuid.uuid4().hex}"
 
@@ -29,7 +56,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
@@ -45,6 +73,18 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(conf).delete(p, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Have the driver drop what no frame refers to any more: Spark's cleaner then removes finished steps' shuffle files and broadcasts
+    from the executors, which else stay until the driver's heap happens to fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def named(column: str) -> Column:
+    """A column by its plain name, whatever characters that has."""
+    return F.col(f"`{column.replace('`', '``')}`")
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted rows are few enough; else as it is, and the join shuffles."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -78,6 +118,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components: no fixed point after {most_rounds} rounds")
+    sweep(edges.sparkSession)
     roots = cur.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
 

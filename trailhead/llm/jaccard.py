@@ -29,12 +29,12 @@ import hashlib
 import zlib
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailhead.llm.common import components, cut, discard, extend, small_side
-from trailhead.llm.textops import shingle_set
+from trailhead.llm.common import components, cut, discard, extend, named, small_side, sweep
+from trailhead.llm.textops import list_column, parts, shingle_set, tidy
 
 #: Counters in the sketch from which the order's classes come; its size doesn't depend on the data.
 SLOTS, CHUNKS = 1 << 20, 32
@@ -42,42 +42,48 @@ SLOTS, CHUNKS = 1 << 20, 32
 MORE = 12
 #: Lists of so many entries are long: they are left to the sets that could link by long lists alone.
 LONG = 32
+#: First halves of digests that several sets may have; with 10^11 sets some 300 are expected.
+CLASHES = 1_000_000
 
 
-def _node(prints: np.ndarray) -> tuple[int, bytes]:
+def _digest(prints: np.ndarray) -> tuple[int, int]:
+    """The halves of a 128-bit digest of a set."""
     d = hashlib.blake2b(prints.tobytes(), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), d
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def _parts(batches, rows: int = 1000):
-    """Batches in parts of so many rows, so that few documents' sets are in memory at once."""
-    for b in batches:
-        for lo in range(0, len(b), rows):
-            yield b.iloc[lo : lo + rows]
+def _node(prints: np.ndarray, clash: frozenset[int]) -> int:
+    """A set's name: half of its digest, the other half where several sets have the first."""
+    a, b = _digest(prints)
+    return b if a in clash else a
 
 
-def _sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """A row per document (kind 0: key, n, node, print) and a few per task (kind 1: counters of shingles, packed)."""
+def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(named(key).alias("doc"), named(text).alias("text"))
+
+
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """Of docs (doc, text) a row per document (kind 0: doc, n, node, other) and a few per task (kind 1: counters of shingles, packed)."""
+    schema = docs.select(F.lit(0).alias("kind"), "doc").schema.add("n", "long").add("node", "long").add("other", "long").add("data", "binary")
+    names = schema.names
 
     def run(batches):
-        counts = np.zeros(SLOTS, np.int64)
-        for b in _parts(batches):
-            n, node, full = [], [], []
-            for t in b[text]:
-                s = shingle_set(t, k)
-                n.append(len(s))
-                a, d = _node(s)
-                node.append(a)
-                full.append(d)
-                np.add.at(counts, (s >> np.uint64(40)).astype(np.int64) & (SLOTS - 1), 1)
-            yield pd.DataFrame({"kind": 0, "doc": b["doc"].to_numpy(), "n": n, "node": node, "data": full})
+        counts, kind = np.zeros(SLOTS, np.int64), None
+        for part, texts in parts(batches, 1):
+            sets = [shingle_set(t, k) for t in texts]
+            kind = part.schema.field(0).type
+            halves = [_digest(s) for s in sets]
+            counts += np.bincount((np.concatenate(sets) >> np.uint64(40)).astype(np.int64) & (SLOTS - 1), minlength=SLOTS)
+            m = len(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in halves], pa.int64()), pa.array([b for _, b in halves], pa.int64()), pa.nulls(m, pa.binary())], names)
         step = SLOTS // CHUNKS
-        for c in range(CHUNKS):
-            part = counts[c * step : (c + 1) * step]
-            if part.any():
-                yield pd.DataFrame({"kind": [1], "doc": pd.array([None], "Int64"), "n": [c], "node": [0], "data": [zlib.compress(part.tobytes(), 1)]})
+        some = [(c, zlib.compress(x.tobytes(), 1)) for c in range(CHUNKS) if (x := counts[c * step : (c + 1) * step]).any()]
+        if some:
+            m = len(some)
+            zero = pa.array(np.zeros(m, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), pa.nulls(m, kind), pa.array([c for c, _ in some], pa.int64()), zero, zero, pa.array([x for _, x in some], pa.binary())], names)
 
-    return docs.select(F.col(key).alias("doc"), text).mapInPandas(run, f"kind int, doc {dict(docs.dtypes)[key]}, n long, node long, data binary")
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _classes(sketch: DataFrame) -> np.ndarray:
@@ -86,14 +92,14 @@ def _classes(sketch: DataFrame) -> np.ndarray:
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for c, data in zip(b["n"], b["data"], strict=True):
-                part = np.frombuffer(zlib.decompress(data), np.int64)
+            for c, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = np.frombuffer(zlib.decompress(data.as_buffer()), np.int64)
                 sums[c] = sums[c] + part if c in sums else part
-        yield pd.DataFrame({"n": list(sums), "data": [v.tobytes() for v in sums.values()]})
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["n", "data"])
 
     counts = np.zeros(SLOTS, np.int64)
     step = SLOTS // CHUNKS
-    for r in sketch.repartition(CHUNKS, "n").mapInPandas(add, "n long, data binary").collect():  # CHUNKS rows, 8 * SLOTS bytes in all
+    for r in sketch.repartition(CHUNKS, "n").mapInArrow(tidy(add), "n long, data binary").collect():  # CHUNKS rows, 8 * SLOTS bytes in all
         counts[r["n"] * step : (r["n"] + 1) * step] += np.frombuffer(r["data"], np.int64)
     mean = max(1.0, counts.mean())
     return np.maximum(0, np.floor(np.log2(np.maximum(counts, 1) / mean))).astype(np.uint8)
@@ -111,23 +117,31 @@ def set_components(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     even with one another. Null keys take part but never name a component unless all its keys are null. Rows with one
     key may have different texts; each is a row of its own. An empty table gives no rows; other columns aren't read.
     """
-    out = _rows(docs, key, text, k, percent)
+    out, _ = _rows(_texts(docs, key, text), k, percent)
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _rows(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
-    """(doc, n, node, root, component_id) per row of docs; root tells components apart that are named by one key."""
-    both = cut(_sets(docs, key, text, k), "jj-sets")
-    sets = both.where("kind = 0").drop("kind")
+def _rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, frozenset[int]]:
+    """Of docs (doc, text): (doc, n, node, root, component_id) per row, where root tells components apart that are named by one key; and the
+    clashes by which ``_node`` names sets."""
+    both = cut(_sets(docs, k), "jj-sets")
+    sets = both.where("kind = 0").drop("kind", "data")
     classes = _classes(both.where("kind = 1").select("n", "data"))
-    nodes = sets.where("n > 0").groupBy("node", "n").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies"))
-    roots = _links(docs, key, text, k, percent, classes, nodes.select("node", "doc"))
+    # equal first halves of different digests: these sets are named by the other half
+    twice = sets.where("n > 0").groupBy("node").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b").select("node")
+    clash = frozenset(r["node"] for r in twice.limit(CLASHES + 1).collect())  # at most CLASHES
+    if len(clash) > CLASHES:
+        raise ValueError("too many sets share half of a digest")
+    if clash:
+        sets = sets.withColumn("node", F.when(F.col("node").isin(*clash), F.col("other")).otherwise(F.col("node")))
+    nodes = sets.where("n > 0").groupBy("node", "n").agg(F.min("doc").alias("doc"))
+    roots = _links(docs, k, percent, classes, nodes.select("node", "doc"), clash)
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = joined.groupBy("root").agg(F.min("doc").alias("component_id"))
     many = joined.select("node", "root").join(best, "root").select("node", "root", "component_id")
     alone = F.when(F.col("n") == 0, F.col("doc"))
     out = sets.select("doc", "n", "node").join(many, "node", "left")
-    return out.select("doc", "n", "node", "root", F.coalesce(alone, F.when(F.col("n") > 0, F.col("component_id"))).alias("component_id"))
+    return out.select("doc", "n", "node", "root", F.coalesce(alone, F.when(F.col("n") > 0, F.col("component_id"))).alias("component_id")), clash
 
 
 def _need(a, b, percent: int):
@@ -135,22 +149,17 @@ def _need(a, b, percent: int):
     return F.floor((percent * (a + b) + 99 + percent) / (100 + percent))
 
 
-def _links(docs: DataFrame, key: str, text: str, k: int, percent: int, classes: np.ndarray, known_docs: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, k: int, percent: int, classes: np.ndarray, known_docs: DataFrame, clash: frozenset[int]) -> DataFrame:
     """(node, root): components of more than one node, equal sets being one node."""
 
     def prefixes(batches):
-        for b in _parts(batches):
-            node, n, head = [], [], []
-            for t in b[text]:
-                s = shingle_set(t, k)
-                if len(s):
-                    node.append(_node(s)[0])
-                    n.append(len(s))
-                    # list names keep 40 bits of a hash: two shingles in one list only make more candidates
-                    head.append((_ordered(s, classes)[: len(s) - (percent * len(s) + 99) // 100 + 1 + len(s) // MORE] >> np.uint64(24)).view(np.int64))
-            yield pd.DataFrame({"node": node, "n": n, "head": pd.Series(head, dtype=object)})
-
-    heads = docs.select(text).mapInPandas(prefixes, "node long, n int, head array<long>")
+        for _, texts in parts(batches, 0):
+            sets = [s for t in texts if len(s := shingle_set(t, k))]
+            # list names keep 40 bits of a hash: two shingles in one list only make more candidates
+            heads = [_ordered(s, classes)[: len(s) - (percent * len(s) + 99) // 100 + 1 + len(s) // MORE] >> np.uint64(24) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s, clash) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), list_column(heads)], ["node", "n", "head"])
+
+    heads = docs.select("text").mapInArrow(tidy(prefixes), "node long, n int, head array<long>")
     heads = cut(heads.groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head")), "jj-heads")
     index = heads.select("node", "n", F.posexplode("head").alias("pos", "s"))
     lists = index.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -161,9 +170,10 @@ def _links(docs: DataFrame, key: str, text: str, k: int, percent: int, classes:
     votes = shared.join(low, "s").where("node <> low").groupBy("node", "low").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     refs = votes.where(f"c > n / {MORE}").groupBy("node").agg(F.max(F.struct("c", "low")).alias("m")).select(F.col("node").alias("u"), F.col("m.low").alias("v"))
     refs = cut(refs, "jj-refs")
+    sweep(docs.sparkSession)
 
     def compare(pairs: DataFrame) -> DataFrame:
-        return _overlaps(docs, key, text, k, pairs, known_docs)
+        return _overlaps(docs, k, pairs, known_docs, clash)
 
     near = cut(compare(refs).where(f"100 * both >= {percent} * (nu + nv - both)"), "jj-near")
     first = near.select("u", "v")
@@ -182,7 +192,7 @@ def _links(docs: DataFrame, key: str, text: str, k: int, percent: int, classes:
     rooted = long.select("s", "node").join(stay, "node", "left_semi").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
     crowd = cut(rooted.join(mixed, "s", "left_semi").select("node").distinct(), "jj-crowd")
-    own = _sets_of(docs, key, text, k, crowd, known_docs).select("node", F.size("s").alias("n"), F.explode("s").alias("s")).withColumn("s", F.shiftrightunsigned("s", 24))
+    own = _sets_of(docs, k, crowd, known_docs, clash).select("node", F.size("s").alias("n"), F.explode("s").alias("s")).withColumn("s", F.shiftrightunsigned("s", 24))
     own = cut(own, "jj-own")
     counts = own.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     common = own.join(counts, "s").withColumn("common", F.count(F.lit(1)).over(Window.partitionBy("node")))
@@ -209,6 +219,7 @@ def _links(docs: DataFrame, key: str, text: str, k: int, percent: int, classes:
     pairs = pairs.union(pairs2.withColumn("crowd", F.lit(True))).groupBy("ref1", "ref2").agg(F.min("lo1").alias("lo1"), F.min("lo2").alias("lo2"), F.max("e1").alias("e1"), F.max("e2").alias("e2"), F.min("crowd").alias("crowd"))
     pairs = cut(pairs, "jj-pairs")
     discard(shared, refs, own, common)
+    sweep(docs.sparkSession)
     over = compare(pairs.select(F.col("ref1").alias("u"), F.col("ref2").alias("v")))
     over = pairs.withColumnsRenamed({"ref1": "u", "ref2": "v"}).join(over, ["u", "v"])
     over = cut(over.withColumn("link", F.expr(f"100 * both >= {percent} * (nu + nv - both)")), "jj-over")
@@ -263,60 +274,64 @@ def _candidates(index: DataFrame, ref: DataFrame, comp: DataFrame, percent: int,
     return pairs.where(f"c > {extra_lists} * floor(least(lo1, lo2) / {MORE}) - slack").select("ref1", "ref2", "lo1", "lo2", "e1", "e2")
 
 
-def _overlaps(docs: DataFrame, key: str, text: str, k: int, pairs: DataFrame, known_docs: DataFrame) -> DataFrame:
+def _overlaps(docs: DataFrame, k: int, pairs: DataFrame, known_docs: DataFrame, clash: frozenset[int]) -> DataFrame:
     """pairs (u, v) of nodes plus nu, nv and both (the exact overlap). Sets are made anew for one document of each node that occurs."""
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = cut(_sets_of(docs, key, text, k, wanted, known_docs), "jj-compared")
+    sets = cut(_sets_of(docs, k, wanted, known_docs, clash), "jj-compared")
+    sweep(docs.sparkSession)
     with_u = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u")
     met = with_u.join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
     return met.select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("both"))
 
 
-def _sets_of(docs: DataFrame, key: str, text: str, k: int, nodes: DataFrame, known_docs: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, k: int, nodes: DataFrame, known_docs: DataFrame, clash: frozenset[int]) -> DataFrame:
     """(node, s): the sets of some nodes, made anew from one document of each."""
     wanted = cut(nodes.join(known_docs, "node"), "jj-wanted")
     n = wanted.count()
 
     def run(batches):
-        for b in _parts(batches):
-            node, s = [], []
-            for t in b[text]:
-                x = shingle_set(t, k)
-                node.append(_node(x)[0])
-                s.append(x.view(np.int64))
-            yield pd.DataFrame({"node": node, "s": pd.Series(s, dtype=object)})
+        for _, texts in parts(batches, 0):
+            sets = [shingle_set(t, k) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(s, clash) for s in sets], pa.int64()), list_column(sets)], ["node", "s"])
 
     # a node without a named document is found among the rows without a key
-    named = docs.join(small_side(wanted.where("doc is not null").select(F.col("doc").alias(key)).distinct(), n), key, "left_semi").select(text)
-    made = named.union(docs.where(F.col(key).isNull()).select(text)).mapInPandas(run, "node long, s array<long>")
+    chosen = docs.join(small_side(wanted.where("doc is not null").select("doc").distinct(), n), "doc", "left_semi").select("text")
+    made = chosen.union(docs.where("doc is null").select("text")).mapInArrow(tidy(run), "node long, s array<long>")
     # documents may share a name
     made = made.join(small_side(wanted.select("node"), n), "node", "left_semi")
     return made.groupBy("node").agg(F.first("s").alias("s"))
 
 
+def _node_of(text: Column, k: int, clash: frozenset[int]) -> Column:
+    """The name of a text's set; null for an empty one."""
+
+    @F.arrow_udf("long")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([_node(s, clash) if len(s) else None for s in (shingle_set(t.as_py(), k) for t in texts)], pa.int64())
+
+    return run(text)
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
     """docs without the rows whose key isn't their component's smallest; rows that repeat a key stay one if their texts are in one component.
 
     Rows to remove are found by key and anti-joined; the texts are shuffled only if the keys to remove are too many to broadcast.
-    Rows of a key that occurs more than once are kept or removed each by its own text. Rows with an empty set, and rows with a null
-    key, all stay.
+    Rows of a key that occurs more than once are kept or removed each by its own text. Rows with an empty set (null texts, texts without a
+    word) and rows with a null key all stay. An empty table gives no rows; docs' other columns come along, whatever their names.
     """
-    c = cut(_rows(docs, key, text, k, percent), "jj-result")
+    rows, clash = _rows(_texts(docs, key, text), k, percent)
+    c = cut(rows, "jj-result")
     twice = cut(c.where("doc is not null").groupBy("doc").count().where("count > 1").select("doc"), "jj-twice")
     n = twice.count()
-    lost = cut(c.where("doc <> component_id").select("doc").union(twice).distinct().withColumnRenamed("doc", key), "jj-lost")
-    out = docs.join(small_side(lost, lost.count()), key, "left_anti")
+    lost = cut(c.where("doc <> component_id").select("doc").union(twice).distinct(), "jj-lost")
+    named_lost = small_side(lost.select(F.col("doc").alias(key)), lost.count())
+    out = docs.join(named_lost, key, "left_anti").select(*map(named, docs.columns))
     if not n:
         return out
-
-    @F.pandas_udf("long")
-    def node_of(texts: pd.Series) -> pd.Series:
-        sets = (shingle_set(t, k) for t in texts)
-        return pd.Series([_node(s)[0] if len(s) else None for s in sets], dtype="Int64")
-
     # of the rows with a component's smallest key one stays, that of the smallest node
     stay = c.where("doc = component_id and n > 0").join(small_side(twice, n), "doc", "left_semi").groupBy("doc", "root").agg(F.min("node").alias("__node"))
     stay = stay.select(F.col("doc").alias(key), "__node").distinct()
-    again = docs.join(small_side(twice.withColumnRenamed("doc", key), n), key, "left_semi").withColumn("__node", node_of(F.col(text)))
+    again = docs.join(small_side(twice.withColumnRenamed("doc", key), n), key, "left_semi").withColumn("__node", _node_of(named(text), k, clash))
     full = again.join(stay, [key, "__node"], "left_semi").dropDuplicates([key, "__node"])
-    return out.unionByName(full.drop("__node").select(docs.columns)).unionByName(again.where("__node is null").drop("__node").select(docs.columns))
+    columns = [named(x) for x in docs.columns]
+    return out.unionByName(full.select(*columns)).unionByName(again.where("__node is null").select(*columns))
