@@ -16,11 +16,12 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailhead.llm.common import cut, fresh_path, small_side
+from trailhead.llm.common import cut, fresh_path, named, small_batches, small_side
+from trailhead.llm.textops import parts, tidy
 
 # The field names that a version block declares.
 FIELDS = {
@@ -32,6 +33,9 @@ END = b"\r\n\r\n"
 #: Payloads of fewer bytes are never revisits.
 LEAST = 100
 KEY = b"X-Record-Key"
+#: Records are written in bundles of at most so many bytes, or one record, and files hold so many bundles. A longer record counts as
+#: several, so a file holds at most BUNDLE * PER_FILE bytes and one record more.
+BUNDLE, PER_FILE = 4 << 20, 16
 
 
 @dataclass
@@ -130,102 +134,155 @@ def to_warc(rec: ArcRecord, key: str, refers: str | None = None) -> bytes:
 
 def parse_warc(data: bytes) -> Iterator[tuple[bytes, bytes]]:
     """(head, block) of every record of a WARC file, cut by Content-Length."""
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
+    return records(iter([data]))
+
+
+def records(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
+    """(head, block) of every record of a WARC file that comes in chunks; no more than a record and a chunk are held."""
+    buffer, gone = bytearray(), 0
+
+    def more() -> bool:
+        chunk = next(chunks, None)
+        buffer.extend(chunk or b"")
+        return chunk is not None
+
+    while True:
+        while len(buffer) < 5 and more():
+            pass
+        if buffer[:2] == b"\r\n":
+            del buffer[:2]
+            gone += 2
+            continue
+        if not buffer:
+            return
+        if buffer[:5] != b"WARC/":
+            raise ValueError(f"no WARC record at {gone}")
+        while (end := buffer.find(END)) < 0:
+            if not more():
+                raise ValueError(f"the head of the WARC record at {gone} doesn't end")
+        head, end = bytes(buffer[: end + 4]), end + 4
+        length = int(field(head, b"Content-Length"))
+        while len(buffer) < end + length:
+            if not more():
+                raise ValueError(f"WARC record at {gone}: {length} bytes declared, {len(buffer) - end} left")
+        yield head, bytes(buffer[end : end + length])
+        del buffer[: end + length]
+        gone += end + length
+
+
+def inflate(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of all members of a gzip file in chunks; other files as they are."""
+    zipped, member = data[:2] == b"\x1f\x8b", None
+    for lo in range(0, len(data), step):
+        piece = data[lo : lo + step]
+        if not zipped:
+            yield piece
             continue
-        if data[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at {at}")
-        end = data.index(END, at) + 4
-        length = int(field(data[at:end], b"Content-Length"))
-        block = data[end : end + length]
-        if len(block) != length:
-            raise ValueError(f"WARC record at {at}: {length} bytes declared, {len(block)} left")
-        yield data[at:end], block
-        at = end + length
-
-
-def unzip(data: bytes) -> bytes:
-    """The bytes of all members of a gzip file; other files as they are."""
-    out = []
-    while data[:2] == b"\x1f\x8b":
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(data))
-        data = z.unused_data
-    return b"".join(out) if out else data
+        while piece:
+            member = member or zlib.decompressobj(31)
+            yield member.decompress(piece)
+            piece = member.unused_data
+            if member.eof:
+                member = None
+    if member:
+        raise ValueError("the gzip file ends within a member")
 
 
 def revisits(df: DataFrame, key: str, body: str) -> DataFrame:
     """df plus payload_digest and first_key: the smallest key with an equal payload of at least LEAST bytes, for the
     other rows with that payload; else null. One aggregation with map-side combine; only repeated digests are joined."""
-    df = df.withColumn("payload_digest", F.sha2(F.coalesce(F.col(body), F.lit("")).cast("binary"), 256))
-    long = df.where(F.octet_length(body) >= LEAST).select("payload_digest", key)
+    df = df.withColumn("payload_digest", F.sha2(F.coalesce(named(body), F.lit("")).cast("binary"), 256))
+    long = df.where(F.octet_length(named(body)) >= LEAST).select("payload_digest", key)
     first = cut(long.groupBy("payload_digest").agg(F.min(key).alias("first_key"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "warc-first")
     out = df.join(small_side(first, first.count()), "payload_digest", "left")
     return out.withColumn("first_key", F.when(F.col(key).isNull() | (F.col(key) > F.col("first_key")), F.col("first_key")))
 
 
-def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html", date: str = "20240101000000", per_file: int = 2000) -> None:
+def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", body: str = "html", date: str = "20240101000000", bundle: int = BUNDLE, per_file: int = PER_FILE) -> None:
     """Write one WARC record per row, each converted from an ARC record, as gzip files in a new folder.
 
     Rows go through ARC segments of both versions in turn, which the converter parses by declared lengths. A null body is an empty
-    payload; a null url is urn:none; of rows with one key and one payload all are responses. Extra columns aren't read.
+    payload; a null url is urn:none; of rows with one key and one payload all are responses. Keys of 64 bits come through as they are.
+    Files are bounded in bytes (BUNDLE, PER_FILE). Extra columns aren't read.
     """
-    rows = revisits(df.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(body).alias("b")), "k", "b").select("k", "u", "b", "first_key")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for n, b in enumerate(batches):
-            for lo in range(0, len(b), 64):
-                version, part = 1 + (n + lo // 64) % 2, b.iloc[lo : lo + 64]
-                keys = ["" if pd.isna(k) else str(int(k)) for k in part["k"]]
-                refers = [None if pd.isna(k) else str(int(k)) for k in part["first_key"]]
-                segment = [version_block(version)]
-                offset = len(segment[0])
-                for k, u, text in zip(keys, part["u"], part["b"], strict=True):
-                    payload = (text or "").encode("utf-8", "surrogatepass")
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{KEY.decode()}: {k}\r\n\r\n".encode()
-                    segment.append(arc_record(u or "urn:none", date, head + payload, version, offset))
-                    offset += len(segment[-1])
-                made = [to_warc(rec, k, r) for rec, k, r in zip(parse_arc(b"".join(segment)), keys, refers, strict=True)]
-                yield pd.DataFrame({"record": made})
-
-    made = rows.mapInPandas(run, "record binary")
-    # a record ends with two line ends: the text writer's separator; casting bytes to a string leaves them as they are
-    made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
+    rows = revisits(df.select(named(key).alias("k"), named(url).alias("u"), named(body).alias("b")), "k", "b")
+    rows = rows.select(F.col("k").cast("string"), "u", "b", F.col("first_key").cast("string"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def bundled(made: list[bytes]) -> pa.RecordBatch:
+            # a record ends with two line ends, which the writer puts after each row; empty rows are no records and fill the file
+            size = sum(map(len, made))
+            return pa.RecordBatch.from_arrays([pa.array([END.join(made), *[b""] * (min(per_file, -(-size // bundle)) - 1)], pa.binary())], ["record"])
+
+        pending, size = [], 0
+        for n, (part, texts) in enumerate(parts(batches, 2, most=1 << 20, rows=64)):
+            segment = [version_block(1 + n % 2)]
+            offset = len(segment[0])
+            keys, refers = ["" if x is None else x for x in part.column(0).to_pylist()], part.column(3).to_pylist()
+            for k, u, text in zip(keys, part.column(1).to_pylist(), texts, strict=True):
+                payload = (text or "").encode("utf-8", "surrogatepass")
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{KEY.decode()}: {k}\r\n\r\n".encode()
+                segment.append(arc_record(u or "urn:none", date, head + payload, 1 + n % 2, offset))
+                offset += len(segment[-1])
+            for rec, k, r in zip(parse_arc(b"".join(segment)), keys, refers, strict=True):
+                record = to_warc(rec, k, r)
+                if pending and size + len(record) > bundle:
+                    yield bundled(pending)
+                    pending, size = [], 0
+                pending.append(record)
+                size += len(record)
+        if pending:
+            yield bundled(pending)
+
+    made = rows.mapInArrow(tidy(run), "record binary")
+    # the text writer's separator ends each record; casting bytes to a string leaves them as they are
+    with small_batches(df.sparkSession):
+        made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
 
 
 def read_archives(spark: SparkSession, folder: str, content: bool = False) -> DataFrame:
     """One row per record of the WARC files in a folder: record_id, record_type, target_uri, date, key, payload_bytes,
     payload_digest (bare hex), refers_to_id; with content also payload (binary; null for revisits).
 
-    The payload of records that hold one is measured and hashed anew and must agree with the record's digest.
+    The payload of records that hold one is measured and hashed anew and must agree with the record's digest. Files are inflated and
+    parsed in chunks; what is held is the file as it is stored, a record and a few thousand rows.
     """
-    schema = "record_id string, record_type string, target_uri string, date string, key long, payload_bytes long, payload_digest string, refers_to_id string" + ", payload binary" * content
+    kinds = {"record_id": pa.string(), "record_type": pa.string(), "target_uri": pa.string(), "date": pa.string(), "key": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "refers_to_id": pa.string()} | ({"payload": pa.binary()} if content else {})
+
+    def row(head: bytes, block: bytes) -> tuple:
+        inner, payload = http_parts(block)
+        kind, said = field(head, b"WARC-Type"), field(head, b"WARC-Payload-Digest").removeprefix("sha256:")
+        whole = kind != "revisit"
+        if whole and hashlib.sha256(payload).hexdigest() != said:
+            raise ValueError(f"payload digest of {field(head, b'WARC-Record-ID')} doesn't agree")
+        n = len(payload) if whole else int(field(inner, b"Content-Length"))
+        k = field(inner, KEY)
+        return (field(head, b"WARC-Record-ID"), kind, field(head, b"WARC-Target-URI"), field(head, b"WARC-Date"), int(k) if k else None, n, said, field(head, b"WARC-Refers-To"), *([payload if whole else None] * content))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())], list(kinds))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for data in b["content"]:
-                rows = []
-                for head, block in parse_warc(unzip(data)):
-                    inner, payload = http_parts(block)
-                    kind, said = field(head, b"WARC-Type"), field(head, b"WARC-Payload-Digest").removeprefix("sha256:")
-                    whole = kind != "revisit"
-                    if whole and hashlib.sha256(payload).hexdigest() != said:
-                        raise ValueError(f"payload digest of {field(head, b'WARC-Record-ID')} doesn't agree")
-                    n = len(payload) if whole else int(field(inner, b"Content-Length"))
-                    k = field(inner, KEY)
-                    rows.append((field(head, b"WARC-Record-ID"), kind, field(head, b"WARC-Target-URI"), field(head, b"WARC-Date"), int(k) if k else None, n, said, field(head, b"WARC-Refers-To"), *([payload if whole else None] * content)))
-                out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
-                out["key"] = out["key"].astype("Int64")
-                yield out
-
-    return spark.read.format("binaryFile").load(folder).select("content").mapInPandas(run, schema)
+            for data in b.column(0):
+                rows, held = [], 0
+                for head, block in records(inflate(data.as_py())):
+                    rows.append(row(head, block))
+                    held += len(block) if content else 500
+                    if held > 4 << 20:
+                        yield batch(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield batch(rows)
+
+    schema = ", ".join(f"{n} {'long' if k == pa.int64() else 'binary' if k == pa.binary() else 'string'}" for n, k in kinds.items())
+    return spark.read.format("binaryFile").load(folder).select("content").mapInArrow(tidy(run), schema)
 
 
 def round_trip(spark: SparkSession, df: DataFrame, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """Write df's rows as archives in the shared folder and read them back: per row key, payload_bytes, payload_digest,
-    record_type, refers_to (the response's key), record_id, target_uri. An empty table gives no rows.
+    record_type, refers_to (the response's key), record_id, target_uri. An empty table gives no rows; null keys, urls and bodies and
+    rows that repeat a key are as in ``write_archives``; df's other columns aren't read.
     """
     folder = fresh_path(spark, "warc")
     write_archives(df, folder, key, url, body)
