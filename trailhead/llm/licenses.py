@@ -5,10 +5,11 @@ from __future__ import annotations
 import bisect
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from trailhead.llm.textops import runs, word_hashes
+from trailhead.llm.common import named
+from trailhead.llm.textops import parts, runs, tidy, word_hashes
 
 # Opening sentences of well-known license notices.
 TEMPLATES = {
@@ -28,6 +29,16 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+# Whole texts of short licenses, without titles and copyright lines.
+TEXTS = {
+    "0bsd": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+}
+
 #: Bytes between words: all ASCII but letters and digits.
 _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -40,17 +51,18 @@ def winnow(hashes: np.ndarray, window: int) -> list[int]:
 
 
 class Index:
-    """Template words and the inverted index from fingerprint to (template, word position)."""
+    """Template words and the inverted indexes from fingerprint to (template, word position), by the fingerprints' width in words: k, or
+    all of a template that has fewer words."""
 
     def __init__(self, templates: dict[str, str], k: int, window: int):
-        self.k, self.names = k, sorted(templates)
+        self.names = sorted(templates)
         self.words = [word_hashes(templates[n], _BREAK) for n in self.names]
-        self.posts: dict[int, list[tuple[int, int]]] = {}
+        posts: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, words in enumerate(self.words):
             grams = runs(words, k)
             for i in winnow(grams, window):
-                self.posts.setdefault(int(grams[i]), []).append((t, i))
-        self.prints = np.array(sorted(self.posts), np.uint64)
+                posts.setdefault(min(k, len(words)), {}).setdefault(int(grams[i]), []).append((t, i))
+        self.widths = [(width, np.array(sorted(found), np.uint64), found) for width, found in posts.items()]
 
 
 def align(template: np.ndarray, words: np.ndarray, low: int, high: int) -> list[tuple[int, int, int]]:
@@ -140,16 +152,18 @@ def scan_text(text: str | None, index: Index, band: int, least: float) -> list[t
     words, start, end = word_hashes(text, _BREAK, spans=True)
     if not len(words):
         return []
-    grams = runs(words, index.k)
-    at = np.searchsorted(index.prints, grams)
-    at[at == len(index.prints)] = 0
-    hits = np.flatnonzero(index.prints[at] == grams)
-    if not len(hits):
-        return []
     votes: dict[int, set[int]] = {}
-    for j in hits.tolist():
-        for t, i in index.posts[int(grams[j])]:
-            votes.setdefault(t, set()).add(j - i)
+    for width, prints, posts in index.widths:
+        if len(words) < width:
+            continue
+        grams = runs(words, width)
+        at = np.searchsorted(prints, grams)
+        at[at == len(prints)] = 0
+        for j in np.flatnonzero(prints[at] == grams).tolist():
+            for t, i in posts[int(grams[j])]:
+                votes.setdefault(t, set()).add(j - i)
+    if not votes:
+        return []
     data, found = (text or "").encode("utf-8", "surrogatepass"), []
     for t, shifts in votes.items():
         need = len(index.words[t])
@@ -165,17 +179,23 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates: dict
 
     Templates are a bounded parameter and travel with the function, so the scan is one narrow pass. All runs of k words of
     the text are looked up, so each stretch of k + window - 1 words shared with a template is found whatever follows;
-    an occurrence is reported when at least the share ``least`` of the template's words align in order. All occurrences are reported,
+    a template of fewer than k words is found where all its words follow one another. An occurrence is reported when at least the share ``least`` of the template's words align in order. All occurrences are reported,
     repeats of one template beside one another included; those of one template share no word.
     Null and empty texts, and tables without rows, give no rows. Rows repeating a key are scanned each. The result has the
     columns named here only; df's other columns aren't read.
     """
-    kind, made = dict(df.dtypes)[key], templates or TEMPLATES
+    made = templates or TEMPLATES | TEXTS
+    kinds = [("license", pa.string(), "string"), ("n_matched", pa.int32(), "integer"), ("n_template", pa.int32(), "integer"), ("coverage", pa.float64(), "double"), ("span_start", pa.int64(), "long"), ("span_end", pa.int64(), "long"), ("matched_text", pa.string(), "string")]
+    schema = df.select(named(key)).schema
+    for name, _, kind in kinds:
+        schema = schema.add(name, kind)
 
     def run(batches):
         index = Index(made, k, window)
-        for b in batches:
-            rows = [(d, *r, t[r[4] : r[5]]) for d, t in zip(b[key], b[text], strict=True) for r in scan_text(t, index, band, least)]
-            yield pd.DataFrame(rows, columns=[key, "license", "n_matched", "n_template", "coverage", "span_start", "span_end", "matched_text"]).astype({key: b[key].dtype})
+        for part, texts in parts(batches, 1):
+            found = [(n, (*r, t[r[4] : r[5]])) for n, t in enumerate(texts) for r in scan_text(t, index, band, least)]
+            if found:
+                keys = part.column(0).take(pa.array([n for n, _ in found], pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[i] for _, r in found], kind) for i, (_, kind, _) in enumerate(kinds))], schema.names)
 
-    return df.select(key, text).mapInPandas(run, f"`{key}` {kind}, license string, n_matched int, n_template int, coverage double, span_start long, span_end long, matched_text string")
+    return df.select(named(key), named(text)).mapInArrow(tidy(run), schema)
