@@ -14,7 +14,7 @@ def histogram(docs: DataFrame, path: str, pattern: str, text: str = "text") -> D
     return encode(docs.select(text), path, pattern, text, ids=False).groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def suffix_sums(hist: DataFrame, step: int = 1024) -> DataFrame:
+def suffix_sums(hist: DataFrame, step: int = 256) -> DataFrame:
     """Per length n_tokens of a histogram: n_docs, docs_at_least and tokens_at_least (documents that are as long or longer, and their tokens),
     truncated_total (tokens left when all are cut to n_tokens), cumulative_share (of documents up to this length).
 
@@ -34,10 +34,25 @@ def suffix_sums(hist: DataFrame, step: int = 1024) -> DataFrame:
 
 
 def totals(sums: DataFrame, limits: DataFrame) -> DataFrame:
-    """Per context limit of limits (column context): documents longer than it, and tokens left when all are cut to it."""
-    first = sums.groupBy().agg(F.max("tokens_at_least").alias("all"))
-    over = limits.join(sums, F.col("n_tokens") > F.col("context"), "left").groupBy("context").agg(F.coalesce(F.max("docs_at_least"), F.lit(0)).alias("docs_over"), F.coalesce(F.max("tokens_at_least"), F.lit(0)).alias("tokens_over"))
-    return over.join(F.broadcast(first)).select("context", "docs_over", (F.coalesce("all", F.lit(0)) - F.col("tokens_over") + F.col("context") * F.col("docs_over")).alias("truncated_total"))  # first is one row
+    """Per context limit of limits (column context): documents longer than it, and tokens left when all are cut to it.
+
+    Limits and lengths stand in one order, in which the answer to a limit is the next length's: one sort of a row per distinct length
+    and limit. Null limits are left out, repeated ones answered once; without documents all answers are 0.
+    """
+    points = sums.select(F.col("n_tokens").alias("at"), F.lit(1).alias("kind"), "docs_at_least", "tokens_at_least")
+    asked = limits.select((F.col("context").cast("long") + 1).alias("at")).where("at is not null").distinct()
+    points = points.unionByName(asked.select("at", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("docs_at_least"), F.lit(None).cast("long").alias("tokens_at_least")))
+    after, every = Window.orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
+    over = [F.coalesce(F.first(c, ignorenulls=True).over(after), F.lit(0)) for c in ("docs_at_least", "tokens_at_least")]
+    found = points.select("at", "kind", over[0].alias("docs_over"), over[1].alias("tokens_over"), F.coalesce(F.max("tokens_at_least").over(every), F.lit(0)).alias("all"))
+    context = F.col("at") - 1
+    return found.where("kind = 0").select(context.alias("context"), "docs_over", (F.col("all") - F.col("tokens_over") + context * F.col("docs_over")).alias("truncated_total"))
+
+
+def quantiles(sums: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """(share, n_tokens): per share the smallest length that at least that share of documents doesn't exceed; null without documents."""
+    found = sums.agg(*[F.min(F.when(F.col("cumulative_share") >= q - 1e-12, F.col("n_tokens"))).alias(f"q{i}") for i, q in enumerate(shares)])
+    return found.select(F.explode(F.array(*[F.struct(F.lit(q).alias("share"), F.col(f"q{i}").alias("n_tokens")) for i, q in enumerate(shares)])).alias("x")).select("x.*")
 
 
 def quantile(sums: DataFrame, q: float) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from trailhead.llm import ann, bpe, hosts, jaccard, lengths, licenses, mixing, near_vectors, oracles, quality, warc
 
@@ -55,9 +56,22 @@ def op8_bpe(spark, sf_dir):
 
 
 def op9_lengths(spark, sf_dir):
+    return _sums(spark, sf_dir)
+
+
+def _sums(spark, sf_dir):
     return lengths.suffix_sums(lengths.histogram(_table(spark, sf_dir, "documents"), *_bpe()))
 
 
+def token_totals(spark, sf_dir):
+    """What context limits from 2^7 to 2^17 tokens leave of all documents."""
+    return lengths.totals(_sums(spark, sf_dir), spark.range(7, 18).select(F.pow(F.lit(2), "id").cast("long").alias("context")))
+
+
+def token_quantiles(spark, sf_dir):
+    return lengths.quantiles(_sums(spark, sf_dir), (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0))
+
+
 def op10_jaccard(spark, sf_dir):
     return jaccard.set_components(_table(spark, sf_dir, "documents"))
 
@@ -69,7 +83,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_near_vectors, op2_license_scan, op3_warc, op4_nearest, op5_quality, op6_mix, op7_hosts, op8_bpe, op9_lengths, op10_jaccard, pipeline)
+    own = (op1_near_vectors, op2_license_scan, op3_warc, op4_nearest, op5_quality, op6_mix, op7_hosts, op8_bpe, op9_lengths, op10_jaccard, pipeline, token_totals, token_quantiles)
     return {f.__name__: f for f in own}
 
 
