@@ -12,28 +12,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailhead.llm.common import cut, small_side
+from trailhead.llm.common import cut, named, small_side
 
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def n_words(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORDS)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(named(text), F.lit(WORDS)), F.lit(0)).cast("long")
 
 
 def quality_weight(text: str, size: Column) -> Column:
     """A document quality weight from 1 to 2: a sixth of the mean bytes per word, kept within these bounds, which also
     bound how far bucket sizes stray from their mean."""
-    return F.greatest(F.lit(1.0), F.least(F.lit(2.0), F.coalesce(F.octet_length(text) / F.when(size > 0, size) / 6.0, F.lit(1.0))))
+    return F.greatest(F.lit(1.0), F.least(F.lit(2.0), F.coalesce(F.octet_length(named(text)) / F.when(size > 0, size) / 6.0, F.lit(1.0))))
 
 
-def _keyed(df: DataFrame, key: str, text: str, source: str, weight: Column | None) -> DataFrame:
-    """s (the source, marked so that a null is a value), k (key as text), size, e (the exponential key)."""
-    df = df.withColumn("__size", n_words(text))
-    k = F.coalesce(F.col(key).cast("string"), F.lit(""))
+def _keyed(df: DataFrame, key: str, text: str, source: str, weight: Column | None, whole: bool = False) -> DataFrame:
+    """__key, __source, __s (the source, marked so that a null is a value), __k (key as text), __size, __e (the exponential key), and with
+    whole __row, df's row. Nothing else, so no name of df's clashes."""
+    size = n_words(text)
+    w = weight if weight is not None else quality_weight(text, size)
+    row = [F.struct(*map(named, df.columns)).alias("__row")] if whole else []
+    df = df.select(named(key).alias("__key"), named(source).alias("__source"), size.alias("__size"), w.alias("__w"), *row)
+    k = F.coalesce(F.col("__key").cast("string"), F.lit(""))
     u = (F.conv(F.substring(F.md5(k.cast("binary")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    w = weight if weight is not None else quality_weight(text, F.col("__size"))
-    return df.withColumns({"__s": F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")), "__k": k, "__e": -F.log(u) / w})
+    return df.withColumns({"__s": F.coalesce(F.concat(F.lit("s"), F.col("__source")), F.lit("n")), "__k": k, "__e": -F.log(u) / F.col("__w")}).drop("__w")
 
 
 def _bucket(e: Column, buckets: Column) -> Column:
@@ -59,9 +62,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: floa
     return t.withColumn("target", F.least("cap", F.max("level").over(every) * F.col("share_weight"))).drop("level", "cap")
 
 
-def plan(keyed: DataFrame, source: str, per_bucket: int = 4096, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
+def plan(keyed: DataFrame, per_bucket: int = 4096, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
     """One row per source: __s, source, source_size, target, epochs, and the last row that the rest takes (bucket, key)."""
-    sizes = keyed.groupBy("__s", F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("source_size"))
+    sizes = keyed.groupBy("__s", F.col("__source").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("source_size"))
     goal = targets(sizes, weights, most)
     goal = goal.withColumn("epochs", F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)).cast("long"))
     goal = cut(goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")).withColumn("buckets", F.ceil(F.col("n") / per_bucket).cast("long")), "mix-goal")
@@ -93,24 +96,17 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     differ from its target by half a document at most. Equal keys share a place in the order, so repeated rows are taken alike.
     An empty table gives no rows; df may have any other columns.
     """
-    rows = _keyed(df.select(F.col(key), F.col(text), F.col(source)), key, text, source, weight)
-    light = cut(rows.select(F.col(key), F.col(source), "__s", "__k", "__e", "__size"), "mix-rows")
-    goal = plan(light, source, weights=weights, most=most)
+    light = cut(_keyed(df, key, text, source, weight), "mix-rows")
+    goal = plan(light, weights=weights, most=most)
     out = light.join(small_side(goal.drop("source"), goal.count()), "__s").withColumn("times", taken_times(F.col("__e"), F.col("__k")))
-    return out.select(F.col(key), F.col(source), F.col("__size").alias("size"), "source_size", "target", (F.col("times") * F.col("__size")).alias("taken"), "times")
+    return out.select(F.col("__key").alias(key), F.col("__source").alias(source), F.col("__size").alias("size"), "source_size", "target", (F.col("times") * F.col("__size")).alias("taken"), "times")
 
 
 def apply_mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
-    """df's rows, each as often as the mix takes it (not at all: 0 times); df's columns. The texts are read twice and never shuffled."""
-    names = df.columns
-    rows = _keyed(df, key, text, source, weight)
-    light = cut(rows.select(F.col(source), "__s", "__k", "__e", "__size"), "mix-rows")
-    goal = plan(light, source, weights=weights, most=most)
-    goal = goal.select("__s", *[F.col(c).alias(c) for c in ("epochs", "rest", "buckets", "edge", "last")])
-    # the plan's names are prefixed so that they can't clash with df's
-    goal = goal.withColumnsRenamed({c: f"__p_{c}" for c in goal.columns if c != "__s"})
+    """df's rows, each as often as the mix takes it (not at all: 0 times); df's columns. The texts are read twice and never shuffled.
+    Nulls, empty texts, repeated keys and empty tables are as in ``mix``."""
+    rows = _keyed(df, key, text, source, weight, whole=True)
+    goal = plan(cut(rows.drop("__row"), "mix-rows"), weights=weights, most=most).drop("source", "source_size", "target", "n")
+    times = taken_times(F.col("__e"), F.col("__k"))
     out = rows.join(small_side(goal, goal.count()), "__s")
-    b = _bucket(F.col("__e"), F.col("__p_buckets"))
-    within = F.col("__p_edge").isNull() | (b < F.col("__p_edge")) | ((b == F.col("__p_edge")) & (F.struct(F.col("__e"), F.col("__k")) <= F.col("__p_last")))
-    times = F.col("__p_epochs") + F.when((F.col("__p_rest") > 0) & F.coalesce(within, F.lit(False)), 1).otherwise(0)
-    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.when(times > 0, times.cast("int"))))).select(*names)
+    return out.withColumn("__n", F.explode(F.sequence(F.lit(1), F.when(times > 0, times.cast("int"))))).select("__row.*")
