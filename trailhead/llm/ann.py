@@ -4,26 +4,29 @@ Every row is in the index: rows are dealt by a hash into shards of about ``shard
 size. A shard's graph is built in growing batches (greedy beam searches propose neighbours, relaxed distance pruning keeps
 diverse edges, reverse edges are pruned when they overflow), as in DiskANN. Inner products become distances by one more
 component. A vector within a small ball around a node stands behind it: it isn't a node of its own (a group of near copies would
-fill every beam that meets it) but is scored whenever the node is found. The index is a table, a packed row per shard; queries meet it in packed blocks, a block and a shard a task.
+fill every beam that meets it) but is scored whenever the node is found. The index is a table, a packed row per shard. A task reads one
+shard once and streams packed blocks of queries past it, so what moves are the queries; few shards are read by several tasks.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailhead.llm.common import cut
-from trailhead.llm.near_vectors import usable
+from trailhead.llm.common import cut, named
+from trailhead.llm.near_vectors import matrix, plain_vector, usable
+from trailhead.llm.textops import list_column, tidy
 
 
 class Graph:
     """A robust-pruned graph over the rows of x (float32), by Euclidean distance. rep: each row's node, itself or one at a
     squared distance of at most ball."""
 
+    #: Nodes of a beam that are expanded in one round.
+    AT_ONCE = 4
+
     def __init__(self, x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2, ball: float = 0.05, seed: int = 3):
         self.x, self.degree, self.slots, self.alpha, self.beam = x, degree, degree + degree // 2, alpha, beam
         n = len(x)
@@ -65,32 +68,43 @@ class Graph:
         count = np.bincount(self.rep, minlength=len(self.x))
         return np.argsort(self.rep, kind="stable"), np.cumsum(count) - count, count
 
-    def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, beam: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """The beam of each query after greedy expansion: (nodes, squared distances), nearest first, -1 where empty."""
+        found = [self._search(q[lo : lo + block], beam) for lo in range(0, len(q), block)]
+        return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros((0, beam), (np.int32, np.float32)[i]) for i in (0, 1))
+
+    def _search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         n, x = len(q), self.x
-        rows = np.arange(n)
         ids, dist = np.full((n, beam), -1, np.int32), np.full((n, beam), np.inf, np.float32)
         ids[:, 0], dist[:, 0] = self.start, ((q - x[self.start]) ** 2).sum(1)
-        seen = np.zeros((n, len(x)), bool)
-        seen[:, self.start] = True
+        met = np.full((n, len(x)), -1, np.int32)  # the place among a round's candidates at which a query met a node
+        met[:, self.start] = 0
         open_ = ids >= 0
-        live = rows
-        norm = (x * x).sum(1)
+        live = np.arange(n)
+        norm, qq = (x * x).sum(1), (q * q).sum(1)
         while len(live):
-            best = np.argmax(open_[live], 1)
-            node = ids[live, best]
-            open_[live, best] = False
-            near = self.edges[node]
-            ok = (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
-            r, c = np.nonzero(ok)
-            fresh = near[r, c]
-            seen[live[r], fresh] = True
-            d = np.full(near.shape, np.inf, np.float32)
-            qq = q[live]
-            d[r, c] = norm[fresh] - 2 * np.einsum("ij,ij->i", x[fresh], qq[r]) + (qq * qq).sum(1)[r]
-            near = np.where(ok, near, -1)
-            ni, nd = np.concatenate([ids[live], near], 1), np.concatenate([dist[live], d], 1)
-            no = np.concatenate([open_[live], ok], 1)
+            # the nearest open nodes of each beam are expanded together: a node that two of them lead to counts once
+            pick = open_[live]
+            pick &= np.cumsum(pick, 1) <= self.AT_ONCE
+            r, c = np.nonzero(pick)
+            near = self.edges[ids[live[r], c]]
+            open_[live[r], c] = False
+            r = np.repeat(r, near.shape[1])
+            near = near.reshape(-1)
+            fresh = near >= 0
+            fresh[fresh] = met[live[r[fresh]], near[fresh]] < 0
+            r, near = r[fresh], near[fresh]
+            met[live[r], near] = np.arange(len(r), dtype=np.int32)
+            once = met[live[r], near] == np.arange(len(r))
+            r, near = r[once], near[once]
+            count = np.bincount(r, minlength=len(live))
+            place = np.arange(len(r)) - np.repeat(np.cumsum(count) - count, count)
+            width = int(count.max(initial=0))
+            ni, nd = np.full((len(live), beam + width), -1, np.int32), np.full((len(live), beam + width), np.inf, np.float32)
+            no = np.zeros((len(live), beam + width), bool)
+            ni[:, :beam], nd[:, :beam], no[:, :beam] = ids[live], dist[live], open_[live]
+            ni[r, beam + place], no[r, beam + place] = near, True
+            nd[r, beam + place] = norm[near] - 2 * np.einsum("ij,ij->i", x[near], q[live[r]]) + qq[live[r]]
             top = np.argsort(nd, 1, kind="stable")[:, :beam]
             a = np.arange(len(live))[:, None]
             ids[live], dist[live], open_[live] = ni[a, top], nd[a, top], no[a, top]
@@ -173,75 +187,119 @@ def _lift(x: np.ndarray) -> tuple[np.ndarray, float]:
     return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))[:, None]], 1).astype(np.float32), top
 
 
-def build_index(df: DataFrame, key: str, vec: str, shard: int = 16384, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> DataFrame:
+INDEX = "dim int, shard int, shards int, ids binary, counts binary, vectors binary, edges binary, rep binary, start int"
+
+
+def _good(df: DataFrame, key: str, vec: str) -> tuple[DataFrame, str]:
+    column, kind = plain_vector(df, vec)
+    return df.where(usable(vec) & named(key).isNotNull()).select(named(key).cast("long").alias("k"), column.alias("v")).withColumn("dim", F.size("v")), kind
+
+
+def build_index(df: DataFrame, key: str, vec: str, shard: int = 16384, degree: int = 32, beam: int = 48, alpha: float = 1.2) -> DataFrame:
     """The index as a written table, a row per shard and vector length: shard, shards, dim, n, ids and copies' offsets,
-    vectors (double), edges. Rows with equal vectors share a node, where their keys stand in ascending order."""
-    good = df.where(usable(vec) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.transform(vec, lambda a: a.cast("double")).alias("v")).withColumn("dim", F.size("v"))
+    vectors (in their own precision), edges. Rows with equal vectors share a node, where their keys stand in ascending order, a repeated key
+    once. Rows without a key or a usable vector aren't in it; an empty table gives an empty index; other columns aren't read."""
+    good, kind = _good(df, key, vec)
     sizes = good.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
     dealt = good.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("k"), F.col("shards")).cast("int"))
 
-    def build(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("k", kind="stable")
-        x, keys = np.array(part["v"].tolist(), np.float64), part["k"].to_numpy()
+    def build(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        dim, at, shards = (part.column(c)[0].as_py() for c in ("dim", "shard", "shards"))
+        v = part.column("v")
+        x = matrix(v.chunk(0) if isinstance(v, pa.ChunkedArray) else v, np.arange(len(part)), dim)
         nodes, of = np.unique(x, axis=0, return_inverse=True)
-        order = np.argsort(of.reshape(-1), kind="stable")
+        of, keys = np.unique(np.stack([of.reshape(-1), part.column("k").to_numpy()]), axis=1)  # by node, then key
         g = Graph(_lift(nodes)[0], degree, beam, alpha)
-        start = getattr(g, "start", 0)
-        return pd.DataFrame({"dim": [part["dim"].iloc[0]], "shard": [part["shard"].iloc[0]], "shards": [part["shards"].iloc[0]], "ids": [keys[order].tobytes()], "counts": [np.bincount(of.reshape(-1), minlength=len(nodes)).astype(np.int64).tobytes()], "vectors": [nodes.tobytes()], "edges": [g.edges.tobytes()], "rep": [g.rep.tobytes()], "start": [start]})
+        made = (dim, at, shards, keys.tobytes(), np.bincount(of, minlength=len(nodes)).astype(np.int64).tobytes(), nodes.astype(kind).tobytes(), g.edges.tobytes(), g.rep.tobytes(), getattr(g, "start", 0))
+        names = [c.split()[0] for c in INDEX.split(", ")]
+        return pa.table([[c] for c in made], pa.schema([(n, pa.binary() if isinstance(c, bytes) else pa.int32()) for n, c in zip(names, made, strict=True)]))
 
     # a stated number of partitions, so that adaptive execution doesn't put small shards, which are slow to build, in one task
     parts = 4 * (sizes.agg(F.sum("shards")).first()[0] or 1)
-    made = dealt.repartition(parts, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, shards int, ids binary, counts binary, vectors binary, edges binary, rep binary, start int")
-    return cut(made, "ann-index")
+    out = cut(dealt.select("dim", "shard", "shards", "k", "v").repartition(parts, "dim", "shard").groupBy("dim", "shard").applyInArrow(build, INDEX), "ann-index")
+    out.kind = kind
+    return out
+
 
+class Shard:
+    """A shard of the index, unpacked for searches."""
 
-def search(queries: DataFrame, index: DataFrame, key: str, vec: str, k: int = 20, beam: int = 224, block: int = 1024) -> DataFrame:
+    def __init__(self, dim: int, ids: bytes, counts: bytes, vectors: bytes, edges: bytes, rep: bytes, start: int, kind: str):
+        self.x = np.frombuffer(vectors, kind).reshape(-1, dim).astype(np.float64)
+        self.counts, self.ids = np.frombuffer(counts, np.int64), np.frombuffer(ids, np.int64)
+        self.first = np.cumsum(self.counts) - self.counts
+        self.graph = g = Graph.__new__(Graph)
+        g.x, g.start, g.edges = _lift(self.x)[0], start, np.frombuffer(edges, np.int32).reshape(len(self.x), -1)
+        g.rep = np.frombuffer(rep, np.int32)
+        self.members, self.begin, self.size = g.behind()
+
+    def look(self, q: np.ndarray, qid: np.ndarray, k: int, beam: int) -> list[list[tuple[int, float]]]:
+        """The k best (key, score) per query that a beam search finds, best first, equal scores by the smaller key."""
+        unit, out = q / np.linalg.norm(q, axis=1, keepdims=True), []
+        found, _ = self.graph.search(np.concatenate([unit, np.zeros((len(unit), 1))], 1).astype(np.float32), beam)
+        for i, row in enumerate(found):
+            row = row[row >= 0]
+            many = self.size[row]
+            row = self.members[np.repeat(self.begin[row] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+            score = self.x[row] @ q[i]
+            # equal scores go by the smallest key behind the vector, its keys being in ascending order
+            top = np.lexsort((self.ids[self.first[row]], -score))[: k + 1]
+            # copies of one vector: the k + 1 smallest keys suffice, one may be the query's own
+            kk = [(v, s) for s, n in zip(score[top].tolist(), row[top].tolist(), strict=True) for v in self.ids[self.first[n] : self.first[n] + min(self.counts[n], k + 1)].tolist() if v != qid[i]]
+            out.append(sorted(kk, key=lambda t: (-t[1], t[0]))[:k])
+        return out
+
+
+def search(queries: DataFrame, index: DataFrame, key: str, vec: str, k: int = 20, beam: int = 160, block: int = 1024, kind: str | None = None) -> DataFrame:
     """The k nearest rows that beam search finds per query in all shards: query_id, rank, vec_id, score.
 
-    A row is never its own answer. Scores are inner products of the original vectors in double precision; equal scores go by
-    the smaller vec_id. Queries that are null, zero or hold null or non-finite components get no rows.
+    A row is never its own answer, nor is another row of its key. Scores are inner products of the original vectors in double precision;
+    equal scores go by the smaller vec_id. Queries that are null, zero or hold null or non-finite components get no rows; of queries
+    that repeat a key the one with the smallest vector is searched. An empty table or index gives no rows. kind: the NumPy type of the
+    index's vectors, if it wasn't built just now.
     """
-    good = queries.where(usable(vec) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.transform(vec, lambda a: a.cast("double")).alias("v")).withColumn("dim", F.size("v"))
+    kind = kind or getattr(index, "kind", "f8")
+    good, own = _good(queries, key, vec)
+    good = good.groupBy("k", "dim").agg(F.min("v").alias("v"))
     sizes = good.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     good = good.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("k", F.lit(1)), F.col("blocks")).cast("int"))
 
-    def pack(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"dim": [part["dim"].iloc[0]], "block": [part["block"].iloc[0]], "qids": [part["k"].to_numpy(np.int64).tobytes()], "qvectors": [np.array(part["v"].tolist(), np.float64).tobytes()]})
-
-    packed = good.groupBy("dim", "block").applyInPandas(pack, "dim int, block int, qids binary, qvectors binary")
-    most = index.groupBy("dim").agg(F.max("shards").alias("shards"))
-    sent = packed.join(most, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
-    met = sent.join(index.drop("shards"), ["dim", "shard"])
-
-    def look(part: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in part.itertuples():
-            x = np.frombuffer(r.vectors, np.float64).reshape(-1, r.dim)
-            counts, ids = np.frombuffer(r.counts, np.int64), np.frombuffer(r.ids, np.int64)
-            first = np.cumsum(counts) - counts
-            g = Graph.__new__(Graph)
-            g.x, g.start, g.edges = _lift(x)[0], r.start, np.frombuffer(r.edges, np.int32).reshape(len(x), -1)
-            g.rep = np.frombuffer(r.rep, np.int32)
-            members, begin, size = g.behind()
-            q, qid = np.frombuffer(r.qvectors, np.float64).reshape(-1, r.dim), np.frombuffer(r.qids, np.int64)
-            unit = q / np.linalg.norm(q, axis=1, keepdims=True)
-            for lo in range(0, len(q), 256):
-                found, _ = g.search(np.concatenate([unit[lo : lo + 256], np.zeros((len(unit[lo : lo + 256]), 1))], 1).astype(np.float32), beam)
-                for i, row in enumerate(found):
-                    row = row[row >= 0]
-                    many = size[row]
-                    row = members[np.repeat(begin[row] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-                    score = x[row] @ q[lo + i]
-                    # equal scores go by the smallest key behind the vector, its keys being in ascending order
-                    top = np.lexsort((ids[first[row]], -score))
-                    # copies of one vector: the k + 1 smallest keys suffice, one may be the query's own
-                    kk = [(s, v) for s, n in zip(score[top[: k + 1]].tolist(), row[top[: k + 1]].tolist(), strict=True) for v in ids[first[n] : first[n] + min(counts[n], k + 1)].tolist() if v != qid[lo + i]]
-                    kk.sort(key=lambda t: (-t[0], t[1]))
-                    out.append((int(qid[lo + i]), [v for _, v in kk[:k]], [s for s, _ in kk[:k]]))
-        return pd.DataFrame(out, columns=["query_id", "v", "s"], dtype=object)
-
-    parts = packed.count() * (index.count() or 1)  # tasks, each of a block of queries and a shard
-    found = met.repartition(max(1, min(parts, 100_000)), "dim", "shard", "block").groupBy("dim", "shard", "block").applyInPandas(look, "query_id long, v array<long>, s array<double>")
-    best = found.groupBy("query_id").agg(F.flatten(F.collect_list(F.transform(F.arrays_zip("s", "v"), lambda a: F.struct((-a["s"]).alias("s"), a["v"].alias("v"))))).alias("a"))
-    top = best.select("query_id", F.posexplode(F.slice(F.array_distinct(F.array_sort("a")), 1, k)))
-    return top.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("col.v").alias("vec_id"), (-F.col("col.s")).alias("score"))
+    def pack(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks()
+        dim, at, v = part.column("dim")[0].as_py(), part.column("block")[0].as_py(), part.column("v")
+        x = matrix(v.chunk(0) if isinstance(v, pa.ChunkedArray) else v, np.arange(len(part)), dim).astype(own)
+        return pa.table({"dim": pa.array([dim], pa.int32()), "block": pa.array([at], pa.int32()), "qids": pa.array([part.column("k").to_numpy().tobytes()], pa.binary()), "qvectors": pa.array([x.tobytes()], pa.binary())})
+
+    packed = cut(good.select("dim", "block", "k", "v").groupBy("dim", "block").applyInArrow(pack, "dim int, block int, qids binary, qvectors binary"), "ann-queries")
+    # tasks of a shard: more than one only where there are fewer shards than cores
+    plan = index.groupBy("dim").agg(F.max("shards").alias("shards")).join(packed.groupBy("dim").agg(F.count(F.lit(1)).alias("blocks")), "dim")
+    cores = F.lit(2 * index.sparkSession.sparkContext.defaultParallelism)
+    plan = cut(plan.withColumn("lanes", F.greatest(F.lit(1), F.least("blocks", F.ceil(cores / F.col("shards")))).cast("int")), "ann-plan")
+    sent = packed.join(plan, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("lane", F.pmod("block", "lanes"))
+    there = index.drop("shards").join(plan.select("dim", "lanes"), "dim").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).withColumn("block", F.lit(-1))
+    stream = there.drop("lanes").unionByName(sent.drop("shards", "blocks", "lanes"), allowMissingColumns=True)
+    names = ["dim", "block", "ids", "counts", "vectors", "edges", "rep", "start", "qids", "qvectors"]
+
+    def look(batches):
+        shard = None
+        for b in batches:
+            for i in range(b.num_rows):
+                dim, at, *packed, start, qids, qvectors = (b.column(n)[i].as_py() for n in range(len(names)))
+                if at < 0:
+                    shard = None  # before the next is unpacked
+                    shard = Shard(dim, *packed, start, kind)
+                    continue
+                q, qid = np.frombuffer(qvectors, own).reshape(-1, dim).astype(np.float64), np.frombuffer(qids, np.int64)
+                for lo in range(0, len(q), 256):
+                    found = shard.look(q[lo : lo + 256], qid[lo : lo + 256], k, beam)
+                    ids, scores = list_column([np.array([v for v, _ in f], np.int64) for f in found]), [s for f in found for _, s in f]
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[lo : lo + 256]), ids, pa.ListArray.from_arrays(ids.offsets, pa.array(scores, pa.float64()))], ["query_id", "v", "s"])
+
+    tasks = plan.agg(F.sum(F.col("shards") * F.col("lanes"))).first()[0] or 1
+    stream = stream.repartition(max(1, min(tasks, 100_000)), "dim", "shard", "lane").sortWithinPartitions("dim", "shard", "lane", "block").select(*names)
+    found = cut(stream.mapInArrow(tidy(look), "query_id long, v array<long>, s array<double>"), "ann-found")
+    each = found.select("query_id", F.explode(F.arrays_zip("s", "v")).alias("a")).select("query_id", F.col("a.v").alias("vec_id"), F.col("a.s").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    top = each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return top.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
