@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import math
 import random
@@ -36,6 +37,39 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark, df.limit(0)).collect() == []
 
 
+def test_warc_of_keys_beyond_double_precision(spark):
+    big = 1 << 60
+    rows = [(big + 1, "u", "z" * 120), (big + 5, "u", "z" * 120), (big + 9, "u", "other"), (None, "u", "z" * 120)]
+    got = warc.round_trip(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = [(big + 1, "response", None), (big + 5, "revisit", big + 1), (big + 9, "response", None), (None, "revisit", big + 1)]
+    assert sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_warc_files_are_bounded_in_bytes(spark, tmp_path):
+    rows = [(i, "u", f"{i} " + "".join(random.Random(i).choices("abcdef", k=200 if i % 5 else 9000))) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(df, str(tmp_path / "w"), bundle=3000, per_file=4)
+    files = [b"".join(warc.inflate(p.read_bytes())) for p in sorted((tmp_path / "w").glob("part-*"))]
+    found = [len(list(warc.records(iter([f])))) for f in files]
+    assert sum(found) == 60 and len(files) > 10 and all(len(f) <= 4 * 3000 + 10_000 for f in files)
+    back = warc.read_archives(spark, str(tmp_path / "w"), content=True).collect()
+    assert sorted((r["key"], bytes(r["payload"]).decode()) for r in back) == [(k, h) for k, _, h in rows]
+
+
+def test_archives_in_chunks():
+    rec = [warc.to_warc(next(warc.parse_arc(warc.version_block(1) + warc.arc_record("u", "2001", b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * n, 1))), str(n)) for n in (0, 1, 70_000)]
+    data = b"\r\n".join(r + warc.END for r in rec)
+    zipped = b"".join(gzip.compress(r + warc.END) for r in rec)
+    whole = list(warc.parse_warc(data))
+    assert len(whole) == 3 and all(list(warc.records(data[i : i + n] for i in range(0, len(data), n))) == whole for n in (1, 7, 1000))
+    assert all(list(warc.records(warc.inflate(zipped, n))) == whole for n in (1, 13, 1 << 16))
+    for bad in (zipped[:-9], b"\x1f\x8b"):
+        with pytest.raises(ValueError):
+            list(warc.records(warc.inflate(bad)))
+    with pytest.raises(ValueError):
+        list(warc.parse_warc(data[:-100]))
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_records_by_declared_length(version):
     body = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nhttp://fake/ 0.0.0.0 20000101000000 text/html 3\nabc\n"
@@ -83,7 +117,7 @@ def brute_mix(rows):
 def test_mix_against_brute_force(spark):
     r = random.Random(3)
     rows = [(i, " ".join("w" * r.randint(1, 12) for _ in range(r.randint(0, 60))), r.choice(["a", "a", "a", "a", "b", "é", "Z", None])) for i in range(900)] + [(5000, None, "a"), (5001, "\t\n", "only empty"), (5002, "x y z", "tiny")]
-    df = spark.createDataFrame([(d, t, s, 1, 2) for d, t, s in rows], "doc_id long, text string, source string, size int, rest int")
+    df = spark.createDataFrame([(d, t, s, 1, 2) for d, t, s in rows], "doc_id long, text string, source string, size int, `__size` int")
     out = mixing.mix(df).collect()
     got = sorted((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in out)
     want = sorted(brute_mix(rows))
@@ -99,8 +133,8 @@ def test_mix_against_brute_force(spark):
 def test_mix_by_small_buckets_is_the_same(spark):
     rows = [(i, "word " * (i % 17), f"s{i % 3}") for i in range(500)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    keyed = cut(mixing._keyed(df, "doc_id", "text", "source", None).select("source", "__s", "__k", "__e", "__size"))
-    a, b = (sorted((r["source"], r["last"] and r["last"]["__k"]) for r in mixing.plan(keyed, "source", per_bucket=n).collect()) for n in (4096, 7))
+    keyed = cut(mixing._keyed(df, "doc_id", "text", "source", None))
+    a, b = (sorted((r["source"], r["last"] and r["last"]["__k"]) for r in mixing.plan(keyed, per_bucket=n).collect()) for n in (4096, 7))
     assert {k for k, v in a if v} == {k for k, v in b if v}
     assert sum(r["taken"] for r in mixing.mix(df).collect()) == pytest.approx(sum(17 and i % 17 for i in range(500)), rel=0.02)
 
@@ -175,6 +209,53 @@ def test_quality_on_held_out_labels(spark):
     assert auc > 0.95 and got["predicted"][good].mean() > 0.97 and got["predicted"][~good].mean() < 0.3
 
 
+def nn_risk(w, b, p, u, prior):
+    """The non-negative risk by plain loops."""
+    loss = lambda z: math.log1p(math.exp(-abs(z))) + max(0.0, -z)
+    mean = lambda xs, sign: sum(loss(sign * (w * x + b)) for x in xs) / len(xs)
+    return prior * mean(p, 1) + max(0.0, mean(u, -1) - prior * mean(p, -1))
+
+
+def test_nnpu_against_brute_force():
+    r = random.Random(8)
+    for prior, far in ((0.5, 1.5), (0.3, 0.7), (0.8, 2.5)):
+        p = [r.gauss(far, 1) for _ in range(120)]
+        u = [r.gauss(far if r.random() < prior else -far, 1) for _ in range(240)]
+        model = quality.fit_nnpu(np.array(p)[:, None], np.array(u)[:, None], prior, rounds=1500, decay=0.0)
+        z = (np.array(u) - model.mean[0]) / model.scale[0]
+        zp = (np.array(p) - model.mean[0]) / model.scale[0]
+        assert np.abs(z).max() < 8 and np.abs(zp).max() < 8
+        best = min(nn_risk(w / 4, b / 4, zp, z, prior) for w in range(-8, 33) for b in range(-16, 17))
+        mine = nn_risk(model.weights[0], model.bias, zp, z, prior)
+        assert mine <= best + 0.01, (prior, mine, best)
+        parts = quality.risk(np.r_[model.weights, model.bias], zp[:, None], z[:, None], prior)
+        assert parts[0] + max(0, parts[1]) == pytest.approx(mine)
+
+
+def test_nnpu_stays_where_the_negative_part_would_go_below_zero():
+    # five positives far from all unlabelled rows: the unbiased risk has no lower bound, as its second part falls below zero
+    p, u = np.array([[3.0], [3.1], [2.9], [3.2], [3.05]]), np.linspace(-1, 1, 200)[:, None]
+    model = quality.fit_nnpu(p, u, 0.9, rounds=800, decay=0.0)
+    x = [quality._standard(a, model.mean, model.scale) for a in (p, u)]
+    first, second = quality.risk(np.r_[model.weights, model.bias], *x, 0.9)
+    assert second > -0.1 and first + max(0, second) < 0.3
+    assert sum(quality.risk(np.array([40.0, -60.0]), *x, 0.9)) < -10
+
+
+def test_nnpu_without_features_gives_the_prior():
+    for prior in (0.2, 0.5, 0.85):
+        model = quality.fit_nnpu(np.ones((50, 1)), np.ones((70, 1)), prior, rounds=2000, decay=0.0)
+        assert model.score(np.ones((1, 1)))[0] == pytest.approx(prior, abs=0.01)
+
+
+def test_prior_from_positives_and_unlabelled_alone():
+    rng = np.random.default_rng(4)
+    for share in (0.3, 0.6, 0.9):
+        good = lambda n: rng.normal(1.5, 1, (n, 3))
+        u = np.concatenate([good(int(3000 * share)), rng.normal(-1.5, 1, (3000 - int(3000 * share), 3))])
+        assert quality.estimate_prior(good(2500), rng.permutation(u)) == pytest.approx(share, abs=0.06)
+
+
 def test_quality_edges(spark):
     assert all(np.isfinite(quality.features(t)).all() and len(quality.features(t)) == quality.N_FEATURES for t in (None, "", " ", "x", "A!" * 400_000))
     kinds = "doc_id long, text string, score string", "doc_id long, quality int"

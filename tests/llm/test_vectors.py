@@ -40,6 +40,25 @@ def test_near_vectors_against_brute_force(spark, block):
     assert got == brute(rows)
 
 
+def test_trees_keep_the_chance_of_a_miss():
+    from trailhead.llm.near_vectors import trees_for
+
+    assert trees_for(0, 0.98, 0.15, 1e-6) == 1 and trees_for(5, 0.98, 0.15, 1e-6) == 4 < trees_for(22, 0.98, 0.15, 1e-6) <= 8
+    rng, depth = np.random.default_rng(3), 40  # many levels, so that a share of the pairs at the threshold is parted by a tree
+    a = rng.standard_normal((3000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    o = rng.standard_normal(a.shape)
+    o -= (o * a).sum(1, keepdims=True) * a
+    o /= np.linalg.norm(o, axis=1, keepdims=True)
+    b, together = 0.98 * a + np.sqrt(1 - 0.98**2) * o, np.ones(len(a), bool)
+    for _ in range(depth):
+        g = rng.standard_normal(64)
+        x, y = a @ g, b @ g
+        together &= ~((np.minimum(x, y) <= -0.15) & (np.maximum(x, y) >= 0.15))
+    want = 1 - 10 ** (-6 / trees_for(depth, 0.98, 0.15, 1e-6, least=1, most=99))
+    assert abs(together.mean() - want) < 0.05
+
+
 def test_near_vectors_repeated_rows_and_empty(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert near_duplicates(spark.createDataFrame([], kind)).collect() == []
@@ -74,6 +93,13 @@ def test_nearest_recall_order_and_shards(spark):
     assert hit / (20 * len(got)) >= 0.95
 
 
+def test_nearest_of_repeated_keys_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.0, 2.0]), (None, [9.0, 9.0])]
+    df = spark.createDataFrame([(k, [float(x) for x in v], 1, "s") for k, v in rows], "vec_id long, embedding array<float>, shard int, dim string")
+    got = ann.search(df.where("vec_id = 0"), ann.build_index(df, "vec_id", "embedding"), "vec_id", "embedding").collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 2, 2.0), (2, 1, 0.0), (3, 1, 0.0)]
+
+
 def test_nearest_few_and_none(spark):
     assert search(spark, []) == {}
     got = search(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])])
