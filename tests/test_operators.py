@@ -1,6 +1,7 @@
 """Operators on literal inputs with known values."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,14 +15,14 @@ def one(spark, column, **values):
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]).select(column).first()[0]
 
 
-EVENTS = "id long, session_id string, tool string, result_count int, latency_ms long, groundedness_score double, created_at long"
+EVENTS = "id long, session_id string, tool string, result_count int, latency_ms long, groundedness_score double, created_at long, worktree_id string"
 
 
 def test_session_telemetry(spark):
-    e = spark.createDataFrame([(1, "a", "search_code", 10, 50, 0.9, 5), (2, "a", "search_semantic", 15, 100, 0.85, 7), (3, "a", "search_code", 20, 75, 0.92, 9)], EVENTS)
+    e = spark.createDataFrame([(1, "a", "search_code", 10, 50, 0.9, 5, "w"), (2, "a", "search_semantic", 15, 100, 0.85, 7, "w"), (3, "a", "search_code", 20, 75, 0.92, 9, " w ")], EVENTS)
     r = telemetry.session_summary(e).first()
     assert (r["events"], r["tools"], r["avg_results"], r["avg_latency"], r["duration"]) == (3, 2, 15.0, 75.0, 4) and abs(r["avg_groundedness"] - 0.89) < 0.01
-    c = spark.createDataFrame([(1, "s", "search_code", 1, 30, 0.8, 1), (2, "s", "search_code", 1, 70, 0.9, 2), (3, "s", "semantic_search", 1, 50, 0.7, 3)], EVENTS)
+    c = spark.createDataFrame([(1, "s", "search_code", 1, 30, 0.8, 1, "w"), (2, "s", "search_code", 1, 70, 0.9, 2, "w"), (3, "s", "semantic_search", 1, 50, 0.7, 3, "w")], EVENTS)
     assert telemetry.session_totals(c, "s").first()[:2] == (3, 150)
     assert [(r["tool"], r["calls"], r["latency_ms"]) for r in telemetry.tool_breakdown(c).orderBy("place").collect()] == [("search_code", 2, 100), ("semantic_search", 1, 50)]
     assert tuple(telemetry.session_totals(c, "none").first()) == (0, 0, None)
@@ -29,7 +30,7 @@ def test_session_telemetry(spark):
 
 @pytest.mark.parametrize("scores, gate, state, outcome, delta", [([], True, "neutral", "no_history", 0.0), ([0.95] * 20, True, "improving", "promoted", 0.025), ([0.1] * 12, False, "regressing", "rolled_back", 0.025), ([0.9] * 12, False, "neutral", "no_change", 0.025)])
 def test_weight_learning(spark, scores, gate, state, outcome, delta):
-    e = spark.createDataFrame([(i, "s", "t", 1, 1, s, i) for i, s in enumerate(scores)], EVENTS)
+    e = spark.createDataFrame([(i, "s", "t", 1, 1, s, i, None) for i, s in enumerate(scores)], EVENTS)
     r = telemetry.learn_weights(telemetry.groundedness_window(e), gate).first()
     assert (r["learning_state"], r["last_learning_outcome"], r["candidate_delta"]) == (state, outcome, delta)
     assert math.isclose(sum(r[k] for k in telemetry.WEIGHTS), 1) and (r["semantic"] == 0.45) == (outcome == "promoted")
@@ -60,7 +61,7 @@ def test_graph(spark):
     assert c["i2"]["satisfied"] and c["i2"]["first_dep"] == "i1" and c["i1"]["dependents"] == 1 and not c["i3"]["satisfied"]
     assert {tuple(r) for r in graph.transitive(e, i.select("id")).collect()} == {("i2", "i1"), ("i3", "i2"), ("i3", "i1")}
     ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (3, 5), (6, 7), (7, 6), (8, 8), (9, 10)], "from_id long, to_id long")
-    assert {r[0] for r in graph.cycle_nodes(ring).collect()} == {r[0] for r in graph.cycle_nodes(ring, local_edges=0).collect()} == {1, 2, 3, 6, 7, 8}
+    assert {r[0] for r in graph.cycle_nodes(ring).collect()} == {1, 2, 3, 6, 7, 8}
     assert graph.cycle_nodes(ring.limit(0)).collect() == []
     bad = spark.createDataFrame([("i1", "rejected", 0), ("i2", "approved", 0), ("i3", "draft", 0)], INTENTS)
     assert [r["id"] for r in graph.auto_block(bad, e).collect()] == ["i2"]
@@ -76,8 +77,10 @@ def test_gate_and_transitions(spark):
 
 
 def test_locks_and_stale(spark):
-    q = spark.createDataFrame([(1, "i", "a", "wt-a", 0), (2, "i", "b", "wt-b", 10), (3, "i", "a", "wt-a", 20), (4, "i", "b", "wt-b", 3621), (5, "j", "b", "wt-b", 30)], "id long, intent_id string, holder string, worktree_id string, ts long")
-    assert {r["id"]: (r["outcome"], r["held_by"]) for r in graph.lock_outcomes(q).collect()} == {1: ("acquired", "wt-a"), 2: ("conflict", "wt-a"), 3: ("acquired", "wt-a"), 4: ("acquired", "wt-b"), 5: ("acquired", "wt-b")}
+    asked = [("i", "wt-a", "acquire", 0), ("i", "wt-b", "acquire", 10), ("i", "wt-a", "acquire", 20), ("i", "wt-b", "acquire", 3621), ("j", "wt-b", "acquire", 30), ("k", "wt-a", "release", 0), ("k", "wt-a", "acquire", 1), ("k", "wt-b", "release", 2), ("k", "wt-a", "release", 3), ("k", "wt-b", "acquire", 4), ("k", " ", "acquire", 3604)]
+    q = spark.createDataFrame([(n, *r) for n, r in enumerate(asked, 1)], "id long, intent_id string, worktree_id string, action string, ts long")
+    want = [("acquired", "wt-a"), ("conflict", "wt-a"), ("acquired", "wt-a"), ("acquired", "wt-b"), ("acquired", "wt-b"), ("not_held", None), ("acquired", "wt-a"), ("not_held", "wt-a"), ("released", None), ("acquired", "wt-b"), ("acquired", "project-root")]
+    assert {r["id"]: (r["outcome"], r["held_by"]) for r in graph.lock_outcomes(q).collect()} == dict(enumerate(want, 1))
     i = spark.createDataFrame([("a", "in_progress", 0), ("b", "in_progress", 200_000), ("c", "draft", 0)], INTENTS)
     now = graph.one_row(spark, now=200_001)
     assert [r["id"] for r in graph.stale(i, now).collect()] == ["a"]
@@ -226,3 +229,114 @@ def test_prefixes_of_many_lengths(spark):
     want = {"x" * n: ("found", "x" * 90) for n in range(1, 91)} | {"y" * 70: ("found", "y" * 70), "y" * 69: ("ambiguous", None), "x" * 91: ("missing", None), "": ("ambiguous", None)}
     got = graph.resolve_prefix(ids, spark.createDataFrame([(p,) for p in want], "prefix string")).collect()
     assert {r["prefix"]: (r["outcome"], r["id"]) for r in got} == want
+
+
+def test_rows_of_other_worktrees_are_not_counted(spark):
+    e = spark.createDataFrame([(1, "s", "a", 1, 10, 0.5, 1, "w1"), (2, "s", "a", 1, 20, 0.7, 2, "w2"), (3, "s", "b", 1, 40, None, 3, None), (4, "s", "b", 1, 80, None, 4, " ")], EVENTS)
+    assert tuple(telemetry.session_totals(e, "s", "w1").first())[:2] == (1, 10) and tuple(telemetry.session_totals(e, "s", "").first())[:2] == (2, 120)
+    assert {r["worktree_id"]: r["events"] for r in telemetry.session_summary(e).collect()} == {"w1": 1, "w2": 1, "project-root": 2}
+    assert {(r["worktree_id"], r["tool"]): r["place"] for r in telemetry.tool_breakdown(e).collect()} == {("w1", "a"): 1, ("w2", "a"): 1, ("project-root", "b"): 1}
+
+
+def test_session_proximity(spark):
+    a = spark.createDataFrame([(1, "s", "w", "a", 0), (2, "s", "w", "b", 100), (3, "s", "w", "c", 350), (4, "s", "v", "d", 351), (5, "s", "w", "a", 1000), (6, "t", "w", "b", 120)], "id long, session_id string, worktree_id string, file_path string, accessed_at long")
+    assert {(r["file_a"], r["file_b"]): r["n"] for r in memory.session_pairs(a).collect()} == {("a", "b"): 1, ("b", "c"): 1}
+    many = spark.createDataFrame([(i, "s", "w", f"f{i:02}", i) for i in range(30)], "id long, session_id string, worktree_id string, file_path string, accessed_at long")
+    assert memory.session_pairs(many).agg(F.sum("n")).first()[0] == sum(min(i + 1, 10) * (min(i + 1, 10) - 1) // 2 for i in range(30))
+
+
+def reachable(edges, start):
+    seen, todo = set(), [start]
+    while todo:
+        for b in edges.get(todo.pop(), ()):
+            if b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return seen
+
+
+def test_cycles_of_random_graphs(spark):
+    r, edges = random.Random(2), []
+    for g, (n, m) in enumerate(((30, 20), (30, 45), (30, 90), (40, 60), (12, 60))):
+        edges += [(1000 * g + r.randrange(n), 1000 * g + r.randrange(n)) for _ in range(m)]
+    edges += [(9000 + i, 9001 + i) for i in range(60)] + [(9020, 9015), (9050, 9050)] + [(8000 + i, 8000 + (i * i + 1) % 211) for i in range(211)]
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+    df = spark.createDataFrame(edges, "from_id long, to_id long")
+    assert {x[0] for x in graph.cycle_nodes(df).collect()} == {v for v in out if v in reachable(out, v)}
+    starts = [0, 1005, 2003, 9000, 9016]
+    got = graph.transitive(df, spark.createDataFrame([(s,) for s in starts], "id long"), None).collect()
+    assert sorted(map(tuple, got)) == sorted((s, v) for s in starts for v in reachable(out, s))
+
+
+def test_closure_that_does_not_end_is_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "from_id long, to_id long")
+    start = spark.createDataFrame([(0,)], "id long")
+    assert graph.transitive(chain, start, None).count() == 40
+    with pytest.raises(RuntimeError):
+        graph.transitive(chain, start, None, most=3)
+
+
+def test_bare_ids_are_completed(spark):
+    ids = spark.createDataFrame([("task-a1",), ("task-a2",), ("task-b9",)], "id string")
+    got = {r["prefix"]: (r["outcome"], r["id"]) for r in graph.resolve_prefix(ids, spark.createDataFrame([("a1",), ("a",), ("task-b",), ("task-a2",), ("q",)], "prefix string"), "task-").collect()}
+    assert got == {"a1": ("found", "task-a1"), "a": ("ambiguous", None), "task-b": ("found", "task-b9"), "task-a2": ("found", "task-a2"), "q": ("missing", None)}
+
+
+def test_conflicts_and_debounce_of_a_busy_path(spark):
+    r = random.Random(5)
+    rows = [(i, ts, f"a{r.randrange(3)}", "p", "w") for i, ts in enumerate(sorted(r.randrange(4000) for _ in range(600)))]
+    a = spark.createDataFrame(rows, "id long, timestamp long, agent string, path string, kind string")
+    want = {}
+    for n, (i, ts, agent, *_) in enumerate(rows):
+        before = [x for x in rows[:n] if x[2] != agent]
+        if before and ts - before[-1][1] <= 9:
+            want[i] = (before[-1][2], ts - before[-1][1])
+    assert {x["id"]: (x["other_agent"], x["age"]) for x in drift.latest_in_window(a, 9).collect()} == want
+    kept, last = set(), None
+    for i, ts, *_ in rows:
+        if last is None or ts - last >= 11:
+            kept.add(i)
+            last = ts
+    assert {x["id"] for x in drift.debounce(a, 11).collect()} == kept
+
+
+def test_vectors_of_a_wrong_length_are_refused(spark):
+    there = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "chunk_id string, vector array<double>")
+    new = spark.createDataFrame([("b", [5.0, 6.0]), ("c", [7.0, 8.0])], "chunk_id string, vector array<double>")
+    assert {r["chunk_id"]: r["vector"] for r in vectors.store(there, new, 2).collect()} == {"a": [1.0, 2.0], "b": [5.0, 6.0], "c": [7.0, 8.0]}
+    with pytest.raises(Exception, match="vector of c has 1 dimensions, not 2"):
+        vectors.store(there, spark.createDataFrame([("c", [7.0])], "chunk_id string, vector array<double>"), 2).collect()
+
+
+def test_run_is_kept_and_learnt_from(spark, tmp_path):
+    e = spark.createDataFrame([(i, "s", "t", 1, 1, 0.95, i, None) for i in range(20)], EVENTS)
+    sets = spark.createDataFrame([("g", 0.9, True), ("h", 0.8, True)], "golden_set string, overall_score double, critical_pass boolean")
+    assert evals.run_and_learn(sets, str(tmp_path / "runs"), e, 10, 0.7).first()["applied"]
+    assert not evals.run_and_learn(sets, str(tmp_path / "runs"), e, 11, 0.85).first()["applied"]
+    assert sorted((r["id"], r["passed"]) for r in spark.read.parquet(str(tmp_path / "runs")).collect()) == [("g-10", True), ("g-11", True), ("h-10", True), ("h-11", False)]
+
+
+def test_folding_and_fields(spark):
+    assert one(spark, X.index_tokens(F.col("t")), t="Élan vital, naïve ÇA Straße ﬁ") == ["elan", "vital", "naive", "ca", "straße", "ﬁ"]
+    c = spark.createDataFrame([("1", "src/cafe.py", "Menu", "no such word", "class"), ("2", "src/x.py", None, "un café ici", "block")], "chunk_id string, file_path string, symbol_name string, content string, symbol_kind string")
+    got = fts.bm25(c, spark.createDataFrame([(1, ["cafe"]), (2, ["menu", "word", "class"])], "query_id long, terms array<string>")).collect()
+    assert {(r["query_id"], r["chunk_id"]) for r in got} == {(1, "1"), (1, "2"), (2, "1")}
+    assert {r["chunk_id"] for r in fts.search(c, "symbol_name:menu OR content:cafe").collect()} == {"1", "2"}
+
+
+def test_text_helpers(spark):
+    p = F.col("p")
+    assert one(spark, X.normal_newlines(p), p="a\r\nb\rc") == "a\nb\nc\n" and one(spark, X.normal_newlines(p), p="a\n") == "a\n"
+    assert one(spark, X.rfc3339(p), p=1709251199) == "2024-02-29T23:59:59+00:00" and one(spark, X.bounded(p, 3), p="abcdef") == "abc"
+    assert one(spark, X.relative(p, "/w/"), p="/w/a\\b") == "a/b" and one(spark, X.relative(p, "/w"), p="/x/a") is None and one(spark, X.unwatched(p, "/w"), p="/x/a")
+    assert one(spark, X.trigrams(p), p="Ab-cD e") == ["abc", "bcd", "cde"] and one(spark, X.trigrams(p), p="ab") == [] and one(spark, X.neighbour_pairs(X.index_tokens(p)), p="a b") == ["a b"] and one(spark, X.neighbour_pairs(X.index_tokens(p)), p="") == []
+    assert "search_code" in one(spark, X.missing_anchors(p), p="Provide Result") and one(spark, X.core_event(p), p="modify") and not one(spark, X.core_event(p), p="access")
+
+
+def test_members_of_oversized_items():
+    rust = "impl A {\n    pub fn one(&self) {\n" + "        let x = 1 ;\n" * 200 + "    }\n    fn two() {\n        fn deeper() {}\n    }\n}\n"
+    assert [(c[2], c[4]) for c in chunking.symbol_chunks_of(rust, "rust")] == [("one", "A"), ("two", "A")]
+    ts = "class B {\n  async one(a: number): Promise<void> {\n" + "    if (a) { go ( a ) ; }\n" * 120 + "  }\n  two() {\n    return 1;\n  }\n}\n"
+    assert [(c[2], c[4]) for c in chunking.symbol_chunks_of(ts, "typescript")] == [("one", "B"), ("two", "B")]

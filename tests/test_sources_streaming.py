@@ -1,28 +1,51 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from trailhead.functions.health import environment
 from trailhead.operators import drift
-from trailhead.schemas import SPECS, schema
+from trailhead.schemas import DDL, schema
 from trailhead.sources import files as S
 from trailhead.streaming import activity, windows
 
 
 def test_walk(spark, tmp_path):
-    for name, text in {"src/a.rs": "fn a() {}", "src/.hidden.py": "x", "node_modules/m.js": "x", "b.py": "é", "c.bin": "x", ".git/x.py": "x", "gen/x_gen.rs": "x"}.items():
+    files = {"src/a.rs": "fn a() {}", "src/.hidden.py": "x", "node_modules/m.js": "x", "b.py": "é", "c.bin": "x", ".git/x.py": "x", "gen/x_gen.rs": "x", "gen/keep_gen.rs": "y", "src/deep/b.py": "x", "src/deep/own.py": "z", "top/b.py": "w", "out/o.js": "x", "src/out/o.js": "v"}
+    for name, text in files.items():
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text(text)
-    (tmp_path / ".ignorefile").write_text("# c\nnode_modules/\n*_gen.rs\n!keep\n\n")
-    got = {r["file_path"]: (r["language"], r["content"]) for r in S.walk(spark, str(tmp_path), S.ignore_patterns(str(tmp_path / ".ignorefile"))).collect()}
-    assert got == {"src/a.rs": ("rust", "fn a() {}"), "b.py": ("python", "é")}
-    assert S.ignore_patterns(str(tmp_path / "none")) == ()
+    (tmp_path / ".ignorefile").write_text("# c\nnode_modules/\n*_gen.rs\n!keep_gen.rs\n/out\n\n")
+    (tmp_path / "src" / "deep" / ".ignorefile").write_text("*.py\n!own.py\n")
+    got = {r["file_path"]: (r["language"], r["content"]) for r in S.walk(spark, str(tmp_path), ignore_files=(".ignorefile",)).collect()}
+    assert got == {"src/a.rs": ("rust", "fn a() {}"), "b.py": ("python", "é"), "gen/keep_gen.rs": ("rust", "y"), "src/deep/own.py": ("python", "z"), "top/b.py": ("python", "w"), "src/out/o.js": ("javascript", "v")}
+    assert {r["file_path"] for r in S.walk(spark, str(tmp_path), skip=("*.rs", "src/**/*.py"), ignore_files=()).collect()} == {"node_modules/m.js", "b.py", "top/b.py", "out/o.js", "src/out/o.js"}
+
+
+def test_tables(spark, tmp_path):
+    rows = spark.createDataFrame([("i1", "bug", "t")], "id string, kind string, title string")
+    S.insert(rows, "intents", str(tmp_path))
+    S.insert(rows.withColumn("updated_at", F.lit(5)), "intents", str(tmp_path))
+    got = S.table(spark, "intents", str(tmp_path))
+    assert got.columns == schema("intents").names and sorted((r["id"], r["updated_at"] or 0) for r in got.collect()) == [("i1", 0), ("i1", 5)]
+    with pytest.raises(ValueError):
+        S.insert(rows.withColumn("odd", F.lit(1)), "intents", str(tmp_path))
+
+
+def test_doctor_of_a_folder(tmp_path):
+    assert environment(str(tmp_path), "1", "2") == {"config_version": False, "initialised": False, "hooks": False}
+    (tmp_path / ".project").mkdir()
+    (tmp_path / ".git" / "hooks").mkdir(parents=True)
+    (tmp_path / ".git" / "hooks" / "post-commit").write_text("x")
+    assert all(environment(str(tmp_path), "1", "1").values())
 
 
 def test_golden_files(spark, tmp_path):
     (tmp_path / "core.toml").write_text('[metadata]\nname = "core"\n[[cases]]\nid = "c"\npriority = "high"\n[cases.checks]\nmust_contain = ["a", "b"]\nmust_not_contain = ["x"]\n')
     got = S.golden_sets(spark, str(tmp_path))
     assert sorted((r["kind"], r["literal"], r["priority"]) for r in got.collect()) == [("must_contain", "a", "high"), ("must_contain", "b", "high"), ("must_not_contain", "x", "high")]
+    assert S.golden_set_names(str(tmp_path)) == ["core"] and S.golden_set_names(str(tmp_path / "none")) == []
     with pytest.raises(FileNotFoundError):
         S.golden_sets(spark, str(tmp_path), "other")
     (tmp_path / "bad.toml").write_text('[[cases]]\nid = "c"\n[cases.checks]\nmust_contain = "a"\n')
@@ -55,7 +78,7 @@ def test_validation():
 
 
 def test_schemas(spark):
-    for name in SPECS:
+    for name in DDL:
         assert spark.createDataFrame([], schema(name)).count() == 0
 
 

@@ -9,11 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _C, _V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
-_M0 = re.compile(f"^({_C})?{_V}{_C}")
-_M1 = re.compile(f"^({_C})?{_V}{_C}({_V})?$")
-_MORE = re.compile(f"^({_C})?{_V}{_C}{_V}{_C}")
-_VOWEL = re.compile(f"^({_C})?[aeiouy]")
-_CVC = re.compile(f"^{_C}[aeiouy][^aeiouwxy]$")
+#: Conditions on what stands before an ending: a measure above 0, of 1, above 1, a vowel, consonant-vowel-consonant.
+PATTERNS = {"m0": f"^({_C})?{_V}{_C}", "m1": f"^({_C})?{_V}{_C}({_V})?$", "more": f"^({_C})?{_V}{_C}{_V}{_C}", "vowel": f"^({_C})?[aeiouy]", "cvc": f"^{_C}[aeiouy][^aeiouwxy]$"}
+_M0, _M1, _MORE, _VOWEL, _CVC = (re.compile(PATTERNS[n]) for n in ("m0", "m1", "more", "vowel", "cvc"))
 # The suffix tables of steps 2, 3 and 4.
 STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble", "logi": "log"}
 STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,9 +20,22 @@ def token_set(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(ascii_lower(c), r"[^\p{L}\p{N}_]+"), lambda t: F.octet_length(t) >= 2))
 
 
+def _folds() -> tuple[str, str]:
+    """Latin letters that are a base letter and marks above or below it, and their base letters."""
+    found = {}
+    for n in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base, *marks = unicodedata.normalize("NFD", chr(n))
+        if marks and all(unicodedata.combining(m) for m in marks) and chr(n).lower() == chr(n):
+            found[chr(n)] = base
+    return "".join(found), "".join(found.values())
+
+
+FOLD_FROM, FOLD_TO = _folds()
+
+
 def index_tokens(c: Column) -> Column:
-    """Tokens of letters and digits for the inverted index, lower-cased, in order."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Tokens of letters and digits for the inverted index, lower-cased, marks folded away, in order."""
+    return F.filter(F.split(F.translate(F.lower(c), FOLD_FROM, FOLD_TO), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def groundedness(query_tokens: Column, content_tokens: Column) -> Column:
@@ -61,10 +75,14 @@ def encoder_text(c: Column) -> Column:
 
 
 def trigrams(c: Column) -> Column:
-    """All runs of three characters of the encoder's text without white space."""
-    compact = F.regexp_replace(encoder_text(c), " ", "")
-    n = F.length(compact)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(compact, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    """All runs of three characters of the encoder's text without white space, in one pass over it."""
+    return F.regexp_extract_all(F.regexp_replace(encoder_text(c), " ", ""), F.lit("(?=(...))"), F.lit(1))
+
+
+def neighbour_pairs(tokens: Column) -> Column:
+    """Each token and the next one, joined by a blank. Nothing is looked up by place, so the tokens are made once."""
+    after = F.slice(tokens, F.lit(2), F.greatest(F.lit(0), F.size(tokens) - 1))
+    return F.filter(F.zip_with(tokens, after, lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
 
 
 def sql_glob(c: Column, pattern: str) -> Column:
@@ -137,20 +155,18 @@ def detect_language(path: Column) -> Column:
 def script_refs(c: Column) -> Column:
     """Scripts that a document tells to run: npm run X, pnpm [run] X, yarn X; sorted, distinct."""
     t = words(c)
+    rest = lambda n: F.slice(t, F.lit(n + 1), F.greatest(F.lit(0), F.size(t) - n))
+    pairs = F.zip_with(t, rest(1), lambda a, b: F.struct(a.alias("tool"), F.coalesce(b, F.lit("")).alias("one")))
+    three = F.zip_with(pairs, rest(2), lambda p, b: F.struct(p["tool"].alias("tool"), p["one"].alias("one"), F.coalesce(b, F.lit("")).alias("two")))
 
-    def after(i: Column, d: int) -> Column:
-        return F.coalesce(F.try_element_at(t, (i + d).cast("int")), F.lit(""))
-
-    def ref(i: Column) -> Column:
-        tool, one, two = after(i, 0), after(i, 1), after(i, 2)
-        name = F.when((tool == "npm") & (one == "run"), two).when((tool == "pnpm") & (one == "run"), two).when(tool.isin("pnpm", "yarn"), one).otherwise("")
+    def ref(x: Column) -> Column:
+        tool, one = x["tool"], x["one"]
+        name = F.when(tool.isin("npm", "pnpm") & (one == "run"), x["two"]).when(tool.isin("pnpm", "yarn"), one).otherwise("")
         name = F.regexp_replace(F.regexp_replace(name, "^[`\"'()]+", ""), "[`\"'()]+$", "")
         name = F.regexp_replace(F.regexp_replace(name, "^[,.;:]+", ""), "[,.;:]+$", "")
         return F.when(name.startswith("-"), "").otherwise(name)
 
-    n = F.size(t)
-    found = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), ref)).otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(three, ref), lambda x: x != "")))
 
 
 def placeholders(c: Column) -> Column:
@@ -182,3 +198,54 @@ IGNORED_HEADS, IGNORED_TAILS = (".git/", "target/", "node_modules/", ".activity/
 def ignored(rel: Column) -> Column:
     heads, tails = (f"{'|'.join(re.escape(x) for x in xs)}" for xs in (IGNORED_HEADS, IGNORED_TAILS))
     return rel.rlike(f"^({heads})") | rel.rlike(f"({tails})$")
+
+
+def relative(path: Column, root: str) -> Column:
+    """A path below root, relative to it, with slashes; relative paths as they are; null outside."""
+    p, base = F.replace(path, F.lit("\\"), F.lit("/")), root.rstrip("/") + "/"
+    return F.when(p.startswith(base), F.substr(p, F.lit(len(base) + 1))).when(~p.startswith("/"), p)
+
+
+def unwatched(path: Column, root: str) -> Column:
+    """Whether a watcher ignores a path: by its part below root, or as it is outside."""
+    return F.coalesce(ignored(relative(path, root)), F.lit(True))
+
+
+# The kinds of file events that count.
+CORE_EVENTS = ("create", "modify", "remove")
+
+
+def core_event(kind: Column) -> Column:
+    return kind.isin(*CORE_EVENTS)
+
+
+def bounded(c: Column, n: int) -> Column:
+    """The first n characters."""
+    return F.substring(c, 1, n)
+
+
+def normal_newlines(c: Column) -> Column:
+    """Line ends as line feeds, one at the end."""
+    body = F.regexp_replace(c, "\r\n?", "\n")
+    return F.when(body.endswith("\n"), body).otherwise(F.concat(body, F.lit("\n")))
+
+
+# What a generated prompt must mention.
+ANCHORS = ("docs generate", "docs/specs/constitution.md", "{{placeholder}}", "search_code", "Provide Result")
+
+
+def missing_anchors(c: Column, anchors: tuple[str, ...] = ANCHORS) -> Column:
+    """The anchors that a text doesn't hold, in their order."""
+    return F.array_compact(F.array(*[F.when(F.instr(c, a) == 0, a) for a in anchors]))
+
+
+def rfc3339(seconds: Column) -> Column:
+    """Seconds since 1970 as a time in UTC, whatever the session's time zone."""
+    at = F.timestamp_add("SECOND", seconds.cast("int"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def path_regex(glob: str) -> str:
+    """A glob over paths as a regular expression: * and ? stay within a folder, ** crosses folders."""
+    out = re.escape(glob).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+    return f"^{out}$"

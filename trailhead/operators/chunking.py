@@ -30,6 +30,13 @@ _OPENERS = {
     "typescript": r"(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(function|class|interface|type|enum|const|let)\b\s*\*?\s*(\w+)?",
 }
 _OPENERS["javascript"] = _OPENERS["typescript"]
+# What opens a member of a top-level item, by language.
+_MEMBERS = {
+    "python": r"^\s+(?:async\s+)?(?:def|class)\s+(\w+)",
+    "rust": r"^\s+(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(?:fn|struct|enum|trait|impl|mod)\s+(\w+)",
+    "typescript": r"^\s+(?:(?:public|private|protected|static|async|get|set)\s+)*(?!(?:if|for|while|switch|catch|return|function)\b)(\w+)\s*\([^;]*\)\s*(?::[^{;]+)?\{",
+}
+_MEMBERS["javascript"] = _MEMBERS["typescript"]
 
 
 def _python_items(source: str) -> list[tuple[int, int, str | None, str, str | None]]:
@@ -81,9 +88,10 @@ def symbol_chunks_of(source: str, language: str | None, most: int = 512) -> list
     for a, b, name, kind, scope in items:
         body = "\n".join(lines[a : b + 1])
         parts = []
-        if len(body.split()) > most and language == "python":
-            inner = re.compile(r"^\s+(?:async\s+)?(def|class)\s+(\w+)")
-            marks = [(n, m[2]) for n in range(a, b + 1) if (m := inner.match(lines[n]))]
+        if len(body.split()) > most and language in _MEMBERS:
+            inner = re.compile(_MEMBERS[language])
+            found = [(n, m[1], len(lines[n]) - len(lines[n].lstrip())) for n in range(a + 1, b + 1) if (m := inner.match(lines[n]))]
+            marks = [(n, name) for n, name, deep in found if deep == min(d for *_, d in found)]  # one level deep
             parts = [(x, (marks[k + 1][0] - 1 if k + 1 < len(marks) else b), sym, kind, name, None) for k, (x, sym) in enumerate(marks)]
         if parts:
             out += [(x, y, sym, k, sc, "\n".join(lines[x : y + 1])) for x, y, sym, k, sc, _ in parts]
@@ -164,9 +172,13 @@ def find_pattern(source: str, pattern: str) -> list[tuple[int, int]]:
     return out
 
 
-def structural_search(files: DataFrame, patterns: list[str], path: str = "file_path", content: str = "content") -> DataFrame:
-    """(file_path, pattern, line, text, context): matches of code patterns with a line around them. Files without a
-    pattern's first literal are not looked at in Python."""
+def structural_search(files: DataFrame, patterns: list[str], path: str = "file_path", content: str = "content", language: str | None = None, top_k: int | None = None) -> DataFrame:
+    """(file_path, pattern, line, text, context): matches of code patterns with a line around them, in files of a language (files' column
+    language, or a path's extension where that is null) if one is given; with top_k only the first ones in order of path, line and pattern.
+    Files without a pattern's longest literal are not looked at in Python."""
+    if language is not None:
+        known = X.detect_language(F.col(path))
+        files = files.where(F.coalesce(F.col("language"), known) == language if "language" in files.columns else known == language)
 
     def literal(p: str) -> str:
         return max((t for t in pattern_tokens(p) if not t.startswith("$")), key=len, default="")
@@ -187,10 +199,11 @@ def structural_search(files: DataFrame, patterns: list[str], path: str = "file_p
                         rows.append((f, p, n, s[a:e], "\n".join(lines[max(0, n - 1) : n + 2])))
             yield pd.DataFrame(rows, columns=["file_path", "pattern", "line", "text", "context"])
 
-    return files.where(any_of).select(path, content).mapInPandas(run, "file_path string, pattern string, line int, text string, context string")
+    found = files.where(any_of).select(path, content).mapInPandas(run, "file_path string, pattern string, line int, text string, context string")
+    return found if top_k is None else found.orderBy("file_path", "line", "pattern").limit(top_k)
 
 
-def find_callers(files: DataFrame, name: str, path: str = "file_path", content: str = "content") -> DataFrame:
-    """(file_path, line): where name is called, plain or on a receiver; once per line, in order."""
-    found = structural_search(files, [f"{name}($$$)", f"$RECV.{name}($$$)"], path, content)
-    return found.select("file_path", "line").dropDuplicates().orderBy("file_path", "line")
+def find_callers(files: DataFrame, name: str, path: str = "file_path", content: str = "content", language: str | None = None, top_k: int = 50) -> DataFrame:
+    """(file_path, line): where name is called, plain or on a receiver; once per line, the first top_k in order."""
+    found = structural_search(files, [f"{name}($$$)", f"$RECV.{name}($$$)"], path, content, language)
+    return found.select("file_path", "line").dropDuplicates().orderBy("file_path", "line").limit(top_k)

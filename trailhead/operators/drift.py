@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailhead.functions import text as X
+from trailhead.operators.graph import by_pause
+
 DEDUCTIONS = {"error": 10, "warning": 3, "info": 1}
 
 
@@ -59,23 +65,82 @@ def diff(current: DataFrame, indexed: DataFrame) -> DataFrame:
 
 
 def latest_in_window(activity: DataFrame, window: int) -> DataFrame:
-    """Look-back conflicts: for each event the most recent earlier-or-equal event by another agent on the same path, if at most window seconds
-    old: id, path, agent, other_agent, age. Bucketing time by the window keeps the range join an equi-join."""
-    a = activity.withColumn("t", F.floor(F.col("timestamp") / window))
-    prev = activity.select(F.col("id").alias("o_id"), F.col("path"), F.col("agent").alias("other_agent"), F.col("timestamp").alias("o_ts")).withColumn("t", F.explode(F.array(F.floor(F.col("o_ts") / window), F.floor(F.col("o_ts") / window) + 1)))
-    before = (F.col("o_ts") < F.col("timestamp")) | ((F.col("o_ts") == F.col("timestamp")) & (F.col("o_id") < F.col("id")))
-    j = a.join(prev, ["path", "t"]).where(before & (F.col("other_agent") != F.col("agent")) & (F.col("timestamp") - F.col("o_ts") <= window))
-    best = j.groupBy("id", "path", "agent", "timestamp").agg(F.max(F.struct("o_ts", "o_id", "other_agent")).alias("o"))
-    return best.select("id", "path", "agent", F.col("o.other_agent").alias("other_agent"), (F.col("timestamp") - F.col("o.o_ts")).alias("age"))
+    """Look-back conflicts: for each event the most recent earlier event (by time, then id) by another agent on the same path, if at most window
+    seconds old: id, path, agent, other_agent, age.
+
+    In a path's order that event is the last before the current run of events by one agent: where the agent changes it is the row before, and
+    later rows of the run take it over. One sort, no join, whatever the number of a path's events.
+    """
+    w = Window.partitionBy("path").orderBy("timestamp", "id")
+    a = activity.withColumn("before", F.lag(F.struct("agent", "timestamp")).over(w))
+    changed = F.when(F.col("before.agent") != F.col("agent"), F.col("before"))
+    a = a.withColumn("other", F.last(changed, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    age = F.col("timestamp") - F.col("other.timestamp")
+    return a.where(age <= window).select("id", "path", "agent", F.col("other.agent").alias("other_agent"), age.alias("age"))
 
 
 def debounce(activity: DataFrame, gap: int) -> DataFrame:
-    """Events kept when each event less than gap seconds after the last kept one of its path is dropped. Kept events are at
-    least gap apart, so runs are cut where the pause to the previous event is at least gap, and only within a run events are folded."""
-    w = Window.partitionBy("path").orderBy("timestamp", "id")
-    r = activity.withColumn("new", (F.col("timestamp") - F.lag("timestamp", 1).over(w) >= gap).cast("int"))
-    r = r.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(w))
-    runs = r.groupBy("path", "run").agg(F.array_sort(F.collect_list(F.struct("timestamp", "id"))).alias("e"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids"))
-    fold = F.aggregate("e", start, lambda s, x: F.when(s["last"].isNull() | (x["timestamp"] - s["last"] >= gap), F.struct(x["timestamp"].alias("last"), F.concat(s["ids"], F.array(x["id"])).alias("ids"))).otherwise(s))
-    return runs.select("path", F.explode(fold["ids"]).alias("id"))
+    """Events kept when each event less than gap seconds after the last kept one of its path is dropped. Events are cut into runs where the pause
+    is at least gap, as the first event after it is kept in any case; runs are folded in parallel, in batches, with the last kept time as state."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, last = None, 0
+        for b in batches:
+            paths, runs, times, ids = (b.column(i).to_pylist() for i in range(4))
+            kept = []
+            for n, (path, run, ts) in enumerate(zip(paths, runs, times, strict=True)):
+                if (path, run) != at or ts - last >= gap:
+                    at, last = (path, run), ts
+                    kept.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array([paths[n] for n in kept], pa.string()), pa.array([ids[n] for n in kept], pa.int64())], ["path", "id"])
+
+    r = by_pause(activity, "path", "timestamp", "id", gap).select("path", "run", "timestamp", "id")
+    return r.repartition("path", "run").sortWithinPartitions("path", "run", "timestamp", "id").mapInArrow(fold, "path string, id long")
+
+
+def convention_lines(conventions: DataFrame) -> DataFrame:
+    """(file, line, key, value, language): the settings of convention files (file, body) that checks look at, with line numbers from 1 and
+    the language named last before them."""
+    rows = conventions.select("file", F.posexplode(X.lines(F.col("body"))).alias("n", "raw")).withColumn("raw", F.trim("raw"))
+    key = F.regexp_extract("raw", "^(scope|language|check_pattern|skill)", 1)
+    value = F.regexp_replace(F.regexp_replace(F.trim(F.get(F.split("raw", "="), F.lit(1))), "^[\"']+", ""), "[\"']+$", "")
+    rows = rows.select("file", (F.col("n") + 1).alias("line"), key.alias("key"), value.alias("value")).where("key <> '' and value is not null")
+    w = Window.partitionBy("file").orderBy("line")  # a window holds one file's settings
+    return rows.withColumn("language", F.last(F.when(F.col("key") == "language", F.col("value")), ignorenulls=True).over(w))
+
+
+def _convention_issue(rows: DataFrame, checker: str, message) -> DataFrame:
+    return rows.select(F.lit(checker).alias("checker"), F.concat("file", F.lit(":"), "line").alias("file"), message.alias("message"), F.lit("warning").alias("severity"))
+
+
+def unmatched_scopes(conventions: DataFrame, files: DataFrame, most: int = 10_000) -> DataFrame:
+    """Scope globs of conventions that match no file of files (file_path). Distinct globs are a bounded parameter of one scan of the
+    files; more than ``most`` of them are an error."""
+    scopes = convention_lines(conventions).where("key = 'scope' and value <> ''")
+    globs = [r[0] for r in scopes.select("value").distinct().limit(most + 1).collect()]  # at most ``most``
+    if len(globs) > most:
+        raise ValueError(f"more than {most} scope globs")
+    if not globs:
+        return _convention_issue(scopes, "convention_paths", F.lit(""))
+    hits = F.array_compact(F.array(*[F.when(F.col("file_path").rlike(X.path_regex(g)), g) for g in globs]))
+    met = files.select(F.explode(hits).alias("value")).distinct()
+    return _convention_issue(scopes.join(met, "value", "left_anti"), "convention_paths", F.concat(F.lit("scope glob '"), "value", F.lit("' matches no files")))
+
+
+#: Languages whose code can be searched by pattern.
+KNOWN_LANGUAGES = ("rust", "python", "typescript", "javascript")
+
+
+def bad_patterns(conventions: DataFrame) -> DataFrame:
+    """Check patterns of conventions that are empty or for a language that can't be searched."""
+    rows = convention_lines(conventions).where("key = 'check_pattern'")
+    odd = ~F.col("language").isin(*KNOWN_LANGUAGES)
+    message = F.when(F.col("value") == "", "check_pattern is empty").when(odd, F.concat(F.lit("unsupported language '"), "language", F.lit("' in check_pattern")))
+    return _convention_issue(rows.withColumn("m", message).where("m is not null"), "convention_patterns", F.col("m"))
+
+
+def missing_skills(conventions: DataFrame, skills: DataFrame) -> DataFrame:
+    """Skills that conventions refer to and that have no file in skills (file): name.md, .yaml, .yml or .txt."""
+    rows = convention_lines(conventions).where("key = 'skill' and value <> ''")
+    names = skills.select(F.regexp_extract("file", r"^(.+)\.(?:md|yaml|yml|txt)$", 1).alias("value")).where("value <> ''").distinct()
+    return _convention_issue(rows.join(names, "value", "left_anti"), "skills_referenced", F.concat(F.lit("Referenced skill '"), "value", F.lit("' not found")))

@@ -6,6 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailhead.functions import text as X
+from trailhead.operators import chunking, telemetry
+from trailhead.sources.files import structural_entry
+
+
+def _scoped(rows: DataFrame, scope: DataFrame | None) -> DataFrame:
+    if scope is None or scope.isEmpty():
+        return rows
+    return rows.join(scope.select("file_path").distinct(), "file_path", "left_semi")
 
 
 def case_violations(checks: DataFrame, chunks: DataFrame, rows: list, scope: DataFrame | None = None, limits: tuple[int, int] = (1, 5), compat: bool = False) -> DataFrame:
@@ -13,13 +21,15 @@ def case_violations(checks: DataFrame, chunks: DataFrame, rows: list, scope: Dat
     per literal that must not occur and does, in order of path and line.
 
     rows holds the checks themselves, a bounded parameter: all literals are tested in one scan of the chunks, as expressions.
-    Excluded paths go before the limit; with compat after it. scope (file_path) limits the scan to changed files.
+    Excluded paths go before the limit; with compat after it. scope (file_path) limits the scan to changed files; an empty one means that
+    nothing is known to have changed, and all files are scanned.
     """
     content, path = F.col("content"), F.col("file_path")
-    if scope is not None:
-        chunks = chunks.join(scope.select("file_path").distinct(), "file_path", "left_semi")
+    chunks = _scoped(chunks, scope)
     hits = []
     for n, (case, _, kind, literal, include, exclude) in enumerate(rows):
+        if kind not in ("must", "must_not"):
+            continue
         on = F.instr(content, F.lit(literal)) > 0
         if include:
             on = on & X.sql_glob(path, include)
@@ -34,7 +44,50 @@ def case_violations(checks: DataFrame, chunks: DataFrame, rows: list, scope: Dat
     return missing.union(bad)
 
 
-WEIGHTS = {"critical": 2.0, "high": 1.5, "medium": 1.0, "low": 0.5}
+def structural_violations(files: DataFrame, rows: list, scope: DataFrame | None = None, limits: tuple[int, int] = (1, 10)) -> DataFrame:
+    """Like ``case_violations``, for the checks of rows that are code patterns, language:pattern, over files (file_path, language, content):
+    structural_must and structural_must_not. An entry that isn't of this form is a violation of its own, invalid_structural_pattern."""
+    spark, path = files.sparkSession, F.col("file_path")
+    kinds = "n int, case_id string, kind string, literal string"
+    valid, bad = [], []
+    for n, (case, _, kind, literal, include, exclude) in enumerate(rows):
+        if kind not in ("structural_must", "structural_must_not"):
+            continue
+        try:
+            valid.append((n, case, kind, literal, include, exclude, *structural_entry(literal)))
+        except ValueError:
+            bad.append((n, case, "invalid_structural_pattern", literal))
+    found = spark.createDataFrame([], f"{kinds}, file_path string, start_line int")
+    files = _scoped(files, scope)
+    for language in sorted({v[6] for v in valid}):
+        mine = [v for v in valid if v[6] == language]
+        hits = chunking.structural_search(files, sorted({v[7] for v in mine}), language=language)
+        on = []
+        for n, case, kind, literal, include, exclude, _, pattern in mine:
+            fits = F.col("pattern") == pattern
+            if include:
+                fits = fits & X.path_glob(path, include)
+            if exclude:
+                fits = fits & ~X.path_glob(path, exclude)
+            on.append(F.when(fits, F.struct(F.lit(n).alias("n"), F.lit(case).alias("case_id"), F.lit(kind).alias("kind"), F.lit(literal).alias("literal"))))
+        found = found.union(hits.select(F.explode(F.array_compact(F.array(*on))).alias("h"), "file_path", "line").select("h.*", "file_path", F.col("line").alias("start_line")))
+    order = Window.partitionBy("n").orderBy("file_path", "start_line")
+    found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("kind") == "structural_must", limits[0]).otherwise(limits[1]))
+    columns = ["case_id", "kind", "literal", "file_path", "start_line"]
+    musts = spark.createDataFrame([v[:4] for v in valid if v[2] == "structural_must"], kinds)
+    missing = musts.join(found.select("n"), "n", "left_anti").union(spark.createDataFrame(bad, kinds))
+    return missing.withColumns({"file_path": F.lit("N/A"), "start_line": F.lit(0)}).select(*columns).union(found.where("kind = 'structural_must_not'").select(*columns))
+
+
+def run_and_learn(sets: DataFrame, history: str, events: DataFrame, created_at: int, least: float) -> DataFrame:
+    """Persist an evaluation and learn from it. sets (golden_set, overall_score, critical_pass) becomes rows of the run history, a Parquet
+    folder that is appended to; the gate is open if every set passes. Returns the next weight snapshot from the events."""
+    passed = F.col("critical_pass") & (F.col("overall_score") >= least)
+    runs = sets.select(F.concat_ws("-", "golden_set", F.lit(created_at)).alias("id"), "golden_set", "overall_score", passed.alias("passed"), F.lit(created_at).cast("long").alias("created_at"))
+    runs.write.mode("append").parquet(history)
+    done = sets.sparkSession.read.schema(runs.schema).parquet(history).where(F.col("created_at") == created_at)
+    gate = done.agg(F.coalesce(F.bool_and("passed"), F.lit(True))).first()[0]
+    return telemetry.learn_weights(telemetry.groundedness_window(events), gate)
 
 
 def case_scores(checks: DataFrame, violations: DataFrame) -> DataFrame:

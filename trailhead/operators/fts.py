@@ -13,30 +13,44 @@ from trailhead.functions.porter import porter
 K1, B = 1.2, 0.75
 
 
-def postings(chunks: DataFrame, stem: bool = False) -> DataFrame:
-    """(term, chunk_id, tf). Stems are computed for distinct terms only and joined back."""
-    p = chunks.select("chunk_id", F.explode(X.index_tokens(F.col("content"))).alias("term")).groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
-    if not stem:
-        return p
-    stems = p.select("term").distinct().select("term", porter(F.col("term")).alias("stem"))
-    return p.join(stems, "term").groupBy(F.col("stem").alias("term"), "chunk_id").agg(F.sum("tf").alias("tf"))
+#: The indexed columns, as far as chunks have them.
+FIELDS = ("file_path", "symbol_name", "content", "symbol_kind")
+
+
+def field_tokens(chunks: DataFrame) -> dict[str, Column]:
+    return {f: X.index_tokens(F.coalesce(F.col(f), F.lit(""))) for f in FIELDS if f in chunks.columns}
+
+
+def all_tokens(chunks: DataFrame) -> Column:
+    return F.concat(*field_tokens(chunks).values())
+
+
+def postings(chunks: DataFrame) -> DataFrame:
+    """(term, field, chunk_id, tf)."""
+
+    def marked(field: str, tokens: Column) -> Column:
+        return F.transform(tokens, lambda x: F.struct(F.lit(field).alias("field"), x.alias("term")))
+
+    fields = [marked(f, t) for f, t in field_tokens(chunks).items()]
+    p = chunks.select("chunk_id", F.explode(F.concat(*fields)).alias("p"))
+    return p.groupBy("p.term", "p.field", "chunk_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, stem: bool = False) -> DataFrame:
-    """The k best chunks per query (query_id, terms) that hold all of its terms: query_id, place, chunk_id, score (negative,
-    smaller is better). Only tokens that occur in a query leave the scan, so nothing like the whole index is shuffled."""
+    """The k best chunks per query (query_id, terms) that hold all of its terms in any field: query_id, place, chunk_id, score (negative,
+    smaller is better). Only tokens that occur in a query leave the scan, so nothing like the whole index is shuffled. With stem, terms agree if
+    their stems do: the vocabulary is stemmed, a row per distinct token, and its tokens that agree with a query's are looked for."""
     q = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    if stem:
-        q = q.withColumn("term", porter(F.col("term")))
-    need = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    terms = q.select("term").distinct()
-    tokens = X.index_tokens(F.col("content"))
-    sized = chunks.select("chunk_id", tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
+    sized = chunks.select("chunk_id", all_tokens(chunks).alias("tokens")).withColumn("dl", F.size("tokens"))
     stats = sized.agg(F.count(F.lit(1)).alias("n_all"), F.avg("dl").alias("avgdl"))
+    tokens = sized.select("chunk_id", "dl", F.explode("tokens").alias("token"))
     if stem:
-        hits = postings(chunks, True).join(terms, "term").join(sized.select("chunk_id", "dl"), "chunk_id")
+        q = q.withColumn("term", porter(F.col("term")))
+        wanted = tokens.select("token").distinct().withColumn("term", porter(F.col("token"))).join(q.select("term").distinct(), "term")
     else:
-        hits = sized.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(terms, "term").groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+        wanted = q.select("term").distinct().withColumn("token", F.col("term"))
+    hits = tokens.join(wanted, "token").groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    need = q.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     s = hits.join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -47,6 +61,11 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 10, stem: bool = False)
     return ranked.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("query_id", "place", "chunk_id", "score")
 
 
+def retrieval_metadata(results: DataFrame, strategy: str, cache_used: bool = False) -> DataFrame:
+    """Per query of results (query_id, quality): the strategy's label, whether a cache answered, and the mean quality (null without results)."""
+    return results.groupBy("query_id").agg(F.lit(strategy).alias("strategy"), F.lit(cache_used).alias("cache_used"), F.round(F.avg("quality"), 6).alias("quality_signal"))
+
+
 def boosted(results: DataFrame, boosts: DataFrame) -> DataFrame:
     """Scores of results (query_id, chunk_id, file_path, score) times 1 + boost of their file, ranked anew."""
     r = results.join(boosts, "file_path", "left").withColumn("score", F.round(F.col("score") * (1 + F.coalesce("boost", F.lit(0.0))), 6))
@@ -148,8 +167,7 @@ def matches(tree: tuple, columns: dict[str, Column]) -> Column:
 
 def search(chunks: DataFrame, query: str) -> DataFrame:
     """Chunks that match a query of the grammar over their indexed columns."""
-    names = [c for c in ("file_path", "symbol_name", "content", "symbol_kind") if c in chunks.columns]
-    return chunks.where(matches(Parser(query).parse(), {c: X.index_tokens(F.coalesce(F.col(c), F.lit(""))) for c in names}))
+    return chunks.where(matches(Parser(query).parse(), field_tokens(chunks)))
 
 
 def snippet(content: Column, terms: Column, size: int = 32) -> Column:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +16,25 @@ TRANSITIONS = (("draft", "approved"), ("draft", "rejected"), ("approved", "in_pr
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder of spark.checkpoint.dir, read back: iterative plans restart from files."""
+    """df as a table in the shared folder of spark.checkpoint.dir, read back: iterative plans restart from files. Where the setting is absent
+    a folder under /tmp serves if all of Spark runs on this machine; on a cluster that is an error."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    path = f"{base.rstrip('/')}/trailhead/{name}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/trailhead/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files of frames that came from ``written`` and that no later plan reads."""
+    for df in frames:
+        if path := getattr(df, "written_path", None):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def direct(edges: DataFrame, intents: DataFrame) -> DataFrame:
@@ -53,89 +67,144 @@ def auto_block(intents: DataFrame, edges: DataFrame) -> DataFrame:
     return intents.where(~F.col("status").isin("blocked", "rejected", "merged", "verified")).join(hit, "id", "left_semi").select("id", "status", F.lit("blocked").alias("new_status"))
 
 
-def transitive(edges: DataFrame, starts: DataFrame, kind: str | None = "depends_on", every: int = 4, most: int = 10_000) -> DataFrame:
+#: Jumps over several edges are joined on while they are at most so many times the edges.
+JUMPS = 4
+
+
+def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs (from_id, to_id) over an edge of a and then one of b."""
+    return a.select("from_id", F.col("to_id").alias("via")).join(b.select(F.col("from_id").alias("via"), "to_id"), "via").select("from_id", "to_id").distinct()
+
+
+def transitive(edges: DataFrame, starts: DataFrame, kind: str | None = "depends_on", most: int = 10_000, every: int = 8) -> DataFrame:
     """(start, id): what each start depends on, over any number of edges; a start on a cycle reaches itself.
 
-    Frontier rounds: pairs found before are anti-joined away and each round is deduplicated before the next join, so shared ancestors
-    cost once and cycles end. Ends when a round finds nothing new.
+    Frontier rounds over jumps of up to a few edges, as long as these stay few: pairs found before are anti-joined away and each round is
+    deduplicated before the next join, so shared ancestors cost once and cycles end. What is found is put together in one table every few rounds.
+    Ends when a round finds nothing new; if that isn't so after ``most`` rounds, it is an error.
     """
     e = edges if kind is None else edges.where(F.col("kind") == kind)
-    e = e.select("from_id", "to_id")
-    seen = front = written(starts.select(F.col("id").alias("start"), "id").join(e, F.col("id") == F.col("from_id")).select("start", F.col("to_id").alias("id")).distinct(), "closure")
+    e = written(e.select("from_id", "to_id").distinct(), "edges")
+    n = e.count()
+    jumps, reach = e, n
+    while True:  # all pairs up to 2, 4, 8 ... edges apart
+        wider = written(jumps.union(_joined(jumps, jumps)).distinct(), "jumps")
+        m = wider.count()
+        if m > JUMPS * n or m == reach:
+            dropped(wider)
+            break
+        jumps, reach = wider, m
+    seen = front = written(starts.select(F.col("id").alias("start"), "id").join(jumps, F.col("id") == F.col("from_id")).select("start", F.col("to_id").alias("id")).distinct(), "closure")
+    parts = [seen]
     for _ in range(most):
-        step = front.join(e, F.col("id") == F.col("from_id")).select("start", F.col("to_id").alias("id")).distinct().join(seen, ["start", "id"], "left_anti")
+        step = front.join(jumps, F.col("id") == F.col("from_id")).select("start", F.col("to_id").alias("id")).distinct().join(seen, ["start", "id"], "left_anti")
         front = written(step, "closure")
         if front.isEmpty():
-            break
-        seen = seen.union(front)
-        del step
-    return seen
-
-
-#: Edges up to which the rest of a peeled graph is solved in one task; some 20 MB.
-LOCAL_EDGES = 1_000_000
-
-
-def _on_cycles(edges: list[tuple]) -> set:
-    """Nodes of components of more than one node, or with an edge to themselves (Tarjan's algorithm without recursion)."""
-    out: dict = {}
-    for a, b in edges:
-        out.setdefault(a, []).append(b)
-    index: dict = {}
-    low: dict = {}
-    on, stack, found = set(), [], {a for a, b in edges if a == b}
-    for root in out:
-        if root in index:
-            continue
-        work = [(root, iter(out[root]))]
-        index[root] = low[root] = len(index)
-        stack.append(root)
-        on.add(root)
-        while work:
-            v, rest = work[-1]
-            for w in rest:
-                if w not in index:
-                    index[w] = low[w] = len(index)
-                    stack.append(w)
-                    on.add(w)
-                    work.append((w, iter(out.get(w, ()))))
-                    break
-                if w in on:
-                    low[v] = min(low[v], index[w])
-            else:
-                work.pop()
-                if work:
-                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
-                if low[v] == index[v]:
-                    part = []
-                    while True:
-                        part.append(stack.pop())
-                        on.discard(part[-1])
-                        if part[-1] == v:
-                            break
-                    if len(part) > 1:
-                        found.update(part)
-    return found
-
-
-def cycle_nodes(edges: DataFrame, most: int = 10_000, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """Nodes on a cycle: nodes without edges in or out are peeled off; once few edges are left, counted, they are solved at once, else
-    peeling goes on until it ends and the rest is walked from every node, which is on a cycle if it reaches itself."""
-    e = written(edges.select("from_id", "to_id").distinct(), "peel")
-    n = e.count()
+            return seen
+        parts.append(front)
+        if len(parts) > every:
+            seen = written(seen.union(front), "closure")
+            dropped(*parts[:-1])
+            parts = [seen, front]
+        else:
+            seen = seen.union(front)
+    raise RuntimeError(f"transitive: still finding pairs after {most} rounds")
+
+
+def _trimmed(e: DataFrame, most: int) -> DataFrame:
+    """Edges (from_id, to_id) between nodes that have paths of any length both into and out of them: cycles and what lies between cycles.
+
+    Nodes without a path of a length into or out of them go; while the paths' end points are few, that length doubles with each round, so
+    long tails go in few rounds. Where nothing goes any more, every node has an edge in and one out.
+    """
+    n, paths = e.count(), e
     for _ in range(most):
-        if n <= local_edges:
-            spark, kind = edges.sparkSession, e.schema["from_id"].dataType.simpleString()
-            found = sorted(_on_cycles([tuple(r) for r in e.select("from_id", "to_id").collect()]))  # at most local_edges rows
-            return spark.createDataFrame([(x,) for x in found], f"id {kind}")
-        e2 = e.join(e.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi").join(e.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").select("from_id", "to_id")
-        e = written(e2, "peel")
-        m = e.count()
+        live = paths.select(F.col("to_id").alias("id")).distinct().join(paths.select(F.col("from_id").alias("id")).distinct(), "id", "left_semi")
+        live = written(live, "live")
+        kept = written(e.join(live.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(live.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("from_id", "to_id"), "trimmed")
+        m = kept.count()
         if m == n:
+            return kept
+        paths = paths.join(live.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(live.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("from_id", "to_id")
+        longer = written(_joined(paths, paths), "paths")
+        if longer.count() > JUMPS * m:
+            dropped(longer)
+            longer = kept
+        e, n, paths = kept, m, longer
+    raise RuntimeError(f"cycle_nodes: nodes still go after {most} rounds")
+
+
+def _least(e: DataFrame, most: int) -> DataFrame:
+    """(id, low): per node of edges the least rank of a node that reaches it, its own included. A node's rank is a hash and its id, so that ranks
+    along a path are in no order. The edges are doubled while they stay few, as in ``_trimmed``: after that, jumps of their length go on."""
+    nodes = e.select(F.col("from_id").alias("id")).union(e.select(F.col("to_id").alias("id"))).distinct()
+    low = written(nodes.select("id", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("i")).alias("low")), "low")
+    hops, n, grow, before = e, e.count(), True, None
+    for _ in range(most):
+        sent = hops.join(low.select(F.col("id").alias("from_id"), "low"), "from_id").select(F.col("to_id").alias("id"), "low")
+        low = written(low.union(sent).groupBy("id").agg(F.min("low").alias("low")), "low")
+        state = tuple(low.agg(F.sum(F.xxhash64("id", "low").cast("decimal(38,0)"))).first())
+        if state == before:
+            return low
+        before = state
+        if grow:
+            wider = written(_joined(hops, hops), "hops")
+            grow = wider.count() <= JUMPS * n
+            hops = wider if grow else hops
+    raise RuntimeError(f"cycle_nodes: ranks still fall after {most} rounds")
+
+
+def cycle_nodes(edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """(id) of nodes on a cycle, an edge to itself included.
+
+    First all nodes go that have no path of some length into or out of them. If then every node has one edge in and one out, the rest is cycles.
+    Else components are found forward and backward: the nodes with one least rank among those that reach them are a
+    class, and within it those whose least rank among reached nodes is the same are one strongly connected component. Components with more than
+    one node are on cycles. They go, and what is left of each class is worked on alike; as ranks are hashes, classes shrink fast.
+    """
+    e = written(edges.where("from_id is not null and to_id is not null").select("from_id", "to_id").distinct(), "graph")
+    found = [e.where("from_id = to_id").select(F.col("from_id").alias("id"))]
+    e = written(e.where("from_id <> to_id"), "graph")
+    for _ in range(most):
+        e = _trimmed(e, most)
+        if e.isEmpty():
+            break
+        ends = e.select(F.col("from_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(e.select("to_id", F.lit(0), F.lit(1)))
+        if ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o <> 1 or i <> 1").isEmpty():
+            found.append(e.select(F.col("from_id").alias("id")))
             break
-        n = m
-    starts = e.select(F.col("from_id").alias("id")).distinct()
-    return transitive(e, starts, None).where("start = id").select("id").distinct()
+        fore = _least(e, most)
+        a, b = (fore.select(F.col("id").alias(f"{x}_id"), F.col("low").alias(f"{x}_low")) for x in ("from", "to"))
+        inside = written(e.join(a, "from_id").join(b, "to_id").where("from_low = to_low").select("from_id", "to_id"), "class")
+        back = _least(inside.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")), most).withColumnRenamed("low", "back")
+        same = written(fore.join(back, "id").where("low = back").select("id", "low"), "component")
+        found.append(written(same.join(same.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low"), "low").select("id"), "cyclic"))
+        e = written(inside.join(same.select(F.col("id").alias("from_id")), "from_id", "left_anti").join(same.select(F.col("id").alias("to_id")), "to_id", "left_anti"), "graph")
+    else:
+        raise RuntimeError(f"cycle_nodes: classes are left after {most} rounds")
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out.distinct()
+
+
+def validate(intents: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: has_cycles, cyclic (nodes on cycles of depends_on edges), first_cyclic, auto_blocked (intents that a rejected dependency blocks)."""
+    c = cycle_nodes(edges.where("kind = 'depends_on'")).agg(F.count(F.lit(1)).alias("cyclic"), F.min("id").alias("first_cyclic"))
+    blocked = auto_block(intents, edges).agg(F.count(F.lit(1)).alias("auto_blocked"))
+    return c.crossJoin(F.broadcast(blocked)).select((F.col("cyclic") > 0).alias("has_cycles"), "cyclic", "first_cyclic", "auto_blocked")  # each is one row
+
+
+def insert_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """new (from_id, to_id, kind) judged, once each: self_loop, duplicate or inserted. The inserted ones are to be appended."""
+    key = ["from_id", "to_id", "kind"]
+    there = edges.select(*key).distinct().withColumn("there", F.lit(True))
+    outcome = F.when(F.col("from_id") == F.col("to_id"), "self_loop").when(F.col("there"), "duplicate").otherwise("inserted")
+    return new.select(*key).distinct().join(there, key, "left").select(*key, outcome.alias("outcome"))
+
+
+def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    return edges.join(gone.select("from_id", "to_id", "kind"), ["from_id", "to_id", "kind"], "left_anti")
 
 
 def edge_degrees(intents: DataFrame, edges: DataFrame) -> DataFrame:
@@ -178,39 +247,61 @@ def recover_stale(intents: DataFrame, now: DataFrame, timeout_hours: int = 48) -
     return intents.crossJoin(F.broadcast(now)).select("id", "status", F.when(old, "approved").otherwise(F.col("status")).alias("new_status"))
 
 
-def resolve_prefix(ids: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Per prefix: found (with the id), ambiguous or missing. Ids are matched by their heads of all the prefixes' lengths, an equi-join."""
-    sizes = prefixes.select(F.length("prefix").alias("size")).where("size is not null").distinct()
+def resolve_prefix(ids: DataFrame, prefixes: DataFrame, head: str = "") -> DataFrame:
+    """Per prefix: found (with the id), ambiguous or missing. A prefix that is an id names it; any other is completed by head, which all ids
+    begin with, if it doesn't begin so. Ids are matched by their heads of all the prefixes' lengths, an equi-join."""
+    p = prefixes.select("prefix").distinct()
+    full = F.when(F.col("prefix").startswith(head), F.col("prefix")).otherwise(F.concat(F.lit(head), "prefix"))
+    p = p.join(ids.select(F.col("id").alias("prefix"), F.lit(True).alias("named")).distinct(), "prefix", "left").withColumn("full", F.when(F.col("named"), F.col("prefix")).otherwise(full))
+    sizes = p.select(F.length("full").alias("size")).where("size is not null").distinct()
     heads = ids.select("id").join(F.broadcast(sizes), F.length("id") >= F.col("size"))  # a row per length, no more than the longest prefix has
-    heads = heads.select("id", F.expr("substring(id, 1, size)").alias("prefix"))
-    hit = heads.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.max((F.col("id") == F.col("prefix")).cast("int")).alias("same"))
-    r = prefixes.select("prefix").distinct().join(hit, "prefix", "left")
-    n = F.coalesce("n", F.lit(0))
-    one = (n == 1) | (F.coalesce("same", F.lit(0)) == 1)
-    return r.select("prefix", n.alias("matches"), F.when(n == 0, "missing").when(one, "found").otherwise("ambiguous").alias("outcome"), F.when(F.coalesce("same", F.lit(0)) == 1, F.col("prefix")).when(n == 1, F.col("id")).alias("id"))
+    heads = heads.select("id", F.expr("substring(id, 1, size)").alias("full"))
+    hit = heads.groupBy("full").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.max((F.col("id") == F.col("full")).cast("int")).alias("same"))
+    r = p.join(hit, "full", "left")
+    n, same = F.coalesce("n", F.lit(0)), F.coalesce("same", F.lit(0)) == 1
+    return r.select("prefix", n.alias("matches"), F.when(n == 0, "missing").when((n == 1) | same, "found").otherwise("ambiguous").alias("outcome"), F.when(same, F.col("full")).when(n == 1, F.col("id")).alias("id"))
+
+
+def by_pause(df: DataFrame, group: str, time: str, order: str, pause: int) -> DataFrame:
+    """df plus run: within a group, rows in order of (time, order) are cut into runs where at least pause passes. One streamed sort of a group."""
+    w = Window.partitionBy(group).orderBy(time, order)
+    new = F.coalesce((F.col(time) - F.lag(time).over(w) >= pause).cast("int"), F.lit(1))
+    return df.withColumn("new", new).withColumn("run", F.sum("new").over(w)).drop("new")
 
 
 def lock_outcomes(requests: DataFrame, lease: int = 3600) -> DataFrame:
-    """requests (id, intent_id, holder, worktree_id, ts) in order of (ts, id) per intent: acquired, or conflict with the worktree
-    that holds a lease. A fold over each intent's ordered requests in batches of bounded size, whose only state is the current lease."""
+    """requests (id, intent_id, worktree_id, action, ts) in order of (ts, id) per intent. acquire: acquired (or renewed), or conflict with the
+    worktree that holds a live lease; expired leases are reclaimed. release: released if the worktree holds the lock, else not_held.
+    Result: id, intent_id, outcome, held_by (the holder after it, or the one in the way). Blank worktrees are project-root.
+
+    Where a lease's time passes between two requests nothing is held, so an intent's requests are cut there, and runs are folded in parallel;
+    a run goes through in batches, and what is held between them is the current lease.
+    """
     schema = "id long, intent_id string, outcome string, held_by string"
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: tuple | None = None  # (intent, worktree, expires)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, holder, expires = None, None, 0
         for b in batches:
-            rows = []
-            for i, intent, wt, ts in zip(b["id"], b["intent_id"], b["worktree_id"], b["ts"], strict=True):
-                if held is not None and (held[0] != intent or held[2] <= ts):
-                    held = None
-                if held is not None and held[1] != wt:
-                    rows.append((i, intent, "conflict", held[1]))
+            ids, intents, runs, trees, actions, times = (b.column(i).to_pylist() for i in range(6))
+            outcomes, held = [], []
+            for intent, run, tree, action, ts in zip(intents, runs, trees, actions, times, strict=True):
+                if (intent, run) != at or expires <= ts:
+                    at, holder = (intent, run), None
+                if action == "release":
+                    mine = holder == tree
+                    outcomes.append("released" if mine else "not_held")
+                    holder = None if mine else holder
+                elif holder is not None and holder != tree:
+                    outcomes.append("conflict")
                 else:
-                    held = (intent, wt, ts + lease)
-                    rows.append((i, intent, "acquired", wt))
-            yield pd.DataFrame(rows, columns=["id", "intent_id", "outcome", "held_by"])
-
-    ordered = requests.select("id", "intent_id", "worktree_id", "ts").repartition("intent_id").sortWithinPartitions("intent_id", "ts", "id")
-    return ordered.mapInPandas(fold, schema)
+                    outcomes.append("acquired")
+                    holder, expires = tree, ts + lease
+                held.append(holder)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(intents, pa.string()), pa.array(outcomes, pa.string()), pa.array(held, pa.string())], ["id", "intent_id", "outcome", "held_by"])
+
+    tree = F.coalesce(F.nullif(F.trim("worktree_id"), F.lit("")), F.lit("project-root"))
+    cut = by_pause(requests, "intent_id", "ts", "id", lease).select("id", "intent_id", "run", tree.alias("worktree_id"), "action", "ts")
+    return cut.repartition("intent_id", "run").sortWithinPartitions("intent_id", "run", "ts", "id").mapInArrow(fold, schema)
 
 
 def live_locks(locks: DataFrame, now: DataFrame) -> DataFrame:

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter, OrderedDict
+from collections.abc import Iterator
+from itertools import combinations
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailhead.operators.graph import by_pause
+from trailhead.operators.telemetry import scoped
+
 
 def co_access_pairs(sets: DataFrame, group: str = "set_id", item: str = "file_id", most: int = 10) -> DataFrame:
     """(file_a, file_b, n): pairs within the first ``most`` distinct items of a group, so a group gives a bounded number of pairs."""
@@ -15,6 +23,36 @@ def co_access_pairs(sets: DataFrame, group: str = "set_id", item: str = "file_id
     return g.select(F.explode(pairs).alias("p")).groupBy("p.file_a", "p.file_b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def session_pairs(access: DataFrame, window: int = 300, files: int = 20, most: int = 10) -> DataFrame:
+    """(file_a, file_b, n): updates by session proximity. Each access (id, session_id, worktree_id, file_path, accessed_at) updates the pairs
+    among the ``most`` files last used in its session and worktree within window seconds, of the last ``files`` ones.
+
+    A session's accesses are cut where nothing happens for longer than the window. Runs are folded in batches; what is held between these
+    is the last use of ``files`` files. Pairs are counted within a batch before they leave the task.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, recent = None, OrderedDict()
+        for b in batches:
+            found: Counter = Counter()
+            for *key, ts, file in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if key != at:
+                    at, recent = key, OrderedDict()
+                recent.pop(file, None)
+                recent[file] = ts
+                while len(recent) > files or next(iter(recent.values())) < ts - window:
+                    recent.popitem(last=False)
+                last = [f for f, _ in zip(reversed(recent), range(most), strict=False)]
+                found.update(tuple(sorted(p)) for p in combinations(last, 2))
+            pairs = list(found)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()), pa.array([found[p] for p in pairs], pa.int64())], ["file_a", "file_b", "n"])
+
+    a = scoped(access.where("file_path <> ''")).withColumn("group", F.to_json(F.array("session_id", "worktree_id")))
+    runs = by_pause(a, "group", "accessed_at", "id", window + 1).select("group", "run", "accessed_at", "file_path", "id")
+    runs = runs.repartition("group", "run").sortWithinPartitions("group", "run", "accessed_at", "id").drop("id")
+    return runs.mapInArrow(fold, "file_a string, file_b string, n long").groupBy("file_a", "file_b").agg(F.sum("n").alias("n"))
+
+
 def strengths(pairs: DataFrame) -> DataFrame:
     """n updates of s <- 0.95 s + 1, in closed form."""
     return pairs.select("file_a", "file_b", ((1 - F.pow(F.lit(0.95), "n")) / 0.05).alias("strength"))

@@ -5,23 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailhead.functions.text import scope
+
+
+def scoped(rows: DataFrame) -> DataFrame:
+    """rows with their worktree_id normalised: one session may work in several worktrees, which don't see one another."""
+    return rows.withColumn("worktree_id", scope(F.col("worktree_id")))
+
 
 def session_summary(events: DataFrame) -> DataFrame:
-    return events.groupBy("session_id").agg(
+    """Per session and worktree."""
+    return scoped(events).groupBy("session_id", "worktree_id").agg(
         F.count(F.lit(1)).alias("events"), F.countDistinct("tool").alias("tools"), F.round(F.avg("result_count"), 6).alias("avg_results"), F.round(F.avg("latency_ms"), 6).alias("avg_latency"),
         F.round(F.avg("groundedness_score"), 6).alias("avg_groundedness"), F.min("created_at").alias("started"), F.max("created_at").alias("ended"), (F.max("created_at") - F.min("created_at")).alias("duration"),
     )
 
 
-def session_totals(events: DataFrame, session: str | None = None) -> DataFrame:
-    """One row of totals, zeros without events; for one session or all."""
+def session_totals(events: DataFrame, session: str | None = None, worktree: str | None = None) -> DataFrame:
+    """One row of totals, zeros without events; for one session or all, and one worktree or all (a blank one is the project's root)."""
     e = events if session is None else events.where(F.col("session_id") == session)
+    if worktree is not None:
+        e = scoped(e).where(F.col("worktree_id") == (worktree.strip() or "project-root"))
     return e.agg(F.count(F.lit(1)).alias("calls"), F.coalesce(F.sum("latency_ms"), F.lit(0)).alias("latency_ms"), F.round(F.avg("groundedness_score"), 6).alias("avg_groundedness"))
 
 
 def tool_breakdown(events: DataFrame) -> DataFrame:
-    b = events.groupBy("session_id", "tool").agg(F.count(F.lit(1)).alias("calls"), F.sum("latency_ms").alias("latency_ms"), F.round(F.avg("groundedness_score"), 6).alias("avg_groundedness"))
-    place = Window.partitionBy("session_id").orderBy(F.desc("calls"), "tool")
+    """Per session and worktree: the tools by calls, ties by name."""
+    b = scoped(events).groupBy("session_id", "worktree_id", "tool").agg(F.count(F.lit(1)).alias("calls"), F.sum("latency_ms").alias("latency_ms"), F.round(F.avg("groundedness_score"), 6).alias("avg_groundedness"))
+    place = Window.partitionBy("session_id", "worktree_id").orderBy(F.desc("calls"), "tool")
     return b.withColumn("place", F.row_number().over(place))
 
 
@@ -71,14 +82,17 @@ def shadow_scores(snapshot: DataFrame, quality: DataFrame) -> DataFrame:
     return quality.join(lanes, "lane", "left").select("lane", F.round(q * F.coalesce("cur", F.lit(1.0)), 4).alias("baseline"), F.round(q * F.coalesce("cand", F.lit(1.0)), 4).alias("candidate"))
 
 
-def access_stats(access: DataFrame) -> DataFrame:
-    return access.groupBy("file_path").agg(F.count(F.lit(1)).alias("accesses"), F.max("accessed_at").alias("last_access"))
+def access_stats(access: DataFrame, k: int | None = None) -> DataFrame:
+    """Per file accesses and the last one; with k only the k files with the most accesses, ties by path."""
+    s = access.groupBy("file_path").agg(F.count(F.lit(1)).alias("accesses"), F.max("accessed_at").alias("last_access"))
+    return s if k is None else s.orderBy(F.desc("accesses"), "file_path").limit(k)
 
 
 def session_files(access: DataFrame) -> DataFrame:
-    """Per session and file: accesses and last access, and the session's total."""
-    f = access.groupBy("session_id", "file_path").agg(F.count(F.lit(1)).alias("accesses"), F.max("accessed_at").alias("last_access"))
-    return f.withColumn("session_total", F.sum("accesses").over(Window.partitionBy("session_id")))
+    """Per session, worktree and file: accesses and last access, and the session's total in the worktree."""
+    f = scoped(access).groupBy("session_id", "worktree_id", "file_path").agg(F.count(F.lit(1)).alias("accesses"), F.max("accessed_at").alias("last_access"))
+    total = f.groupBy("session_id", "worktree_id").agg(F.sum("accesses").alias("session_total"))
+    return f.join(total, ["session_id", "worktree_id"])
 
 
 def access_boost(access: DataFrame, now: DataFrame) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailhead.functions import text as X
+from trailhead.operators.graph import written
 
 
 def _slot(digest: Column, at: int, dims: int) -> Column:
@@ -22,14 +25,14 @@ def embed_features(texts: DataFrame, key: str, text: str, dims: int = 384) -> Da
     """(key, dim, value): L2-normalised feature-hash embeddings in sparse form.
 
     A token weighs 1 + min(its length, 12) / 12, a trigram of the text without blanks 0.35; each adds to three slots chosen, like two of the
-    signs, by its digest. Features are summed per text before they are hashed. Texts without tokens give 1 at slot 0.
+    signs, by its digest. What is shuffled is a row per text and slot: features are hashed and summed up where they are made. Texts without
+    tokens give 1 at slot 0.
     """
     t = texts.select(key, X.encoder_text(F.col(text)).alias("n"))
     words = F.transform(X.words(F.col("n")), lambda w: F.struct(w.alias("f"), (F.lit(1.0) + F.least(F.length(w), F.lit(12)) / 12.0).alias("w")))
     grams = F.transform(X.trigrams(F.col("n")), lambda g: F.struct(g.alias("f"), F.lit(0.35).alias("w")))
     has = F.size(X.words(F.col("n"))) > 0
-    f = t.select(key, F.explode(F.concat(words, grams)).alias("x")).groupBy(key, "x.f", "x.w").agg(F.count(F.lit(1)).alias("c"))
-    f = f.withColumn("d", F.md5(F.col("f").cast("binary"))).withColumn("w", F.col("w") * F.col("c"))
+    f = t.select(key, F.explode(F.concat(words, grams)).alias("x")).select(key, "x.w", F.md5(F.col("x.f").cast("binary")).alias("d"))
     slots = F.array(
         F.struct(_slot(F.col("d"), 1, dims).alias("dim"), (F.col("w") * _sign(F.col("d"), 25)).alias("v")),
         F.struct(_slot(F.col("d"), 9, dims).alias("dim"), (F.col("w") * 0.5 * _sign(F.col("d"), 27)).alias("v")),
@@ -41,56 +44,95 @@ def embed_features(texts: DataFrame, key: str, text: str, dims: int = 384) -> Da
     return s.union(empty).select(key, "dim", F.when(norm > 0, F.col("v") / norm).otherwise(0.0).alias("value"))
 
 
-def embed(texts: DataFrame, key: str, text: str, dims: int = 384) -> DataFrame:
-    """(key, vector): dense embeddings."""
+def embed(texts: DataFrame, key: str, text: str, dims: int = 384, kind: str = "float") -> DataFrame:
+    """(key, vector): dense embeddings, of single precision or another kind of number."""
     sparse = embed_features(texts, key, text, dims).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))  # at most dims entries
-    return sparse.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float")).alias("vector"))
+    return sparse.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast(kind)).alias("vector"))
 
 
-def _packed(df: DataFrame, key: str, vec: str, extra: str | None, size: int, name: str) -> DataFrame:
-    """Rows of about size vectors: keys, vectors and labels as bytes. Dealt by a hash of the key, so no block is hot."""
+def _packed(df: DataFrame, key: str, vec: str, extra: str | None, size: int, name: str) -> tuple[DataFrame, int]:
+    """Rows of about size vectors: their keys, labels and vectors as bytes. Dealt by a hash of the key, so no block is hot."""
     n = df.count()
     blocks = max(1, -(-n // size))
-    d = df.select(F.col(key).alias("k"), F.col(vec).alias("v"), (F.col(extra) if extra else F.lit("")).alias("x")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    d = df.select(F.col(key).alias("k"), F.transform(vec, lambda a: a.cast("double")).alias("v"), (F.col(extra) if extra else F.lit("")).cast("string").alias("x")).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    schema = f"{name}_block int, keys array<{dict(df.dtypes)[key]}>, labels array<string>, vec binary"
+    kind = pa.int64() if dict(df.dtypes)[key] == "bigint" else pa.string()
 
-    def pack(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({f"{name}_block": [p["b"].iloc[0]], f"{name}_keys": [p["k"].to_numpy(np.int64).tobytes()], f"{name}_vec": [np.array(p["v"].tolist(), np.float64).tobytes()], f"{name}_x": [list(p["x"])]})
+    def pack(p: pa.Table) -> pa.Table:
+        p = p.combine_chunks()
+        rows = np.array(p.column("v").to_pylist(), np.float64).tobytes()
+        return pa.table([pa.array([p.column("b")[0].as_py()], pa.int32()), pa.array([p.column("k").to_pylist()], pa.list_(kind)), pa.array([p.column("x").to_pylist()], pa.list_(pa.string())), pa.array([rows], pa.binary())], [f"{name}_block", "keys", "labels", "vec"])
 
-    return d.groupBy("b").applyInPandas(pack, f"{name}_block int, {name}_keys binary, {name}_vec binary, {name}_x array<string>"), blocks
+    return d.groupBy("b").applyInArrow(pack, schema), blocks
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", key: str = "vec_id", vec: str = "embedding", same: str | None = None, size: int = 4096) -> DataFrame:
-    """The k nearest vectors of each query, exactly: query_id, place, vec_id, distance, score = 1 / (1 + max(distance, 0)).
+    """The k nearest vectors of each query, exactly: query_id, place, the key, distance, score = 1 / (1 + max(distance, 0)).
 
-    Queries and vectors meet as packed blocks, one pair of blocks a task and one matrix product per pair; a pair returns its best k per query,
-    so what is shuffled is k rows per query and block. same: a column that must be equal on both sides. Ties go to the smaller key.
+    Vectors and queries are packed in blocks. A task holds one block of vectors and streams all blocks of queries past it, with one matrix product
+    each, so vectors move once; a block returns its best k per query, so what is shuffled after that is k rows per query and block. same:
+    a column that must be equal on both sides. Ties go to the smaller key (bigint or string).
     """
     v, nv = _packed(vectors, key, vec, same, size, "v")
     q, _ = _packed(queries, key, vec, same, 1024, "q")
-    pairs = q.withColumn("v_block", F.explode(F.sequence(F.lit(0), F.lit(nv - 1)))).join(v, "v_block")
-
-    def near(p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in p.itertuples():
-            ids, qid = np.frombuffer(r.v_keys, np.int64), np.frombuffer(r.q_keys, np.int64)
-            x, y = np.frombuffer(r.v_vec).reshape(len(ids), -1), np.frombuffer(r.q_vec).reshape(len(qid), -1)
-            if metric == "cosine":
-                norm = np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
-                d = 1 - np.divide(y @ x.T, norm, out=np.zeros((len(y), len(x))), where=norm > 0)
-            else:
-                d = np.maximum(0, (y * y).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * y @ x.T)
-            if same:
-                d = np.where(np.array(r.q_x)[:, None] == np.array(r.v_x)[None, :], d, np.inf)
-            d = np.round(d, 9)
-            for i in range(len(y)):
-                top = np.lexsort((ids, d[i]))[:k]
-                out += [(int(qid[i]), int(ids[j]), float(d[i, j])) for j in top if np.isfinite(d[i, j])]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "distance"])
-
-    found = pairs.groupBy("q_block", "v_block").applyInPandas(near, "query_id long, vec_id long, distance double")
-    best = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    q = q.withColumn("v_block", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+    stream = v.withColumn("q_block", F.lit(-1)).unionByName(q).repartition(nv, "v_block").sortWithinPartitions("v_block", "q_block").select("q_block", "keys", "labels", "vec")
+    kind = dict(vectors.dtypes)[key]
+    column = pa.int64() if kind == "bigint" else pa.string()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, labels, x = None, None, None
+        for b in batches:
+            for i in range(b.num_rows):
+                at, keys, names, raw = (b.column(c)[i].as_py() for c in range(4))
+                y = np.frombuffer(raw, np.float64).reshape(len(keys), -1)
+                if at < 0:
+                    ids, labels, x = np.array(keys), np.array(names), y
+                    continue
+                if metric == "cosine":
+                    norm = np.linalg.norm(y, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
+                    d = 1 - np.divide(y @ x.T, norm, out=np.zeros((len(y), len(x))), where=norm > 0)
+                else:
+                    d = np.maximum(0, (y * y).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * y @ x.T)
+                if same:
+                    d = np.where(np.array(names)[:, None] == labels[None, :], d, np.inf)
+                d = np.round(d, 9)
+                out = [(q, j, d[n, j]) for n, q in enumerate(keys) for j in np.lexsort((ids, d[n]))[:k].tolist() if np.isfinite(d[n, j])]
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], column), pa.array([ids[o[1]].item() for o in out], column), pa.array([o[2] for o in out], pa.float64())], ["query_id", key, "distance"])
+
+    found = stream.mapInArrow(near, f"query_id {kind}, `{key}` {kind}, distance double")
+    best = Window.partitionBy("query_id").orderBy("distance", key)
     r = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
-    return r.select("query_id", "place", "vec_id", F.round("distance", 6).alias("distance"), F.round(1 / (1 + F.greatest(F.col("distance"), F.lit(0.0))), 6).alias("score"))
+    return r.select("query_id", "place", key, F.round("distance", 6).alias("distance"), F.round(1 / (1 + F.greatest(F.col("distance"), F.lit(0.0))), 6).alias("score"))
+
+
+def semantic(chunks: DataFrame, queries: DataFrame, k: int = 10, dims: int = 384) -> DataFrame:
+    """The k chunks (chunk_id, content) nearest to each query (query_id, text) by the cosine of their encodings: query_id, place, chunk_id, distance,
+    score. Ties go to the smaller chunk_id."""
+    c = written(embed(chunks.select(F.col("chunk_id").alias("id"), "content"), "id", "content", dims, "double"), "encoded")  # counted, then packed
+    q = written(embed(queries.select(F.concat(F.lit("?"), "query_id").alias("id"), "text"), "id", "text", dims, "double"), "encoded")
+    back = F.substring("query_id", 2, 64).cast(dict(queries.dtypes)["query_id"])
+    return knn(c, q, k, key="id", vec="vector").select(back.alias("query_id"), "place", F.col("id").alias("chunk_id"), "distance", "score")
+
+
+def store(there: DataFrame, new: DataFrame, dims: int, key: str = "chunk_id", vec: str = "vector") -> DataFrame:
+    """The next snapshot of a vector table: the rows of new take the place of those with their keys. A vector of another length is an error that
+    names its row, raised when the snapshot is written."""
+    wrong = F.concat(F.lit("vector of "), F.col(key).cast("string"), F.lit(" has "), F.coalesce(F.size(vec), F.lit(0)).cast("string"), F.lit(f" dimensions, not {dims}"))
+    checked = new.withColumn(vec, F.when(F.size(vec) == dims, F.col(vec)).otherwise(F.raise_error(wrong).cast(new.schema[vec].dataType)))
+    return there.join(new.select(key), key, "left_anti").select(new.columns).unionByName(checked)
+
+
+CACHE_KEY = ["query_fingerprint", "embedding_hash", "language_scope"]
+
+
+def cache_write(cache: DataFrame, results: DataFrame, now: int, ttl: int = 1800) -> DataFrame:
+    """The cache after results (key columns, top_k, result_json) of searches made just now: they take the place of entries with their key, expire
+    after ttl seconds and carry their payload's hash. Empty results aren't kept, and entries that have expired go."""
+    key = [*CACHE_KEY, "top_k"]
+    kept = results.where("result_json is not null and result_json <> '[]'").groupBy(*key).agg(F.max("result_json").alias("result_json"))
+    made = kept.select(*key, "result_json", F.sha2(F.col("result_json").cast("binary"), 256).alias("payload_hash"), F.lit(now + ttl).alias("expires_at"))
+    return cache.where(F.col("expires_at") > now).join(made, key, "left_anti").select(made.columns).unionByName(made)
 
 
 def cache_lookup(cache: DataFrame, requests: DataFrame) -> DataFrame:

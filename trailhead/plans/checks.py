@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trailhead.functions import health
 from trailhead.functions import text as X
 from trailhead.operators import drift, evals, graph
 from trailhead.plans import fixtures
@@ -26,6 +27,21 @@ def golden_diff_scope(t):
     return _violations(t, t.files().where("language = 'fr'"))
 
 
+@query("golden_empty_scope", "SELECT case_id, kind, literal, file_path, start_line FROM golden_bad")
+def golden_empty_scope(t):
+    return _violations(t, t.files().where("language = 'none'"))
+
+
+_CODE = "SELECT '{0}' AS case_id, '{1}' AS kind, '{2}' AS literal"
+
+
+@query("structural_violations", f"""{_CODE.format('s2', 'structural_must', 'python:absent($X)')}, 'N/A' AS file_path, 0 AS start_line UNION ALL {_CODE.format('s2', 'invalid_structural_pattern', 'no language')}, 'N/A', 0
+UNION ALL SELECT * FROM ({_CODE.format('s1', 'structural_must_not', 'python:print($X)')}, file_path, 12 FROM code_files WHERE k % 3 = 0 ORDER BY file_path LIMIT 10)
+UNION ALL SELECT * FROM ({_CODE.format('s3', 'structural_must_not', 'python:self.run($X)')}, file_path, 9 FROM code_files WHERE starts_with(file_path, 'src/p2') AND NOT ends_with(file_path, '2.py') ORDER BY file_path LIMIT 10)""")
+def structural_violations(t):
+    return evals.structural_violations(t.code_files(), fixtures.CODE_CHECKS)
+
+
 @query("case_scores", "SELECT case_id, priority, checks, violations, score, passed FROM golden_cases")
 def case_scores(t):
     return evals.case_scores(t.golden_checks(), _violations(t)).select("case_id", "priority", "checks", "violations", "score", "passed")
@@ -72,16 +88,30 @@ def missing_required(t):
     return drift.missing_required(required, t.freshness())
 
 
-@query("severity_counts", "SELECT * FROM (VALUES ('error', 2), ('info', 1), ('warning', 1)) v(severity, n)")
+@query("convention_paths", "SELECT 'convention_paths' AS checker, concat(c.file, ':2') AS file, concat('scope glob ''', folder, '/*', ext, ''' matches no files') AS message, 'warning' AS severity FROM convention_rows c WHERE NOT EXISTS (SELECT 1 FROM files f WHERE concat(f.source, '/', f.language) = c.folder AND ends_with(f.file_path, c.ext))")
+def convention_paths(t):
+    return drift.unmatched_scopes(t.convention_files(), t.files().select("file_path"))
+
+
+@query("convention_patterns", "SELECT 'convention_patterns' AS checker, concat(file, ':4') AS file, CASE WHEN pattern = '' THEN 'check_pattern is empty' ELSE concat('unsupported language ''', language, ''' in check_pattern') END AS message, 'warning' AS severity FROM convention_rows WHERE pattern = '' OR language IN ('cobol', 'go')")
+def convention_patterns(t):
+    return drift.bad_patterns(t.convention_files())
+
+
+@query("referenced_skills", "SELECT 'skills_referenced' AS checker, concat(file, ':5') AS file, concat('Referenced skill ''', skill, ''' not found') AS message, 'warning' AS severity FROM convention_rows c WHERE NOT EXISTS (SELECT 1 FROM skill_files s WHERE s.file IN (c.skill || '.md', c.skill || '.yaml', c.skill || '.yml', c.skill || '.txt'))")
+def referenced_skills(t):
+    return drift.missing_skills(t.convention_files(), t.skill_files())
+
+
+@query("severity_counts", "SELECT severity, count(*) AS n FROM (SELECT severity FROM convention_rows WHERE severity <> 'none' UNION ALL SELECT 'error' FROM convention_rows) GROUP BY 1")
 def severity_counts(t):
-    d = t.spark.createDataFrame([(fixtures.CONVENTIONS,)], "body string")
-    lines = d.select(F.explode(X.lines(F.col("body"))).alias("line")).select(F.regexp_extract("line", r"\b(error|warning|info)\b", 1).alias("severity"))
-    return lines.where("severity <> ''").groupBy("severity").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    lines = t.convention_files().select(F.explode(X.lines(F.col("body"))).alias("line")).select(F.regexp_extract("line", r"\b(error|warning|info)\b", 1).alias("severity"))
+    return lines.where("severity <> ''").groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dep_versions", "SELECT dep, version, count(*) AS locations FROM manifests GROUP BY 1, 2")
+@query("dep_versions", "SELECT dep, version, count(*) AS locations FROM manifest_rows GROUP BY 1, 2")
 def dep_versions(t):
-    return t.manifests().groupBy("dep", "version").agg(F.count(F.lit(1)).alias("locations"))
+    return S.manifest_dependencies(t.manifest_files()).groupBy("dep", "version").agg(F.count(F.lit(1)).alias("locations"))
 
 
 @query("version_conflicts", "SELECT dep, count(DISTINCT version) AS versions, count(*) AS locations, array_to_string(list_sort(list(DISTINCT version)), ',') AS version_list FROM manifests GROUP BY 1 HAVING count(DISTINCT version) > 1")
@@ -89,51 +119,53 @@ def version_conflicts(t):
     return drift.version_conflicts(t.manifests())
 
 
-_REFS = "(VALUES ('docs/build.md', 'build'), ('docs/build.md', 'lint'), ('docs/build.md', 'test'), ('docs/ci.md', 'e2e' || chr(34))) v(file, script)"
-
-
 def _refs(t):
-    d = t.spark.createDataFrame(fixtures.SCRIPT_DOCS, "file string, body string")
-    return d.select("file", F.explode(X.script_refs(F.col("body"))).alias("script"))
+    return t.script_docs().select("file", F.explode(X.script_refs(F.col("body"))).alias("script"))
 
 
-@query("script_refs", f"SELECT * FROM {_REFS}")
+@query("script_refs", "SELECT file, script FROM doc_refs")
 def script_refs(t):
     return _refs(t)
 
 
-@query("undeclared_refs", f"SELECT * FROM {_REFS} WHERE script NOT IN ('build', 'test', 'e2e')")
+@query("undeclared_refs", "SELECT file, script FROM doc_refs WHERE script NOT IN (SELECT script FROM declared_scripts)")
 def undeclared_refs(t):
-    return drift.undeclared(_refs(t), t.spark.createDataFrame([(x,) for x in fixtures.DECLARED], "script string"))
+    return drift.undeclared(_refs(t), t.declared_scripts())
 
 
-def _listed(t):
-    return S.index_links(t.spark.createDataFrame([(fixtures.INDEX_FILE,)], "body string"), "body")
-
-
-@query("index_links", "SELECT * FROM (VALUES ('naming.md'), ('errors.md'), ('gone.md'), ('also.md')) v(file)")
+@query("index_links", "SELECT file FROM index_targets")
 def index_links(t):
-    return _listed(t)
+    return S.index_links(t.index_files(), "body")
 
 
-@query("index_sync_drift", "SELECT * FROM (VALUES ('index_dangling', 'gone.md', 'missing', 'error'), ('index_unlisted', 'unlisted.md', 'missing', 'warning')) v(checker, file, message, severity)")
+@query("index_sync_drift", "SELECT 'index_dangling' AS checker, file, 'missing' AS message, 'error' AS severity FROM index_targets WHERE file NOT IN (SELECT file FROM pattern_files) UNION ALL SELECT 'index_unlisted', file, 'missing', 'warning' FROM pattern_files WHERE file NOT IN (SELECT file FROM index_targets)")
 def index_sync_drift(t):
-    return drift.index_sync(_listed(t), t.spark.createDataFrame([(x,) for x in fixtures.PATTERN_FILES], "file string"))
+    return drift.index_sync(S.index_links(t.index_files(), "body"), t.pattern_files())
 
 
-@query("doc_titles", "SELECT * FROM (VALUES ('arch', 'Architecture'), ('conv', 'Conventions'), ('none', 'none'), ('empty', 'empty'), ('blank', 'blank')) v(name, title)")
+@query("doc_titles", "SELECT concat('doc', p_partkey) AS name, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_type ELSE concat('doc', p_partkey) END AS title FROM part")
 def doc_titles(t):
-    return S.titles(t.spark.createDataFrame(fixtures.TITLED, "name string, content string"))
+    return S.titles(t.titled_docs())
 
 
-@query("parse_records", "SELECT * FROM (VALUES (1, '/w/main', 'aaaa', 'main', false, false), (2, '/w/side', 'bbbb', NULL, true, true)) v(place, path, head, branch, locked, prunable)")
+@query("parse_records", "SELECT s_suppkey AS project, 1 AS place, concat('/w/main', s_suppkey) AS path, md5(CAST(s_suppkey AS VARCHAR)) AS head, concat('b', s_suppkey) AS branch, false AS locked, false AS prunable FROM supplier UNION ALL SELECT s_suppkey, 2, concat('/w/side', s_suppkey), 'bbbb', NULL, true, true FROM supplier WHERE s_suppkey % 2 = 0")
 def parse_records(t):
-    return S.worktree_records(t.spark.createDataFrame([(fixtures.PORCELAIN,)], "body string"), "body")
+    return S.worktree_records(t.worktree_listings(), "body")
+
 
+_REL = "CASE WHEN starts_with(p, '/work/') THEN substr(p, 7) WHEN NOT starts_with(p, '/') THEN p END"
 
-@query("ignore_paths", "SELECT * FROM (VALUES ('.git/HEAD', true), ('src/a.rs', false), ('target/x', true), ('node_modules/m.js', true), ('notes.tmp', true), ('a.swp', true), ('.activity/log', true), ('docs/target/y', false), ('src/.git/x', false)) v(path, ignored)")
+
+@query("ignore_paths", rf"SELECT path, rel, coalesce(regexp_matches(rel, '^(\.git/|target/|node_modules/|\.activity/)') OR regexp_matches(rel, '(\.swp|\.tmp)$'), true) AS ignored FROM (SELECT path, {_REL} AS rel FROM (SELECT path, replace(path, chr(92), '/') AS p FROM watched_paths))")
 def ignore_paths(t):
-    return t.spark.createDataFrame([(p,) for p in fixtures.WATCHED], "path string").select("path", X.ignored(F.col("path")).alias("ignored"))
+    p = F.col("path")
+    return t.watched_paths().select("path", X.relative(p, "/work").alias("rel"), X.unwatched(p, "/work").alias("ignored"))
+
+
+@query("core_events", "SELECT kind, count(*) AS n FROM (SELECT ['create', 'modify', 'remove', 'access', 'other'][id % 5 + 1] AS kind FROM tool_events) WHERE kind IN ('create', 'modify', 'remove') GROUP BY 1")
+def core_events(t):
+    kinds = t.tool_events().select(F.element_at(F.array(*map(F.lit, ("create", "modify", "remove", "access", "other"))), (F.col("id") % 5 + 1).cast("int")).alias("kind"))
+    return kinds.where(X.core_event(F.col("kind"))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("activity_conflicts", """SELECT id, path, agent, other_agent, age FROM (SELECT a.id, a.path, a.agent, b.agent AS other_agent, a.timestamp - b.timestamp AS age, row_number() OVER (PARTITION BY a.id ORDER BY b.timestamp DESC, b.id DESC) AS r
@@ -162,16 +194,28 @@ def session_gaps(t):
     return gaps(t.tool_events(), "6 hours")
 
 
-@query("doctor_checks", "WITH n AS (SELECT (SELECT count(*) FROM chunks) AS c, (SELECT count(*) FROM intents WHERE status = 'draft') AS d, (SELECT gate FROM gate_row) AS g, (SELECT count(*) FROM intents WHERE status NOT IN ('blocked', 'rejected', 'merged', 'verified') AND id IN (SELECT from_id FROM dep_edges WHERE to_status = 'rejected')) AS b) SELECT 'index' AS name, c > 0 AS ok FROM n UNION ALL SELECT 'drafts', d <= 10 FROM n UNION ALL SELECT 'eval_gate', g = 'pass' FROM n UNION ALL SELECT 'auto_block', b = 0 FROM n")
+_STALE = "(SELECT count(*) FROM intents WHERE status = 'in_progress' AND (SELECT max(updated_at) FROM intents) - updated_at > 7 * 86400)"
+
+
+@query("doctor_checks", f"""WITH RECURSIVE e AS (SELECT from_id, to_id FROM looped_edges WHERE kind = 'depends_on'), c AS (SELECT from_id AS start, to_id AS id FROM e UNION SELECT c.start, e.to_id FROM c JOIN e ON e.from_id = c.id),
+n AS (SELECT (SELECT count(*) FROM chunks) AS i, (SELECT count(*) FROM intents WHERE status = 'draft') AS d, (SELECT gate FROM gate_row) AS g, (SELECT count(*) FROM intents WHERE status NOT IN ('blocked', 'rejected', 'merged', 'verified') AND id IN (SELECT l.from_id FROM looped_edges l JOIN intents t ON t.id = l.to_id WHERE l.kind = 'depends_on' AND t.status = 'rejected')) AS b,
+ (SELECT count(*) FROM c WHERE start = id) AS y, {_STALE} AS s, (SELECT count(*) FROM golden_rows) AS q, (SELECT coalesce(bool_and(passed) FILTER (WHERE priority = 'critical'), true) AND sum(score * weight) / sum(weight) >= 0.45 FROM golden_cases) AS ci)
+SELECT 'index' AS name, i > 0 AS ok FROM n UNION ALL SELECT 'cycles', y = 0 FROM n UNION ALL SELECT 'auto_block', b = 0 FROM n UNION ALL SELECT 'stale', s = 0 FROM n UNION ALL SELECT 'drafts', d <= 10 FROM n UNION ALL SELECT 'golden_sets', q > 0 FROM n UNION ALL SELECT 'golden_parse', true FROM n
+UNION ALL SELECT 'ci_gate', ci FROM n UNION ALL SELECT 'eval_gate', g = 'pass' FROM n UNION ALL SELECT 'config_version', true UNION ALL SELECT 'initialised', true UNION ALL SELECT 'hooks', false""")
 def doctor_checks(t):
-    i, e = t.intents(), t.intent_edges()
-    rows = [
-        t.chunks().limit(1).agg((F.count(F.lit(1)) > 0).alias("ok")).select(F.lit("index").alias("name"), "ok"),
-        i.where("status = 'draft'").agg((F.count(F.lit(1)) <= 10).alias("ok")).select(F.lit("drafts").alias("name"), "ok"),
-        graph.eval_gate(t.eval_runs()).select(F.lit("eval_gate").alias("name"), (F.col("gate") == "pass").alias("ok")),
-        graph.auto_block(i, e).agg((F.count(F.lit(1)) == 0).alias("ok")).select(F.lit("auto_block").alias("name"), "ok"),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.union(r)
-    return out
+    i, now = t.intents(), t.intents().agg(F.max("updated_at").alias("now"))
+    golden = evals.golden_score(evals.case_scores(t.golden_checks(), _violations(t)))
+    bad = F.col("literal").contains("{{") | (F.col("kind").startswith("structural") & ~F.col("literal").rlike(r"^\s*\w+\s*:\s*\S"))
+    none = F.count(F.lit(1)) == 0
+    checks = {
+        "index": t.chunks().limit(1).agg((F.count(F.lit(1)) > 0).alias("ok")),
+        "cycles": graph.validate(i, t.looped_edges()).select((~F.col("has_cycles")).alias("ok")),
+        "auto_block": graph.auto_block(i, t.looped_edges()).agg(none.alias("ok")),
+        "stale": graph.stale(i, now, 7 * 24).agg(none.alias("ok")),
+        "drafts": i.where("status = 'draft'").agg((F.count(F.lit(1)) <= 10).alias("ok")),
+        "golden_sets": t.golden_checks().agg((F.count(F.lit(1)) > 0).alias("ok")),
+        "golden_parse": t.golden_checks().where(bad).agg(none.alias("ok")),
+        "ci_gate": golden.select((F.col("critical_pass") & (F.col("overall_score") >= 0.45)).alias("ok")),
+        "eval_gate": graph.eval_gate(t.eval_runs()).select((F.col("gate") == "pass").alias("ok")),
+    }
+    return health.doctor(checks, {"config_version": True, "initialised": True, "hooks": False})

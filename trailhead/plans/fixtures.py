@@ -13,25 +13,12 @@ GOLDEN_CHECKS = [
     ("c5", "medium", "must", "die", "src*/de/*", ""),
     ("c6", "critical", "must", "no such passage anywhere", "", ""),
 ]
-SCRIPT_DOCS = [
-    ("docs/build.md", "run npm run build and yarn test then pnpm run lint"),
-    ("docs/ci.md", "first `npm run ci`, then (pnpm deploy) or yarn --frozen; npm run \"e2e\"."),
-    ("docs/none.md", "nothing to run here"),
-    ("docs/tail.md", "npm run"),
+#: The same for code patterns; the entry without a language is wrong on purpose.
+CODE_CHECKS = [
+    ("s1", "high", "structural_must_not", "python:print($X)", "", ""),
+    ("s1", "high", "structural_must", "python:run($$$)", "src/p1**", ""),
+    ("s2", "low", "structural_must", "python:absent($X)", "", ""),
+    ("s2", "low", "structural_must", "no language", "", ""),
+    ("s3", "medium", "structural_must_not", "python:self.run($X)", "src/p2**", "*2.py"),
 ]
-DECLARED = ["build", "test", "e2e"]
-INDEX_FILE = "- [Naming](naming.md)\n- [Errors](errors.md)\nplain line\n- [Gone](gone.md) and [Also](also.md)\n"
-PATTERN_FILES = ["naming.md", "errors.md", "also.md", "unlisted.md"]
-TITLED = [("arch", "# Architecture\ntext"), ("conv", "intro\n# Conventions \nmore"), ("none", "no heading"), ("empty", ""), ("blank", "# \ntext")]
-CONVENTIONS = "- error: no unwrap in handlers\n- warning: long functions\n- info: prefer iterators\n- error: no panics\n"
-JUDGED = [(1, 'Here is it: {"verdict": "pass", "risks": ["slow"]} thanks'), (2, '{"verdict": "fail", "risks": []}'), (3, "no json at all")]
-PORCELAIN = "worktree /w/main\nHEAD aaaa\nbranch refs/heads/main\n\nworktree /w/side\nHEAD bbbb\ndetached\nlocked reason\nprunable gone\n"
-LANGUAGE_PATHS = ["src/a.rs", "b/x.py", "c.pyi", "d.tsx", "e.js", "Cargo.toml", "f.json", "g.yml", "README.md", "Makefile", "h.tar.gz", "dir.py/file"]
-PYTHON = [
-    ("a.py", "import os\n\n\ndef run(x):\n    return load(x)\n\n\nclass Box:\n    def load(self):\n        return self.run(1)\n"),
-    ("b.py", "x = 42\nprint(run(x))\nvalue = box.run(7) + other.run()\n"),
-]
-RUST = [("lib.rs", "use std::fs;\n\npub fn open(p: &str) -> File {\n    fs::open(p).unwrap()\n}\n\nstruct A {\n    n: u32,\n}\n\nimpl A {\n    fn go(&self) { self.n.get().unwrap(); x.expect(\"y\"); }\n}\n")]
-TEMPLATES = [("adr", "# {{ title }}\nby {{author}} on {{ date }} about {{ title }}"), ("plain", "nothing"), ("odd", "{{ x y }} {{z}}")]
-WATCHED = [".git/HEAD", "src/a.rs", "target/x", "node_modules/m.js", "notes.tmp", "a.swp", ".activity/log", "docs/target/y", "src/.git/x"]
-PREFIXES = ["i1", "i12", "i149", "i1234", "i14999", "zz", "i"]
+PREFIXES = ["i1", "i12", "i149", "i1234", "i14999", "zz", "i", "77", "1234", "9"]

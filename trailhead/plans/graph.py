@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trailhead.functions import text as X
 from trailhead.operators import graph, memory
 from trailhead.plans.fixtures import PREFIXES
 from trailhead.plans.registry import query
-from trailhead.schemas import schema
+from trailhead.schemas import INTENT_STATUSES
 
 
 @query("list_intents", "SELECT id, kind, status, priority, updated_at FROM intents WHERE status = 'approved' AND kind IN ('bug', 'feature')")
@@ -15,10 +16,8 @@ def list_intents(t):
     return t.intents().where("status = 'approved' and kind in ('bug', 'feature')").orderBy(F.desc("updated_at"), "id").select("id", "kind", "status", "priority", "updated_at")
 
 
-@query("intent_counts", "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in ("draft", "approved", "in_progress", "in_review", "verified", "merged", "rejected", "blocked")) + " FROM intents")
+@query("intent_counts", "SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in INTENT_STATUSES) + " FROM intents")
 def intent_counts(t):
-    from trailhead.schemas import INTENT_STATUSES
-
     return t.intents().agg(F.count(F.lit(1)).alias("total"), *[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in INTENT_STATUSES])
 
 
@@ -66,6 +65,21 @@ def cycle_nodes(t):
     return graph.cycle_nodes(t.cyclic_edges())
 
 
+@query("graph_validation", "WITH RECURSIVE e AS (SELECT from_id, to_id FROM looped_edges WHERE kind = 'depends_on'), c AS (SELECT from_id AS start, to_id AS id FROM e UNION SELECT c.start, e.to_id FROM c JOIN e ON e.from_id = c.id), n AS (SELECT DISTINCT id FROM c WHERE start = id) SELECT count(*) > 0 AS has_cycles, count(*) AS cyclic, min(id) AS first_cyclic, (SELECT count(*) FROM intents WHERE status NOT IN ('blocked', 'rejected', 'merged', 'verified') AND id IN (SELECT l.from_id FROM looped_edges l JOIN intents i ON i.id = l.to_id WHERE l.kind = 'depends_on' AND i.status = 'rejected')) AS auto_blocked FROM n")
+def graph_validation(t):
+    return graph.validate(t.intents(), t.looped_edges())
+
+
+@query("edge_outcomes", "SELECT DISTINCT r.from_id, r.to_id, r.kind, CASE WHEN r.from_id = r.to_id THEN 'self_loop' WHEN e.from_id IS NOT NULL THEN 'duplicate' ELSE 'inserted' END AS outcome FROM edge_requests r LEFT JOIN intent_edges e ON e.from_id = r.from_id AND e.to_id = r.to_id AND e.kind = r.kind")
+def edge_outcomes(t):
+    return graph.insert_edges(t.intent_edges(), t.edge_requests())
+
+
+@query("edges_removed", "SELECT from_id, to_id, kind FROM intent_edges WHERE (from_id, to_id, kind) NOT IN (SELECT from_id, to_id, kind FROM edge_requests)")
+def edges_removed(t):
+    return graph.remove_edges(t.intent_edges(), t.edge_requests())
+
+
 @query("edge_degrees", "SELECT i.id, coalesce(o.n, 0) AS outgoing, coalesce(n.n, 0) AS incoming FROM intents i LEFT JOIN (SELECT from_id, count(*) AS n FROM intent_edges GROUP BY 1) o ON o.from_id = i.id LEFT JOIN (SELECT to_id, count(*) AS n FROM intent_edges GROUP BY 1) n ON n.to_id = i.id")
 def edge_degrees(t):
     return graph.edge_degrees(t.intents(), t.intent_edges())
@@ -90,6 +104,17 @@ def transition_outcomes(t):
     return graph.transition_outcomes(t.transition_requests(), graph.eval_gate(t.eval_runs()))
 
 
+@query("project_overview", "SELECT (SELECT count(DISTINCT file_path) FROM chunks) AS files, (SELECT count(*) FROM chunks) AS total_chunks, (SELECT string_agg(DISTINCT language, ',' ORDER BY language) FROM chunks) AS languages, count(*) AS total_intents, count(*) FILTER (WHERE status = 'in_progress') AS active, count(*) FILTER (WHERE status = 'blocked') AS stuck, (SELECT count(*) FROM intents i WHERE status = 'approved' AND NOT EXISTS (SELECT 1 FROM dep_edges d WHERE d.from_id = i.id AND d.to_status NOT IN ('verified', 'merged'))) AS ready, strftime(make_timestamp(CAST(max(updated_at) * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS last_change FROM intents")
+def project_overview(t):
+    i = t.intents()
+    parts = [
+        t.chunks().agg(F.countDistinct("file_path").alias("files"), F.count(F.lit(1)).alias("total_chunks"), F.array_join(F.array_sort(F.collect_set("language")), ",").alias("languages")),
+        i.agg(F.count(F.lit(1)).alias("total_intents"), F.count(F.when(F.col("status") == "in_progress", 1)).alias("active"), F.count(F.when(F.col("status") == "blocked", 1)).alias("stuck"), X.rfc3339(F.max("updated_at")).alias("last_change")),
+        graph.ready(i, t.intent_edges()).agg(F.count(F.lit(1)).alias("ready")),
+    ]
+    return parts[0].crossJoin(F.broadcast(parts[1])).crossJoin(F.broadcast(parts[2]))  # each is one row
+
+
 def _now(t):
     return t.intents().agg(F.max("updated_at").alias("now"))
 
@@ -104,9 +129,9 @@ def stale_recovery(t):
     return graph.recover_stale(t.intents(), _now(t))
 
 
-@query("resolve_prefix", "WITH p AS (SELECT unnest(" + str(PREFIXES) + ") AS prefix), m AS (SELECT prefix, count(id) AS n, min(id) AS id, count(*) FILTER (WHERE id = prefix) AS same FROM p LEFT JOIN intents ON starts_with(id, prefix) GROUP BY 1) SELECT prefix, n AS matches, CASE WHEN n = 0 THEN 'missing' WHEN n = 1 OR same = 1 THEN 'found' ELSE 'ambiguous' END AS outcome, CASE WHEN same = 1 THEN prefix WHEN n = 1 THEN id END AS id FROM m")
+@query("resolve_prefix", "WITH p AS (SELECT prefix, CASE WHEN starts_with(prefix, 'i') THEN prefix ELSE 'i' || prefix END AS fully FROM (SELECT unnest(" + str(PREFIXES) + ") AS prefix)), m AS (SELECT prefix, fully, count(id) AS n, min(id) AS id, count(*) FILTER (WHERE id = fully) AS same FROM p LEFT JOIN intents ON starts_with(id, fully) GROUP BY 1, 2) SELECT prefix, n AS matches, CASE WHEN n = 0 THEN 'missing' WHEN n = 1 OR same = 1 THEN 'found' ELSE 'ambiguous' END AS outcome, CASE WHEN same = 1 THEN fully WHEN n = 1 THEN id END AS id FROM m")
 def resolve_prefix(t):
-    return graph.resolve_prefix(t.intents().select("id"), t.spark.createDataFrame([(p,) for p in PREFIXES], "prefix string"))
+    return graph.resolve_prefix(t.intents().select("id"), t.spark.createDataFrame([(p,) for p in PREFIXES], "prefix string"), "i")
 
 
 @query("hash_id", "SELECT id, concat('task-', substr(sha256(id || title), 1, 8)) AS hashed FROM intents")
@@ -121,7 +146,12 @@ def json_arrays(t):
     return e.select("id", "encoded", F.size(back).alias("n"), F.element_at(back, -1).alias("last"))
 
 
-@query("lock_outcomes")
+@query("lock_outcomes", """WITH RECURSIVE o AS (SELECT id, intent_id, coalesce(nullif(trim(worktree_id), ''), 'project-root') AS tree, action, ts, row_number() OVER (PARTITION BY intent_id ORDER BY ts, id) AS r FROM lock_requests),
+f AS (SELECT id, intent_id, r, CASE WHEN action = 'release' THEN 'not_held' ELSE 'acquired' END AS outcome, CASE WHEN action = 'acquire' THEN tree END AS holder, CASE WHEN action = 'acquire' THEN ts + 3600 ELSE 0 END AS expires FROM o WHERE r = 1
+ UNION ALL SELECT o.id, o.intent_id, o.r, CASE WHEN o.action = 'release' THEN CASE WHEN f.holder = o.tree AND f.expires > o.ts THEN 'released' ELSE 'not_held' END WHEN f.holder <> o.tree AND f.expires > o.ts THEN 'conflict' ELSE 'acquired' END,
+  CASE WHEN o.action = 'release' THEN CASE WHEN f.holder = o.tree OR f.expires <= o.ts THEN NULL ELSE f.holder END WHEN f.holder <> o.tree AND f.expires > o.ts THEN f.holder ELSE o.tree END,
+  CASE WHEN o.action = 'release' THEN CASE WHEN f.holder = o.tree OR f.expires <= o.ts THEN 0 ELSE f.expires END WHEN f.holder <> o.tree AND f.expires > o.ts THEN f.expires ELSE o.ts + 3600 END
+ FROM f JOIN o ON o.intent_id = f.intent_id AND o.r = f.r + 1) SELECT id, intent_id, outcome, holder AS held_by FROM f""")
 def lock_outcomes(t):
     return graph.lock_outcomes(t.lock_requests())
 
@@ -158,6 +188,14 @@ def co_access_pairs(t):
     return _pairs(t)
 
 
+_PROXIMITY = """SELECT a.file_path AS file_a, b.file_path AS file_b, count(*) AS n FROM near_files a JOIN near_files b ON a.id = b.id AND a.file_path < b.file_path GROUP BY 1, 2"""
+
+
+@query("session_proximity", f"WITH last AS (SELECT e.id, a.file_path, max(a.accessed_at * 10000000 + a.id) AS stamp FROM scoped_access e JOIN scoped_access a ON a.session_id = e.session_id AND a.worktree_id = e.worktree_id AND a.accessed_at >= e.accessed_at - 21600 AND (a.accessed_at < e.accessed_at OR (a.accessed_at = e.accessed_at AND a.id <= e.id)) GROUP BY 1, 2), near_files AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY stamp DESC) AS r FROM last) WHERE r <= 10) {_PROXIMITY}")
+def session_proximity(t):
+    return memory.session_pairs(t.chunk_access(), window=21600)
+
+
 @query("co_access_strength", "SELECT file_a, file_b, round(strength, 6) AS strength FROM strengths")
 def co_access_strength(t):
     return memory.strengths(_pairs(t)).withColumn("strength", F.round("strength", 6))
@@ -177,8 +215,3 @@ k AS (SELECT f.*, row_number() OVER (PARTITION BY f.session_id ORDER BY strength
 def session_suggestions(t):
     uses = t.tool_events().select("session_id", (F.col("result_count") + 1).cast("long").alias("file"))
     return memory.suggestions(uses, _edges(t)).withColumn("strength", F.round("strength", 6)).select("session_id", "other", "strength", "place")
-
-
-def empty(t, name):
-    """An empty domain table of the declared schema."""
-    return t.spark.createDataFrame([], schema(name))

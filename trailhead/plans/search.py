@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailhead.functions import text as X
+from trailhead.functions.porter import porter
 from trailhead.operators import chunking, drift, fts, telemetry, vectors
 from trailhead.operators.graph import latest
-from trailhead.plans import fixtures
 from trailhead.plans.registry import query
 from trailhead.plans.sql_tables import TOKEN_SET, TOKENS, WORDS
 
 
-@query("detect_language", "SELECT unnest(" + str(fixtures.LANGUAGE_PATHS) + ") AS file_path, unnest(['rust', 'python', 'python', 'typescript', 'javascript', 'toml', 'json', 'yaml', 'markdown', NULL, NULL, NULL]) AS language")
+_LANGUAGE = "CASE " + " ".join(f"WHEN ends_with(file_path, '.{e}') THEN '{lang}'" for e, lang in X.LANGUAGES.items()) + " END"
+
+
+@query("detect_language", f"SELECT file_path, {_LANGUAGE} AS language FROM source_paths")
 def detect_language(t):
-    p = t.spark.createDataFrame([(x,) for x in fixtures.LANGUAGE_PATHS], "file_path string")
-    return p.select("file_path", X.detect_language(F.col("file_path")).alias("language"))
+    return t.source_paths().select("file_path", X.detect_language(F.col("file_path")).alias("language"))
 
 
 @query("content_hash", "SELECT file_path, sha256(content) AS content_hash FROM files")
@@ -102,15 +104,21 @@ def token_estimate(t):
     return t.chunks().select("chunk_id", X.token_estimate(F.col("content")).cast("long").alias("tokens"))
 
 
-@query("tokenize_terms", "SELECT term, count(*) AS occurrences, count(DISTINCT chunk_id) AS chunks FROM (SELECT chunk_id, unnest(tokens) AS term FROM chunk_tokens) GROUP BY 1")
+@query("tokenize_terms", "SELECT term, count(*) AS occurrences, count(DISTINCT chunk_id) AS chunks FROM field_terms GROUP BY 1")
 def tokenize_terms(t):
-    p = fts.postings(t.chunks())
+    p = fts.postings(t.chunks()).groupBy("term", "chunk_id").agg(F.sum("tf").alias("tf"))
     return p.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("chunks"))
 
 
-@query("postings", "SELECT chunk_id, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS tokens, max(tf) AS max_tf FROM (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(tokens) AS term FROM chunk_tokens) GROUP BY 1, 2) GROUP BY 1")
+@query("postings", "SELECT chunk_id, field, count(*) AS terms, CAST(sum(tf) AS BIGINT) AS tokens, max(tf) AS max_tf FROM (SELECT chunk_id, field, term, count(*) AS tf FROM field_terms GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def postings(t):
-    return fts.postings(t.chunks()).groupBy("chunk_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"), F.max("tf").alias("max_tf"))
+    return fts.postings(t.chunks()).groupBy("chunk_id", "field").agg(F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tokens"), F.max("tf").alias("max_tf"))
+
+
+@query("stems", "SELECT token, term FROM stems")
+def stems(t):
+    words = t.chunks().select(F.explode(fts.all_tokens(t.chunks())).alias("token")).union(t.search_queries().select(F.explode("terms"))).distinct()
+    return words.select("token", porter(F.col("token")).alias("term"))
 
 
 @query("bm25_search", "SELECT query_id, place, chunk_id, score FROM bm25_top")
@@ -118,7 +126,7 @@ def bm25_search(t):
     return fts.bm25(t.chunks(), t.search_queries())
 
 
-@query("bm25_stemmed")
+@query("bm25_stemmed", "SELECT query_id, place, chunk_id, score FROM stemmed_top")
 def bm25_stemmed(t):
     return fts.bm25(t.chunks(), t.search_queries(), stem=True)
 
@@ -126,7 +134,7 @@ def bm25_stemmed(t):
 def _hits(t):
     """Per query and chunk: how many of the query's terms occur."""
     q = t.search_queries().select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    tok = t.chunks().select("chunk_id", F.explode(F.array_distinct(X.index_tokens(F.col("content")))).alias("term"))
+    tok = t.chunks().select("chunk_id", F.explode(F.array_distinct(fts.all_tokens(t.chunks()))).alias("term"))
     have = tok.join(q, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("have"))
     return have.join(q.groupBy("query_id").agg(F.count(F.lit(1)).alias("need")), "query_id")
 
@@ -141,32 +149,37 @@ def fts_or(t):
     return _hits(t).groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), F.min("chunk_id").alias("first"))
 
 
-@query("fts_prefix", "SELECT query_id, count(DISTINCT chunk_id) AS chunks FROM (SELECT query_id, substr(terms[1], 1, 4) AS head FROM search_queries) q JOIN (SELECT chunk_id, unnest(tokens) AS term FROM chunk_tokens) c ON starts_with(c.term, q.head) AND substr(c.term, 1, 4) = q.head GROUP BY 1")
+@query("fts_prefix", "SELECT query_id, count(DISTINCT chunk_id) AS chunks FROM (SELECT query_id, substr(terms[1], 1, 2 + query_id % 4) AS head FROM search_queries) q JOIN (SELECT DISTINCT chunk_id, term FROM field_terms) c ON starts_with(c.term, q.head) GROUP BY 1")
 def fts_prefix(t):
-    q = t.search_queries().select("query_id", F.substring(F.col("terms")[0], 1, 4).alias("head"))
-    heads = F.array_distinct(F.transform(X.index_tokens(F.col("content")), lambda w: F.substring(w, 1, 4)))
+    q = t.search_queries().select("query_id", F.expr("substring(terms[0], 1, cast(2 + query_id % 4 as int))").alias("head"))
+    tokens = fts.all_tokens(t.chunks())
+
+    def heads_of(n):
+        return F.transform(tokens, lambda w: F.substring(w, 1, n))
+
+    heads = F.array_distinct(F.concat(*map(heads_of, range(2, 6))))
     return t.chunks().select("chunk_id", F.explode(heads).alias("head")).join(q, "head").groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-@query("fts_phrase", f"WITH p AS (SELECT query_id, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS phrase FROM (SELECT query_id, {TOKENS.format('text')} AS w FROM search_queries)), c AS (SELECT chunk_id, unnest(list_distinct(list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]))) AS phrase FROM chunk_tokens) SELECT query_id, count(*) AS hits, count(DISTINCT chunk_id) AS chunks FROM p JOIN c USING (phrase) GROUP BY 1")
+_PAIRS = "unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS phrase"
+
+
+@query("fts_phrase", f"WITH p AS (SELECT query_id, {_PAIRS} FROM (SELECT query_id, {TOKENS.format('text')} AS w FROM search_queries)), c AS (SELECT chunk_id, {_PAIRS} FROM (SELECT chunk_id, body AS w FROM chunk_tokens)) SELECT query_id, count(*) AS hits, count(DISTINCT chunk_id) AS chunks FROM p JOIN c USING (phrase) GROUP BY 1")
 def fts_phrase(t):
     def pairs(c):
-        w = X.index_tokens(c)
-        n = F.size(w)
-        return F.array_distinct(F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.concat_ws(" ", F.element_at(w, i), F.element_at(w, i + 1)))).otherwise(F.array().cast("array<string>")))
+        return F.explode(F.array_distinct(X.neighbour_pairs(X.index_tokens(F.col(c))))).alias("phrase")
 
-    p = t.search_queries().select("query_id", F.explode(pairs(F.col("text"))).alias("phrase"))
-    c = t.chunks().select("chunk_id", F.explode(pairs(F.col("content"))).alias("phrase"))
+    p, c = t.search_queries().select("query_id", pairs("text")), t.chunks().select("chunk_id", pairs("content"))
     return c.join(p, "phrase").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("chunk_id").alias("chunks"))
 
 
-@query("fts_grammar", "SELECT chunk_id FROM chunk_tokens WHERE list_contains(tokens, 'the') AND (list_contains(tokens, 'license') OR len(list_filter(tokens, lambda x: starts_with(x, 'licen'))) > 0 OR contains(' ' || array_to_string(tokens, ' ') || ' ', ' version 2 ')) AND NOT list_contains(tokens, 'mit')")
+@query("fts_grammar", "SELECT chunk_id FROM chunk_tokens WHERE list_contains(body, 'the') AND (list_contains(body, 'license') OR len(list_filter(body, lambda x: starts_with(x, 'licen'))) > 0 OR contains(' ' || array_to_string(body, ' ') || ' ', ' version 2 ')) AND NOT list_contains(tokens, 'mit')")
 def fts_grammar(t):
-    return fts.search(t.chunks(), 'content:the AND (content:license OR content:licen* OR content:"version 2") NOT content:mit').select("chunk_id")
+    return fts.search(t.chunks(), 'content:the AND (content:license OR content:licen* OR content:"version 2") NOT mit').select("chunk_id")
 
 
 @query("snippet", rf"""WITH r AS (SELECT b.query_id, b.chunk_id, q.terms, {WORDS.format('c.content')} AS w FROM bm25_top b JOIN chunks c USING (chunk_id) JOIN search_queries q USING (query_id)),
-h AS (SELECT *, list_transform(w, lambda x: list_has_any(list_filter(string_split_regex(lower(x), '[^\p{{L}}\p{{N}}]+'), lambda y: y <> ''), terms)) AS hit FROM r), f AS (SELECT *, greatest(1, coalesce(list_position(hit, true), 0) - 4) AS first FROM h)
+h AS (SELECT *, list_transform(w, lambda x: list_has_any({TOKENS.format('x').replace('lambda t: t', 'lambda y: y')}, terms)) AS hit FROM r), f AS (SELECT *, greatest(1, coalesce(list_position(hit, true), 0) - 4) AS first FROM h)
 SELECT query_id, chunk_id, concat(CASE WHEN first > 1 THEN '...' ELSE '' END, array_to_string(list_transform(range(first, least(first + 32, len(w) + 1)), lambda i: CASE WHEN hit[i] THEN '>>>' || w[i] || '<<<' ELSE w[i] END), ' '), CASE WHEN first + 32 <= len(w) THEN '...' ELSE '' END) AS snippet FROM f""")
 def snippet(t):
     r = fts.bm25(t.chunks(), t.search_queries()).join(t.chunks().select("chunk_id", "content"), "chunk_id").join(t.search_queries().select("query_id", "terms"), "query_id")
@@ -187,22 +200,27 @@ def boosted_search(t):
     return fts.boosted(fts.bm25(t.chunks(), t.search_queries()).join(t.chunks().select("chunk_id", "file_path"), "chunk_id"), boosts)
 
 
-@query("char_trigrams", "WITH c AS (SELECT doc_id, regexp_replace(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]', '', 'g') AS s FROM files) SELECT gram, count(*) AS n FROM (SELECT unnest(list_transform(range(1, greatest(1, len(s) - 1)), lambda i: substr(s, i, 3))) AS gram FROM c) GROUP BY 1")
+# all runs of three: those that begin at the first, second and third place, three characters apart
+_GRAMS = "list_concat(regexp_extract_all(s, '...'), list_concat(regexp_extract_all(s[2:], '...'), regexp_extract_all(s[3:], '...')))"
+
+
+@query("char_trigrams", f"WITH c AS (SELECT regexp_replace(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]', '', 'g') AS s FROM files) SELECT gram, count(*) AS n FROM (SELECT unnest({_GRAMS}) AS gram FROM c) GROUP BY 1")
 def char_trigrams(t):
     return t.files().select(F.explode(X.trigrams(F.col("content"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-_EMBED = """WITH t AS (SELECT doc_id, regexp_replace(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]', ' ', 'g') AS n FROM files),
-w AS (SELECT doc_id, unnest(list_filter(string_split_regex(n, '\\s+'), lambda x: x <> '')) AS f FROM t), g AS (SELECT doc_id, unnest(list_transform(range(1, greatest(1, len(replace(n, ' ', '')) - 1)), lambda i: substr(replace(n, ' ', ''), i, 3))) AS f FROM t),
-f AS (SELECT doc_id, f, md5(f) AS d, (1.0 + least(length(f), 12) / 12.0) * count(*) AS w FROM w GROUP BY 1, 2 UNION ALL SELECT doc_id, f, md5(f), 0.35 * count(*) FROM g GROUP BY 1, 2),
-s AS (SELECT doc_id, CAST(concat('0x', substr(d, 1, 8)) AS UBIGINT) % 384 AS dim, w * CASE WHEN CAST(concat('0x', substr(d, 25, 2)) AS UBIGINT) % 2 = 0 THEN 1 ELSE -1 END AS v FROM f
- UNION ALL SELECT doc_id, CAST(concat('0x', substr(d, 9, 8)) AS UBIGINT) % 384, w * 0.5 * CASE WHEN CAST(concat('0x', substr(d, 27, 2)) AS UBIGINT) % 2 = 0 THEN 1 ELSE -1 END FROM f
- UNION ALL SELECT doc_id, CAST(concat('0x', substr(d, 17, 8)) AS UBIGINT) % 384, w * 0.25 FROM f UNION ALL SELECT doc_id, 0, 1 FROM t WHERE NOT regexp_matches(n, '[a-z0-9]')),
-a AS (SELECT doc_id, dim, sum(CAST(v AS DOUBLE)) AS v FROM s GROUP BY 1, 2), n AS (SELECT doc_id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM a)
-SELECT doc_id, count(*) AS slots, round(sum(abs(v)), 6) AS l1, round(max(v), 6) AS top FROM n GROUP BY 1"""
+def _embed_sql(texts: str) -> str:
+    """(doc_id, dim, v): normalised features of a table (doc_id, content)."""
+    parts = [("1, 8", "1.0", "substr(d, 25, 2)"), ("9, 8", "0.5", "substr(d, 27, 2)"), ("17, 8", "0.25", "'0'")]
+    slots = " UNION ALL ".join(f"SELECT doc_id, CAST(concat('0x', substr(d, {at})) AS UBIGINT) % 384 AS dim, w * {weight} * CASE WHEN CAST(concat('0x', {sign}) AS UBIGINT) % 2 = 0 THEN 1 ELSE -1 END AS v FROM f" for at, weight, sign in parts)
+    return f"""t AS (SELECT doc_id, regexp_replace(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]', ' ', 'g') AS n FROM {texts}), z AS (SELECT doc_id, replace(n, ' ', '') AS s FROM t),
+w AS (SELECT doc_id, unnest(list_filter(string_split(n, ' '), lambda x: x <> '')) AS f FROM t), g AS (SELECT doc_id, unnest({_GRAMS}) AS f FROM z),
+f AS (SELECT doc_id, md5(f) AS d, (1.0 + least(length(f), 12) / 12.0) * count(*) AS w FROM w GROUP BY doc_id, f UNION ALL SELECT doc_id, md5(f), 0.35 * count(*) FROM g GROUP BY doc_id, f),
+s AS ({slots} UNION ALL SELECT doc_id, 0, 1 FROM z WHERE s = ''),
+a AS (SELECT doc_id, dim, sum(CAST(v AS DOUBLE)) AS v FROM s GROUP BY 1, 2), n AS (SELECT doc_id, dim, v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)) AS v FROM a)"""
 
 
-@query("embed_text", _EMBED.replace("\\\\", "\\"))
+@query("embed_text", f"WITH {_embed_sql('files')} SELECT doc_id, count(*) AS slots, round(sum(abs(v)), 6) AS l1, round(max(v), 6) AS top FROM n GROUP BY 1")
 def embed_text(t):
     e = vectors.embed_features(t.files().select("doc_id", "content"), "doc_id", "content")
     return e.groupBy("doc_id").agg(F.count(F.lit(1)).alias("slots"), F.round(F.sum(F.abs("value")), 6).alias("l1"), F.round(F.max("value"), 6).alias("top"))
@@ -245,11 +263,60 @@ def knn_score(t):
     return vectors.knn(t.vectors(), _queries(t)).groupBy("query_id").agg(F.round(F.sum("score"), 4).alias("total"))
 
 
-@query("hybrid_rrf", "WITH lex AS (SELECT query_id, chunk_id AS item, place FROM bm25_top), b AS (SELECT b.query_id, b.chunk_id, round(b.score * (1 + coalesce(o.boost, 0)), 6) AS score FROM bm25_top b JOIN chunks c USING (chunk_id) LEFT JOIN boosts o ON o.file_path = c.file_path), hist AS (SELECT query_id, chunk_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY score, chunk_id) AS place FROM b), s AS (SELECT query_id, item, round(sum(1.0 / (60 + place)), 9) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM hist) GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS place FROM s) WHERE place <= 10")
+_TEXTS = "(SELECT chunk_id AS doc_id, content FROM chunks UNION ALL SELECT concat('?', query_id), text FROM search_queries)"
+_NEAR = f"{_embed_sql(_TEXTS)}, q AS (SELECT CAST(substr(doc_id, 2) AS BIGINT) AS query_id, dim, v FROM n WHERE starts_with(doc_id, '?')), near AS (SELECT query_id, doc_id AS item, row_number() OVER (PARTITION BY query_id ORDER BY d, doc_id) AS place FROM (SELECT query_id, doc_id, round(1 - sum(q.v * c.v), 9) AS d FROM n c JOIN q USING (dim) WHERE NOT starts_with(doc_id, '?') GROUP BY 1, 2))"
+
+
+@query("hybrid_rrf", f"WITH lex AS (SELECT query_id, chunk_id AS item, place FROM bm25_top), {_NEAR}, u AS (SELECT query_id, item, round(sum(1.0 / (60 + place)), 9) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM near WHERE place <= 10) GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS place FROM u) WHERE place <= 10")
 def hybrid_rrf(t):
-    lex = fts.bm25(t.chunks(), t.search_queries())
-    hist = boosted_search(t)
-    return fts.rrf(lex.select("query_id", F.col("chunk_id").alias("item"), "place").union(hist.select("query_id", F.col("chunk_id").alias("item"), "place")))
+    lex = fts.bm25(t.chunks(), t.search_queries()).select("query_id", F.col("chunk_id").alias("item"), "place")
+    return fts.rrf(lex.union(vectors.semantic(t.chunks(), t.search_queries()).select("query_id", F.col("chunk_id").alias("item"), "place")))
+
+
+@query("cache_write", """WITH c AS (SELECT DISTINCT md5(text) AS query_fingerprint, sha256(text) AS embedding_hash, '*' AS language_scope, 10 AS top_k, '[' || item_id || ']' AS result_json, 'x' AS payload_hash, CASE WHEN item_id % 3 = 0 THEN 4000 ELSE 6000 END AS expires_at FROM benchmark),
+r AS (SELECT md5(text) AS query_fingerprint, sha256(text) AS embedding_hash, '*' AS language_scope, 10 AS top_k, max(CASE WHEN item_id % 4 = 0 THEN '[]' ELSE '["' || item_id || '"]' END) AS result_json FROM benchmark WHERE item_id % 2 = 0 AND item_id % 4 <> 0 GROUP BY text)
+SELECT c.* FROM c LEFT JOIN r USING (query_fingerprint, embedding_hash, language_scope, top_k) WHERE expires_at > 5000 AND r.result_json IS NULL UNION ALL SELECT *, sha256(result_json), 6800 FROM r""")
+def cache_write(t):
+    b, item = t.raw("benchmark"), F.col("item_id")
+    key = [F.md5(F.col("text").cast("binary")).alias("query_fingerprint"), F.sha2(F.col("text").cast("binary"), 256).alias("embedding_hash"), F.lit("*").alias("language_scope"), F.lit(10).alias("top_k")]
+    cache = b.select(*key, F.concat(F.lit("["), item, F.lit("]")).alias("result_json"), F.lit("x").alias("payload_hash"), F.when(item % 3 == 0, 4000).otherwise(6000).alias("expires_at")).distinct()
+    results = b.where("item_id % 2 = 0").select(*key, F.when(item % 4 == 0, "[]").otherwise(F.concat(F.lit("[\""), item, F.lit("\"]"))).alias("result_json"))
+    return vectors.cache_write(cache, results, 5000)
+
+
+@query("store_vectors", "SELECT vec_id, language, len(embedding) AS dims FROM (SELECT vec_id, 'new' AS language, embedding FROM vectors WHERE vec_id % 2 = 0 UNION ALL SELECT vec_id, language, embedding FROM vectors WHERE vec_id % 2 <> 0 AND vec_id % 3 <> 0)")
+def store_vectors(t):
+    v = t.vectors()
+    new = v.where("vec_id % 2 = 0").withColumn("language", F.lit("new"))
+    return vectors.store(v.where("vec_id % 3 <> 0"), new, 64, "vec_id", "embedding").select("vec_id", "language", F.size("embedding").cast("long").alias("dims"))
+
+
+@query("retrieval_metadata", f"SELECT query_id, 'strategy=hybrid' AS strategy, false AS cache_used, round(avg(CASE WHEN len(q) > 0 THEN CAST(len(list_intersect(q, d)) AS DOUBLE) / len(q) ELSE 0 END), 6) AS quality_signal FROM (SELECT b.query_id, {TOKEN_SET.format('s.text')} AS q, {TOKEN_SET.format('c.content')} AS d FROM bm25_top b JOIN chunks c USING (chunk_id) JOIN search_queries s USING (query_id)) GROUP BY 1")
+def retrieval_metadata(t):
+    r = fts.bm25(t.chunks(), t.search_queries()).join(t.chunks().select("chunk_id", "content"), "chunk_id").join(t.search_queries().select("query_id", "text"), "query_id")
+    return fts.retrieval_metadata(r.withColumn("quality", X.groundedness(X.token_set(F.col("text")), X.token_set(F.col("content")))), "strategy=hybrid")
+
+
+@query("bounded_text", "SELECT doc_id, md5(left(content, 200)) AS digest FROM files")
+def bounded_text(t):
+    return t.files().select("doc_id", F.md5(X.bounded(F.col("content"), 200).cast("binary")).alias("digest"))
+
+
+_NEWLINES = "replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
+@query("normal_newlines", f"SELECT doc_id, md5(CASE WHEN ends_with(c, chr(10)) THEN c ELSE c || chr(10) END) AS digest FROM (SELECT doc_id, {_NEWLINES} AS c FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(content, chr(10), chr(13) || chr(10)) WHEN 1 THEN replace(content, chr(10), chr(13)) ELSE content || chr(10) END AS content FROM files))")
+def normal_newlines(t):
+    k = F.col("doc_id") % 3
+    text = F.when(k == 0, F.replace("content", F.lit("\n"), F.lit("\r\n"))).when(k == 1, F.replace("content", F.lit("\n"), F.lit("\r"))).otherwise(F.concat("content", F.lit("\n")))
+    return t.files().select("doc_id", F.md5(X.normal_newlines(text).cast("binary")).alias("digest"))
+
+
+@query("missing_anchors", "SELECT k, array_to_string(list_filter(['docs generate', 'docs/specs/constitution.md', '{{placeholder}}', 'search_code', 'Provide Result'], lambda a: NOT contains(body, a)), '|') AS missing FROM (SELECT p_partkey AS k, concat(CASE WHEN p_partkey % 2 = 0 THEN 'run docs generate ' ELSE '' END, p_name, CASE WHEN p_partkey % 3 = 0 THEN ' {{placeholder}} search_code' ELSE ' search_cod' END, CASE WHEN p_partkey % 5 = 0 THEN '; Provide Result' ELSE '; provide result' END) AS body FROM part)")
+def missing_anchors(t):
+    k = F.col("p_partkey")
+    body = F.concat(F.when(k % 2 == 0, "run docs generate ").otherwise(""), "p_name", F.when(k % 3 == 0, " {{placeholder}} search_code").otherwise(" search_cod"), F.when(k % 5 == 0, "; Provide Result").otherwise("; provide result"))
+    return t.raw("part").select(k.alias("k"), F.array_join(X.missing_anchors(body), "|").alias("missing"))
 
 
 @query("cache_lookup", """WITH r AS (SELECT md5(text) AS query_fingerprint, sha256(text) AS embedding_hash, '*' AS language_scope, CASE item_id % 2 WHEN 0 THEN 10 ELSE 20 END AS top_k, 5000 AS now FROM benchmark),
@@ -314,30 +381,37 @@ def tail_lines(t):
     return t.raw("conversations").select("conv_id", "turn", F.array_join(X.tail_lines(F.col("text"), 2), "|").alias("tail"))
 
 
-@query("wrapped_json", "SELECT * FROM (VALUES (1, 'pass', 1), (2, 'fail', 0), (3, NULL, NULL)) v(id, verdict, risks)")
+@query("wrapped_json", "SELECT conv_id, turn, CASE WHEN turn % 3 < 2 THEN role END AS verdict, CASE turn % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 END AS risks FROM conversations")
 def wrapped_json(t):
-    d = t.spark.createDataFrame(fixtures.JUDGED, "id int, raw string")
     j = F.from_json(X.wrapped_json(F.col("raw")), "verdict string, risks array<string>")
-    return d.select("id", j["verdict"].alias("verdict"), F.when(j["risks"].isNotNull(), F.size(j["risks"])).alias("risks"))
+    return t.judged().select("conv_id", "turn", j["verdict"].alias("verdict"), F.when(j["risks"].isNotNull(), F.size(j["risks"])).alias("risks"))
 
 
-@query("placeholders", "SELECT * FROM (VALUES ('adr', 'author,date,title'), ('plain', ''), ('odd', 'z')) v(id, names)")
+@query("placeholders", "SELECT c_custkey AS id, CASE WHEN lower(c_mktsegment) < concat('n', c_nationkey) THEN concat(lower(c_mktsegment), ',n', c_nationkey) ELSE concat('n', c_nationkey, ',', lower(c_mktsegment)) END AS names FROM customer")
 def placeholders(t):
-    return t.spark.createDataFrame(fixtures.TEMPLATES, "id string, body string").select("id", F.array_join(X.placeholders(F.col("body")), ",").alias("names"))
+    return t.doc_templates().select("id", F.array_join(X.placeholders(F.col("body")), ",").alias("names"))
 
 
-@query("py_chunks")
+_SPAN = "CASE WHEN k % 3 = 0 THEN 12 ELSE 0 END"
+
+
+@query("py_chunks", f"""SELECT file_path, 0 AS start_line, {_SPAN} AS end_line, NULL AS symbol_name, 'preamble' AS symbol_kind, NULL AS parent_scope FROM code_files
+UNION ALL SELECT file_path, 3, 4, concat('f', k), 'function_definition', NULL FROM code_files UNION ALL SELECT file_path, 7, 9, concat('C', k), 'class_definition', NULL FROM code_files""")
 def py_chunks(t):
-    files = t.spark.createDataFrame([(p, X_lang, s) for X_lang, rows in (("python", fixtures.PYTHON), ("rust", fixtures.RUST)) for p, s in rows], "file_path string, language string, content string")
-    return chunking.symbol_chunks(files)
+    return chunking.symbol_chunks(t.code_files()).select("file_path", "start_line", "end_line", "symbol_name", "symbol_kind", "parent_scope")
 
 
-@query("structural_search")
+@query("structural_search", """SELECT file_path, 'print($$$)' AS pattern, 12 AS line, concat('print(f', k, '(1))') AS text, concat(chr(10), 'print(f', k, '(1))', chr(10)) AS context FROM code_files WHERE k % 3 = 0
+UNION ALL SELECT file_path, '$RECV.run($X)', 9, concat('self.run(', k, ')'), concat('    def load(self):', chr(10), '        return self.run(', k, ')', chr(10)) FROM code_files""")
 def structural_search(t):
-    files = t.spark.createDataFrame(fixtures.PYTHON + fixtures.RUST, "file_path string, content string")
-    return chunking.structural_search(files, ["$X.unwrap()", "run($$$)", "x = 42"])
+    return chunking.structural_search(t.code_files(), ["print($$$)", "$RECV.run($X)"], language="python")
+
+
+@query("structural_first", "SELECT * FROM (SELECT file_path, 4 AS line, 'run(x)' AS text FROM code_files UNION ALL SELECT file_path, 9, concat('run(', k, ')') FROM code_files) ORDER BY file_path, line LIMIT 25")
+def structural_first(t):
+    return chunking.structural_search(t.code_files(), ["run($$$)"], top_k=25).select("file_path", "line", "text")
 
 
-@query("find_callers", "SELECT * FROM (VALUES ('a.py', 3), ('a.py', 9), ('b.py', 1), ('b.py', 2)) v(file_path, line)")
+@query("find_callers", "SELECT * FROM (SELECT file_path, 4 AS line FROM code_files UNION ALL SELECT file_path, 9 FROM code_files) ORDER BY file_path, line LIMIT 50")
 def find_callers(t):
-    return chunking.find_callers(t.spark.createDataFrame(fixtures.PYTHON, "file_path string, content string"), "run")
+    return chunking.find_callers(t.code_files(), "run", language="python")

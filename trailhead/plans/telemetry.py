@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailhead.functions import text as X
-from trailhead.operators import evals, telemetry
+from trailhead.operators import drift, evals, telemetry
 from trailhead.plans.registry import query
 
 
-@query("session_summary", "SELECT session_id, count(*) AS events, count(DISTINCT tool) AS tools, round(avg(result_count), 6) AS avg_results, round(avg(latency_ms), 6) AS avg_latency, round(avg(groundedness_score), 6) AS avg_groundedness, min(created_at) AS started, max(created_at) AS ended, max(created_at) - min(created_at) AS duration FROM tool_events GROUP BY session_id")
+@query("session_summary", "SELECT session_id, worktree_id, count(*) AS events, count(DISTINCT tool) AS tools, round(avg(result_count), 6) AS avg_results, round(avg(latency_ms), 6) AS avg_latency, round(avg(groundedness_score), 6) AS avg_groundedness, min(created_at) AS started, max(created_at) AS ended, max(created_at) - min(created_at) AS duration FROM scoped_events GROUP BY 1, 2")
 def session_summary(t):
     return telemetry.session_summary(t.tool_events())
 
@@ -19,7 +19,12 @@ def session_totals(t):
     return telemetry.session_totals(t.tool_events())
 
 
-@query("tool_breakdown", "SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY calls DESC, tool) AS place FROM (SELECT session_id, tool, count(*) AS calls, CAST(sum(latency_ms) AS BIGINT) AS latency_ms, round(avg(groundedness_score), 6) AS avg_groundedness FROM tool_events GROUP BY 1, 2)")
+@query("session_in_worktree", "SELECT count(*) AS calls, CAST(coalesce(sum(latency_ms), 0) AS BIGINT) AS latency_ms, round(avg(groundedness_score), 6) AS avg_groundedness FROM scoped_events WHERE session_id = 's8' AND worktree_id = 'project-root'")
+def session_in_worktree(t):
+    return telemetry.session_totals(t.tool_events(), "s8", " ")
+
+
+@query("tool_breakdown", "SELECT *, row_number() OVER (PARTITION BY session_id, worktree_id ORDER BY calls DESC, tool) AS place FROM (SELECT session_id, worktree_id, tool, count(*) AS calls, CAST(sum(latency_ms) AS BIGINT) AS latency_ms, round(avg(groundedness_score), 6) AS avg_groundedness FROM scoped_events GROUP BY 1, 2, 3)")
 def tool_breakdown(t):
     return telemetry.tool_breakdown(t.tool_events())
 
@@ -42,7 +47,12 @@ def access_stats(t):
     return telemetry.access_stats(t.chunk_access())
 
 
-@query("session_files", "SELECT *, CAST(sum(accesses) OVER (PARTITION BY session_id) AS BIGINT) AS session_total FROM (SELECT session_id, file_path, count(*) AS accesses, max(accessed_at) AS last_access FROM chunk_access GROUP BY 1, 2)")
+@query("top_accessed", "SELECT file_path, count(*) AS accesses, max(accessed_at) AS last_access FROM chunk_access GROUP BY 1 ORDER BY accesses DESC, file_path LIMIT 20")
+def top_accessed(t):
+    return telemetry.access_stats(t.chunk_access(), 20)
+
+
+@query("session_files", "SELECT *, CAST(sum(accesses) OVER (PARTITION BY session_id, worktree_id) AS BIGINT) AS session_total FROM (SELECT session_id, worktree_id, file_path, count(*) AS accesses, max(accessed_at) AS last_access FROM scoped_access GROUP BY 1, 2, 3)")
 def session_files(t):
     return telemetry.session_files(t.chunk_access())
 
@@ -126,11 +136,18 @@ def ci_decision(t):
     return evals.ci_decision(t.eval_runs())
 
 
-@query("health_scores", "SELECT golden_set, overall_score, state, gate, CASE WHEN overall_score * 100 >= 80 THEN 'healthy' WHEN overall_score * 100 >= 50 THEN 'degraded' ELSE 'unhealthy' END AS grade FROM runs_state, gate_row WHERE latest = 1")
+@query("rfc3339", "SELECT id, strftime(make_timestamp(created_at * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS at FROM tool_events")
+def rfc3339(t):
+    return t.tool_events().select("id", X.rfc3339(F.col("created_at")).alias("at"))
+
+
+@query("health_scores", "SELECT golden_set, overall_score, state, gate, (SELECT greatest(0, 100 - 3 * count(*) FILTER (WHERE severity = 'warning') - count(*) FILTER (WHERE severity = 'info')) FROM issues) AS drift_score, CASE WHEN overall_score * 100 >= 80 THEN 'healthy' WHEN overall_score * 100 >= 50 THEN 'degraded' ELSE 'unhealthy' END AS grade FROM runs_state, gate_row WHERE latest = 1")
 def health_scores(t):
     from trailhead.functions.health import grade
     from trailhead.operators.graph import eval_gate
 
     runs = t.eval_runs()
-    last = evals.latest_runs(runs).join(evals.regression(runs).select("id", "state"), "id").crossJoin(F.broadcast(eval_gate(runs)))  # the gate is one row
-    return last.select("golden_set", "overall_score", "state", "gate", grade(F.col("overall_score") * 100).alias("grade"))
+    f = t.freshness()
+    drifted = drift.score(drift.staleness(f, f.agg(F.max("last").alias("now")), 30, 10)).select(F.col("score").alias("drift_score"))
+    last = evals.latest_runs(runs).join(evals.regression(runs).select("id", "state"), "id").crossJoin(F.broadcast(eval_gate(runs))).crossJoin(F.broadcast(drifted))  # gate and score are one row
+    return last.select("golden_set", "overall_score", "state", "gate", "drift_score", grade(F.col("overall_score") * 100).alias("grade"))

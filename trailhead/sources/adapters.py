@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trailhead.functions import text as X
 from trailhead.operators.chunking import line_chunks
+from trailhead.schemas import INTENT_KINDS, INTENT_STATUSES
 
 
 def epoch(ts: str) -> Column:
@@ -18,10 +19,6 @@ def _pick(key: Column, values: tuple[str, ...]) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (key + 1).cast("int"))
 
 
-STATUSES = ("draft", "approved", "in_progress", "in_review", "verified", "merged", "rejected", "blocked")
-KINDS = ("feature", "bug", "refactor", "spike", "test", "chore")
-
-
 class Tables:
     """Domain tables of one data folder; each is a lazy DataFrame, so plans prune columns and rows down to the files."""
 
@@ -39,7 +36,7 @@ class Tables:
             F.col("event_id").alias("id"), F.concat(F.lit("s"), "user_id").alias("session_id"), F.col("event_type").alias("tool"), F.col("props").alias("query"),
             F.concat(F.lit("strategy="), "event_type", F.lit(";lane="), lane, F.lit(";outcome="), F.when(F.col("event_type") == "error", "failed").otherwise("ok")).alias("strategy"),
             k.alias("result_count"), F.floor(F.col("value") * 10).alias("latency_ms"), F.when(F.col("event_type") != "error", k / F.lit(100.0)).alias("groundedness_score"),
-            epoch("ts").alias("created_at"), F.concat(F.lit("wt-"), F.col("user_id") % 4).alias("worktree_id"),
+            epoch("ts").alias("created_at"), F.when(F.col("event_id") % 9 == 0, "  ").otherwise(F.concat(F.lit("wt-"), F.col("event_id") % 4)).alias("worktree_id"),
         )
 
     def chunk_access(self) -> DataFrame:
@@ -69,6 +66,7 @@ class Tables:
 
     def chunks(self) -> DataFrame:
         c = line_chunks(self.files(), "content", 50)
+        c = c.withColumn("symbol_name", F.concat_ws("_", "language", (F.col("start_line") / 50).cast("int")))
         return c.withColumn("chunk_id", F.concat_ws(":", "file_path", "start_line", "end_line", F.md5(F.col("content").cast("binary"))))
 
     def search_queries(self) -> DataFrame:
@@ -89,8 +87,8 @@ class Tables:
         o = self.raw("orders")
         pri = F.substring("o_orderpriority", 1, 1)
         return o.select(
-            F.col("o_orderkey").alias("num"), F.concat(F.lit("i"), "o_orderkey").alias("id"), _pick(F.col("o_orderkey") % 6, KINDS).alias("kind"), F.concat(F.lit("Intent "), "o_orderkey").alias("title"),
-            _pick(F.col("o_custkey") % 8, STATUSES).alias("status"), F.when(pri == "1", "critical").when(pri == "2", "high").when(pri == "3", "medium").otherwise("low").alias("priority"),
+            F.col("o_orderkey").alias("num"), F.concat(F.lit("i"), "o_orderkey").alias("id"), _pick(F.col("o_orderkey") % 6, INTENT_KINDS).alias("kind"), F.concat(F.lit("Intent "), "o_orderkey").alias("title"),
+            _pick(F.col("o_custkey") % 8, INTENT_STATUSES).alias("status"), F.when(pri == "1", "critical").when(pri == "2", "high").when(pri == "3", "medium").otherwise("low").alias("priority"),
             F.when(F.col("o_custkey") % 5 != 0, F.concat(F.lit("a"), F.col("o_custkey") % 7)).alias("assigned_to"), epoch("o_orderdate").alias("updated_at"),
         )
 
@@ -107,11 +105,17 @@ class Tables:
         n = o.agg(F.count(F.lit(1)).alias("n"))
         return o.crossJoin(F.broadcast(n)).select(F.col("i").alias("from_id"), ((F.col("i") * F.col("i") + 1) % F.col("n")).alias("to_id"))  # n is one row
 
+    def looped_edges(self) -> DataFrame:
+        """The intents' edges up to i3000, and back from some targets, which makes cycles of several sizes."""
+        e = self.intent_edges().withColumns({c: F.expr(f"cast(substring({c}, 2) as int)") for c in ("from_id", "to_id")}).where("from_id <= 3000")
+        back = e.where("from_id % 97 = 0").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), F.lit("depends_on").alias("kind"))
+        return e.union(back).select(F.concat(F.lit("i"), "from_id").alias("from_id"), F.concat(F.lit("i"), "to_id").alias("to_id"), "kind")
+
     def transition_requests(self) -> DataFrame:
-        return self.intents().select("id", F.col("status").alias("current"), _pick(F.col("num") % 8, STATUSES).alias("requested"))
+        return self.intents().select("id", F.col("status").alias("current"), _pick(F.col("num") % 8, INTENT_STATUSES).alias("requested"))
 
     def lock_requests(self) -> DataFrame:
-        return self.tool_events().select("id", F.concat(F.lit("i"), "result_count").alias("intent_id"), F.substring("session_id", 2, 20).cast("long").alias("holder"), "worktree_id", F.col("created_at").alias("ts"))
+        return self.tool_events().select("id", F.concat(F.lit("i"), "result_count").alias("intent_id"), F.substring("session_id", 2, 20).cast("long").alias("holder"), "worktree_id", F.when(F.col("id") % 5 == 0, "release").otherwise("acquire").alias("action"), F.col("created_at").alias("ts"))
 
     def eval_runs(self) -> DataFrame:
         e = self.raw("events").select(F.col("event_type").alias("golden_set"), F.date_trunc("day", "ts").alias("day"), "value")
@@ -134,3 +138,73 @@ class Tables:
         e = self.tool_events()
         user = F.substring("session_id", 2, 20).cast("long")
         return e.select("id", F.col("created_at").alias("timestamp"), F.concat(F.lit("agent-"), user % 5).alias("agent"), F.concat(F.lit("src/f"), "result_count", F.lit(".rs")).alias("path"), F.col("tool").alias("kind"))
+
+    def _parts(self) -> DataFrame:
+        return self.raw("part").select(F.col("p_partkey").alias("k"), "p_name", "p_brand", "p_type", "p_size")
+
+    def source_paths(self) -> DataFrame:
+        ends = ("rs", "py", "pyi", "ts", "tsx", "js", "jsx", "toml", "json", "yaml", "yml", "md", "markdown", "bin", "tar.gz", "py/file")
+        return self._parts().select("k", F.concat(F.lit("src/f"), "k", F.lit("."), _pick(F.col("k") % 16, ends)).alias("file_path"))
+
+    def code_files(self) -> DataFrame:
+        """A small Python source per part; those of every third part end with a call."""
+        body = F.concat(F.lit("import os\n\n\ndef f"), "k", F.lit("(x):\n    return run(x)\n\n\nclass C"), "k", F.lit(":\n    def load(self):\n        return self.run("), "k", F.lit(")\n"))
+        end = F.when(F.col("k") % 3 == 0, F.concat(F.lit("\n\nprint(f"), "k", F.lit("(1))\n"))).otherwise("")
+        return self._parts().select("k", F.concat(F.lit("src/p"), "k", F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), F.concat(body, end).alias("content"))
+
+    def script_docs(self) -> DataFrame:
+        body = F.concat(F.lit("use npm run "), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(", pnpm "), F.lower("p_type"), F.lit(" or yarn --frozen; then pnpm run ("), "p_size", F.lit(") and npm run \""), "p_brand", F.lit("\"."), F.when(F.col("k") % 5 == 0, " npm run").otherwise(""))
+        return self._parts().select(F.concat(F.lit("docs/p"), "k", F.lit(".md")).alias("file"), body.alias("body"))
+
+    def declared_scripts(self) -> DataFrame:
+        return self._parts().where("k % 2 = 0").select(F.replace("p_name", F.lit(" "), F.lit("-")).alias("script")).distinct()
+
+    def convention_files(self) -> DataFrame:
+        """A convention file per supplier."""
+        k = F.col("s_suppkey")
+        text = F.concat(
+            F.lit("[[rule]]\nscope = \"src"), k % 13, F.lit("/"), _pick(k % 5, ("en", "de", "fr", "es", "xx")), F.lit("/*"), _pick(k % 2, (".txt\"", ".md\"")), F.lit("\nlanguage = '"), _pick(k % 4, ("rust", "cobol", "python", "go")),
+            F.lit("'\ncheck_pattern = \""), _pick(k % 3, ("$X.unwrap()", "", "print($X)")), F.lit("\"\nskill = \"skill-"), k % 7, F.lit("\"\n# severity: "), _pick(k % 4, ("error", "warning", "info", "none")), F.lit("\nnote = error-free\n"),
+        )
+        return self.raw("supplier").select(F.concat(F.lit("conv/s"), "s_suppkey", F.lit(".toml")).alias("file"), text.alias("body"))
+
+    def skill_files(self) -> DataFrame:
+        k = F.col("n_nationkey")
+        return self.raw("nation").where("n_nationkey < 5").select(F.concat(F.lit("skill-"), k, _pick(k % 3, (".md", ".yaml", ".exe"))).alias("file"))
+
+    def index_files(self) -> DataFrame:
+        return self._parts().select(F.concat(F.lit("- ["), "p_name", F.lit("](p"), "k", F.lit(".md) and [x](q"), F.col("k") % 7, F.lit(".md)\nplain (line)")).alias("body"))
+
+    def pattern_files(self) -> DataFrame:
+        return self._parts().select(F.concat(F.when(F.col("k") % 5 == 0, "r").otherwise("p"), "k", F.lit(".md")).alias("file"))
+
+    def titled_docs(self) -> DataFrame:
+        k = F.col("k") % 4
+        body = F.when(k == 0, F.concat(F.lit("# "), "p_name", F.lit("\ntext"))).when(k == 1, F.concat(F.lit("intro\n# "), "p_type", F.lit(" \n# more"))).when(k == 2, "no heading").otherwise("# \ntext")
+        return self._parts().select(F.concat(F.lit("doc"), "k").alias("name"), body.alias("content"))
+
+    def worktree_listings(self) -> DataFrame:
+        k = F.col("s_suppkey")
+        first = F.concat(F.lit("worktree /w/main"), k, F.lit("\nHEAD "), F.md5(k.cast("string").cast("binary")), F.lit("\nbranch refs/heads/b"), k, F.lit("\n"))
+        return self.raw("supplier").select(k.alias("project"), F.concat(first, F.lit("\n"), F.when(k % 2 == 0, F.concat(F.lit("worktree /w/side"), k, F.lit("\nHEAD bbbb\ndetached\nlocked reason\nprunable gone\n"))).otherwise("")).alias("body"))
+
+    def watched_paths(self) -> DataFrame:
+        k = F.col("k")
+        return self._parts().select("k", F.concat(_pick(k % 4, ("/work/", "", "/other/", "/work/")), _pick(k % 6, (".git/", "src/", "target/", "node_modules/", "docs/target/", ".activity/")), F.lit("f"), k, _pick(k % 5, (".rs", ".swp", ".tmp", ".py", "\\b.rs"))).alias("path"))
+
+    def judged(self) -> DataFrame:
+        k = F.col("turn") % 3
+        good = F.concat(F.lit("Here is it: {\"verdict\": \""), "role", F.lit("\", \"risks\": ["), F.when(k == 0, F.concat(F.lit("\"r"), "turn", F.lit("\", \"s\""))).otherwise(""), F.lit("]} thanks"))
+        return self.raw("conversations").select("conv_id", "turn", F.when(k == 2, "no json at all").otherwise(good).alias("raw"))
+
+    def doc_templates(self) -> DataFrame:
+        return self.raw("customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("# {{ "), F.lower("c_mktsegment"), F.lit(" }}\nby {{n"), "c_nationkey", F.lit("}} {{ x y }} about {{ "), F.lower("c_mktsegment"), F.lit(" }}")).alias("body"))
+
+    def manifest_files(self) -> DataFrame:
+        body = F.concat(F.lit("{\"dependencies\": {\""), "p_name", F.lit("\": \""), "p_brand", F.lit("\"}, \"devDependencies\": {\""), "p_type", F.lit("\": \"^"), "p_size", F.lit("\"}}"))
+        return self._parts().select(F.concat(F.lit("pkg/p"), "k", F.lit("/package.json")).alias("file_path"), F.when(F.col("k") % 50 == 0, "{}").otherwise(body).alias("content"))
+
+    def edge_requests(self) -> DataFrame:
+        """Edges that are there, new ones and loops."""
+        o = self.raw("orders").select(F.col("o_orderkey").alias("i")).where("i % 10 = 0 and i > 0")
+        return o.select(F.concat(F.lit("i"), "i").alias("from_id"), F.concat(F.lit("i"), F.when(F.col("i") % 3 == 0, F.col("i")).when(F.col("i") % 3 == 1, F.expr("i div 2")).otherwise(F.col("i") + 1)).alias("to_id"), F.lit("depends_on").alias("kind"))

@@ -2,44 +2,97 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
 import re
 import tomllib
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailhead.functions import text as X
 from trailhead.schemas import schema
 
 
-def walk(spark: SparkSession, root: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(file_path, content, content_hash, language, length): files of known languages under a folder, without hidden
-    ones and those under skipped names or matching skipped patterns. Spark lists and reads them, in any store."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def walk(spark: SparkSession, root: str, skip: tuple[str, ...] = (), ignore_files: tuple[str, ...] = (".gitignore", ".ignore")) -> DataFrame:
+    """(file_path, content, content_hash, language, length): files of known languages under a folder, without hidden ones, those that match
+    patterns of skip, and those that the ignore files in the tree rule out. Spark lists and reads them, in any store."""
     base = re.escape(re.sub(r"^[a-z]+:/*", "/", root).rstrip("/"))
-    f = raw.withColumn("file_path", F.regexp_replace("path", f"^[a-z0-9]+:/*{base}/", "")).withColumn("language", X.detect_language(F.col("path")))
-    f = f.where(F.col("language").isNotNull() & ~F.col("file_path").rlike(r"(^|/)\."))
-    for s in skip:
-        f = f.where(~F.col("file_path").rlike(f"(^|/){fnmatch.translate(s)[:-2] if any(c in s for c in '*?[') else re.escape(s)}(/|$)"))
+    below = F.regexp_replace("path", f"^[a-z0-9]+:/*{base}/", "")
+    rules = [r for x in skip for r in ignore_rules("", x)]
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    f = raw.withColumn("file_path", below).withColumn("language", X.detect_language(F.col("path")))
+    deep = f.agg(F.max(F.size(F.split("file_path", "/")))).first()[0] or 0
+    for folder, text in _small_files(spark, root, ignore_files, deep):
+        rules += ignore_rules(folder, text)
+    f = f.where(F.col("language").isNotNull() & ~F.col("file_path").rlike(r"(^|/)\.") & ~ruled_out(F.col("file_path"), rules))
     return f.select("file_path", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("content_hash"), "language", "length")
 
 
-def ignore_patterns(path: str) -> tuple[str, ...]:
-    """Names and patterns of an ignore file: comments, blank lines and negations are left out."""
-    if not os.path.exists(path):
-        return ()
-    with open(path, encoding="utf-8") as f:
-        return tuple(x.strip().strip("/") for x in f if x.strip() and x.strip()[0] not in "#!")
+def _small_files(spark: SparkSession, root: str, names: tuple[str, ...], deep: int) -> list[tuple[str, str]]:
+    """(folder below root, text) of files of some names, down to a depth. Spark's readers pass over hidden files, so its file system is asked."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs, out = top.getFileSystem(conf), []
+    base = fs.makeQualified(top).toString().rstrip("/")
+    for name in names:
+        for d in range(deep):
+            for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{base}{'/*' * d}/{name}")) or ():
+                stream = fs.open(status.getPath())
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                stream.close()
+                out.append((status.getPath().toString()[len(base) :].rpartition("/")[0].lstrip("/"), text))
+    return out
+
+
+def ignore_rules(folder: str, text: str) -> list[tuple[int, str, bool]]:
+    """(depth, regular expression over paths, ignored) per rule of an ignore file in a folder: comments and blank lines are left out, ! takes a path
+    back in, a slash at the start or within ties a pattern to the folder, one at the end asks for a folder, ** crosses folders."""
+    out = []
+    for line in text.splitlines():
+        rule = line.strip()
+        if not rule or rule.startswith("#"):
+            continue
+        ignored = not rule.startswith("!")
+        rule = rule if ignored else rule[1:]
+        tied, tail = "/" in rule.rstrip("/"), "/.*" if rule.endswith("/") else "(?:/.*)?"
+        body = X.path_regex(rule.strip("/"))[1:-1]
+        head = re.escape(folder) + "/" if folder else ""
+        out.append((head.count("/"), f"^{head}{'' if tied else '(?:.*/)?'}{body}{tail}$", ignored))
+    return out
+
+
+def ruled_out(path: Column, rules: list[tuple[int, str, bool]]) -> Column:
+    """Whether the last rule that fits a path, those of deeper folders after those above them, ignores it."""
+    out = F.lit(False)
+    for _, pattern, ignored in sorted(rules, key=lambda r: r[0]):
+        out = F.when(path.rlike(pattern), F.lit(ignored)).otherwise(out)
+    return out
+
+
+def golden_set_names(folder: str) -> list[str]:
+    """The golden sets in a folder, sorted; none where there is no folder."""
+    return sorted(f.removesuffix(".toml") for f in os.listdir(folder) if f.endswith(".toml")) if os.path.isdir(folder) else []
+
+
+def insert(rows: DataFrame, table: str, folder: str) -> None:
+    """Append rows to a domain table, a Parquet folder, with the declared columns in their order and types; missing ones are null, others an error."""
+    want = schema(table)
+    if more := set(rows.columns) - set(want.names):
+        raise ValueError(f"{table} has no column {sorted(more)}")
+    columns = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want]
+    rows.select(*columns).write.mode("append").parquet(f"{folder.rstrip('/')}/{table}")
+
+
+def table(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    return spark.read.schema(schema(name)).parquet(f"{folder.rstrip('/')}/{name}")
 
 
 def golden_sets(spark: SparkSession, folder: str, name: str | None = None) -> DataFrame:
     """(golden_set, case_id, name, priority, kind, literal): one row per check of the TOML files in a folder; an unknown set
     or a field of a wrong type is an error."""
     rows = []
-    names = sorted(f[:-5] for f in os.listdir(folder) if f.endswith(".toml"))
+    names = golden_set_names(folder)
     if name is not None and name not in names:
         raise FileNotFoundError(f"no golden set {name!r} in {folder}")
     for n in names if name is None else [name]:
@@ -103,15 +156,16 @@ def read_activity(spark: SparkSession, folder: str, stream: bool = False) -> Dat
 
 
 def worktree_records(listing: DataFrame, body: str) -> DataFrame:
-    """(place, path, head, branch, locked, prunable): records of a worktree listing, parted by blank lines."""
-    r = listing.select(F.posexplode(F.filter(F.split(F.col(body), r"\n\n+"), lambda x: F.trim(x) != "")).alias("p", "r"))
+    """listing's other columns and place, path, head, branch, locked, prunable: records of worktree listings, parted by blank lines."""
+    keep = [c for c in listing.columns if c != body]
+    r = listing.select(*keep, F.posexplode(F.filter(F.split(F.col(body), r"\n\n+"), lambda x: F.trim(x) != "")).alias("p", "r"))
 
     def one(name: str):
         got = F.regexp_extract("r", rf"(?m)^{name} (.*)$", 1)
         return F.when(got != "", got)
 
     branch = F.regexp_replace(one("branch"), "^refs/heads/", "")
-    return r.select((F.col("p") + 1).alias("place"), one("worktree").alias("path"), one("HEAD").alias("head"), branch.alias("branch"), F.col("r").rlike(r"(?m)^locked").alias("locked"), F.col("r").rlike(r"(?m)^prunable").alias("prunable"))
+    return r.select(*keep, (F.col("p") + 1).alias("place"), one("worktree").alias("path"), one("HEAD").alias("head"), branch.alias("branch"), F.col("r").rlike(r"(?m)^locked").alias("locked"), F.col("r").rlike(r"(?m)^prunable").alias("prunable"))
 
 
 def manifest_dependencies(manifests: DataFrame, content: str = "content", location: str = "file_path") -> DataFrame:
