@@ -68,7 +68,7 @@ class Graph:
         count = np.bincount(self.rep, minlength=len(self.x))
         return np.argsort(self.rep, kind="stable"), np.cumsum(count) - count, count
 
-    def search(self, q: np.ndarray, beam: int, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, q: np.ndarray, beam: int, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
         """The beam of each query after greedy expansion: (nodes, squared distances), nearest first, -1 where empty."""
         found = [self._search(q[lo : lo + block], beam) for lo in range(0, len(q), block)]
         return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros((0, beam), (np.int32, np.float32)[i]) for i in (0, 1))
