@@ -25,14 +25,14 @@ def embed_features(texts: DataFrame, key: str, text: str, dims: int = 384) -> Da
     """(key, dim, value): L2-normalised feature-hash embeddings in sparse form.
 
     A token weighs 1 + min(its length, 12) / 12, a trigram of the text without blanks 0.35; each adds to three slots chosen, like two of the
-    signs, by its digest. What is shuffled is a row per text and slot: features are hashed and summed up where they are made. Texts without
-    tokens give 1 at slot 0.
+    signs, by its digest. Features are counted per text before they are shuffled, and hashed once per text. Texts without tokens give 1 at slot 0.
     """
     t = texts.select(key, X.encoder_text(F.col(text)).alias("n"))
     words = F.transform(X.words(F.col("n")), lambda w: F.struct(w.alias("f"), (F.lit(1.0) + F.least(F.length(w), F.lit(12)) / 12.0).alias("w")))
     grams = F.transform(X.trigrams(F.col("n")), lambda g: F.struct(g.alias("f"), F.lit(0.35).alias("w")))
     has = F.size(X.words(F.col("n"))) > 0
-    f = t.select(key, F.explode(F.concat(words, grams)).alias("x")).select(key, "x.w", F.md5(F.col("x.f").cast("binary")).alias("d"))
+    f = t.select(key, F.explode(F.concat(words, grams)).alias("x")).groupBy(key, "x.f", "x.w").agg(F.count(F.lit(1)).alias("c"))
+    f = f.select(key, (F.col("w") * F.col("c")).alias("w"), F.md5(F.col("f").cast("binary")).alias("d"))
     slots = F.array(
         F.struct(_slot(F.col("d"), 1, dims).alias("dim"), (F.col("w") * _sign(F.col("d"), 25)).alias("v")),
         F.struct(_slot(F.col("d"), 9, dims).alias("dim"), (F.col("w") * 0.5 * _sign(F.col("d"), 27)).alias("v")),
@@ -46,8 +46,10 @@ def embed_features(texts: DataFrame, key: str, text: str, dims: int = 384) -> Da
 
 def embed(texts: DataFrame, key: str, text: str, dims: int = 384, kind: str = "float") -> DataFrame:
     """(key, vector): dense embeddings, of single precision or another kind of number."""
-    sparse = embed_features(texts, key, text, dims).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))  # at most dims entries
-    return sparse.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast(kind)).alias("vector"))
+    sparse = embed_features(texts, key, text, dims).groupBy(key).agg(F.collect_list(F.struct("dim", "value")).alias("m"))  # at most dims entries
+    empty = F.array_except(F.sequence(F.lit(0), F.lit(dims - 1)), F.transform("m", lambda e: e["dim"]))
+    whole = F.sort_array(F.concat("m", F.transform(empty, lambda d: F.struct(d.alias("dim"), F.lit(0.0).alias("value")))))
+    return sparse.select(key, F.transform(whole, lambda e: e["value"].cast(kind)).alias("vector"))
 
 
 def _packed(df: DataFrame, key: str, vec: str, extra: str | None, size: int, name: str) -> tuple[DataFrame, int]:
