@@ -70,4 +70,38 @@ comp AS (SELECT u, least(u, min(v)) AS c FROM reach GROUP BY u)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN comp ON u = d.doc_id
 """
 
-SQL = {"op1_near_vectors": OP1, "op3_warc": OP3, "op6_mix": OP6, "op7_hosts": OP7, "op10_jaccard": OP10}
+
+def _crc32(value: str) -> str:
+    """The unsigned CRC-32 of a column's decimal text."""
+    bits = "lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    codes = f"list_transform(string_split(CAST({value} AS VARCHAR), ''), lambda x: list_concat([CAST(ascii(x) AS BIGINT)], list_transform(range(8), lambda y: CAST(-1 AS BIGINT))))"
+    return f"xor(list_reduce(flatten({codes}), {bits}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+_FRAMED = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_LEAF = "sha256(" + " || ".join(_FRAMED.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FRAMED + ")"
+
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT *, {_LEAF.format('text')} AS leaf, CASE WHEN {_crc32('doc_id')} % 2 = 0 THEN {_LEAF.format("replace(text, chr(10), '')")} END AS other FROM documents),
+k AS (SELECT doc_id, leaf, coalesce(other, leaf) AS seen, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g,
+  row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+nodes AS (SELECT 0 AS l, g, pos, leaf AS h, n FROM k
+  UNION ALL SELECT l + 1, g, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY l, g, pos // 3),
+sub AS (SELECT g, l AS height, h AS subroot FROM nodes WHERE n = 1),
+top AS (SELECT 0 AS l, g AS pos, subroot AS h, count(*) OVER () AS n FROM sub
+  UNION ALL SELECT l + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY l, pos // 3),
+steps AS (SELECT l, g, pos, coalesce(string_agg(h, '' ORDER BY pos) OVER b, '') AS lo, coalesce(string_agg(h, '' ORDER BY pos) OVER a, '') AS hi FROM nodes WHERE n > 1
+  WINDOW b AS (PARTITION BY l, g, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY l, g, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+tops AS (SELECT l, pos, coalesce(string_agg(h, '' ORDER BY pos) OVER b, '') AS lo, coalesce(string_agg(h, '' ORDER BY pos) OVER a, '') AS hi FROM top WHERE n > 1
+  WINDOW b AS (PARTITION BY l, pos // 3 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY l, pos // 3 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+way AS (SELECT k.g, k.pos AS i, s.l, lo, hi FROM k JOIN steps s ON s.g = k.g AND s.pos = k.pos // CAST(pow(3, s.l) AS BIGINT)
+  UNION ALL SELECT k.g, k.pos, height + s.l, lo, hi FROM k JOIN sub USING (g) JOIN tops s ON s.pos = k.g // CAST(pow(3, s.l) AS BIGINT)),
+proof AS (SELECT g, i, string_agg(lo || hi, '' ORDER BY l) AS p FROM way GROUP BY g, i),
+up AS (SELECT g, pos AS i, 0 AS l, seen AS h FROM k UNION ALL SELECT up.g, up.i, up.l + 1, sha256(lo || h || hi) FROM up JOIN way ON way.g = up.g AND way.i = up.i AND way.l = up.l),
+folded AS (SELECT g, i, max_by(h, l) AS h FROM up GROUP BY g, i)
+SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(coalesce(p, '')) AS proof_sha256, folded.h AS folded_root,
+  folded.h = (SELECT h FROM top WHERE n = 1) AS verified
+FROM k JOIN sub USING (g) LEFT JOIN proof ON proof.g = k.g AND proof.i = k.pos JOIN folded ON folded.g = k.g AND folded.i = k.pos
+"""
+
+SQL = {"op1_near_vectors": OP1, "op3_warc": OP3, "op6_mix": OP6, "op7_hosts": OP7, "op10_jaccard": OP10, "op12_manifest": OP12}

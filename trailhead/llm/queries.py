@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailhead.llm import ann, bpe, hosts, jaccard, lengths, licenses, mixing, near_vectors, oracles, quality, warc
+from trailhead.llm import ann, bpe, hosts, jaccard, lengths, licenses, manifest, mixing, near_vectors, oracles, quality, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -76,6 +76,17 @@ def op10_jaccard(spark, sf_dir):
     return jaccard.set_components(_table(spark, sf_dir, "documents"))
 
 
+def op12_manifest(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    first = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    # a copy of the table in which half of the documents lost their line breaks is held against the manifest
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    seen = manifest.leaf(*first, F.when(tampered, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+    m = manifest.build(docs, ["doc_id", "source", "lang", "n_chars", "text"], "source", "doc_id", {"doc_id": F.col("doc_id"), "seen": seen})
+    rows = manifest.proofs(m).withColumn("root", F.lit(m.root)).withColumn("folded_root", manifest.fold(F.col("seen"), F.col("path")))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -83,7 +94,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_near_vectors, op2_license_scan, op3_warc, op4_nearest, op5_quality, op6_mix, op7_hosts, op8_bpe, op9_lengths, op10_jaccard, pipeline, token_totals, token_quantiles)
+    own = (op1_near_vectors, op2_license_scan, op3_warc, op4_nearest, op5_quality, op6_mix, op7_hosts, op8_bpe, op9_lengths, op10_jaccard, op12_manifest, pipeline, token_totals, token_quantiles)
     return {f.__name__: f for f in own}
 
 
