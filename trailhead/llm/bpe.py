@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailhead.llm.common import named
+from trailhead.llm.common import map_batches, named
 from trailhead.llm.textops import parts, tidy
 
 #: Bytes of a task's cache, by estimate, beyond which its oldest half goes; words of more characters than CACHED are not kept.
@@ -326,7 +326,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool
         more = [pa.array(got, pa.binary())] if ids else []
         return pa.RecordBatch.from_arrays([*part.columns[:-1], *more, _lengths(got)], names)
 
-    return df.select(*map(named, keep), named(text)).mapInArrow(_over(path, pattern, len(keep), of, cache), schema)
+    return map_batches(df.select(*map(named, keep), named(text)), _over(path, pattern, len(keep), of, cache), schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "bpe_ids", out: str = "bpe_bytes") -> DataFrame:
@@ -351,4 +351,4 @@ def digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: s
         hexes = [[hashlib.sha256(x).hexdigest() for x in got], [hashlib.sha256(codec.decode(x)).hexdigest() for x in got]]
         return pa.RecordBatch.from_arrays([part.column(0), _lengths(got), *(pa.array(x, pa.string()) for x in hexes)], names)
 
-    return df.select(named(key), named(text)).mapInArrow(_over(path, pattern, 1, of), schema)
+    return map_batches(df.select(named(key), named(text)), _over(path, pattern, 1, of), schema)

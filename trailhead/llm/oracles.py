@@ -104,4 +104,18 @@ SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE n = 1) AS root, sha256(co
 FROM k JOIN sub USING (g) LEFT JOIN proof ON proof.g = k.g AND proof.i = k.pos JOIN folded ON folded.g = k.g AND folded.i = k.pos
 """
 
-SQL = {"op1_near_vectors": OP1, "op3_warc": OP3, "op6_mix": OP6, "op7_hosts": OP7, "op10_jaccard": OP10, "op12_manifest": OP12}
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {_crc32('doc_id')} AS h FROM documents),
+e AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS m FROM d),
+f AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // m) END]) END AS w FROM e),
+t AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS w FROM f),
+same AS (SELECT x.r, x.i, y.i - x.i AS q FROM t x JOIN t y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND y.i - x.i <= x.n // 4),
+part AS (SELECT r, q, min(i) AS s, count(*) + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS k FROM same) GROUP BY r, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM part p WHERE NOT EXISTS (SELECT 1 FROM part o WHERE o.r = p.r AND o.q < p.q AND p.q % o.q = 0 AND o.s <= p.s AND o.s + o.l >= p.s + p.l)),
+kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS text FROM t WHERE NOT EXISTS (SELECT 1 FROM runs u WHERE u.r = t.r AND t.i >= u.s + u.q AND t.i < u.s + u.l) GROUP BY r),
+found AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines, first(struct_pack(s, l, q) ORDER BY l DESC, s, q) AS best FROM runs GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.s AS start, best.l AS length, best.q AS period, 1000 * best.l // best.q AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256 FROM f LEFT JOIN found USING (r) LEFT JOIN kept USING (r)
+"""
+
+SQL = {"op1_near_vectors": OP1, "op3_warc": OP3, "op6_mix": OP6, "op7_hosts": OP7, "op10_jaccard": OP10, "op12_manifest": OP12, "op13_runs": OP13}

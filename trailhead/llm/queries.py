@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailhead.llm import ann, bpe, hosts, jaccard, lengths, licenses, manifest, mixing, near_vectors, oracles, quality, warc
+from trailhead.llm import ann, bpe, hosts, jaccard, lengths, licenses, manifest, mixing, near_vectors, oracles, periodic, quality, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -87,6 +87,22 @@ def op12_manifest(spark, sf_dir):
     return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_runs(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    docs = docs.withColumn("words", words).withColumn("n", F.size("words")).withColumn("g", F.floor(h / 10))
+    docs = docs.withColumn("a", F.expr("if(n > 0, g % n, null)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.array_join(F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))), " ")
+    docs = docs.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+    best = F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], F.signum(y["length"] - x["length"])).otherwise(F.signum(x["start"] - y["start"])).cast("int"))[0]
+    rows = periodic.find_runs(docs).withColumn("best", F.when(F.size("runs") > 0, best))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    milli = F.expr("best.length * 1000 div best.period").alias("exponent_milli")
+    return rows.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", milli, F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -94,7 +110,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_near_vectors, op2_license_scan, op3_warc, op4_nearest, op5_quality, op6_mix, op7_hosts, op8_bpe, op9_lengths, op10_jaccard, op12_manifest, pipeline, token_totals, token_quantiles)
+    own = (op1_near_vectors, op2_license_scan, op3_warc, op4_nearest, op5_quality, op6_mix, op7_hosts, op8_bpe, op9_lengths, op10_jaccard, op12_manifest, op13_runs, pipeline, token_totals, token_quantiles)
     return {f.__name__: f for f in own}
 
 
