@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailhead.llm import ann, bpe, hosts, jaccard, lengths, licenses, manifest, mixing, near_vectors, oracles, periodic, quality, warc
+from trailhead.llm import ann, bpe, hosts, jaccard, lengths, licenses, manifest, mixing, near_vectors, oracles, packing, periodic, quality, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +77,11 @@ def op10_jaccard(spark, sf_dir):
     return jaccard.set_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark, sf_dir):
+    p = packing.pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(WORDS))
+    return packing.pack(p.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
 def op12_manifest(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     first = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -110,7 +116,7 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_near_vectors, op2_license_scan, op3_warc, op4_nearest, op5_quality, op6_mix, op7_hosts, op8_bpe, op9_lengths, op10_jaccard, op12_manifest, op13_runs, pipeline, token_totals, token_quantiles)
+    own = (op1_near_vectors, op2_license_scan, op3_warc, op4_nearest, op5_quality, op6_mix, op7_hosts, op8_bpe, op9_lengths, op10_jaccard, op11_packing, op12_manifest, op13_runs, pipeline, token_totals, token_quantiles)
     return {f.__name__: f for f in own}
 
 
