@@ -28,13 +28,16 @@ GROUP, ROUNDS = 1 << 16, 12
 #: Exchanges of a few sequences that a group tries while it has more of them than its bound.
 TRIES = 2000
 #: Encoded words that a worker keeps, and the longest of them in bytes.
-KEPT, KEPT_BYTES = 300_000, 32
+KEPT, KEPT_BYTES = 500_000, 32
+#: Marks that are matched together, and apart from the letters before them.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 
 
 class Encoder:
     """The ids of texts by a tokenizer whose matches never hold white space, so that each word is encoded on its own and kept.
 
-    Only blanks of ASCII part words here; the tokenizer parts them further. Special tokens' strings are ordinary text.
+    Only blanks of ASCII part words here; the tokenizer parts them further, lower-cases them and ends each match by a token that ends with </w>.
+    Special tokens' strings are ordinary text.
     """
 
     _open: dict[str, Encoder] = {}
@@ -58,42 +61,64 @@ class Encoder:
     def _raw(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.of.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """The words' encodings. Words of plain letters are one match each, so many go in one text, which is cut after each match's end."""
-        out, plain, other = {}, [], []
+    @staticmethod
+    def _letters(word: bytes) -> bool:
+        """Whether a word is one match whatever its case: letters that stay letters in lower case."""
+        if word.isascii():
+            return word.isalpha()
+        s = word.decode("utf-8", "replace")
+        return s.isalpha() and max(s) <= "\xff"
+
+    def _matches(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The encodings of words that are one match each: many go in one text, which is cut after each match's end."""
+        out = {}
+        for lo in range(0, len(words), 4000):
+            part = words[lo : lo + 4000]
+            ids = self._raw([b" ".join(part).decode()])[0]
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            flat = ids.tobytes()
+            if len(cuts) == len(part):
+                out.update(zip(part, [flat[i:j] for i, j in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+            else:
+                out.update((w, x.tobytes()) for w, x in zip(part, self._raw([w.decode() for w in part]), strict=True))
+        return out
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The words' encodings. Letters, marks, and letters before marks need their one or two matches only, which may be known."""
+        known, single, double, other = self.known, set(), [], []
         for w in words:
-            s = w.decode("utf-8", "replace")
-            (plain if s.isalpha() and (w.isascii() or max(s) <= "\xff") else other).append((w, s))
-        for lo in range(0, len(plain), 2000):
-            part = plain[lo : lo + 2000]
-            ids = self._raw([" ".join(s for _, s in part)])[0]
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cuts) != len(part):
-                other += part
-                continue
-            flat, at = ids.tobytes(), 0
-            for (w, _), end in zip(part, cuts.tolist(), strict=True):
-                out[w] = flat[at:end]
-                at = end
+            core = w.rstrip(MARKS)
+            if core and not self._letters(core):
+                other.append(w)
+            elif core and len(core) < len(w):
+                double.append((w, core, w[len(core) :]))
+            else:
+                single.add(w)
+        for _, core, tail in double:
+            if core not in known:
+                single.add(core)
+            if tail not in known:
+                single.add(tail)
+        out = self._matches(list(single))
+        for w, core, tail in double:
+            x, y = out.get(core), out.get(tail)
+            out[w] = (known[core] if x is None else x) + (known[tail] if y is None else y)
         if other:
-            out.update((w, x.tobytes()) for (w, _), x in zip(other, self._raw([s for _, s in other]), strict=True))
+            out.update((w, x.tobytes()) for w, x in zip(other, self._raw([w.decode("utf-8", "replace") for w in other]), strict=True))
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit integers; nulls are empty."""
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        fresh = set().union(*words).difference(self.known)
-        if len(self.known) + len(fresh) > KEPT:
-            self.known.clear()
-            fresh = set().union(*words)
-        new = self.learn(sorted(fresh))
-        self.known.update((w, x) for w, x in new.items() if len(w) <= KEPT_BYTES)
-        of, long = self.known, {w: x for w, x in new.items() if len(w) > KEPT_BYTES}
-        if long:
-            of = of | long
-        out = [b"".join(map(of.__getitem__, w)) for w in words]
+        # the tokenizer lower-cases what it reads: words that differ in A-Z alone are one
+        words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
         if len(self.known) > KEPT:
             self.known.clear()
+        new = self.learn(set().union(*words).difference(self.known))
+        long = {w: x for w, x in new.items() if len(w) > KEPT_BYTES}
+        self.known.update(new)
+        out = [b"".join(map(self.known.__getitem__, w)) for w in words]
+        for w in long:
+            del self.known[w]
         return out
 
 
