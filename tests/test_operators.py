@@ -182,13 +182,13 @@ def test_line_chunks(spark):
 
 def test_symbols_and_patterns():
     py = chunking.symbol_chunks_of("import os\n\n@d\ndef f():\n    pass\n\nclass C:\n    x = 1\n", "python")
-    assert [(c[2], c[3], c[0], c[1]) for c in py] == [(None, "preamble", 0, 0), ("f", "function_definition", 2, 4), ("C", "class_definition", 6, 7)]
+    assert [(c[2], c[3], c[0], c[1]) for c in py] == [("_preamble", "preamble", 0, 0), (None, "decorated_definition", 2, 4), ("C", "class_definition", 6, 7)]
     rs = chunking.symbol_chunks_of("use a;\nfn f() {\n  g();\n}\nstruct S { x: u8 }\nimpl S {\n fn m(&self) {}\n}\n", "rust")
-    assert [(c[2], c[3]) for c in rs] == [(None, "preamble"), ("f", "fn_item"), ("S", "struct_item"), ("S", "impl_item")]
+    assert [(c[2], c[3]) for c in rs] == [("_preamble", "preamble"), ("f", "function_item"), ("S", "struct_item"), (None, "impl_item")]
     assert len(chunking.symbol_chunks_of("\n".join("x" * 3 for _ in range(120)), None)) == 3
     assert chunking.symbol_chunks_of("def broken(:\n", "python")[0][3] == "block"
     big = "class A:\n    def one(self):\n        " + "x = 1\n        " * 400 + "\n    def two(self):\n        pass\n"
-    assert [(c[2], c[4]) for c in chunking.symbol_chunks_of(big, "python")] == [("one", "A"), ("two", "A")]
+    assert [(c[2], c[4]) for c in chunking.symbol_chunks_of(big, "python")] == [("one", "A/one"), ("two", "A/two")]
     count = lambda s, p: len(chunking.find_pattern(s, p))
     assert count("a.unwrap(); b.expect(1);", "$X.unwrap()") == 1 and count("x = 42\ny = 42", "x = 42") == 1 and count("f(g(1), [2]); f()", "f($$$)") == 2 and count("f(a(b)", "f($$$)") == 0
 
@@ -336,7 +336,12 @@ def test_text_helpers(spark):
 
 
 def test_members_of_oversized_items():
-    rust = "impl A {\n    pub fn one(&self) {\n" + "        let x = 1 ;\n" * 200 + "    }\n    fn two() {\n        fn deeper() {}\n    }\n}\n"
-    assert [(c[2], c[4]) for c in chunking.symbol_chunks_of(rust, "rust")] == [("one", "A"), ("two", "A")]
-    ts = "class B {\n  async one(a: number): Promise<void> {\n" + "    if (a) { go ( a ) ; }\n" * 120 + "  }\n  two() {\n    return 1;\n  }\n}\n"
-    assert [(c[2], c[4]) for c in chunking.symbol_chunks_of(ts, "typescript")] == [("one", "B"), ("two", "B")]
+    """Members are chunkable kinds one level deep; an impl block has no name to scope them by, and a class body in TypeScript holds none."""
+    body = "        let x = 1 ;\n" * 200
+    rust = "{} A {{\n    pub fn one(&self) {{\n" + body + "    }}\n    fn two() {{\n        fn deeper() {{}}\n    }}\n}}\n"
+    names = lambda source, lang: [(c[2], c[4]) for c in chunking.symbol_chunks_of(source, lang)]
+    assert names(rust.format("impl"), "rust") == [("one", None), ("two", None)] and names(rust.format("mod"), "rust") == [("one", "A/one"), ("two", "A/two")]
+    ts = "class B {\n  async one(a: number): Promise<void> {\n" + "    if (a) { go ( a ) ; }\n" * 120 + "  }\n}\nfunction f() {\n" + "  const a = 1 ;\n" * 200 + "}\n"
+    assert names(ts, "typescript")[:2] == [("B", None), (None, "f")] and len(names(ts, "typescript")) == 201
+    py = "@d\nclass A:\n" + "    x = 1 ;\n" * 200 + "    @e\n    def m(self): pass\n"
+    assert names(py, "python") == [("A", None)] and names(py[3:], "python") == [(None, "A")]

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import ast
-import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from trailhead.functions import text as X
+from trailhead.operators import syntax
 
 
 def line_chunks(files: DataFrame, content: str, per: int = 50) -> DataFrame:
@@ -24,182 +26,117 @@ def line_chunks(files: DataFrame, content: str, per: int = 50) -> DataFrame:
     return f.select(*keep, start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), F.array_join(F.slice("__l", start + 1, F.lit(per)), "\n").alias("content"), F.lit("block").alias("symbol_kind"))
 
 
-# Keywords that open a top-level item, by language.
-_OPENERS = {
-    "rust": r"(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(fn|struct|enum|trait|impl|mod|type|const|static)\b\s*(?:<[^>]*>\s*)?(\w+)?",
-    "typescript": r"(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(function|class|interface|type|enum|const|let)\b\s*\*?\s*(\w+)?",
-}
-_OPENERS["javascript"] = _OPENERS["typescript"]
-# What opens a member of a top-level item, by language.
-_MEMBERS = {
-    "python": r"^\s+(?:async\s+)?(?:def|class)\s+(\w+)",
-    "rust": r"^\s+(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*(?:fn|struct|enum|trait|impl|mod)\s+(\w+)",
-    "typescript": r"^\s+(?:(?:public|private|protected|static|async|get|set)\s+)*(?!(?:if|for|while|switch|catch|return|function)\b)(\w+)\s*\([^;]*\)\s*(?::[^{;]+)?\{",
-}
-_MEMBERS["javascript"] = _MEMBERS["typescript"]
-
-
-def _python_items(source: str) -> list[tuple[int, int, str | None, str, str | None]]:
-    items = []
-    for node in ast.parse(source).body:
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            first = min([node.lineno, *(d.lineno for d in node.decorator_list)]) - 1
-            kind = "class_definition" if isinstance(node, ast.ClassDef) else "function_definition"
-            items.append((first, node.end_lineno - 1, node.name, kind, None))
-    return items
-
-
-def _brace_items(source: str, language: str) -> list[tuple[int, int, str | None, str, str | None]]:
-    opener, lines, items, i = re.compile(r"^" + _OPENERS[language]), source.split("\n"), [], 0
-    while i < len(lines):
-        m = opener.match(lines[i])
-        if not m:
-            i += 1
-            continue
-        depth, opened, j = 0, False, i
-        while j < len(lines):
-            code = re.sub(r"//.*|\"(?:\\.|[^\"\\])*\"", "", lines[j])
-            depth += code.count("{") - code.count("}")
-            opened |= "{" in code
-            if depth <= 0 and (opened or code.rstrip().endswith(";")):
-                break
-            j += 1
-        items.append((i, min(j, len(lines) - 1), m[2], f"{m[1]}_item", None))
-        i = j + 1
-    return items
+PREAMBLE = "_preamble"
 
 
-def symbol_chunks_of(source: str, language: str | None, most: int = 512) -> list[tuple[int, int, str | None, str, str | None, str]]:
-    """(start_line, end_line, symbol, kind, scope, content): a preamble of what stands outside symbols, then a chunk per
-    top-level symbol; an oversized one is cut at its members, one level deep. Sources that don't parse fall to line blocks."""
+def _line_blocks(source: str, per: int = 50) -> list[tuple[int, int, str | None, str, str | None, str]]:
     lines = source.split("\n")
-    try:
-        items = _python_items(source) if language == "python" else _brace_items(source, language) if language in _OPENERS else []
-    except (SyntaxError, ValueError):
-        items = []
-    if not items:
-        lines = lines[:-1] if lines and lines[-1] == "" else lines
-        return [(a, min(a + 50, len(lines)) - 1, None, "block", None, "\n".join(lines[a : a + 50])) for a in range(0, len(lines), 50)]
-    taken = {n for a, b, *_ in items for n in range(a, b + 1)}
-    rest = [n for n, x in enumerate(lines) if n not in taken and x.strip()]
+    lines = lines[:-1] if lines and lines[-1] == "" else lines
+    return [(a, min(a + per, len(lines)) - 1, None, "block", None, "\n".join(lines[a : a + per])) for a in range(0, len(lines), per)]
+
+
+def symbol_chunks_of(source: str, language: str | None, most: int = 512) -> list[tuple[int, int, str | None, str, str | None, str]]:
+    """(start_line, end_line, symbol, kind, scope, content), lines from 0: a preamble up to the last code or comment that stands outside symbols, then a
+    chunk per top-level symbol. One of more than ``most`` words gives way to the symbols in its own braces or block, if it has any, whose scope
+    is parent/child. Impl blocks, lexical declarations and decorated definitions have no name. Sources that don't parse, and those in other languages, are cut into
+    blocks of lines; an empty one has none."""
+    if language not in syntax.LANGUAGES:
+        return _line_blocks(source)
+    inner: list = []
+    if language == "python":
+        try:
+            found, inner = syntax.python_items(source)
+        except (SyntaxError, ValueError, RecursionError):
+            return _line_blocks(source)
+        ends, others, at = [0], [], 0
+        for line in source.split("\n"):
+            ends.append(ends[-1] + len(line) + 1)
+            at = ends[-2]
+            if line.startswith("#") and not any(x.start <= at < x.end for x in found):
+                others.append(at)
+    else:
+        code = syntax.Source(source, language)
+        found = syntax.items(code)
+        others = [b for a, b in code.comments if not any(x.start <= a < x.end for x in found)]
+    line_of = lambda place: source.count("\n", 0, place)
+    others += [x.end for x in found if not x.kind]
     out = []
-    if rest:
-        out.append((0, rest[-1], None, "preamble", None, "\n".join(lines[: rest[-1] + 1])))
-    for a, b, name, kind, scope in items:
-        body = "\n".join(lines[a : b + 1])
+    if others:
+        last = line_of(max(others))
+        out.append((0, last, PREAMBLE, "preamble", None, "\n".join(source.split("\n")[: last + 1])))
+
+    def chunk(x: syntax.Item, scope: str | None) -> tuple:
+        return line_of(x.start), line_of(x.end), x.name, x.kind, scope, source[x.start : x.end]
+
+    for n, x in enumerate(found):
+        if not x.kind:
+            continue
         parts = []
-        if len(body.split()) > most and language in _MEMBERS:
-            inner = re.compile(_MEMBERS[language])
-            found = [(n, m[1], len(lines[n]) - len(lines[n].lstrip())) for n in range(a + 1, b + 1) if (m := inner.match(lines[n]))]
-            marks = [(n, name) for n, name, deep in found if deep == min(d for *_, d in found)]  # one level deep
-            parts = [(x, (marks[k + 1][0] - 1 if k + 1 < len(marks) else b), sym, kind, name, None) for k, (x, sym) in enumerate(marks)]
-        if parts:
-            out += [(x, y, sym, k, sc, "\n".join(lines[x : y + 1])) for x, y, sym, k, sc, _ in parts]
-        else:
-            out.append((a, b, name, kind, scope, body))
-    return out
+        if len(source[x.start : x.end].split()) > most:
+            parts = inner[n] if language == "python" else syntax.members(code, x)
+        out += [chunk(m, f"{x.name}/{m.name}" if x.name and m.name else x.name) for m in parts] or [chunk(x, None)]
+    return out or _line_blocks(source)
+
+
+_CHUNK = "start_line int, end_line int, symbol_name string, symbol_kind string, parent_scope string, content string"
 
 
 def symbol_chunks(files: DataFrame, path: str = "file_path", language: str = "language", content: str = "content", most: int = 512) -> DataFrame:
-    """symbol_chunks_of each file, as rows."""
+    """symbol_chunks_of each file, as rows; null contents have none. One narrow pass."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, *c) for p, lang, s in zip(b[path], b[language], b[content], strict=True) for c in symbol_chunks_of(s or "", lang, most)]
-            yield pd.DataFrame(rows, columns=["file_path", "start_line", "end_line", "symbol_name", "symbol_kind", "parent_scope", "content"])
-
-    return files.select(path, language, content).mapInPandas(run, "file_path string, start_line int, end_line int, symbol_name string, symbol_kind string, parent_scope string, content string")
-
-
-_TOKEN = re.compile(r"\$\$\$\w*|\$[A-Z_]\w*|\w+|\s+|.", re.S)
-_CLOSE = {"(": ")", "[": "]", "{": "}"}
-
-
-def pattern_tokens(pattern: str) -> list[str]:
-    return [t for t in _TOKEN.findall(pattern) if not t.isspace()]
-
-
-def find_pattern(source: str, pattern: str) -> list[tuple[int, int]]:
-    """(start, end) of matches of a code pattern: $X is one name, literal or balanced group with what is called on it; $$$ is any balanced
-    run. A match begins at a token, and matches don't overlap."""
-    code = [(m[0], m.start()) for m in _TOKEN.finditer(source) if not m[0].isspace()]
-    pat, memo = pattern_tokens(pattern), {}
-
-    def skip(i: int) -> int | None:
-        if i >= len(code):
-            return None
-        t = code[i][0]
-        if t in _CLOSE:
-            depth, j = 0, i
-            while j < len(code):
-                depth += (code[j][0] in _CLOSE) - (code[j][0] in _CLOSE.values())
-                j += 1
-                if depth == 0:
-                    return j
-            return None
-        return None if t in _CLOSE.values() else i + 1
-
-    def match(i: int, p: int) -> int | None:
-        if p == len(pat):
-            return i
-        if (i, p) in memo:
-            return memo[i, p]
-        got = None
-        if pat[p].startswith("$$$"):
-            j: int | None = i
-            while j is not None and got is None:
-                got = match(j, p + 1)
-                j = skip(j)
-        elif pat[p].startswith("$") and len(pat[p]) > 1:
-            if i < len(code) and re.match(r"[\w(\[{\"']", code[i][0]):
-                j = skip(i)
-                while j is not None and got is None:
-                    got = match(j, p + 1)
-                    j = skip(j) if got is None and j < len(code) and (code[j][0] in "([" or code[j][0] in ".:" or code[j - 1][0] in ".:") else None
-        elif i < len(code) and code[i][0] == pat[p]:
-            got = match(i + 1, p + 1)
-        memo[i, p] = got
-        return got
-
-    out, i = [], 0
-    while i < len(code):
-        end = match(i, 0)
-        if end is not None and end > i:
-            out.append((code[i][1], code[end - 1][1] + len(code[end - 1][0])))
-            i = end
-        else:
-            i += 1
-    return out
-
-
-def structural_search(files: DataFrame, patterns: list[str], path: str = "file_path", content: str = "content", language: str | None = None, top_k: int | None = None) -> DataFrame:
-    """(file_path, pattern, line, text, context): matches of code patterns with a line around them, in files of a language (files' column
-    language, or a path's extension where that is null) if one is given; with top_k only the first ones in order of path, line and pattern.
-    Files without a pattern's longest literal are not looked at in Python."""
-    if language is not None:
-        known = X.detect_language(F.col(path))
-        files = files.where(F.coalesce(F.col("language"), known) == language if "language" in files.columns else known == language)
-
-    def literal(p: str) -> str:
-        return max((t for t in pattern_tokens(p) if not t.startswith("$")), key=len, default="")
-
-    any_of = None
-    for p in patterns:
-        on = F.instr(content, literal(p)) > 0
-        any_of = on if any_of is None else any_of | on
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            rows = [(p, *c) for p, lang, s in zip(*(x.to_pylist() for x in b.columns), strict=True) for c in symbol_chunks_of(s or "", lang, most)]
+            yield _batch(rows, kind)
+
+    kind = f"file_path string, {_CHUNK}"
+    return files.select(path, language, content).mapInArrow(run, kind)
+
+
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    columns = [c.split() for c in ddl.split(", ")]
+    types = {"string": pa.string(), "int": pa.int32()}
+    values = list(zip(*rows, strict=True)) or [()] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(v, types[t]) for v, (_, t) in zip(values, columns, strict=True)], [n for n, _ in columns])
+
+
+def find_pattern(source: str, pattern: str, language: str = "rust", inside: bool = False) -> list[tuple[int, int]]:
+    """(start, end) of all matches of a code pattern, in order; see syntax.Pattern."""
+    return syntax.Pattern(pattern, language).find(syntax.Source(source, language), inside=inside)
+
+
+def structural_search(files: DataFrame, patterns: list[str], path: str = "file_path", content: str = "content", language: str | None = None, top_k: int | None = None, inside: bool = False) -> DataFrame:
+    """(file_path, pattern, line, text, context, end_line, start_col, end_col), lines and columns from 0: matches of code patterns with the lines from one before to one
+    behind them, in files of a language (files' column language, or a path's extension where that is null) if one is given, else each by
+    its own; with top_k only the first ones in order of path, line and pattern. Files without a pattern's longest literal are not looked at in Python; files in
+    a language without patterns have no matches. An empty pattern and an unsupported language are errors."""
+    known = X.detect_language(F.col(path))
+    known = F.coalesce(F.col("language"), known) if "language" in files.columns else known
+    files = files.withColumn("__lang", known).where(F.col("__lang").isin(*([language] if language else syntax.LANGUAGES)))
+    read = {(lang, p): syntax.Pattern(p, lang) for lang in ([language] if language else syntax.LANGUAGES) for p in patterns}
+
+    def literal(p: str, lang: str) -> str:
+        of = read[lang, p].of
+        return max((t for t, k in zip(of.text, of.kind, strict=True) if k not in ("meta", "many")), key=len, default="")
+
+    any_of = F.lit(False)
+    for lang, p in read:
+        any_of = any_of | (F.instr(content, literal(p, lang)) > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for f, s in zip(b[path], b[content], strict=True):
-                lines = s.split("\n")
+            for f, lang, s in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                lines, code = s.split("\n"), syntax.Source(s, lang)
+                known = syntax.Expressions(code)
                 for p in patterns:
-                    for a, e in find_pattern(s, p):
-                        n = s.count("\n", 0, a)
-                        rows.append((f, p, n, s[a:e], "\n".join(lines[max(0, n - 1) : n + 2])))
-            yield pd.DataFrame(rows, columns=["file_path", "pattern", "line", "text", "context"])
+                    for a, e in read[lang, p].find(code, known, inside):
+                        n, m = s.count("\n", 0, a), s.count("\n", 0, e)
+                        rows.append((f, p, n, s[a:e], "\n".join(lines[max(0, n - 1) : m + 2]), m, a - s.rfind("\n", 0, a) - 1, e - s.rfind("\n", 0, e) - 1))
+            yield _batch(rows, kind)
 
-    found = files.where(any_of).select(path, content).mapInPandas(run, "file_path string, pattern string, line int, text string, context string")
+    kind = "file_path string, pattern string, line int, text string, context string, end_line int, start_col int, end_col int"
+    found = files.where(any_of).select(path, "__lang", content).mapInArrow(run, kind)
     return found if top_k is None else found.orderBy("file_path", "line", "pattern").limit(top_k)
 
 
@@ -207,3 +144,46 @@ def find_callers(files: DataFrame, name: str, path: str = "file_path", content:
     """(file_path, line): where name is called, plain or on a receiver; once per line, the first top_k in order."""
     found = structural_search(files, [f"{name}($$$)", f"$RECV.{name}($$$)"], path, content, language)
     return found.select("file_path", "line").dropDuplicates().orderBy("file_path", "line").limit(top_k)
+
+
+def _struct(ddl: str) -> StructType:
+    """A type of strings and integers; analysis runs where there is no session to parse it."""
+    return StructType([StructField(n, StringType() if t == "string" else IntegerType()) for n, t in (c.split() for c in ddl.split(", "))])
+
+
+class _Chunks:
+    """symbol_chunks_of the files of a table argument (file_path, language, content; other columns aren't read), for SQL."""
+
+    @staticmethod
+    def analyze(files: AnalyzeArgument, most: AnalyzeArgument | None = None) -> AnalyzeResult:
+        if not files.isTable:
+            raise ValueError("code_chunks takes a table of files")
+        if missing := {"file_path", "language", "content"} - {f.name for f in files.dataType.fields}:
+            raise ValueError(f"code_chunks needs the columns {sorted(missing)}")
+        return AnalyzeResult(_struct(f"file_path string, {_CHUNK}"))
+
+    def eval(self, files: Row, most: int = 512) -> Iterator[tuple]:
+        for c in symbol_chunks_of(files["content"] or "", files["language"], most):
+            yield (files["file_path"], *c)
+
+
+class _Matches:
+    """Matches of a code pattern in the files of a table argument, as structural_search gives them, for SQL."""
+
+    @staticmethod
+    def analyze(files: AnalyzeArgument, pattern: AnalyzeArgument) -> AnalyzeResult:
+        if not files.isTable or not isinstance(pattern.value, str) or not pattern.value.strip():
+            raise ValueError("code_matches takes a table of files and a pattern")
+        return AnalyzeResult(_struct("file_path string, line int, end_line int, text string"))
+
+    def eval(self, files: Row, pattern: str) -> Iterator[tuple]:
+        s = files["content"]
+        if s and files["language"] in syntax.LANGUAGES:
+            for a, e in find_pattern(s, pattern, files["language"]):
+                yield files["file_path"], s.count("\n", 0, a), s.count("\n", 0, e), s[a:e]
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make code_chunks(TABLE(files) [, most]) and code_matches(TABLE(files), pattern) callable from SQL; PARTITION BY may follow the table."""
+    spark.udtf.register("code_chunks", udtf(_Chunks))
+    spark.udtf.register("code_matches", udtf(_Matches))

@@ -8,6 +8,7 @@ from trailhead.functions import text as X
 from trailhead.functions.porter import porter
 from trailhead.operators import chunking, drift, fts, telemetry, vectors
 from trailhead.operators.graph import latest
+from trailhead.plans import fixtures
 from trailhead.plans.registry import query
 from trailhead.plans.sql_tables import TOKEN_SET, TOKENS, WORDS
 
@@ -395,7 +396,7 @@ def placeholders(t):
 _SPAN = "CASE WHEN k % 3 = 0 THEN 12 ELSE 0 END"
 
 
-@query("py_chunks", f"""SELECT file_path, 0 AS start_line, {_SPAN} AS end_line, NULL AS symbol_name, 'preamble' AS symbol_kind, NULL AS parent_scope FROM code_files
+@query("py_chunks", f"""SELECT file_path, 0 AS start_line, {_SPAN} AS end_line, '_preamble' AS symbol_name, 'preamble' AS symbol_kind, NULL AS parent_scope FROM code_files
 UNION ALL SELECT file_path, 3, 4, concat('f', k), 'function_definition', NULL FROM code_files UNION ALL SELECT file_path, 7, 9, concat('C', k), 'class_definition', NULL FROM code_files""")
 def py_chunks(t):
     return chunking.symbol_chunks(t.code_files()).select("file_path", "start_line", "end_line", "symbol_name", "symbol_kind", "parent_scope")
@@ -404,14 +405,56 @@ def py_chunks(t):
 @query("structural_search", """SELECT file_path, 'print($$$)' AS pattern, 12 AS line, concat('print(f', k, '(1))') AS text, concat(chr(10), 'print(f', k, '(1))', chr(10)) AS context FROM code_files WHERE k % 3 = 0
 UNION ALL SELECT file_path, '$RECV.run($X)', 9, concat('self.run(', k, ')'), concat('    def load(self):', chr(10), '        return self.run(', k, ')', chr(10)) FROM code_files""")
 def structural_search(t):
-    return chunking.structural_search(t.code_files(), ["print($$$)", "$RECV.run($X)"], language="python")
+    return chunking.structural_search(t.code_files(), ["print($$$)", "$RECV.run($X)"], language="python").select("file_path", "pattern", "line", "text", "context")
 
 
 @query("structural_first", "SELECT * FROM (SELECT file_path, 4 AS line, 'run(x)' AS text FROM code_files UNION ALL SELECT file_path, 9, concat('run(', k, ')') FROM code_files) ORDER BY file_path, line LIMIT 25")
 def structural_first(t):
-    return chunking.structural_search(t.code_files(), ["run($$$)"], top_k=25).select("file_path", "line", "text")
+    return chunking.structural_search(t.code_files(), ["run($$$)"], top_k=25, inside=True).select("file_path", "line", "text")
 
 
 @query("find_callers", "SELECT * FROM (SELECT file_path, 4 AS line FROM code_files UNION ALL SELECT file_path, 9 FROM code_files) ORDER BY file_path, line LIMIT 50")
 def find_callers(t):
     return chunking.find_callers(t.code_files(), "run", language="python")
+
+
+def _quoted(text: str | None) -> str:
+    return "NULL" if text is None else "replace('" + text.replace("'", "''") + "', '~', CAST(k AS VARCHAR))"
+
+
+def _code_chunks_sql() -> str:
+    """The chunks of mixed_code by how its sources are put together: each symbol's lines and text, and the preamble up to what is no symbol."""
+    out = []
+    for form, parts in (*fixtures.CODE_PARTS.items(), ("big", fixtures.CODE_BIG)):
+        at, last, text = 0, None, ""
+        for kind, name, scope, part in parts:
+            body, text = part.rstrip("\n"), text + part + "\n"
+            end = at + body.count("\n")
+            if kind:
+                out.append((form, at, end, name, kind, scope, body))
+            else:
+                last = end
+            at += part.count("\n") + 1
+        if form != "big":
+            out.append((form, 0, last, "_preamble", "preamble", None, "\n".join(text.split("\n")[: last + 1])))
+    return " UNION ALL ".join(f"SELECT file_path, {a} AS start_line, {b} AS end_line, {_quoted(n)} AS symbol_name, '{k}' AS symbol_kind, {_quoted(sc)} AS parent_scope, sha256({_quoted(body)}) AS content_hash FROM mixed_code WHERE form = '{f}'" for f, a, b, n, k, sc, body in out)
+
+
+@query("code_chunks", _code_chunks_sql())
+def code_chunks(t):
+    """Chunks of sources in three languages, through SQL."""
+    chunking.register_functions(t.spark)
+    return t.spark.sql("SELECT file_path, start_line, end_line, symbol_name, symbol_kind, parent_scope, sha2(content, 256) AS content_hash FROM code_chunks(TABLE({files}))", files=t.mixed_code())
+
+
+_MATCHES = [(lang, p, *m) for lang, p, found in fixtures.CODE_MATCHES for m in found]
+
+
+@query("code_patterns", " UNION ALL ".join(f"SELECT file_path, '{p}' AS pattern, {a} AS line, {b} AS end_line, {_quoted(text)} AS text FROM mixed_code WHERE form = '{lang}'" for lang, p, a, b, text in _MATCHES))
+def code_patterns(t):
+    """Matches of code patterns in three languages: variables are tied, strings and comments are no code."""
+    found = None
+    for lang in fixtures.CODE_PARTS:
+        hits = chunking.structural_search(t.mixed_code(), [p for x, p, _ in fixtures.CODE_MATCHES if x == lang], language=lang)
+        found = hits if found is None else found.union(hits)
+    return found.select("file_path", "pattern", "line", "end_line", "text")

@@ -161,3 +161,4 @@ CTES["gate_row"] = "SELECT CASE WHEN count(*) = 0 THEN 'no_eval_history' WHEN bo
 CTES["issues"] = """SELECT 'staleness' AS checker, file, concat('not touched for ', CAST((now - last) // 86400 AS BIGINT), ' days') AS message, 'warning' AS severity FROM freshness, fresh_now WHERE (now - last) // 86400 > 30
   UNION ALL SELECT 'commits', file, concat(commits, ' commits since'), 'info' FROM freshness WHERE commits > 10"""
 CTES["fresh_now"] = "SELECT max(last) AS now FROM freshness"
+CTES["mixed_code"] = "SELECT p_partkey AS k, concat('src/m', p_partkey) AS file_path, CASE WHEN p_partkey % 6 = 5 THEN 'big' ELSE ['rust', 'typescript', 'python'][p_partkey % 3 + 1] END AS form FROM part"

@@ -152,6 +152,16 @@ class Tables:
         end = F.when(F.col("k") % 3 == 0, F.concat(F.lit("\n\nprint(f"), "k", F.lit("(1))\n"))).otherwise("")
         return self._parts().select("k", F.concat(F.lit("src/p"), "k", F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), F.concat(body, end).alias("content"))
 
+    def mixed_code(self) -> DataFrame:
+        """A source per part in Rust, TypeScript or Python; every sixth's is one large Rust module."""
+        from trailhead.plans import fixtures
+
+        whole = {lang: "\n".join(x[3] for x in parts) for lang, parts in (*fixtures.CODE_PARTS.items(), ("big", fixtures.CODE_BIG))}
+        k = F.col("k")
+        pick = lambda of: F.when(k % 6 == 5, of("big")).when(k % 3 == 0, of("rust")).when(k % 3 == 1, of("typescript")).otherwise(of("python"))
+        language = pick(lambda x: F.lit("rust" if x == "big" else x))
+        return self._parts().select("k", F.concat(F.lit("src/m"), "k").alias("file_path"), language.alias("language"), F.replace(pick(lambda x: F.lit(whole[x])), F.lit("~"), k.cast("string")).alias("content"))
+
     def script_docs(self) -> DataFrame:
         body = F.concat(F.lit("use npm run "), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit(", pnpm "), F.lower("p_type"), F.lit(" or yarn --frozen; then pnpm run ("), "p_size", F.lit(") and npm run \""), "p_brand", F.lit("\"."), F.when(F.col("k") % 5 == 0, " npm run").otherwise(""))
         return self._parts().select(F.concat(F.lit("docs/p"), "k", F.lit(".md")).alias("file"), body.alias("body"))
