@@ -73,6 +73,11 @@ def boosted(results: DataFrame, boosts: DataFrame) -> DataFrame:
     return r.select("query_id", "chunk_id", "score", F.row_number().over(best).alias("place"))
 
 
+def query_words(text: str) -> list[str]:
+    """A query's words as the index has them: lower-cased, marks folded away."""
+    return re.findall(r"[^\W_]+", text.lower().translate(str.maketrans(X.FOLD_FROM, X.FOLD_TO)))
+
+
 class Parser:
     """The query grammar: terms (all must occur), prefix*, "phrases", AND, OR, NOT, (groups) and column:filters."""
 
@@ -128,7 +133,7 @@ class Parser:
                 self.tokens.insert(self.at, m[2])
             return self._leaf(m[1])
         if t.startswith('"'):
-            return ("phrase", column, re.findall(r"[^\W_]+", t.lower()))
+            return ("phrase", column, query_words(t))
         return ("prefix", column, t[:-1].lower()) if t.endswith("*") else ("term", column, t.lower())
 
 
@@ -156,7 +161,7 @@ def matches(tree: tuple, columns: dict[str, Column]) -> Column:
     if kind == "in":
         return matches(tree[2], {tree[1]: columns[tree[1]]})
     if kind == "term":
-        parts = re.findall(r"[^\W_]+", tree[2])
+        parts = query_words(tree[2])
         if len(parts) != 1:
             return matches(("phrase", tree[1], parts), columns)
         return leaf(lambda c: F.array_contains(c, parts[0]), tree[1])

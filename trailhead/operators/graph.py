@@ -15,14 +15,19 @@ DONE = ("verified", "merged")
 TRANSITIONS = (("draft", "approved"), ("draft", "rejected"), ("approved", "in_progress"), ("approved", "rejected"), ("in_progress", "in_review"), ("in_progress", "rejected"), ("in_review", "verified"), ("in_review", "rejected"), ("in_review", "in_progress"), ("verified", "merged"), ("blocked", "approved"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder of spark.checkpoint.dir, read back: iterative plans restart from files. Where the setting is absent
-    a folder under /tmp serves if all of Spark runs on this machine; on a cluster that is an error."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir. Where the setting is absent a folder under /tmp serves if all of Spark runs on this machine; on a
+    cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/trailhead/{name}-{uuid.uuid4().hex}"
+    return (base or "file:///tmp/checkpoints").rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder, read back: iterative plans restart from files."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/trailhead/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path

@@ -8,9 +8,11 @@ from trailhead.functions import text as X
 from trailhead.functions.porter import porter
 from trailhead.operators import chunking, drift, fts, telemetry, vectors
 from trailhead.operators.graph import latest
+from trailhead.operators.text_index import TextIndex
 from trailhead.plans import fixtures
-from trailhead.plans.registry import query
-from trailhead.plans.sql_tables import TOKEN_SET, TOKENS, WORDS
+from trailhead.plans.registry import ORACLE, query, with_tables
+from trailhead.plans.sql_tables import CTES, TOKEN_SET, TOKENS, WORDS
+from trailhead.sources.snapshots import scratch_table
 
 
 _LANGUAGE = "CASE " + " ".join(f"WHEN ends_with(file_path, '.{e}') THEN '{lang}'" for e, lang in X.LANGUAGES.items()) + " END"
@@ -124,6 +126,12 @@ def stems(t):
 
 @query("bm25_search", "SELECT query_id, place, chunk_id, score FROM bm25_top")
 def bm25_search(t):
+    return t.index().bm25(t.search_queries())
+
+
+@query("bm25_scan", "SELECT query_id, place, chunk_id, score FROM bm25_top")
+def bm25_scan(t):
+    """The same by a scan of all chunks, without an index."""
     return fts.bm25(t.chunks(), t.search_queries())
 
 
@@ -183,13 +191,13 @@ def fts_grammar(t):
 h AS (SELECT *, list_transform(w, lambda x: list_has_any({TOKENS.format('x').replace('lambda t: t', 'lambda y: y')}, terms)) AS hit FROM r), f AS (SELECT *, greatest(1, coalesce(list_position(hit, true), 0) - 4) AS first FROM h)
 SELECT query_id, chunk_id, concat(CASE WHEN first > 1 THEN '...' ELSE '' END, array_to_string(list_transform(range(first, least(first + 32, len(w) + 1)), lambda i: CASE WHEN hit[i] THEN '>>>' || w[i] || '<<<' ELSE w[i] END), ' '), CASE WHEN first + 32 <= len(w) THEN '...' ELSE '' END) AS snippet FROM f""")
 def snippet(t):
-    r = fts.bm25(t.chunks(), t.search_queries()).join(t.chunks().select("chunk_id", "content"), "chunk_id").join(t.search_queries().select("query_id", "terms"), "query_id")
+    r = t.index().bm25(t.search_queries()).join(t.chunks().select("chunk_id", "content"), "chunk_id").join(t.search_queries().select("query_id", "terms"), "query_id")
     return r.select("query_id", "chunk_id", fts.snippet(F.col("content"), F.col("terms")).alias("snippet"))
 
 
 @query("search_groundedness", f"SELECT query_id, count(*) AS results, round(avg(CASE WHEN len(q) > 0 THEN CAST(len(list_intersect(q, d)) AS DOUBLE) / len(q) ELSE 0 END), 6) AS groundedness FROM (SELECT b.query_id, {TOKEN_SET.format('s.text')} AS q, {TOKEN_SET.format('c.content')} AS d FROM bm25_top b JOIN chunks c USING (chunk_id) JOIN search_queries s USING (query_id)) GROUP BY 1")
 def search_groundedness(t):
-    r = fts.bm25(t.chunks(), t.search_queries()).join(t.chunks().select("chunk_id", "content"), "chunk_id").join(t.search_queries().select("query_id", "text"), "query_id")
+    r = t.index().bm25(t.search_queries()).join(t.chunks().select("chunk_id", "content"), "chunk_id").join(t.search_queries().select("query_id", "text"), "query_id")
     g = X.groundedness(X.token_set(F.col("text")), X.token_set(F.col("content")))
     return r.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.round(F.avg(g), 6).alias("groundedness"))
 
@@ -198,7 +206,7 @@ def search_groundedness(t):
 def boosted_search(t):
     a = t.document_access()
     boosts = telemetry.access_boost(a, a.agg(F.max("accessed_at").alias("now")))
-    return fts.boosted(fts.bm25(t.chunks(), t.search_queries()).join(t.chunks().select("chunk_id", "file_path"), "chunk_id"), boosts)
+    return fts.boosted(t.index().bm25(t.search_queries()).join(t.chunks().select("chunk_id", "file_path"), "chunk_id"), boosts)
 
 
 # all runs of three: those that begin at the first, second and third place, three characters apart
@@ -294,7 +302,7 @@ def store_vectors(t):
 
 @query("retrieval_metadata", f"SELECT query_id, 'strategy=hybrid' AS strategy, false AS cache_used, round(avg(CASE WHEN len(q) > 0 THEN CAST(len(list_intersect(q, d)) AS DOUBLE) / len(q) ELSE 0 END), 6) AS quality_signal FROM (SELECT b.query_id, {TOKEN_SET.format('s.text')} AS q, {TOKEN_SET.format('c.content')} AS d FROM bm25_top b JOIN chunks c USING (chunk_id) JOIN search_queries s USING (query_id)) GROUP BY 1")
 def retrieval_metadata(t):
-    r = fts.bm25(t.chunks(), t.search_queries()).join(t.chunks().select("chunk_id", "content"), "chunk_id").join(t.search_queries().select("query_id", "text"), "query_id")
+    r = t.index().bm25(t.search_queries()).join(t.chunks().select("chunk_id", "content"), "chunk_id").join(t.search_queries().select("query_id", "text"), "query_id")
     return fts.retrieval_metadata(r.withColumn("quality", X.groundedness(X.token_set(F.col("text")), X.token_set(F.col("content")))), "strategy=hybrid")
 
 
@@ -458,3 +466,33 @@ def code_patterns(t):
         hits = chunking.structural_search(t.mixed_code(), [p for x, p, _ in fixtures.CODE_MATCHES if x == lang], language=lang)
         found = hits if found is None else found.union(hits)
     return found.select("file_path", "pattern", "line", "end_line", "text")
+
+
+_HAS = "list_contains(tokens, {0})"
+_RUN = "contains(' ' || array_to_string({0}, ' ') || ' ', ' ' || array_to_string({1}, ' ') || ' ')"
+_ANY_RUN = "(" + " OR ".join(_RUN.format(f, "{0}") for f in ("paths", "names", "body", "kinds")) + ")"
+_BEGUN = "len(list_filter(tokens, lambda x: starts_with(x, {0}))) > 0"
+
+
+@query("index_search", f"""SELECT query_id, count(*) AS chunks, min(chunk_id) AS first_chunk, max(chunk_id) AS last_chunk FROM
+(SELECT query_id, query_id % 6 AS k, terms, {TOKENS.format('text')} AS w FROM search_queries) q, (SELECT *, list_concat(paths, names, body, kinds) AS tokens FROM chunk_fields) c
+WHERE CASE WHEN k = 0 THEN {_ANY_RUN.format('w[1 + query_id % 5 : 3 + query_id % 5 + query_id % 3]')} WHEN k = 1 THEN {_HAS.format('terms[1]')} AND {_HAS.format('terms[2]')}
+  WHEN k = 2 THEN ({_HAS.format('terms[1]')} OR {_HAS.format('terms[2]')}) AND NOT {_HAS.format('terms[3]')} WHEN k = 3 THEN {_BEGUN.format('substr(terms[1], 1, 3 + query_id % 6)')}
+  WHEN k = 4 THEN {_RUN.format('body', 'w[1:2]')} AND {_BEGUN.format('w[5]')} ELSE list_contains(paths, 'en') AND {_HAS.format('terms[1]')} END GROUP BY 1""")
+def index_search(t):
+    """A table of search strings over the stored index: phrases and prefixes of any length, AND, OR, NOT and columns."""
+    found = t.index().search(t.query_strings(), k=None)
+    return found.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"))
+
+
+@query("index_increments")
+def index_increments(t):
+    """Searches after an index of an older tree was brought up to date: files of source src3 came in, those of src5 went, French ones changed."""
+    index, files = TextIndex(t.spark, scratch_table(t.spark, "index"), buckets=16), t.hashed_files()
+    older = files.where("source <> 'src3'").withColumn("content", F.when(F.col("language") == "fr", F.concat("content", F.lit(" the license"))).otherwise(F.col("content")))
+    index.build(older.withColumn("content_hash", F.sha2("content", 256)), t.chunks_of)
+    index.build(files.where("source <> 'src5'"), t.chunks_of)
+    return index.bm25(t.search_queries())
+
+
+ORACLE["index_increments"] = with_tables("SELECT query_id, place, chunk_id, score FROM bm25_top").replace(CTES["files"], f"SELECT * FROM ({CTES['files']}) WHERE source <> 'src5'")

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from trailhead.functions import text as X
 from trailhead.operators.chunking import line_chunks
+from trailhead.operators.text_index import TextIndex
 from trailhead.schemas import INTENT_KINDS, INTENT_STATUSES
+from trailhead.sources.snapshots import scratch_table
+
+#: Folders of the indexes that this process has built, by application, data folder and stemming.
+_INDEXES: dict[tuple, str] = {}
 
 
 def epoch(ts: str) -> Column:
@@ -64,11 +69,38 @@ class Tables:
         """The tree's snapshot: files of source src5 are gone."""
         return self.files().where("source <> 'src5'").select("file_path", F.sha2("content", 256).alias("content_hash"))
 
-    def chunks(self) -> DataFrame:
-        c = line_chunks(self.files(), "content", 50)
+    @staticmethod
+    def chunks_of(files: DataFrame) -> DataFrame:
+        c = line_chunks(files, "content", 50)
         c = c.withColumn("symbol_name", F.concat_ws("_", "language", (F.col("start_line") / 50).cast("int")))
         return c.withColumn("chunk_id", F.concat_ws(":", "file_path", "start_line", "end_line", F.md5(F.col("content").cast("binary"))))
 
+    def chunks(self) -> DataFrame:
+        return self.chunks_of(self.files())
+
+    def hashed_files(self) -> DataFrame:
+        return self.files().withColumn("content_hash", F.sha2("content", 256))
+
+    def index(self, stem: bool = False) -> TextIndex:
+        """The folder's stored index, which the first search of an application builds."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, stem)
+        if key not in _INDEXES:
+            index = TextIndex(self.spark, scratch_table(self.spark, "index"), stem=stem)
+            index.build(self.hashed_files(), self.chunks_of)
+            _INDEXES[key] = index.path
+        return TextIndex(self.spark, _INDEXES[key], stem=stem)
+
+    def query_strings(self) -> DataFrame:
+        """A search string of a benchmark item, by its number: a phrase, terms with AND, OR and NOT, a prefix, and mixtures with columns."""
+        q = self.search_queries().select("query_id", "terms", X.index_tokens(F.col("text")).alias("w"))
+        quoted = lambda words: F.concat(F.lit('"'), F.array_join(words, " "), F.lit('"'))
+        t = [F.col("terms")[i] for i in range(3)]
+        k = F.col("query_id") % 6
+        text = F.when(k == 0, quoted(F.expr("slice(w, 1 + cast(query_id % 5 as int), 3 + cast(query_id % 3 as int))"))).when(k == 1, F.concat(t[0], F.lit(" AND "), t[1]))
+        text = text.when(k == 2, F.concat(F.lit("("), t[0], F.lit(" OR "), t[1], F.lit(") NOT "), t[2])).when(k == 3, F.concat(F.substring(t[0], F.lit(1), (3 + F.col("query_id") % 6).cast("int")), F.lit("*")))
+        text = text.when(k == 4, F.concat(F.lit("content:"), quoted(F.slice("w", 1, 2)), F.lit(" "), F.col("w")[4], F.lit("*"))).otherwise(F.concat(F.lit("file_path:en "), t[0]))
+        return q.select("query_id", text.alias("query"))
+
     def search_queries(self) -> DataFrame:
         """A query per benchmark item: its three longest words, alphabetically among equals."""
         t = F.transform(F.array_distinct(X.index_tokens(F.col("text"))), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
