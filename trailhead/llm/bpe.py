@@ -296,7 +296,7 @@ def _over(path: str, pattern: str, column: int, of, cache: int = CACHE):
         codec = Codec.load(path, pattern)
         codec.cache = cache
         try:
-            for part, texts in parts(batches, column, most=1 << 20):
+            for part, texts in parts(batches, column, most=min(1 << 20, max(1 << 16, cache >> 6))):
                 yield of(codec, part, codec.encode_batch([t or "" for t in texts]))
         finally:
             codec.forget()

@@ -192,33 +192,38 @@ def _links(docs: DataFrame, k: int, percent: int, classes: np.ndarray, known_doc
     rooted = long.select("s", "node").join(stay, "node", "left_semi").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
     crowd = cut(rooted.join(mixed, "s", "left_semi").select("node").distinct(), "jj-crowd")
-    own = _sets_of(docs, k, crowd, known_docs, clash).select("node", F.size("s").alias("n"), F.explode("s").alias("s")).withColumn("s", F.shiftrightunsigned("s", 24))
-    own = cut(own, "jj-own")
-    counts = own.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    common = own.join(counts, "s").withColumn("common", F.count(F.lit(1)).over(Window.partitionBy("node")))
-    order = Window.partitionBy("node").orderBy("c", "s")  # a window holds one document's shingles
-    common = common.withColumn("pos", F.col("n") - F.col("common") + F.row_number().over(order) - 1)
-    least = F.floor((percent * F.col("n") + 99) / 100)  # a set with fewer shingles in common with the rest links with none of it
-    common = cut(common.where(F.col("common") >= least).select("s", "node", "n", "pos", (F.col("n") - F.col("common")).alias("alone")), "jj-common")
-
-    # copies that differ from one another more than from what they were made of: their reference is the set with the fewest shingles of its own
-    hubs = common.groupBy("s").agg(F.min(F.struct("alone", "node")).alias("m")).select("s", F.col("m.node").alias("hub"))
-    votes = common.join(hubs, "s").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
-    refs2 = cut(votes.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select(F.col("node").alias("u"), F.col("m.hub").alias("v")), "jj-refs")
-    near2 = cut(compare(refs2).where(f"100 * both >= {percent} * (nu + nv - both)"), "jj-near")
-    comp = extend(comp, near2.select("u", "v"))
-    ref2 = near2.select(F.col("u").alias("node"), F.col("v").alias("ref"), (F.col("nu") - F.col("both")).alias("extra"))
-    ref = ref2.union(ref.join(ref2.select("node"), "node", "left_anti"))
-    ref = cut(ref.join(crowd.select(F.col("node").alias("ref"), F.lit(True).alias("inside")), "ref", "left").select("node", "ref", "extra", "inside"), "jj-ref")
+    crowded = not crowd.isEmpty()
+    if crowded:
+        own = _sets_of(docs, k, crowd, known_docs, clash).select("node", F.size("s").alias("n"), F.explode("s").alias("s")).withColumn("s", F.shiftrightunsigned("s", 24))
+        own = cut(own, "jj-own")
+        counts = own.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        common = own.join(counts, "s").withColumn("common", F.count(F.lit(1)).over(Window.partitionBy("node")))
+        order = Window.partitionBy("node").orderBy("c", "s")  # a window holds one document's shingles
+        common = common.withColumn("pos", F.col("n") - F.col("common") + F.row_number().over(order) - 1)
+        least = F.floor((percent * F.col("n") + 99) / 100)  # a set with fewer shingles in common with the rest links with none of it
+        common = cut(common.where(F.col("common") >= least).select("s", "node", "n", "pos", (F.col("n") - F.col("common")).alias("alone")), "jj-common")
+
+        # copies that differ from one another more than from what they were made of: their reference is the set with the fewest shingles of its own
+        hubs = common.groupBy("s").agg(F.min(F.struct("alone", "node")).alias("m")).select("s", F.col("m.node").alias("hub"))
+        votes = common.join(hubs, "s").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
+        refs2 = cut(votes.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select(F.col("node").alias("u"), F.col("m.hub").alias("v")), "jj-refs")
+        near2 = cut(compare(refs2).where(f"100 * both >= {percent} * (nu + nv - both)"), "jj-near")
+        comp = extend(comp, near2.select("u", "v"))
+        ref2 = near2.select(F.col("u").alias("node"), F.col("v").alias("ref"), (F.col("nu") - F.col("both")).alias("extra"))
+        ref = ref2.union(ref.join(ref2.select("node"), "node", "left_anti"))
+        ref = cut(ref.join(crowd.select(F.col("node").alias("ref"), F.lit(True).alias("inside")), "ref", "left").select("node", "ref", "extra", "inside"), "jj-ref")
+    else:
+        ref = ref.withColumn("inside", F.lit(None).cast("boolean"))
 
     # shingles that a set has alone in the crowd are in no other set of it; its reference may hold them if it isn't inside the crowd
-    apart = cut(common.select("node", "alone").distinct(), "jj-apart")
+    apart = cut(common.select("node", "alone").distinct(), "jj-apart") if crowded else None
     pairs = _candidates(short.withColumn("alone", F.lit(0)), ref, comp, percent).withColumn("crowd", F.lit(False))
-    head = F.col("n") - least + 1
-    pairs2 = _candidates(common.where(F.col("pos") < head).select("s", "node", "n", "pos", "alone", F.lit(0).alias("h"), F.lit(True).alias("stays")), ref, comp, percent, 0)
-    pairs = pairs.union(pairs2.withColumn("crowd", F.lit(True))).groupBy("ref1", "ref2").agg(F.min("lo1").alias("lo1"), F.min("lo2").alias("lo2"), F.max("e1").alias("e1"), F.max("e2").alias("e2"), F.min("crowd").alias("crowd"))
+    if crowded:
+        head = F.col("n") - least + 1
+        pairs2 = _candidates(common.where(F.col("pos") < head).select("s", "node", "n", "pos", "alone", F.lit(0).alias("h"), F.lit(True).alias("stays")), ref, comp, percent, 0)
+        pairs = pairs.union(pairs2.withColumn("crowd", F.lit(True))).groupBy("ref1", "ref2").agg(F.min("lo1").alias("lo1"), F.min("lo2").alias("lo2"), F.max("e1").alias("e1"), F.max("e2").alias("e2"), F.min("crowd").alias("crowd"))
     pairs = cut(pairs, "jj-pairs")
-    discard(shared, refs, own, common)
+    discard(shared, refs, crowd, *((own, common) if crowded else ()))
     sweep(docs.sparkSession)
     over = compare(pairs.select(F.col("ref1").alias("u"), F.col("ref2").alias("v")))
     over = pairs.withColumnsRenamed({"ref1": "u", "ref2": "v"}).join(over, ["u", "v"])
@@ -231,7 +236,8 @@ def _links(docs: DataFrame, k: int, percent: int, classes: np.ndarray, known_doc
     open_ = open_.select("u", "v", "both", "crowd", "lo2", "e2")
     if open_.isEmpty():
         return comp
-    who = heads.select("node", "n").join(ref, "node", "left").join(comp, "node", "left").join(apart, "node", "left")
+    who = heads.select("node", "n").join(ref, "node", "left").join(comp, "node", "left")
+    who = who.join(apart, "node", "left") if crowded else who.withColumn("alone", F.lit(None).cast("int"))
     who = who.select("node", "n", F.when(F.col("alone").isNotNull(), F.when(F.col("inside"), F.col("alone")).otherwise(0)).alias("alone"), F.coalesce("ref", "node").alias("ref"), F.coalesce("extra", F.lit(0)).alias("extra"), F.coalesce("root", "node").alias("root"))
     a = who.select(*[F.col(c).alias(f"{c}1") for c in who.columns])
     b = who.select(*[F.col(c).alias(f"{c}2") for c in who.columns])
@@ -324,14 +330,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int =
     twice = cut(c.where("doc is not null").groupBy("doc").count().where("count > 1").select("doc"), "jj-twice")
     n = twice.count()
     lost = cut(c.where("doc <> component_id").select("doc").union(twice).distinct(), "jj-lost")
-    named_lost = small_side(lost.select(F.col("doc").alias(key)), lost.count())
-    out = docs.join(named_lost, key, "left_anti").select(*map(named, docs.columns))
+    # a row travels as one value, so no column of docs' can clash with a column of the plan
+    whole = docs.select(named(key).alias("doc"), named(text).alias("text"), F.struct(*map(named, docs.columns)).alias("row"))
+    out = whole.join(small_side(lost, lost.count()), "doc", "left_anti").select("row.*")
     if not n:
         return out
     # of the rows with a component's smallest key one stays, that of the smallest node
-    stay = c.where("doc = component_id and n > 0").join(small_side(twice, n), "doc", "left_semi").groupBy("doc", "root").agg(F.min("node").alias("__node"))
-    stay = stay.select(F.col("doc").alias(key), "__node").distinct()
-    again = docs.join(small_side(twice.withColumnRenamed("doc", key), n), key, "left_semi").withColumn("__node", _node_of(named(text), k, clash))
-    full = again.join(stay, [key, "__node"], "left_semi").dropDuplicates([key, "__node"])
-    columns = [named(x) for x in docs.columns]
-    return out.unionByName(full.select(*columns)).unionByName(again.where("__node is null").select(*columns))
+    stay = c.where("doc = component_id and n > 0").join(small_side(twice, n), "doc", "left_semi").groupBy("doc", "root").agg(F.min("node").alias("node"))
+    again = whole.join(small_side(twice, n), "doc", "left_semi").withColumn("node", _node_of(F.col("text"), k, clash))
+    full = again.join(stay.select("doc", "node").distinct(), ["doc", "node"], "left_semi").dropDuplicates(["doc", "node"])
+    return out.unionByName(full.select("row.*")).unionByName(again.where("node is null").select("row.*"))
