@@ -14,7 +14,7 @@ from trailhead.llm.common import BATCH, cut
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of the encoder's cache in a task: its executor still holds the heap that the near-copy stage has touched.
-CACHE = 32 << 20
+CACHE = 16 << 20
 
 
 def _settle(spark: SparkSession) -> None:
