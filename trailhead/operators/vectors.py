@@ -2,54 +2,123 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailhead.functions import text as X
 from trailhead.operators.graph import written
 
 
-def _slot(digest: Column, at: int, dims: int) -> Column:
-    return (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") % dims).cast("int")
-
+# What isn't a letter or digit of ASCII is a blank to the encoder; A-Z are lower-cased.
+_ENCODED = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256)).lower()
+_CODE = np.full(256, 0, np.int64)
+_CODE[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = range(36)
+#: Words whose digests a worker keeps.
+KEPT_WORDS = 200_000
+
+
+class _Hasher:
+    """Slots and signed weights of features by their digests; those of all trigrams are a table."""
+
+    _made: dict[int, _Hasher] = {}
+
+    def __init__(self, dims: int):
+        self.dims = dims
+        letters = b"0123456789abcdefghijklmnopqrstuvwxyz"
+        self.grams = self.of([bytes((x, y, z)) for x in letters for y in letters for z in letters])
+        self.words: dict[bytes, int] = {}
+        self.known = (np.zeros((0, 3), np.int64), np.zeros((0, 3)))
+
+    @classmethod
+    def get(cls, dims: int) -> _Hasher:
+        if dims not in cls._made:
+            cls._made[dims] = cls(dims)
+        return cls._made[dims]
+
+    def of(self, features: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Per feature three slots, and the weights that it adds there, by 32 and 8 bits of its digest each."""
+        d = np.frombuffer(b"".join(hashlib.md5(f).digest() for f in features), np.uint8).reshape(-1, 16)
+        slots = np.ascontiguousarray(d[:, :12]).view(">u4").astype(np.int64) % self.dims
+        sign = 1.0 - 2.0 * (d[:, 12:14] % 2)
+        return slots, np.stack([sign[:, 0], 0.5 * sign[:, 1], np.full(len(d), 0.25)], 1)
+
+    def rows(self, words: list[bytes]) -> np.ndarray:
+        if len(self.words) > KEPT_WORDS:
+            self.words, self.known = {}, (np.zeros((0, 3), np.int64), np.zeros((0, 3)))
+        fresh = list(dict.fromkeys(w for w in words if w not in self.words))
+        if fresh:
+            slots, weights = self.of(fresh)
+            weights = weights * np.array([1.0 + min(len(w), 12) / 12.0 for w in fresh])[:, None]
+            self.words |= dict(zip(fresh, range(len(self.words), len(self.words) + len(fresh)), strict=True))
+            self.known = np.concatenate([self.known[0], slots]), np.concatenate([self.known[1], weights])
+        return np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Normalised vectors of texts, a row each, and which slots their features touched."""
+        out, touched = np.zeros((len(texts), self.dims)), np.zeros((len(texts), self.dims), bool)
+        split = [(t or "").encode("utf-8", "surrogatepass").translate(_ENCODED).split() for t in texts]
+        rows = self.rows([w for words in split for w in words])
+        ends = np.cumsum([len(words) for words in split])
+        for i, words in enumerate(split):
+            if not words:
+                out[i, 0], touched[i, 0] = 1.0, True
+                continue
+            code = _CODE[np.frombuffer(b"".join(words), np.uint8)]
+            grams = code[:-2] * 1296 + code[1:-1] * 36 + code[2:]
+            at = rows[ends[i] - len(words) : ends[i]]
+            slots = np.concatenate([self.grams[0][grams].ravel(), self.known[0][at].ravel()])
+            weights = np.concatenate([0.35 * self.grams[1][grams].ravel(), self.known[1][at].ravel()])
+            out[i] = np.bincount(slots, weights, self.dims)
+            touched[i, slots] = True
+            norm = np.sqrt((out[i] ** 2).sum())
+            if norm > 0:
+                out[i] /= norm
+        return out, touched
+
+
+def _encoded(texts: DataFrame, key: str, text: str, dims: int, more: str, give) -> DataFrame:
+    schema = texts.select(key).schema
+    for field in texts.sparkSession.createDataFrame([], more).schema:
+        schema = schema.add(field)
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _Hasher.get(dims)
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), *give(*hasher.encode(part.column(1).to_pylist()))], names)
 
-def _sign(digest: Column, at: int) -> Column:
-    return F.when(F.conv(F.substring(digest, at, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
+    return texts.select(key, text).mapInArrow(run, schema)
 
 
 def embed_features(texts: DataFrame, key: str, text: str, dims: int = 384) -> DataFrame:
     """(key, dim, value): L2-normalised feature-hash embeddings in sparse form.
 
     A token weighs 1 + min(its length, 12) / 12, a trigram of the text without blanks 0.35; each adds to three slots chosen, like two of the
-    signs, by its digest. Features are counted per text before they are shuffled, and hashed once per text. Texts without tokens give 1 at slot 0.
+    signs, by its digest. Null texts and texts without tokens give 1 at slot 0. One narrow pass: a text is encoded on its own.
     """
-    t = texts.select(key, X.encoder_text(F.col(text)).alias("n"))
-    words = F.transform(X.words(F.col("n")), lambda w: F.struct(w.alias("f"), (F.lit(1.0) + F.least(F.length(w), F.lit(12)) / 12.0).alias("w")))
-    grams = F.transform(X.trigrams(F.col("n")), lambda g: F.struct(g.alias("f"), F.lit(0.35).alias("w")))
-    has = F.size(X.words(F.col("n"))) > 0
-    f = t.select(key, F.explode(F.concat(words, grams)).alias("x")).groupBy(key, "x.f", "x.w").agg(F.count(F.lit(1)).alias("c"))
-    f = f.select(key, (F.col("w") * F.col("c")).alias("w"), F.md5(F.col("f").cast("binary")).alias("d"))
-    slots = F.array(
-        F.struct(_slot(F.col("d"), 1, dims).alias("dim"), (F.col("w") * _sign(F.col("d"), 25)).alias("v")),
-        F.struct(_slot(F.col("d"), 9, dims).alias("dim"), (F.col("w") * 0.5 * _sign(F.col("d"), 27)).alias("v")),
-        F.struct(_slot(F.col("d"), 17, dims).alias("dim"), (F.col("w") * 0.25).alias("v")),
-    )
-    s = f.select(key, F.explode(slots).alias("s")).groupBy(key, "s.dim").agg(F.sum("s.v").alias("v"))
-    empty = t.where(~has).select(key, F.lit(0).alias("dim"), F.lit(1.0).alias("v"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
-    return s.union(empty).select(key, "dim", F.when(norm > 0, F.col("v") / norm).otherwise(0.0).alias("value"))
+
+    def give(v: np.ndarray, touched: np.ndarray) -> list[pa.Array]:
+        ends = np.concatenate(([0], np.cumsum(touched.sum(1)))).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(np.nonzero(touched)[1], pa.int32()), pa.array(v[touched])], ["dim", "value"])
+        return [pa.ListArray.from_arrays(pa.array(ends), pairs)]
+
+    return _encoded(texts, key, text, dims, "m array<struct<dim: int, value: double>>", give).select(key, F.inline("m"))
 
 
 def embed(texts: DataFrame, key: str, text: str, dims: int = 384, kind: str = "float") -> DataFrame:
     """(key, vector): dense embeddings, of single precision or another kind of number."""
-    sparse = embed_features(texts, key, text, dims).groupBy(key).agg(F.collect_list(F.struct("dim", "value")).alias("m"))  # at most dims entries
-    empty = F.array_except(F.sequence(F.lit(0), F.lit(dims - 1)), F.transform("m", lambda e: e["dim"]))
-    whole = F.sort_array(F.concat("m", F.transform(empty, lambda d: F.struct(d.alias("dim"), F.lit(0.0).alias("value")))))
-    return sparse.select(key, F.transform(whole, lambda e: e["value"].cast(kind)).alias("vector"))
+
+    def give(v: np.ndarray, touched: np.ndarray) -> list[pa.Array]:
+        return [pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dims, dtype=np.int32)), pa.array(v.ravel()))]
+
+    dense = _encoded(texts, key, text, dims, "vector array<double>", give)
+    return dense if kind == "double" else dense.withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
 
 
 def _packed(df: DataFrame, key: str, vec: str, extra: str | None, size: int, name: str) -> tuple[DataFrame, int]:

@@ -278,7 +278,7 @@ _NEAR = f"{_embed_sql(_TEXTS)}, q AS (SELECT CAST(substr(doc_id, 2) AS BIGINT) A
 
 @query("hybrid_rrf", f"WITH lex AS (SELECT query_id, chunk_id AS item, place FROM bm25_top), {_NEAR}, u AS (SELECT query_id, item, round(sum(1.0 / (60 + place)), 9) AS score FROM (SELECT * FROM lex UNION ALL SELECT * FROM near WHERE place <= 10) GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS place FROM u) WHERE place <= 10")
 def hybrid_rrf(t):
-    lex = fts.bm25(t.chunks(), t.search_queries()).select("query_id", F.col("chunk_id").alias("item"), "place")
+    lex = t.index().bm25(t.search_queries()).select("query_id", F.col("chunk_id").alias("item"), "place")
     return fts.rrf(lex.union(vectors.semantic(t.chunks(), t.search_queries()).select("query_id", F.col("chunk_id").alias("item"), "place")))
 
 
