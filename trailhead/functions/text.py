@@ -174,6 +174,23 @@ def placeholders(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"\{\{\s*(\w+)\s*\}\}"), F.lit(1))))
 
 
+def render(template: Column, variables: Column) -> Column:
+    """template with {{ name }} replaced by variables' (a map) value, in one pass: values aren't looked at again, and unknown names and braces that
+    don't close stay as they are."""
+    none = F.lit(None).cast("string")
+    parts = F.split(template, r"\{\{", -1)
+
+    def fold(acc: Column, part: Column) -> Column:
+        body = F.when(acc["open"].isNull(), part).otherwise(F.concat(acc["open"], F.lit("{{"), part))
+        end = F.instr(body, F.lit("}}"))
+        value = F.try_element_at(variables, F.regexp_replace(F.substring(body, F.lit(1), end - 1), r"^\s+|\s+$", ""))
+        done = F.when(value.isNull(), F.concat(F.lit("{{"), body)).otherwise(F.concat(value, F.substring(body, end + 2, F.length(body))))
+        return F.when(end == 0, F.struct(acc["text"].alias("text"), body.alias("open"))).otherwise(F.struct(F.concat(acc["text"], done).alias("text"), none.alias("open")))
+
+    start = F.struct(parts[0].alias("text"), none.alias("open"))
+    return F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, fold, lambda acc: F.concat(acc["text"], F.when(acc["open"].isNull(), "").otherwise(F.concat(F.lit("{{"), acc["open"]))))
+
+
 def wrapped_json(c: Column) -> Column:
     """What stands from the first { to the last }."""
     return F.regexp_extract(c, r"(?s)\{.*\}", 0)

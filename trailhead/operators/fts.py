@@ -185,6 +185,23 @@ def snippet(content: Column, terms: Column, size: int = 32) -> Column:
     return F.concat(F.when(first > 1, "...").otherwise(""), F.array_join(marked, " "), F.when(first + size <= F.size(w), "...").otherwise(""))
 
 
+def best_snippets(rows: DataFrame, content: str, terms: str, size: int = 32, out: str = "snippet") -> DataFrame:
+    """rows plus out: of all stretches of size words that begin with a hit the one with the most distinct terms, the earliest among equals, in the middle
+    of size words; hits between >>> and <<<, dots where text is left out. Without hits the text's beginning; null for a null text."""
+    names = rows.columns
+    r = rows.withColumn("w_", X.words(F.col(content)))
+    r = r.withColumn("hit_", F.transform("w_", lambda t: F.array_intersect(X.index_tokens(t), F.col(terms))))
+    places = F.when(F.size("w_") > 0, F.sequence(F.lit(1), F.size("w_"))).otherwise(F.array().cast("array<int>"))
+    r = r.withColumn("at_", F.filter(places, lambda i: F.size(F.element_at("hit_", i)) > 0))
+    r = r.withColumn("score_", F.transform("at_", lambda i: F.size(F.array_distinct(F.flatten(F.slice("hit_", i, F.lit(size)))))))
+    r = r.withColumn("start_", F.get("at_", (F.array_position("score_", F.array_max("score_")) - 1).cast("int")))
+    r = r.withColumn("last_", F.array_max(F.filter("at_", lambda i: i < F.col("start_") + size)))
+    r = r.withColumn("first_", F.coalesce(F.greatest(F.lit(1), F.col("start_") - F.floor((size - (F.col("last_") - F.col("start_") + 1)) / 2).cast("int")), F.lit(1)))
+    marked = F.transform(F.slice("w_", F.col("first_"), F.lit(size)), lambda t, i: F.when(F.size(F.element_at("hit_", i + F.col("first_"))) > 0, F.concat(F.lit(">>>"), t, F.lit("<<<"))).otherwise(t))
+    text = F.concat(F.when(F.col("first_") > 1, "...").otherwise(""), F.array_join(marked, " "), F.when(F.col("first_") + size <= F.size("w_"), "...").otherwise(""))
+    return r.withColumn(out, F.when(F.col(content).isNotNull(), text)).select(*[c for c in names if c != out], out)
+
+
 def rrf(rankings: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:
     """Reciprocal rank fusion of rankings (query_id, item, place): the sum of 1 / (constant + place)."""
     s = rankings.groupBy("query_id", "item").agg(F.round(F.sum(1.0 / (constant + F.col("place"))), 9).alias("score"))

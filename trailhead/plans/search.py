@@ -195,6 +195,19 @@ def snippet(t):
     return r.select("query_id", "chunk_id", fts.snippet(F.col("content"), F.col("terms")).alias("snippet"))
 
 
+_TOKENS_OF_X = TOKENS.format("x").replace("lambda t: t", "lambda y: y")
+
+
+@query("best_snippet", rf"""WITH r AS (SELECT b.query_id, b.chunk_id, q.terms, {WORDS.format('c.content')} AS w FROM bm25_top b JOIN chunks c USING (chunk_id) JOIN search_queries q USING (query_id)),
+h AS (SELECT *, list_transform(w, lambda x: list_intersect({_TOKENS_OF_X}, terms)) AS hit FROM r), a AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: len(hit[i]) > 0) AS at_ FROM h),
+s AS (SELECT *, list_transform(at_, lambda i: len(list_distinct(flatten(hit[i : i + 31])))) AS score FROM a), b AS (SELECT *, at_[list_position(score, list_max(score))] AS start FROM s),
+f AS (SELECT *, coalesce(greatest(1, start - (32 - (list_max(list_filter(at_, lambda i: i < start + 32)) - start + 1)) // 2), 1) AS first FROM b)
+SELECT query_id, chunk_id, concat(CASE WHEN first > 1 THEN '...' ELSE '' END, array_to_string(list_transform(range(first, least(first + 32, len(w) + 1)), lambda i: CASE WHEN len(hit[i]) > 0 THEN '>>>' || w[i] || '<<<' ELSE w[i] END), ' '), CASE WHEN first + 32 <= len(w) THEN '...' ELSE '' END) AS snippet FROM f""")
+def best_snippet(t):
+    r = t.index().bm25(t.search_queries()).join(t.chunks().select("chunk_id", "content"), "chunk_id").join(t.search_queries().select("query_id", "terms"), "query_id")
+    return fts.best_snippets(r, "content", "terms").select("query_id", "chunk_id", "snippet")
+
+
 @query("search_groundedness", f"SELECT query_id, count(*) AS results, round(avg(CASE WHEN len(q) > 0 THEN CAST(len(list_intersect(q, d)) AS DOUBLE) / len(q) ELSE 0 END), 6) AS groundedness FROM (SELECT b.query_id, {TOKEN_SET.format('s.text')} AS q, {TOKEN_SET.format('c.content')} AS d FROM bm25_top b JOIN chunks c USING (chunk_id) JOIN search_queries s USING (query_id)) GROUP BY 1")
 def search_groundedness(t):
     r = t.index().bm25(t.search_queries()).join(t.chunks().select("chunk_id", "content"), "chunk_id").join(t.search_queries().select("query_id", "text"), "query_id")
@@ -401,6 +414,14 @@ def placeholders(t):
     return t.doc_templates().select("id", F.array_join(X.placeholders(F.col("body")), ",").alias("names"))
 
 
+@query("render_templates", "SELECT c_custkey AS id, concat('# <', c_custkey, '{{n1}}>', chr(10), 'by ', CASE WHEN c_nationkey % 2 = 0 THEN concat('N', c_nationkey) ELSE concat('{{n', c_nationkey, '}}') END, ' {{ x y }} about <', c_custkey, '{{n1}}>') AS text FROM customer")
+def render_templates(t):
+    """Templates with variables of their own: one whose value looks like a variable, one that only every other row has."""
+    c = t.raw("customer").select(F.col("c_custkey").alias("id"), F.lower("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("n"))
+    known = F.map_from_arrays(F.array("segment", F.when(F.col("n") % 2 == 0, F.concat(F.lit("n"), "n")).otherwise("other")), F.array(F.concat(F.lit("<"), "id", F.lit("{{n1}}>")), F.concat(F.lit("N"), "n")))
+    return t.doc_templates().join(c, "id").select("id", X.render(F.col("body"), known).alias("text"))
+
+
 _SPAN = "CASE WHEN k % 3 = 0 THEN 12 ELSE 0 END"
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trailhead.functions import text as X
-from trailhead.operators import drift, evals, telemetry
+from trailhead.operators import drift, evals, sketches, telemetry
+from trailhead.operators.graph import written
 from trailhead.plans.registry import query
+from trailhead.sources.snapshots import scratch_table
+from trailhead.streaming.sinks import LatestSink
 
 
 @query("session_summary", "SELECT session_id, worktree_id, count(*) AS events, count(DISTINCT tool) AS tools, round(avg(result_count), 6) AS avg_results, round(avg(latency_ms), 6) AS avg_latency, round(avg(groundedness_score), 6) AS avg_groundedness, min(created_at) AS started, max(created_at) AS ended, max(created_at) - min(created_at) AS duration FROM scoped_events GROUP BY 1, 2")
@@ -151,3 +154,47 @@ def health_scores(t):
     drifted = drift.score(drift.staleness(f, f.agg(F.max("last").alias("now")), 30, 10)).select(F.col("score").alias("drift_score"))
     last = evals.latest_runs(runs).join(evals.regression(runs).select("id", "state"), "id").crossJoin(F.broadcast(eval_gate(runs))).crossJoin(F.broadcast(drifted))  # gate and score are one row
     return last.select("golden_set", "overall_score", "state", "gate", "drift_score", grade(F.col("overall_score") * 100).alias("grade"))
+
+
+_WEEK = "created_at // 86400 BETWEEN (SELECT min(created_at) // 86400 FROM tool_events) + 2 AND (SELECT min(created_at) // 86400 FROM tool_events) + 20"
+
+
+@query("approximate_usage", f"SELECT tool, count(*) AS calls, true AS sessions_near, true AS latency_near FROM tool_events WHERE {_WEEK} GROUP BY tool")
+def approximate_usage(t):
+    """Stored daily sketches merged over a range of days, held against the exact figures: sessions within a twentieth, latency quantiles within three
+    hundredths of their ranks."""
+    e = t.tool_events()
+    first = e.agg(F.floor(F.min("created_at") / sketches.DAY)).first()[0]  # one value
+    if first is None:
+        return t.spark.createDataFrame([], "tool string, calls long, sessions_near boolean, latency_near boolean")
+    stored = written(sketches.daily(e), "sketches")
+    got = sketches.over(stored, first + 2, first + 20)
+    days = e.withColumn("day", F.floor(F.col("created_at") / sketches.DAY)).where(F.col("day").between(first + 2, first + 20))
+    exact = days.groupBy("tool").agg(F.countDistinct("session_id").alias("n"))
+    met = days.join(F.broadcast(got.select("tool", "latency")), "tool").groupBy("tool").agg(*[F.avg((F.col("latency_ms") < F.col("latency")[i]).cast("double")).alias(f"lo{i}") for i in (0, 1)], *[F.avg((F.col("latency_ms") <= F.col("latency")[i]).cast("double")).alias(f"hi{i}") for i in (0, 1)])  # a row per tool
+    near = (F.col("lo0") <= 0.53) & (F.col("hi0") >= 0.47) & (F.col("lo1") <= 0.98) & (F.col("hi1") >= 0.92)
+    return got.join(exact, "tool").join(met, "tool").select("tool", "calls", (F.abs(F.col("sessions") - F.col("n")) <= F.greatest(F.lit(1.0), F.col("n") / 20)).alias("sessions_near"), near.alias("latency_near"))
+
+
+_LANED = "(SELECT *, regexp_extract(strategy, 'lane=([^;]*)', 1) AS lane FROM scoped_events)"
+
+
+@query("usage_cube", f"SELECT tool, lane, worktree_id, CAST(grouping(tool, lane, worktree_id) AS BIGINT) AS level, count(*) AS calls, CAST(sum(latency_ms) AS BIGINT) AS latency_ms FROM {_LANED} GROUP BY CUBE (tool, lane, worktree_id)")
+def usage_cube(t):
+    e = telemetry.scoped(t.tool_events()).withColumn("lane", F.regexp_extract("strategy", "lane=([^;]*)", 1))
+    return sketches.usage_cube(e, ["tool", "lane", "worktree_id"])
+
+
+@query("usage_rollup", "SELECT worktree_id, session_id, tool, CAST(grouping(worktree_id, session_id, tool) AS BIGINT) AS level, count(*) AS calls, CAST(sum(latency_ms) AS BIGINT) AS latency_ms FROM scoped_events GROUP BY ROLLUP (worktree_id, session_id, tool)")
+def usage_rollup(t):
+    return sketches.usage_rollup(telemetry.scoped(t.tool_events()), ["worktree_id", "session_id", "tool"])
+
+
+@query("stream_latest", "SELECT path, id, timestamp, agent FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY timestamp DESC, id DESC) AS r FROM activity) WHERE r = 1")
+def stream_latest(t):
+    """The activity's table read as a stream into an exactly-once sink that keeps each path's latest event. Runs the stream to its end."""
+    kind = "path string, order_ struct<timestamp: long, id: long>, agent string"
+    sink = LatestSink(t.spark, scratch_table(t.spark, "latest"), kind, "path", "order_")
+    stream = t.streamed().activity().select("path", F.struct("timestamp", "id").alias("order_"), "agent")
+    sink.start(stream, scratch_table(t.spark, "latest-checkpoint")).awaitTermination()
+    return sink.frame().select("path", "order_.id", "order_.timestamp", "agent")

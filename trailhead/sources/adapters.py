@@ -33,6 +33,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def streamed(self) -> Tables:
+        """The same tables as streams of their files, a file or more a batch."""
+        return _Streamed(self.spark, self.sf_dir)
+
     def tool_events(self) -> DataFrame:
         e = self.raw("events")
         k = F.get_json_object("props", "$.k").cast("int")
@@ -250,3 +254,12 @@ class Tables:
         """Edges that are there, new ones and loops."""
         o = self.raw("orders").select(F.col("o_orderkey").alias("i")).where("i % 10 = 0 and i > 0")
         return o.select(F.concat(F.lit("i"), "i").alias("from_id"), F.concat(F.lit("i"), F.when(F.col("i") % 3 == 0, F.col("i")).when(F.col("i") % 3 == 1, F.expr("i div 2")).otherwise(F.col("i") + 1)).alias("to_id"), F.lit("depends_on").alias("kind"))
+
+
+class _Streamed(Tables):
+    def raw(self, name: str) -> DataFrame:
+        table, path = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"), f"{self.sf_dir}/{name}.parquet"
+        reader = self.spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 16)
+        if any(f.endswith(f"/{name}.parquet") for f in table.inputFiles()):  # a file, not a folder of files
+            return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+        return reader.parquet(path)

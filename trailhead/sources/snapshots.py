@@ -79,10 +79,10 @@ class BucketTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def apply(self, upserts: DataFrame | None, deletes: DataFrame | None = None) -> int:
+    def apply(self, upserts: DataFrame | None, deletes: DataFrame | None = None, tag: dict | None = None) -> int:
         """Commit upserts (all columns; of rows with one key the greatest stays) and deletes (column key); the new state's number.
 
-        A key that is in both is upserted. Rows without a key are left out.
+        A key that is in both is upserted. Rows without a key are left out. tag: what else is committed in the same state.
         """
         names = self.schema.names
         new = self.spark.createDataFrame([], self.schema) if upserts is None else upserts.select(*names)
@@ -99,7 +99,7 @@ class BucketTable:
             rows.repartition(len(touched), "bucket").write.partitionBy("bucket").parquet(folder)
             made = {n.removeprefix("bucket=") for n in self.snapshots.names(folder) if n.startswith("bucket=")}
             at = {b: v for b, v in at.items() if int(b) not in touched} | dict.fromkeys(made, version)
-        return self.snapshots.commit({"buckets": at}, number)
+        return self.snapshots.commit((tag or {}) | {"buckets": at}, number)
 
     def vacuum(self, keep: int = 1) -> list[str]:
         """Delete what none of the last ``keep`` states refers to; the folders deleted."""
