@@ -104,3 +104,30 @@ def test_nearest_few_and_none(spark):
     assert search(spark, []) == {}
     got = search(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])])
     assert [k for k, _ in got[0]] == [1, 3, 2]
+
+
+@pytest.mark.parametrize("spread", [0.5, 1.0, None])
+def test_graph_search_where_norms_differ(spread):
+    """Norms of a log-normal spread, or one vector ten times as long as the others: all rows stay nodes, and a query scores a part of them."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.exp(spread * rng.standard_normal((len(x), 1))) if spread else np.where(np.arange(len(x)) == 0, 10.0, 1.0)[:, None]
+    order, bands = ann._bands(x)
+    x = x[order]
+    graphs = []
+    for lo, hi in ann._ranges(bands):
+        lifted = ann._lift(x[lo:hi])
+        graphs.append(ann.Graph(lifted, scale=(lifted[:, :-1] ** 2).sum(1)))
+    assert all((g.rep == np.arange(len(g.x))).all() for g in graphs)
+    parts = [b"".join(p) for p in zip(*[(g.edges.tobytes(), g.rep.tobytes(), np.int32(g.start).tobytes()) for g in graphs])]
+    shard = ann.Shard(48, np.arange(len(x)).tobytes(), np.ones(len(x), np.int64).tobytes(), x.tobytes(), *parts, bands.astype(np.int32).tobytes(), "f8")
+    scored = []
+    for _, _, g, _ in shard.parts:
+        g.search = lambda q, beam, f=g.search: (lambda r: (scored.append(int((r[0] >= 0).sum())), r)[1])(f(q, beam))
+    some = np.arange(0, len(x), 50)
+    got = shard.look(x[some], some, 20, 100)
+    exact = x[some] @ x.T
+    exact[np.arange(len(some)), some] = -np.inf
+    hits = sum(len(set(np.argsort(-e)[:20].tolist()) & {k for k, _ in g}) for e, g in zip(exact, got))
+    assert hits >= 0.95 * 20 * len(some) and sum(scored) <= 0.3 * len(x) * len(some)

@@ -3,7 +3,8 @@
 Every row is in the index: rows are dealt by a hash into shards of about ``shard`` distinct vectors, so an index part has a bounded
 size. A shard's graph is built in growing batches (greedy beam searches propose neighbours, relaxed distance pruning keeps
 diverse edges, reverse edges are pruned when they overflow), as in DiskANN. Inner products become distances by one more
-component. A vector within a small ball around a node stands behind it: it isn't a node of its own (a group of near copies would
+component. Where norms differ a shard holds a graph per band of norms, searched from the longest vectors on until no band can hold a
+better score. A vector within a small ball around a node stands behind it: it isn't a node of its own (a group of near copies would
 fill every beam that meets it) but is scored whenever the node is found. The index is a table, a packed row per shard. A task reads one
 shard once and streams packed blocks of queries past it, so what moves are the queries; few shards are read by several tasks.
 """
@@ -22,12 +23,14 @@ from trailhead.llm.textops import list_column, tidy
 
 class Graph:
     """A robust-pruned graph over the rows of x (float32), by Euclidean distance. rep: each row's node, itself or one at a
-    squared distance of at most ball."""
+    squared distance of at most ball times both rows' scale (their own squared norms before they were lifted; 1 if none is given), so that
+    how far apart near copies are doesn't hang on the longest vector."""
 
     #: Nodes of a beam that are expanded in one round.
     AT_ONCE = 4
 
-    def __init__(self, x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2, ball: float = 0.05, seed: int = 3):
+    def __init__(self, x: np.ndarray, degree: int = 32, beam: int = 64, alpha: float = 1.2, ball: float = 0.05, seed: int = 3, scale: np.ndarray | None = None):
+        self.scale = np.ones(len(x), np.float32) if scale is None else scale
         self.x, self.degree, self.slots, self.alpha, self.beam = x, degree, degree + degree // 2, alpha, beam
         n = len(x)
         self.edges, self.rep = np.full((n, self.slots), -1, np.int32), np.arange(n, dtype=np.int32)
@@ -41,7 +44,7 @@ class Graph:
             batch = order[done : done + max(8, min(done, 2048))]
             done += len(batch)
             found, dist = self.search(x[batch], beam)
-            near = dist[:, 0] <= ball
+            near = dist[:, 0] <= ball * np.minimum(self.scale[batch], self.scale[found[:, 0]])
             self.rep[batch[near]] = found[near, 0]
             batch, found, dist = batch[~near], found[~near], dist[~near]
             own = self._balls(batch, ball)
@@ -53,7 +56,8 @@ class Graph:
         """Which rows of a batch become nodes; the others stand behind an earlier row of it."""
         v = self.x[batch]
         vv = (v * v).sum(1)
-        close = vv[:, None] + vv[None, :] - 2 * v @ v.T <= ball
+        of = self.scale[batch]
+        close = vv[:, None] + vv[None, :] - 2 * v @ v.T <= ball * np.minimum(of[:, None], of[None, :])
         free = np.ones(len(batch), bool)
         own = np.zeros(len(batch), bool)
         for i in range(len(batch)):
@@ -180,14 +184,38 @@ class Graph:
             self.edges[nodes[full], : self.degree] = self._prune(nodes[full], cand, dist)
 
 
-def _lift(x: np.ndarray) -> tuple[np.ndarray, float]:
+def _lift(x: np.ndarray) -> np.ndarray:
     """Vectors with one more component, after which the nearest by distance has the largest inner product; scaled to at most 1."""
     top = float(np.sqrt((x * x).sum(1).max(initial=0))) or 1.0
     x = x / top
-    return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))[:, None]], 1).astype(np.float32), top
+    return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))[:, None]], 1).astype(np.float32)
 
 
-INDEX = "dim int, shard int, shards int, ids binary, counts binary, vectors binary, edges binary, rep binary, start int"
+#: Norms of a band lie within this factor, but for bands of fewer vectors than this, which go with the next.
+FACTOR, FEW = 1.25, 64
+
+
+def _bands(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of vectors by bands of their norms, the longest first, and the bands' sizes. Among vectors of like norms the lifted ones'
+    distances tell directions apart; where norms differ much they would mostly tell the norms apart."""
+    norm = np.sqrt((x * x).sum(1))
+    band = np.rint(np.log(norm.max(initial=0) / norm) / np.log(FACTOR)).astype(np.int64)
+    order = np.argsort(band, kind="stable")
+    sizes: list[int] = []
+    for n in np.unique(band, return_counts=True)[1].tolist():
+        if sizes and sizes[-1] < FEW:
+            sizes[-1] += n
+        else:
+            sizes.append(n)
+    return order, np.array(sizes, np.int64)
+
+
+def _ranges(sizes: np.ndarray) -> list[tuple[int, int]]:
+    ends = np.cumsum(sizes)
+    return list(zip((ends - sizes).tolist(), ends.tolist(), strict=True))
+
+
+INDEX = "dim int, shard int, shards int, ids binary, counts binary, vectors binary, edges binary, rep binary, starts binary, bands binary"
 
 
 def _good(df: DataFrame, key: str, vec: str) -> tuple[DataFrame, str]:
@@ -209,9 +237,17 @@ def build_index(df: DataFrame, key: str, vec: str, shard: int = 16384, degree: i
         v = part.column("v")
         x = matrix(v.chunk(0) if isinstance(v, pa.ChunkedArray) else v, np.arange(len(part)), dim)
         nodes, of = np.unique(x, axis=0, return_inverse=True)
-        of, keys = np.unique(np.stack([of.reshape(-1), part.column("k").to_numpy()]), axis=1)  # by node, then key
-        g = Graph(_lift(nodes)[0], degree, beam, alpha)
-        made = (dim, at, shards, keys.tobytes(), np.bincount(of, minlength=len(nodes)).astype(np.int64).tobytes(), nodes.astype(kind).tobytes(), g.edges.tobytes(), g.rep.tobytes(), getattr(g, "start", 0))
+        order, bands = _bands(nodes)
+        place = np.empty(len(nodes), np.int64)
+        place[order] = np.arange(len(nodes))
+        nodes = nodes[order]
+        of, keys = np.unique(np.stack([place[of.reshape(-1)], part.column("k").to_numpy()]), axis=1)  # by node, then key
+        graphs = []
+        for lo, hi in _ranges(bands):
+            lifted = _lift(nodes[lo:hi])
+            graphs.append(Graph(lifted, degree, beam, alpha, scale=(lifted[:, :-1] ** 2).sum(1)))
+        edges, rep, starts = (b"".join(x) for x in zip(*[(g.edges.tobytes(), g.rep.tobytes(), np.int32(g.start).tobytes()) for g in graphs], strict=True))
+        made = (dim, at, shards, keys.tobytes(), np.bincount(of, minlength=len(nodes)).astype(np.int64).tobytes(), nodes.astype(kind).tobytes(), edges, rep, starts, bands.astype(np.int32).tobytes())
         names = [c.split()[0] for c in INDEX.split(", ")]
         return pa.table([[c] for c in made], pa.schema([(n, pa.binary() if isinstance(c, bytes) else pa.int32()) for n, c in zip(names, made, strict=True)]))
 
@@ -225,29 +261,42 @@ def build_index(df: DataFrame, key: str, vec: str, shard: int = 16384, degree: i
 class Shard:
     """A shard of the index, unpacked for searches."""
 
-    def __init__(self, dim: int, ids: bytes, counts: bytes, vectors: bytes, edges: bytes, rep: bytes, start: int, kind: str):
+    def __init__(self, dim: int, ids: bytes, counts: bytes, vectors: bytes, edges: bytes, rep: bytes, starts: bytes, bands: bytes, kind: str):
         self.x = np.frombuffer(vectors, kind).reshape(-1, dim).astype(np.float64)
         self.counts, self.ids = np.frombuffer(counts, np.int64), np.frombuffer(ids, np.int64)
         self.first = np.cumsum(self.counts) - self.counts
-        self.graph = g = Graph.__new__(Graph)
-        g.x, g.start, g.edges = _lift(self.x)[0], start, np.frombuffer(edges, np.int32).reshape(len(self.x), -1)
-        g.rep = np.frombuffer(rep, np.int32)
-        self.members, self.begin, self.size = g.behind()
+        every, behind = np.frombuffer(edges, np.int32).reshape(len(self.x), -1), np.frombuffer(rep, np.int32)
+        self.parts = []
+        for (lo, hi), start in zip(_ranges(np.frombuffer(bands, np.int32)), np.frombuffer(starts, np.int32).tolist(), strict=True):
+            g = Graph.__new__(Graph)
+            g.x, g.start, g.edges, g.rep = _lift(self.x[lo:hi]), start, every[lo:hi], behind[lo:hi]
+            self.parts.append((lo, float(np.sqrt((self.x[lo:hi] ** 2).sum(1).max())), g, g.behind()))
 
     def look(self, q: np.ndarray, qid: np.ndarray, k: int, beam: int) -> list[list[tuple[int, float]]]:
-        """The k best (key, score) per query that a beam search finds, best first, equal scores by the smaller key."""
-        unit, out = q / np.linalg.norm(q, axis=1, keepdims=True), []
-        found, _ = self.graph.search(np.concatenate([unit, np.zeros((len(unit), 1))], 1).astype(np.float32), beam)
-        for i, row in enumerate(found):
-            row = row[row >= 0]
-            many = self.size[row]
-            row = self.members[np.repeat(self.begin[row] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
-            score = self.x[row] @ q[i]
-            # equal scores go by the smallest key behind the vector, its keys being in ascending order
-            top = np.lexsort((self.ids[self.first[row]], -score))[: k + 1]
-            # copies of one vector: the k + 1 smallest keys suffice, one may be the query's own
-            kk = [(v, s) for s, n in zip(score[top].tolist(), row[top].tolist(), strict=True) for v in self.ids[self.first[n] : self.first[n] + min(self.counts[n], k + 1)].tolist() if v != qid[i]]
-            out.append(sorted(kk, key=lambda t: (-t[1], t[0]))[:k])
+        """The k best (key, score) per query that beam searches find, best first, equal scores by the smaller key.
+
+        Bands are searched from the longest vectors on; one that can't hold a score as large as a query's k-th so far is skipped, which loses nothing.
+        """
+        norm = np.linalg.norm(q, axis=1)
+        lifted = np.concatenate([q / norm[:, None], np.zeros((len(q), 1))], 1).astype(np.float32)
+        out: list[list[tuple[int, float]]] = [[] for _ in q]
+        least = np.full(len(q), -np.inf)
+        for lo, top, graph, (members, begin, size) in self.parts:
+            go = np.flatnonzero(top * norm * (1 + 1e-9) >= least)
+            if not len(go):
+                break
+            found, _ = graph.search(lifted[go], beam)
+            for i, row in zip(go.tolist(), found, strict=True):
+                row = row[row >= 0]
+                many = size[row]
+                row = lo + members[np.repeat(begin[row] - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+                score = self.x[row] @ q[i]
+                # equal scores go by the smallest key behind the vector, its keys being in ascending order
+                best = np.lexsort((self.ids[self.first[row]], -score))[: k + 1]
+                # copies of one vector: the k + 1 smallest keys suffice, one may be the query's own
+                kk = [(v, s) for s, n in zip(score[best].tolist(), row[best].tolist(), strict=True) for v in self.ids[self.first[n] : self.first[n] + min(self.counts[n], k + 1)].tolist() if v != qid[i]]
+                out[i] = sorted(out[i] + kk, key=lambda t: (-t[1], t[0]))[:k]
+                least[i] = out[i][-1][1] if len(out[i]) == k else -np.inf
         return out
 
 
@@ -279,16 +328,16 @@ def search(queries: DataFrame, index: DataFrame, key: str, vec: str, k: int = 20
     sent = packed.join(plan, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("lane", F.pmod("block", "lanes"))
     there = index.drop("shards").join(plan.select("dim", "lanes"), "dim").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).withColumn("block", F.lit(-1))
     stream = there.drop("lanes").unionByName(sent.drop("shards", "blocks", "lanes"), allowMissingColumns=True)
-    names = ["dim", "block", "ids", "counts", "vectors", "edges", "rep", "start", "qids", "qvectors"]
+    names = ["dim", "block", "ids", "counts", "vectors", "edges", "rep", "starts", "bands", "qids", "qvectors"]
 
     def look(batches):
         shard = None
         for b in batches:
             for i in range(b.num_rows):
-                dim, at, *packed, start, qids, qvectors = (b.column(n)[i].as_py() for n in range(len(names)))
+                dim, at, *packed, qids, qvectors = (b.column(n)[i].as_py() for n in range(len(names)))
                 if at < 0:
                     shard = None  # before the next is unpacked
-                    shard = Shard(dim, *packed, start, kind)
+                    shard = Shard(dim, *packed, kind)
                     continue
                 q, qid = np.frombuffer(qvectors, own).reshape(-1, dim).astype(np.float64), np.frombuffer(qids, np.int64)
                 for lo in range(0, len(q), 256):
