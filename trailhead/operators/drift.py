@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailhead.functions import text as X
-from trailhead.operators.graph import by_pause
+from trailhead.operators.graph import by_pause, segments
 
 DEDUCTIONS = {"error": 10, "warning": 3, "info": 1}
 
@@ -69,12 +69,33 @@ def latest_in_window(activity: DataFrame, window: int) -> DataFrame:
     seconds old: id, path, agent, other_agent, age.
 
     In a path's order that event is the last before the current run of events by one agent: where the agent changes it is the row before, and
-    later rows of the run take it over. One sort, no join, whatever the number of a path's events.
+    later rows of the run take it over. Segments of the order are scanned in parallel; for the run that a segment begins with, the last event of each of
+    the two last agents of every earlier segment is enough, two rows a segment.
     """
-    w = Window.partitionBy("path").orderBy("timestamp", "id")
-    a = activity.withColumn("before", F.lag(F.struct("agent", "timestamp")).over(w))
-    changed = F.when(F.col("before.agent") != F.col("agent"), F.col("before"))
-    a = a.withColumn("other", F.last(changed, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    s = segments(activity, "path", "timestamp", "id")
+
+    def before(rows: DataFrame, *group: str) -> DataFrame:
+        w = Window.partitionBy(*group).orderBy("timestamp", "id")
+        changed = F.lag(F.struct("agent", "timestamp")).over(w)
+        rows = rows.withColumn("changed", F.when(changed["agent"] != F.col("agent"), changed))
+        return rows.withColumn("other", F.last("changed", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("changed")
+
+    local = before(s, "path", "seg")
+    last = F.max(F.struct("timestamp", "id", "agent", "other"))
+    ends = local.groupBy("path", "seg").agg(last.alias("e"), F.min(F.struct("timestamp", "id", "agent")).alias("f"))
+    # the last event, the one by another agent before it, and the first event, which asks
+    known = ends.select("path", "seg", F.explode(F.array(
+        F.struct(F.lit(True).alias("there"), F.lit(False).alias("asks"), F.col("e.timestamp").alias("timestamp"), F.col("e.id").alias("id"), F.col("e.agent").alias("agent")),
+        F.struct(F.col("e.other").isNotNull().alias("there"), F.lit(False).alias("asks"), F.col("e.other.timestamp").alias("timestamp"), F.lit(-(1 << 62)).alias("id"), F.col("e.other.agent").alias("agent")),
+        F.struct(F.lit(True).alias("there"), F.lit(True).alias("asks"), F.col("f.timestamp").alias("timestamp"), F.col("f.id").alias("id"), F.col("f.agent").alias("agent")),
+    )).alias("x")).select("path", "seg", "x.*").where("there")
+    # places by segment: what asks comes first in its own
+    w = Window.partitionBy("path").orderBy("seg", F.desc("asks"), "timestamp", "id")
+    changed = F.lag(F.struct("agent", "timestamp")).over(w)
+    known = known.withColumn("changed", F.when(changed["agent"] != F.col("agent"), changed))
+    known = known.withColumn("came", F.last("changed", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("asks")
+    side = known.select(F.col("path").alias("path_"), F.col("seg").alias("seg_"), "came")
+    a = local.join(side, F.col("path").eqNullSafe(F.col("path_")) & (F.col("seg") == F.col("seg_"))).withColumn("other", F.coalesce("other", "came"))
     age = F.col("timestamp") - F.col("other.timestamp")
     return a.where(age <= window).select("id", "path", "agent", F.col("other.agent").alias("other_agent"), age.alias("age"))
 

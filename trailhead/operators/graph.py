@@ -267,11 +267,30 @@ def resolve_prefix(ids: DataFrame, prefixes: DataFrame, head: str = "") -> DataF
     return r.select("prefix", n.alias("matches"), F.when(n == 0, "missing").when((n == 1) | same, "found").otherwise("ambiguous").alias("outcome"), F.when(same, F.col("full")).when(n == 1, F.col("id")).alias("id"))
 
 
+def segments(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """df, written, in the order of (group, *order) and cut into segments (column seg) of a range each: a group with most of the rows is many segments.
+    order must tell the rows of a group apart."""
+    by = [group, *order]
+    return written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("seg", F.spark_partition_id()), "segments")
+
+
 def by_pause(df: DataFrame, group: str, time: str, order: str, pause: int) -> DataFrame:
-    """df plus run: within a group, rows in order of (time, order) are cut into runs where at least pause passes. One streamed sort of a group."""
-    w = Window.partitionBy(group).orderBy(time, order)
-    new = F.coalesce((F.col(time) - F.lag(time).over(w) >= pause).cast("int"), F.lit(1))
-    return df.withColumn("new", new).withColumn("run", F.sum("new").over(w)).drop("new")
+    """df plus run: within a group, rows in order of (time, order) are cut into runs where at least pause passes.
+
+    Segments of the order are scanned in parallel, each to a summary (its first and last time, its pauses); the summaries of a group, a row a segment,
+    give what comes before each segment.
+    """
+    s = segments(df, group, time, order)
+    w = Window.partitionBy(group, "seg").orderBy(time, order)
+    new = F.coalesce((F.col(time) - F.lag(time).over(w) >= pause).cast("long"), F.lit(0).cast("long"))
+    local = s.withColumn("new", new).withColumn("run", F.sum("new").over(w))
+    summary = local.groupBy(group, "seg").agg(F.min(time).alias("lo"), F.max(time).alias("hi"), F.sum("new").alias("inner"))
+    every = Window.partitionBy(group).orderBy("seg")
+    opens = F.coalesce((F.col("lo") - F.lag("hi").over(every) >= pause).cast("long"), F.lit(1).cast("long"))
+    summary = summary.withColumn("opens", opens).withColumn("base", F.sum(F.col("opens") + F.col("inner")).over(every) - F.col("inner"))
+    base = summary.select(F.col(group).alias("group_"), F.col("seg").alias("seg_"), "base")
+    joined = local.join(base, F.col(group).eqNullSafe(F.col("group_")) & (F.col("seg") == F.col("seg_")))
+    return joined.withColumn("run", F.col("run") + F.col("base")).drop("new", "seg", "group_", "seg_", "base")
 
 
 def lock_outcomes(requests: DataFrame, lease: int = 3600) -> DataFrame:
