@@ -124,6 +124,13 @@ def stems(t):
     return words.select("token", porter(F.col("token")).alias("term"))
 
 
+@query("index_totals", "SELECT count(*) AS chunks, CAST(sum(len(tokens)) AS BIGINT) AS tokens FROM chunk_tokens")
+def index_totals(t):
+    """What the folder's stored index holds; builds it where this application hasn't yet."""
+    state = t.index().state()
+    return t.spark.range(1).select(F.lit(state["chunks"]).cast("long").alias("chunks"), F.lit(state["tokens"]).cast("long").alias("tokens"))
+
+
 @query("bm25_search", "SELECT query_id, place, chunk_id, score FROM bm25_top")
 def bm25_search(t):
     return t.index().bm25(t.search_queries())
