@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 DONE = ("verified", "merged")
@@ -25,12 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: iterative plans restart from files."""
-    spark = df.sparkSession
+    """df as a table in the shared folder, read back: iterative plans restart from files. Its rows, counted as they are written, are ``written_rows``."""
+    spark, seen = df.sparkSession, Observation()
     path = f"{shared_dir(spark)}/trailhead/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.written_path = path
+    out.written_path, out.written_rows = path, seen.get["n"]
     return out
 
 
@@ -72,8 +72,9 @@ def auto_block(intents: DataFrame, edges: DataFrame) -> DataFrame:
     return intents.where(~F.col("status").isin("blocked", "rejected", "merged", "verified")).join(hit, "id", "left_semi").select("id", "status", F.lit("blocked").alias("new_status"))
 
 
-#: Jumps over several edges are joined on while they are at most so many times the edges.
+#: Walks of one length are doubled while they are at most so many times the edges, or FEW in all.
 JUMPS = 4
+FEW = 4_000_000
 
 
 def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -82,60 +83,82 @@ def _joined(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def transitive(edges: DataFrame, starts: DataFrame, kind: str | None = "depends_on", most: int = 10_000, every: int = 8) -> DataFrame:
-    """(start, id): what each start depends on, over any number of edges; a start on a cycle reaches itself.
+    """(start, id): what each start depends on, over any number of edges; a start on a cycle reaches itself. Runs jobs while the plan is built.
 
-    Frontier rounds over jumps of up to a few edges, as long as these stay few: pairs found before are anti-joined away and each round is
-    deduplicated before the next join, so shared ancestors cost once and cycles end. What is found is put together in one table every few rounds.
-    Ends when a round finds nothing new; if that isn't so after ``most`` rounds, it is an error.
+    ``walks`` joins the ends of walks of exactly 1, 2, 4, 8 ... edges; a round adds to the pairs found (up to as many edges) those one walk further
+    and doubles the walks, so a path of d edges takes log d rounds. Where the walks become too many they stay as they are, and each round only
+    carries on the pairs that the last one found. Ends when a round finds nothing new; if that isn't so after ``most`` rounds, it is an error.
     """
     e = edges if kind is None else edges.where(F.col("kind") == kind)
-    e = written(e.select("from_id", "to_id").distinct(), "edges")
-    n = e.count()
-    jumps, reach = e, n
-    while True:  # all pairs up to 2, 4, 8 ... edges apart
-        wider = written(jumps.union(_joined(jumps, jumps)).distinct(), "jumps")
-        m = wider.count()
-        if m > JUMPS * n or m == reach:
-            dropped(wider)
-            break
-        jumps, reach = wider, m
-    seen = front = written(starts.select(F.col("id").alias("start"), "id").join(jumps, F.col("id") == F.col("from_id")).select("start", F.col("to_id").alias("id")).distinct(), "closure")
+    walks = written(e.where("from_id is not null and to_id is not null").select("from_id", "to_id").distinct(), "walks")
+    bound, grow = max(JUMPS * walks.written_rows, FEW), True
+    on = F.col("id") == F.col("from_id")
+    first = starts.where("id is not null").select("id").distinct()
+    seen = front = written(first.join(walks, on).select(F.col("id").alias("start"), F.col("to_id").alias("id")), "closure")
     parts = [seen]
     for _ in range(most):
-        step = front.join(jumps, F.col("id") == F.col("from_id")).select("start", F.col("to_id").alias("id")).distinct().join(seen, ["start", "id"], "left_anti")
-        front = written(step, "closure")
-        if front.isEmpty():
+        # the walks are as long as the longest path to a pair of seen, so those of front and one walk more are all that can be new
+        step = front.join(walks, on).select("start", F.col("to_id").alias("id")).distinct().join(seen, ["start", "id"], "left_anti")
+        new = written(step, "closure")
+        if not new.written_rows:
+            dropped(new, walks)
             return seen
-        parts.append(front)
+        parts.append(new)
         if len(parts) > every:
-            seen = written(seen.union(front), "closure")
+            seen = written(seen.union(new), "closure")
             dropped(*parts[:-1])
-            parts = [seen, front]
+            parts = [seen, new]
         else:
-            seen = seen.union(front)
+            seen = seen.union(new)
+        if grow:
+            longer = written(_joined(walks, walks), "walks")
+            grow = longer.written_rows <= bound
+            dropped(walks if grow else longer)
+            walks = longer if grow else walks
+        front = seen if grow else new
     raise RuntimeError(f"transitive: still finding pairs after {most} rounds")
 
 
+def _inner(walks: DataFrame) -> DataFrame:
+    """(id): nodes that walks both end in and start from."""
+    return walks.select(F.col("to_id").alias("id")).distinct().join(walks.select(F.col("from_id").alias("id")).distinct(), "id", "left_semi")
+
+
+def _within(e: DataFrame, nodes: DataFrame) -> DataFrame:
+    return e.join(nodes.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(nodes.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("from_id", "to_id")
+
+
 def _trimmed(e: DataFrame, most: int) -> DataFrame:
     """Edges (from_id, to_id) between nodes that have paths of any length both into and out of them: cycles and what lies between cycles.
 
-    Nodes without a path of a length into or out of them go; while the paths' end points are few, that length doubles with each round, so
-    long tails go in few rounds. Where nothing goes any more, every node has an edge in and one out.
+    Walks of exactly 1, 2, 4 ... edges are doubled while they are few, so long tails go in few rounds. Where as many nodes have walks of twice the length into and
+    out of them, all those nodes have longer ones too: a node whose longest walk is finite follows one for which it is just too short.
+    Where walks become too many, the edges are cut to the nodes found, and walks begin anew with them.
     """
-    n, paths = e.count(), e
+    bound = max(JUMPS * e.written_rows, FEW)
+    walks, n = e, -1
     for _ in range(most):
-        live = paths.select(F.col("to_id").alias("id")).distinct().join(paths.select(F.col("from_id").alias("id")).distinct(), "id", "left_semi")
-        live = written(live, "live")
-        kept = written(e.join(live.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(live.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("from_id", "to_id"), "trimmed")
-        m = kept.count()
+        m = _inner(walks).count()
         if m == n:
+            out = written(_within(e, _inner(walks)), "trimmed")
+            if walks is not e:
+                dropped(walks)
+            return out
+        longer = written(_joined(walks, walks), "walks")
+        if longer.written_rows <= bound:
+            if walks is not e:
+                dropped(walks)
+            walks, n = longer, m
+            continue
+        # too many: go on with the edges between the nodes found, whose own walks of one edge are few
+        kept = written(_within(e, _inner(walks)), "trimmed")
+        dropped(longer)
+        if walks is not e:
+            dropped(walks)
+        if kept.written_rows == e.written_rows:
             return kept
-        paths = paths.join(live.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(live.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select("from_id", "to_id")
-        longer = written(_joined(paths, paths), "paths")
-        if longer.count() > JUMPS * m:
-            dropped(longer)
-            longer = kept
-        e, n, paths = kept, m, longer
+        e = walks = kept
+        n = -1
     raise RuntimeError(f"cycle_nodes: nodes still go after {most} rounds")
 
 
@@ -144,17 +167,25 @@ def _least(e: DataFrame, most: int) -> DataFrame:
     along a path are in no order. The edges are doubled while they stay few, as in ``_trimmed``: after that, jumps of their length go on."""
     nodes = e.select(F.col("from_id").alias("id")).union(e.select(F.col("to_id").alias("id"))).distinct()
     low = written(nodes.select("id", F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("i")).alias("low")), "low")
-    hops, n, grow, before = e, e.count(), True, None
+    hops, bound, grow, before = e, max(JUMPS * e.count(), FEW), True, None
     for _ in range(most):
         sent = hops.join(low.select(F.col("id").alias("from_id"), "low"), "from_id").select(F.col("to_id").alias("id"), "low")
-        low = written(low.union(sent).groupBy("id").agg(F.min("low").alias("low")), "low")
+        less = written(low.union(sent).groupBy("id").agg(F.min("low").alias("low")), "low")
+        dropped(low)
+        low = less
         state = tuple(low.agg(F.sum(F.xxhash64("id", "low").cast("decimal(38,0)"))).first())
         if state == before:
+            if hops is not e:
+                dropped(hops)
             return low
         before = state
         if grow:
             wider = written(_joined(hops, hops), "hops")
-            grow = wider.count() <= JUMPS * n
+            grow = wider.written_rows <= bound
+            if not grow:
+                dropped(wider)
+            elif hops is not e:
+                dropped(hops)
             hops = wider if grow else hops
     raise RuntimeError(f"cycle_nodes: ranks still fall after {most} rounds")
 
@@ -165,14 +196,17 @@ def cycle_nodes(edges: DataFrame, most: int = 10_000) -> DataFrame:
     First all nodes go that have no path of some length into or out of them. If then every node has one edge in and one out, the rest is cycles.
     Else components are found forward and backward: the nodes with one least rank among those that reach them are a
     class, and within it those whose least rank among reached nodes is the same are one strongly connected component. Components with more than
-    one node are on cycles. They go, and what is left of each class is worked on alike; as ranks are hashes, classes shrink fast.
+    one node are on cycles. They go, and what is left of each class is worked on alike; as ranks are hashes, classes shrink fast. Runs jobs while the
+    plan is built; tables of rounds that are over are deleted.
     """
     e = written(edges.where("from_id is not null and to_id is not null").select("from_id", "to_id").distinct(), "graph")
     found = [e.where("from_id = to_id").select(F.col("from_id").alias("id"))]
     e = written(e.where("from_id <> to_id"), "graph")
     for _ in range(most):
-        e = _trimmed(e, most)
-        if e.isEmpty():
+        whole, e = e, _trimmed(e, most)
+        if e is not whole:
+            dropped(whole)
+        if not e.written_rows:
             break
         ends = e.select(F.col("from_id").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(e.select("to_id", F.lit(0), F.lit(1)))
         if ends.groupBy("id").agg(F.sum("o").alias("o"), F.sum("i").alias("i")).where("o <> 1 or i <> 1").isEmpty():
@@ -181,10 +215,12 @@ def cycle_nodes(edges: DataFrame, most: int = 10_000) -> DataFrame:
         fore = _least(e, most)
         a, b = (fore.select(F.col("id").alias(f"{x}_id"), F.col("low").alias(f"{x}_low")) for x in ("from", "to"))
         inside = written(e.join(a, "from_id").join(b, "to_id").where("from_low = to_low").select("from_id", "to_id"), "class")
-        back = _least(inside.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")), most).withColumnRenamed("low", "back")
-        same = written(fore.join(back, "id").where("low = back").select("id", "low"), "component")
+        back = _least(inside.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id")), most)
+        same = written(fore.join(back.withColumnRenamed("low", "back"), "id").where("low = back").select("id", "low"), "component")
         found.append(written(same.join(same.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low"), "low").select("id"), "cyclic"))
-        e = written(inside.join(same.select(F.col("id").alias("from_id")), "from_id", "left_anti").join(same.select(F.col("id").alias("to_id")), "to_id", "left_anti"), "graph")
+        left = written(inside.join(same.select(F.col("id").alias("from_id")), "from_id", "left_anti").join(same.select(F.col("id").alias("to_id")), "to_id", "left_anti"), "graph")
+        dropped(e, fore, back, inside, same)
+        e = left
     else:
         raise RuntimeError(f"cycle_nodes: classes are left after {most} rounds")
     out = found[0]

@@ -42,8 +42,8 @@ CTES = {
     "intent_edges": """SELECT DISTINCT concat('i', i) AS from_id, concat('i', j) AS to_id, CASE WHEN i % 11 = 0 THEN 'related_to' ELSE 'depends_on' END AS kind FROM (
   SELECT o_orderkey AS i, o_orderkey // 2 AS j FROM orders WHERE o_orderkey >= 1 UNION SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey >= 3) WHERE i <> j""",
     "dep_edges": "SELECT from_id, to_id, t.status AS to_status FROM intent_edges e JOIN intents t ON t.id = e.to_id WHERE e.kind = 'depends_on'",
-    "looped_edges": """SELECT from_id, to_id, kind FROM intent_edges WHERE CAST(substr(from_id, 2) AS INT) <= 3000
-  UNION ALL SELECT to_id, from_id, 'depends_on' FROM intent_edges WHERE CAST(substr(from_id, 2) AS INT) <= 3000 AND CAST(substr(from_id, 2) AS INT) % 97 = 0""",
+    "looped_edges": """SELECT from_id, to_id, kind FROM intent_edges
+  UNION ALL SELECT to_id, from_id, 'depends_on' FROM intent_edges WHERE CAST(substr(from_id, 2) AS INT) % 97 = 0""",
     "cyclic_edges": "SELECT o_orderkey AS from_id, (o_orderkey * o_orderkey + 1) % (SELECT count(*) FROM orders) AS to_id FROM orders",
     "transition_requests": f"SELECT id, status AS current, {STATUS}[num % 8 + 1] AS requested FROM intents",
     "eval_runs": """SELECT concat(golden_set, '-', strftime(day, '%Y%m%d')) AS id, golden_set, overall_score, overall_score >= 0.45 AS passed, CAST(floor(epoch(day)) AS BIGINT) AS created_at FROM (

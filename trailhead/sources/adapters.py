@@ -142,8 +142,8 @@ class Tables:
         return o.crossJoin(F.broadcast(n)).select(F.col("i").alias("from_id"), ((F.col("i") * F.col("i") + 1) % F.col("n")).alias("to_id"))  # n is one row
 
     def looped_edges(self) -> DataFrame:
-        """The intents' edges up to i3000, and back from some targets, which makes cycles of several sizes."""
-        e = self.intent_edges().withColumns({c: F.expr(f"cast(substring({c}, 2) as int)") for c in ("from_id", "to_id")}).where("from_id <= 3000")
+        """The intents' edges, and back from some targets, which makes cycles of several sizes."""
+        e = self.intent_edges().withColumns({c: F.expr(f"cast(substring({c}, 2) as int)") for c in ("from_id", "to_id")})
         back = e.where("from_id % 97 = 0").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), F.lit("depends_on").alias("kind"))
         return e.union(back).select(F.concat(F.lit("i"), "from_id").alias("from_id"), F.concat(F.lit("i"), "to_id").alias("to_id"), "kind")
 
