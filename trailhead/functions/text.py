@@ -266,3 +266,11 @@ def path_regex(glob: str) -> str:
     """A glob over paths as a regular expression: * and ? stay within a folder, ** crosses folders."""
     out = re.escape(glob).replace(r"\*\*/", "(?:.*/)?").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
     return f"^{out}$"
+
+
+def path_pattern(glob: Column) -> Column:
+    """``path_regex`` of a column of globs."""
+    out = F.regexp_replace(glob, r"([\\.\[\]{}()+^$|#&~-])", r"\\$1")
+    for a, b in (("**/", "\x01"), ("**", "\x02"), ("?", "[^/]"), ("*", "[^/]*"), ("\x01", "(?:.*/)?"), ("\x02", ".*")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.concat(F.lit("^"), out, F.lit("$"))

@@ -134,17 +134,17 @@ def _convention_issue(rows: DataFrame, checker: str, message) -> DataFrame:
     return rows.select(F.lit(checker).alias("checker"), F.concat("file", F.lit(":"), "line").alias("file"), message.alias("message"), F.lit("warning").alias("severity"))
 
 
-def unmatched_scopes(conventions: DataFrame, files: DataFrame, most: int = 10_000) -> DataFrame:
-    """Scope globs of conventions that match no file of files (file_path). Distinct globs are a bounded parameter of one scan of the
-    files; more than ``most`` of them are an error."""
+def unmatched_scopes(conventions: DataFrame, files: DataFrame) -> DataFrame:
+    """Scope globs of conventions that match no file of files (file_path). Globs meet files by the folder that stands before their first wildcard
+    and by their ending, if that is plain text; only those pairs are matched. Files without a path match nothing."""
     scopes = convention_lines(conventions).where("key = 'scope' and value <> ''")
-    globs = [r[0] for r in scopes.select("value").distinct().limit(most + 1).collect()]  # at most ``most``
-    if len(globs) > most:
-        raise ValueError(f"more than {most} scope globs")
-    if not globs:
-        return _convention_issue(scopes, "convention_paths", F.lit(""))
-    hits = F.array_compact(F.array(*[F.when(F.col("file_path").rlike(X.path_regex(g)), g) for g in globs]))
-    met = files.select(F.explode(hits).alias("value")).distinct()
+    folder, ending = F.regexp_extract("value", r"^(?:[^*?/]*/)*", 0), F.regexp_extract("value", r"\.[^.*?/]*$", 0)
+    globs = scopes.select("value").distinct().select("value", X.path_pattern(F.col("value")).alias("pattern"), folder.alias("folder"), ending.alias("ending"))
+    parts = F.split("file_path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i > 0, F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))).otherwise(""))
+    keys = files.where("file_path is not null").select("file_path", F.explode(above).alias("folder"), F.regexp_extract("file_path", r"\.[^./]*$", 0).alias("own"))
+    keys = keys.select("file_path", "folder", F.explode(F.array_distinct(F.array("own", F.lit("")))).alias("ending"))
+    met = keys.join(globs, ["folder", "ending"]).where(F.rlike("file_path", "pattern")).select("value").distinct()
     return _convention_issue(scopes.join(met, "value", "left_anti"), "convention_paths", F.concat(F.lit("scope glob '"), "value", F.lit("' matches no files")))
 
 

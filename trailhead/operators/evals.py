@@ -79,6 +79,11 @@ def structural_violations(files: DataFrame, rows: list, scope: DataFrame | None
     return missing.withColumns({"file_path": F.lit("N/A"), "start_line": F.lit(0)}).select(*columns).union(found.where("kind = 'structural_must_not'").select(*columns))
 
 
+def all_violations(checks: DataFrame, chunks: DataFrame, files: DataFrame, rows: list, scope: DataFrame | None = None) -> DataFrame:
+    """The violations of literal checks in chunks and of code patterns in files; a case may have both, and its score counts both."""
+    return case_violations(checks, chunks, rows, scope).union(structural_violations(files, rows, scope))
+
+
 def run_and_learn(sets: DataFrame, history: str, events: DataFrame, created_at: int, least: float) -> DataFrame:
     """Persist an evaluation and learn from it. sets (golden_set, overall_score, critical_pass) becomes rows of the run history, a Parquet
     folder that is appended to; the gate is open if every set passes. Returns the next weight snapshot from the events."""

@@ -35,13 +35,37 @@ def golden_empty_scope(t):
 _CODE = "SELECT '{0}' AS case_id, '{1}' AS kind, '{2}' AS literal"
 
 
-@query("structural_violations", f"""{_CODE.format('s2', 'structural_must', 'python:absent($X)')}, 'N/A' AS file_path, 0 AS start_line UNION ALL {_CODE.format('s2', 'invalid_structural_pattern', 'no language')}, 'N/A', 0
+_CODE_BAD = f"""{_CODE.format('s2', 'structural_must', 'python:absent($X)')}, 'N/A' AS file_path, 0 AS start_line UNION ALL {_CODE.format('s2', 'invalid_structural_pattern', 'no language')}, 'N/A', 0
 UNION ALL SELECT * FROM ({_CODE.format('s1', 'structural_must_not', 'python:print($X)')}, file_path, 12 FROM code_files WHERE k % 3 = 0 ORDER BY file_path LIMIT 10)
-UNION ALL SELECT * FROM ({_CODE.format('s3', 'structural_must_not', 'python:self.run($X)')}, file_path, 9 FROM code_files WHERE starts_with(file_path, 'src/p2') AND NOT ends_with(file_path, '2.py') ORDER BY file_path LIMIT 10)""")
+UNION ALL SELECT * FROM ({_CODE.format('s3', 'structural_must_not', 'python:self.run($X)')}, file_path, 9 FROM code_files WHERE starts_with(file_path, 'src/p2') AND NOT ends_with(file_path, '2.py') ORDER BY file_path LIMIT 10)"""
+
+
+@query("structural_violations", _CODE_BAD)
 def structural_violations(t):
     return evals.structural_violations(t.code_files(), fixtures.CODE_CHECKS)
 
 
+def _evaluated(t):
+    checks = t.spark.createDataFrame(fixtures.ALL_CHECKS, t.golden_checks().schema)
+    return evals.case_scores(checks, evals.all_violations(checks, t.chunks(), t.code_files(), fixtures.ALL_CHECKS))
+
+
+_EVALUATED = f"""SELECT *, round(greatest(0.0, 1 - CAST(violations AS DOUBLE) / checks), 6) AS score, violations = 0 AS passed, CASE priority WHEN 'critical' THEN 2.0 WHEN 'high' THEN 1.5 WHEN 'low' THEN 0.5 ELSE 1.0 END AS weight
+FROM (SELECT case_id, priority, checks, coalesce(v.violations, 0) AS violations, coalesce(v.files, 0) AS files FROM (SELECT case_id, priority, count(*) AS checks FROM (VALUES {", ".join(f"('{r[0]}', '{r[1]}')" for r in fixtures.ALL_CHECKS)}) c(case_id, priority) GROUP BY 1, 2)
+LEFT JOIN (SELECT case_id, count(*) AS violations, count(DISTINCT CASE WHEN file_path <> 'N/A' THEN file_path END) AS files FROM (SELECT case_id, file_path FROM golden_bad UNION ALL SELECT case_id, file_path FROM ({_CODE_BAD})
+UNION ALL SELECT * FROM (SELECT 'c5', file_path FROM code_files WHERE k % 3 = 0 ORDER BY file_path LIMIT 10)) GROUP BY 1) v USING (case_id))"""
+
+
+@query("evaluated_cases", f"SELECT case_id, priority, checks, violations, files, score, passed FROM ({_EVALUATED})")
+def evaluated_cases(t):
+    return _evaluated(t).drop("weight")
+
+
+@query("evaluated_set", f"SELECT round(sum(score * weight) / sum(weight), 6) AS overall_score, bool_and(passed) FILTER (WHERE priority = 'critical') AS critical_pass FROM ({_EVALUATED})")
+def evaluated_set(t):
+    return evals.golden_score(_evaluated(t))
+
+
 @query("case_scores", "SELECT case_id, priority, checks, violations, score, passed FROM golden_cases")
 def case_scores(t):
     return evals.case_scores(t.golden_checks(), _violations(t)).select("case_id", "priority", "checks", "violations", "score", "passed")

@@ -21,6 +21,8 @@ CODE_CHECKS = [
     ("s2", "low", "structural_must", "no language", "", ""),
     ("s3", "medium", "structural_must_not", "python:self.run($X)", "src/p2**", "*2.py"),
 ]
+#: One golden set of both families: two cases have literals and patterns.
+ALL_CHECKS = [*GOLDEN_CHECKS, *CODE_CHECKS, ("c1", "critical", "structural_must", "python:run($$$)", "src/p1**", ""), ("c5", "medium", "structural_must_not", "python:print($X)", "", "")]
 PREFIXES = ["i1", "i12", "i149", "i1234", "i14999", "zz", "i", "77", "1234", "9"]
 #: Sources by language, as parts that stand one below another: (kind, name, scope, text), kind null for what is no symbol. ~ stands for a number. Texts
 #: hold braces and calls where they are no code: in strings, characters, templates, regular expressions and comments.
