@@ -3,11 +3,12 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from trailhead.operators import fts
-from trailhead.operators.text_index import TextIndex, plan_of, plans_of
+from trailhead.operators.text_index import HELD, TextIndex, _posting_batches, plan_of, plans_of
 from trailhead.sources.snapshots import BucketTable, Conflict, scratch_table
 
 KIND = "k string, v long, more array<int>"
@@ -153,3 +154,14 @@ def test_plans_are_bounded():
     for bad in (" ".join(f"w{i}" for i in range(70)), " ".join(f"(a{i} OR b{i})" for i in range(12))):
         with pytest.raises(ValueError):
             plan_of(bad)
+
+
+def test_postings_leave_in_small_batches():
+    names = ["path", "content"]
+    lists = [[f"w{j % (90 + i % 7)}" for j in range(1000)] for i in range(400)]
+    chunks = pa.RecordBatch.from_arrays([pa.array([f"c{i}" for i in range(400)]), pa.array([f"f{i}" for i in range(400)]), pa.array([["f"]] * 400), pa.array(lists)], ["chunk_id", "file_path", *names])
+    got = list(_posting_batches(iter([chunks]), names))
+    assert len(got) > 5 and max(b.num_rows + len(b.column("positions").flatten()) for b in got) < HELD + 1200
+    rows = [r for b in got for r in b.to_pylist()]
+    assert len(rows) == 400 * 2 + sum(len(set(x)) for x in lists) and {r["dl"] for r in rows} == {1001}
+    assert [r["positions"] for r in rows if r["chunk_id"] == "c3" and r["term"] == "w5"] == [[j for j, w in enumerate(lists[3]) if w == "w5"]]
