@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from trailhead.functions import text as X
 from trailhead.operators import fts, graph, sketches
 from trailhead.sources.snapshots import scratch_table
-from trailhead.streaming import locks
+from trailhead.streaming import locks, windows
 from trailhead.streaming.sinks import AppendSink, LatestSink
 
 REQUESTS = "id long, intent_id string, worktree_id string, action string, ts long"
@@ -83,3 +83,8 @@ def test_render(spark):
     known = F.create_map(F.lit("x"), F.lit("<{{y}}>"), F.lit("y"), F.lit("Y"))
     got = {r["i"]: r["out"] for r in df.select("i", X.render(F.col("body"), known).alias("out")).collect()}
     assert got == dict(enumerate(["a <{{y}}> b", "<{{y}}>Y", "{{ x", "{{ a {{x}} }}", "}} <{{y}}>", "{{ z }} <{{y}}>", "", "{{}}"]))
+
+
+def test_events_exactly_a_gap_apart_are_in_two_sessions(spark):
+    e = spark.createDataFrame([("a", 0), ("a", 3600), ("a", 7199), ("b", 5)], "session_id string, created_at long")
+    assert sorted(tuple(r) for r in windows.session_gaps(e, "1 hour").collect()) == [("a", 0, 1), ("a", 3600, 2), ("b", 5, 1)]

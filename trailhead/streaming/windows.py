@@ -19,6 +19,7 @@ def windowed_calls(events: DataFrame, size: str, slide: str | None = None, late:
 
 
 def session_gaps(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
-    """Sessions cut where nothing happens for gap: start and calls."""
-    g = _timed(events, late).groupBy(F.session_window("__ts", gap).alias("w"), "session_id").agg(F.count(F.lit(1)).alias("calls"))
+    """Sessions cut where nothing happens for gap or longer: start and calls. Windows that only touch are merged by Spark, so they end a microsecond before
+    the gap does: events exactly gap apart are in two sessions."""
+    g = _timed(events, late).groupBy(F.session_window("__ts", f"{gap} -1 microseconds").alias("w"), "session_id").agg(F.count(F.lit(1)).alias("calls"))
     return g.select("session_id", F.unix_timestamp(F.col("w.start")).alias("started"), "calls")
