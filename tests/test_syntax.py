@@ -1,8 +1,10 @@
 """Lexing, items, expressions and patterns of source code."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from trailhead.operators import chunking, syntax
+from trailhead.sources.adapters import Tables
 
 
 def hits(source, pattern, language="rust", **k):
@@ -67,3 +69,10 @@ def test_sql_functions(spark):
     assert [tuple(r) for r in spark.sql("SELECT * FROM code_matches(TABLE(code_of_test), 'g($X)')").collect()] == [("a.rs", 0, 0, "g(1)")]
     with pytest.raises(Exception, match="needs the columns"):
         spark.sql("SELECT * FROM code_chunks(TABLE(SELECT 1 AS x))").collect()
+
+
+def test_sources_are_dealt_to_all_cores(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for files in (t.code_files(), t.mixed_code()):
+        tasks = files.select(F.spark_partition_id().alias("p")).groupBy("p").count().count()
+        assert tasks >= 2 * spark.sparkContext.defaultParallelism
