@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from trailhead.functions import text as X
-from trailhead.operators import drift, evals
+from trailhead.operators import drift, evals, graph
 
 GLOBS = ["src/**/*.rs", "src/*.rs", "**/*.py", "**", "*", "a.b/c?.tx", "docs/**", "docs/guide.md", "(x)/[y]+/*.{z}", "src/in/**/deep/*.rs", "/abs/*.rs", "é/*", "none/*.rs", "a$b/^c|d/#&&~-.*", "src/**/**/m.rs", "*.tar.gz", "src//x?.rs"]
 PATHS = ["src/m.rs", "src/in/m.rs", "src/in/a/b/deep/q.rs", "a.b/cd.tx", "aXb/cd.tx", "docs/guide.md", "docs/guideXmd", "(x)/[y]+/k.{z}", "x/y/k.z", "/abs/n.rs", "é/ü", "p.py", "a$b/^c|d/#&&~-.t", "q.tar.gz", "src//x1.rs", "", None]
@@ -36,3 +36,13 @@ def test_a_case_counts_both_families(spark):
     scores = evals.case_scores(checks, evals.all_violations(checks, chunks, files, rows))
     assert {r.case_id: (r.checks, r.violations, r.files, r.score, r.passed) for r in scores.collect()} == {"k": (4, 2, 2, 0.5, False), "m": (1, 1, 0, 0.0, False)}
     assert evals.golden_score(scores).first() == (0.4, False)
+
+
+def test_trees_around_cycles_go_before_walks_are_doubled(spark, monkeypatch):
+    rows = [(f"n{i}", f"n{i // 2}") for i in range(2, 2000)] + [("n1", "n2"), ("n2", "n3"), ("n3", "n1")]
+    seen, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: (out := write(df, name), seen.append((name, out.written_rows)))[0])
+    e = write(spark.createDataFrame(rows, "from_id string, to_id string").distinct(), "graph")
+    kept = {tuple(r) for r in graph._trimmed(e, 100).collect()}
+    assert kept == {("n2", "n1"), ("n3", "n1"), ("n1", "n2"), ("n2", "n3")}
+    assert max([n for name, n in seen if name == "walks"], default=0) < 500
