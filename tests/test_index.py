@@ -165,3 +165,13 @@ def test_postings_leave_in_small_batches():
     rows = [r for b in got for r in b.to_pylist()]
     assert len(rows) == 400 * 2 + sum(len(set(x)) for x in lists) and {r["dl"] for r in rows} == {1001}
     assert [r["positions"] for r in rows if r["chunk_id"] == "c3" and r["term"] == "w5"] == [[j for j, w in enumerate(lists[3]) if w == "w5"]]
+
+
+def test_chunk_counts_shuffle_no_postings(spark):
+    rows = [("a", "f", "x x y"), ("b", "f", "y"), ("b", "g", "y z"), ("c", "h", "")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, file_path string, content string")
+    assert {tuple(r) for r in fts.term_totals(chunks).collect()} == {("x", 2, 1), ("y", 3, 2), ("z", 1, 1), ("f", 2, 2), ("g", 1, 1), ("h", 1, 1)}
+    sizes = {("a", "file_path", 1, 1, 1), ("a", "content", 2, 3, 2), ("b", "file_path", 2, 2, 1), ("b", "content", 2, 3, 2), ("c", "file_path", 1, 1, 1)}
+    assert {tuple(r) for r in fts.field_sizes(chunks).collect()} == sizes
+    plan = fts.field_sizes(chunks.where("file_path <> 'g'"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
