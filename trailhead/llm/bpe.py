@@ -42,21 +42,21 @@ _made: dict = {}
 
 
 class Cache:
-    """Encodings by text (``of``), with an estimate of their size in bytes."""
+    """Encodings by text (``of``), or their lengths, with an estimate of their size in bytes."""
 
-    def __init__(self):
-        self.of: dict[str, bytes] = {}
-        self.size = 0
+    def __init__(self, weigh=len):
+        self.of: dict = {}
+        self.size, self.weigh = 0, weigh
 
-    def learn(self, new: dict[str, bytes]) -> None:
+    def learn(self, new: dict) -> None:
         self.of.update(new)
-        self.size += ENTRY * len(new) + sum(map(len, new)) + sum(map(len, new.values()))
+        self.size += ENTRY * len(new) + sum(map(len, new)) + sum(map(self.weigh, new.values()))
 
     def trim(self, most: int) -> None:
         """Drop the oldest half until what is left takes at most so many bytes."""
         while self.size > most and self.of:
             for k in list(islice(self.of, -(-len(self.of) // 2))):
-                self.size -= ENTRY + len(k) + len(self.of.pop(k))
+                self.size -= ENTRY + len(k) + self.weigh(self.of.pop(k))
 
     def forget(self) -> None:
         self.of.clear()
@@ -86,7 +86,7 @@ class Codec:
         pairs = pairs[np.argsort(pairs[:, 0])]
         self.keys, self.values = pairs[:, 0].copy(), pairs[:, 1].copy()
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.words, self.pieces, self.cache = Cache(), Cache(), cache
+        self.words, self.pieces, self.counts, self.cache = Cache(), Cache(), Cache(lambda n: 0), cache
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Codec:
@@ -153,9 +153,13 @@ class Codec:
 
     def merge_short(self, datas: list[bytes]) -> list[bytes]:
         """Ids (little-endian 32-bit) of matches of at most SHORT bytes, one segment tree each, merged in step."""
-        out = []
+        # blocks of like lengths: a block's trees are as wide as its longest match
+        order = sorted(range(len(datas)), key=lambda i: len(datas[i]))
+        out = [b""] * len(datas)
         for lo in range(0, len(datas), 8192):
-            out += self._merge_block(datas[lo : lo + 8192])
+            part = order[lo : lo + 8192]
+            for i, ids in zip(part, self._merge_block([datas[i] for i in part]), strict=True):
+                out[i] = ids
         return out
 
     def _merge_block(self, datas: list[bytes]) -> list[bytes]:
@@ -226,10 +230,36 @@ class Codec:
             return [b"".join(b for c in chunks(t) for b in self._encode([c])) for t in texts]
         return self._encode(texts)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        self.words.trim(self.cache - self.cache // 3)
+    def count_batch(self, texts: list[str]) -> list[int]:
+        """How many ids ``encode_batch`` gives for whole texts: the words' numbers are kept and added, no ids are joined."""
+        if self.cuts and max(map(len, texts), default=0) > 2 << 20:
+            return [sum(n for c in chunks(t) for n in self._count([c])) for t in texts]
+        return self._count(texts)
+
+    def _count(self, texts: list[str]) -> list[int]:
+        self.counts.trim(self.cache - self.cache // 3)
         self.pieces.trim(self.cache // 3)
-        words = self.words.of
+        words = self.counts.of
+        cut, matched, at_start, as_whole = self._parted(texts, words)
+        known = {p: len(v) // 4 for p, v in self._known(matched, at_start, as_whole).items()}
+        of = known.__getitem__
+        made = {p: sum(map(of, found)) for p, found in matched.items()}
+        self.counts.learn({p: n for p, n in made.items() if len(p) <= CACHED})
+        long = {p: n for p, n in made.items() if len(p) > CACHED}
+        out = []
+        for n, parts in enumerate(cut):
+            if n in as_whole:
+                out.append(sum(map(of, as_whole[n])))
+                continue
+            head = sum(map(of, at_start.get(n, ())))
+            try:
+                out.append(head + sum(map(words.__getitem__, parts[1:])))
+            except KeyError:
+                out.append(head + sum(w if (w := words.get(p)) is not None else long[p] for p in parts[1:]))
+        return out
+
+    def _parted(self, texts: list[str], words: dict) -> tuple[list[list[str]], dict[str, list[str]], dict[int, list[str]], dict[int, list[str]]]:
+        """Texts cut at blanks; the matches of parts that words doesn't know, of texts' first parts by number, and of texts that are split as a whole."""
         cut = [t.split(" ") for t in texts]
         fresh, whole = set(), set()
         for n, parts in enumerate(cut):
@@ -240,22 +270,33 @@ class Codec:
                 fresh |= missing
         matched = {p: self.split(" " + p) for p in fresh}
         at_start = {n: self.split(cut[n][0]) for n in range(len(texts)) if n not in whole and cut[n][0]}
-        as_whole = {n: self.split(texts[n]) for n in whole}
+        return cut, matched, at_start, {n: self.split(texts[n]) for n in whole}
+
+    def _known(self, *found_by: dict) -> dict[str, bytes]:
+        """The encodings of all matches in some dictionaries of lists of them."""
         need: set[str] = set()
-        for found in (*matched.values(), *at_start.values(), *as_whole.values()):
-            need.update(found)
+        for found in found_by:
+            for matches in found.values():
+                need.update(matches)
         known = {p: v for p in need if (v := self.pieces.of.get(p)) is not None}
         new: dict[str, bytes] = {}
         self._learn(need.difference(known), new)
-        known |= new
         self.pieces.learn({p: v for p, v in new.items() if len(p) <= CACHED})
+        return known | new
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        self.words.trim(self.cache - self.cache // 3)
+        self.pieces.trim(self.cache // 3)
+        words = self.words.of
+        cut, matched, at_start, as_whole = self._parted(texts, words)
+        known = self._known(matched, at_start, as_whole)
         of = known.__getitem__
         made = {p: b"".join(map(of, found)) for p, found in matched.items()}
         self.words.learn({p: v for p, v in made.items() if len(p) <= CACHED})
         long = {p: v for p, v in made.items() if len(p) > CACHED}
         out = []
         for n, parts in enumerate(cut):
-            if n in whole:
+            if n in as_whole:
                 out.append(b"".join(map(of, as_whole[n])))
                 continue
             head = b"".join(map(of, at_start.get(n, ())))
@@ -268,6 +309,7 @@ class Codec:
     def forget(self) -> None:
         """Drop the caches: a worker lives on after its task, and other stages need the memory."""
         self.words.forget()
+        self.counts.forget()
         self.pieces.forget()
 
     def decode(self, ids: bytes) -> bytes:
@@ -289,15 +331,15 @@ def in_blocks(texts: Iterable[str | None], most_chars: int = 1_000_000) -> Itera
         yield block
 
 
-def _over(path: str, pattern: str, column: int, of, cache: int = CACHE):
-    """A function of Arrow batches: of(codec, part, ids of its texts) for parts of bounded size."""
+def _over(path: str, pattern: str, column: int, of, cache: int = CACHE, made=Codec.encode_batch):
+    """A function of Arrow batches: of(codec, part, ids of its texts, or what made gives) for parts of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.load(path, pattern)
         codec.cache = cache
         try:
             for part, texts in parts(batches, column, most=min(1 << 20, max(1 << 16, cache >> 6))):
-                yield of(codec, part, codec.encode_batch([t or "" for t in texts]))
+                yield of(codec, part, made(codec, [t or "" for t in texts]))
         finally:
             codec.forget()
 
@@ -322,11 +364,11 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: bool
     schema = schema.add("bpe_ids", "binary").add("n_tokens", "long") if ids else schema.add("n_tokens", "long")
     names = schema.names
 
-    def of(codec: Codec, part: pa.RecordBatch, got: list[bytes]) -> pa.RecordBatch:
-        more = [pa.array(got, pa.binary())] if ids else []
-        return pa.RecordBatch.from_arrays([*part.columns[:-1], *more, _lengths(got)], names)
+    def of(codec: Codec, part: pa.RecordBatch, got: list) -> pa.RecordBatch:
+        more = [pa.array(got, pa.binary()), _lengths(got)] if ids else [pa.array(got, pa.int64())]
+        return pa.RecordBatch.from_arrays([*part.columns[:-1], *more], names)
 
-    return map_batches(df.select(*map(named, keep), named(text)), _over(path, pattern, len(keep), of, cache), schema)
+    return map_batches(df.select(*map(named, keep), named(text)), _over(path, pattern, len(keep), of, cache, Codec.encode_batch if ids else Codec.count_batch), schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "bpe_ids", out: str = "bpe_bytes") -> DataFrame:
