@@ -131,3 +131,44 @@ def test_keep_one_of_repeated_keys_with_different_texts(spark):
     assert out.columns == df.columns
     # (2, a) is a copy of 1; keys 2 and 3 keep their other texts
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(1, a), (2, b), (3, c), (3, d), (5, None)], key=str)
+
+
+def test_tables_go_when_no_later_step_reads_them(spark, monkeypatch):
+    from trailhead.llm import jaccard
+
+    made, alive, cut = [], {}, jaccard.cut
+
+    def there(path):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+    def noted(df, name="cut"):
+        out = cut(df, name)
+        made.append((name, out.cut_path))
+        alive.setdefault(name, set()).update(n for n, path in made if there(path))
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", noted)
+    rows = corpus(1)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert {"jj-heads", "jj-index"} <= alive["jj-index"] and "jj-pairs" in alive
+    assert "jj-heads" not in alive["jj-refs"] | alive["jj-pairs"]
+    assert "jj-compared" not in alive["jj-pairs"] and not any(there(path) for name, path in made if name in ("jj-heads", "jj-index", "jj-compared"))
+
+
+def test_short_lists_are_shuffled_once(spark):
+    from trailhead.llm.jaccard import _candidates
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        # sizes a block apart, and two blocks apart
+        index = spark.createDataFrame([(s, node, n, 0, 0, True, 0) for s in range(30) for node, n in ((1, 100), (2, 110), (3, 150))], "s long, node long, n int, pos int, h int, stays boolean, alone int")
+        ref = spark.createDataFrame([], "node long, ref long, extra int, inside boolean")
+        out = _candidates(index, ref, spark.createDataFrame([], "node long, root long"), 85)
+        assert [tuple(r) for r in out.collect()] == [(1, 2, 100, 110, 0, 0)]
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning(s#" in x and "ReusedExchange" not in x]
+        assert dealt and not any("block" in x for x in dealt)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -27,6 +27,8 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,8 @@ SLOTS, CHUNKS = 1 << 20, 32
 MORE = 12
 #: Lists of so many entries are long: they are left to the sets that could link by long lists alone.
 LONG = 32
+#: Parts of the index, by list name, that are shuffled one after another: disk holds the shuffle files of one only.
+PASSES = 3
 #: First halves of digests that several sets may have; with 10^11 sets some 300 are expected.
 CLASHES = 1_000_000
 
@@ -135,7 +139,7 @@ def _rows(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, frozenset[i
     if clash:
         sets = sets.withColumn("node", F.when(F.col("node").isin(*clash), F.col("other")).otherwise(F.col("node")))
     nodes = sets.where("n > 0").groupBy("node", "n").agg(F.min("doc").alias("doc"))
-    roots = _links(docs, k, percent, classes, nodes.select("node", "doc"), clash)
+    roots = _links(docs, k, percent, classes, nodes, clash)
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = joined.groupBy("root").agg(F.min("doc").alias("component_id"))
     many = joined.select("node", "root").join(best, "root").select("node", "root", "component_id")
@@ -149,8 +153,10 @@ def _need(a, b, percent: int):
     return F.floor((percent * (a + b) + 99 + percent) / (100 + percent))
 
 
-def _links(docs: DataFrame, k: int, percent: int, classes: np.ndarray, known_docs: DataFrame, clash: frozenset[int]) -> DataFrame:
-    """(node, root): components of more than one node, equal sets being one node."""
+def _links(docs: DataFrame, k: int, percent: int, classes: np.ndarray, nodes: DataFrame, clash: frozenset[int]) -> DataFrame:
+    """(node, root): components of more than one node, equal sets being one node (nodes: node, n, doc). Tables and shuffle files go as soon as
+    no later step reads them."""
+    known_docs = nodes.select("node", "doc")
 
     def prefixes(batches):
         for _, texts in parts(batches, 0):
@@ -162,8 +168,14 @@ def _links(docs: DataFrame, k: int, percent: int, classes: np.ndarray, known_doc
     heads = docs.select("text").mapInArrow(tidy(prefixes), "node long, n int, head array<long>")
     heads = cut(heads.groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head")), "jj-heads")
     index = heads.select("node", "n", F.posexplode("head").alias("pos", "s"))
-    lists = index.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = cut(index.join(lists, "s"), "jj-index")
+    indexes = []
+    for i in range(PASSES):
+        some = index.where(F.pmod("s", F.lit(PASSES)) == i)
+        lists = some.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        indexes.append(cut(some.join(lists, "s"), "jj-index"))
+        sweep(docs.sparkSession)
+    shared = reduce(DataFrame.union, indexes)
+    discard(heads)
 
     # relation first: the reference that shares most lists, if these are about as many as a link asks
     low = shared.groupBy("s").agg(F.min("node").alias("low"))
@@ -172,10 +184,16 @@ def _links(docs: DataFrame, k: int, percent: int, classes: np.ndarray, known_doc
     refs = cut(refs, "jj-refs")
     sweep(docs.sparkSession)
 
-    def compare(pairs: DataFrame) -> DataFrame:
-        return _overlaps(docs, k, pairs, known_docs, clash)
+    linked = F.expr(f"100 * both >= {percent} * (nu + nv - both)")
 
-    near = cut(compare(refs).where(f"100 * both >= {percent} * (nu + nv - both)"), "jj-near")
+    def compare(pairs: DataFrame, name: str, then: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        sets = _compared(docs, k, pairs, known_docs, clash)
+        out = cut(then(_overlaps(pairs, sets)), name)
+        discard(sets)
+        sweep(docs.sparkSession)
+        return out
+
+    near = compare(refs, "jj-near", lambda met: met.where(linked))
     first = near.select("u", "v")
     comp = components(first)
 
@@ -207,7 +225,7 @@ def _links(docs: DataFrame, k: int, percent: int, classes: np.ndarray, known_doc
         hubs = common.groupBy("s").agg(F.min(F.struct("alone", "node")).alias("m")).select("s", F.col("m.node").alias("hub"))
         votes = common.join(hubs, "s").where("node <> hub").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("c"))
         refs2 = cut(votes.groupBy("node").agg(F.max(F.struct("c", "hub")).alias("m")).select(F.col("node").alias("u"), F.col("m.hub").alias("v")), "jj-refs")
-        near2 = cut(compare(refs2).where(f"100 * both >= {percent} * (nu + nv - both)"), "jj-near")
+        near2 = compare(refs2, "jj-near", lambda met: met.where(linked))
         comp = extend(comp, near2.select("u", "v"))
         ref2 = near2.select(F.col("u").alias("node"), F.col("v").alias("ref"), (F.col("nu") - F.col("both")).alias("extra"))
         ref = ref2.union(ref.join(ref2.select("node"), "node", "left_anti"))
@@ -223,11 +241,10 @@ def _links(docs: DataFrame, k: int, percent: int, classes: np.ndarray, known_doc
         pairs2 = _candidates(common.where(F.col("pos") < head).select("s", "node", "n", "pos", "alone", F.lit(0).alias("h"), F.lit(True).alias("stays")), ref, comp, percent, 0)
         pairs = pairs.union(pairs2.withColumn("crowd", F.lit(True))).groupBy("ref1", "ref2").agg(F.min("lo1").alias("lo1"), F.min("lo2").alias("lo2"), F.max("e1").alias("e1"), F.max("e2").alias("e2"), F.min("crowd").alias("crowd"))
     pairs = cut(pairs, "jj-pairs")
-    discard(shared, refs, crowd, *((own, common) if crowded else ()))
+    discard(*indexes, refs, crowd, *((own, common) if crowded else ()))
     sweep(docs.sparkSession)
-    over = compare(pairs.select(F.col("ref1").alias("u"), F.col("ref2").alias("v")))
-    over = pairs.withColumnsRenamed({"ref1": "u", "ref2": "v"}).join(over, ["u", "v"])
-    over = cut(over.withColumn("link", F.expr(f"100 * both >= {percent} * (nu + nv - both)")), "jj-over")
+    bounds = pairs.withColumnsRenamed({"ref1": "u", "ref2": "v"})
+    over = compare(bounds.select("u", "v"), "jj-over", lambda met: bounds.join(met, ["u", "v"]).withColumn("link", linked))
     comp = extend(comp, over.where("link").select("u", "v"))
 
     # answers from the reference's: members' overlap is at most the references' plus what they hold beyond them
@@ -236,7 +253,7 @@ def _links(docs: DataFrame, k: int, percent: int, classes: np.ndarray, known_doc
     open_ = open_.select("u", "v", "both", "crowd", "lo2", "e2")
     if open_.isEmpty():
         return comp
-    who = heads.select("node", "n").join(ref, "node", "left").join(comp, "node", "left")
+    who = nodes.select("node", "n").join(ref, "node", "left").join(comp, "node", "left")
     who = who.join(apart, "node", "left") if crowded else who.withColumn("alone", F.lit(None).cast("int"))
     who = who.select("node", "n", F.when(F.col("alone").isNotNull(), F.when(F.col("inside"), F.col("alone")).otherwise(0)).alias("alone"), F.coalesce("ref", "node").alias("ref"), F.coalesce("extra", F.lit(0)).alias("extra"), F.coalesce("root", "node").alias("root"))
     a = who.select(*[F.col(c).alias(f"{c}1") for c in who.columns])
@@ -247,7 +264,7 @@ def _links(docs: DataFrame, k: int, percent: int, classes: np.ndarray, known_doc
     half = open_.join(a, (F.col("u") == F.col("ref1")) & (F.col("both") + beyond[0] + F.col("e2") >= _need(F.col("n1"), F.col("lo2"), percent)))
     rest = half.join(b, (F.col("v") == F.col("ref2")) & (F.col("root1") != F.col("root2")) & near_enough)
     rest = cut(rest.select(F.col("node1").alias("u"), F.col("node2").alias("v")).distinct(), "jj-open")
-    more = cut(compare(rest).where(f"100 * both >= {percent} * (nu + nv - both)"), "jj-more")
+    more = compare(rest, "jj-more", lambda met: met.where(linked))
     return extend(comp, more.select("u", "v"))
 
 
@@ -257,17 +274,21 @@ def _candidates(index: DataFrame, ref: DataFrame, comp: DataFrame, percent: int,
 
     A linking pair shares a list; with extra_lists it shares more than 1 / MORE of the smaller set's size, less the h lists that the index leaves out
     of either, unless both sets stay in these, which are then searched beside it. The entries of one list with one reference are one entry with their bounds.
+    Lists of an index with extra_lists are short: they are shuffled whole, once, and meet themselves. Long ones are dealt out by list and block.
     """
     known = index.join(ref, "node", "left").join(comp, "node", "left")
     known = known.select("s", "n", "pos", "h", "stays", F.coalesce("ref", "node").alias("ref"), F.greatest(F.lit(0), F.coalesce("extra", F.lit(0)) - F.when(F.col("inside"), F.col("alone")).otherwise(0)).alias("extra"), F.coalesce("root", "node").alias("root"))
-    mixed = known.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
     size = float(np.log(100 / percent)) * 1.02
-    known = known.join(mixed, "s", "left_semi").withColumn("block", F.floor(F.log(F.col("n").cast("double")) / size).cast("int"))
+    known = known.withColumn("block", F.floor(F.log(F.col("n").cast("double")) / size).cast("int"))
+    if extra_lists:
+        known = known.repartition("s")
+    else:
+        mixed = known.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
+        known = known.join(mixed, "s", "left_semi")
     entry = known.groupBy("s", "block", "ref", "root").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("extra").alias("extra"), F.max("h").alias("h"), F.min("stays").alias("stays"))
-    entry = cut(entry, "jj-entries")
+    if not extra_lists:
+        entry = cut(entry, "jj-entries")
     names = ("ref", "root", "lo", "hi", "rest", "extra", "h", "stays")
-    left = entry.select("s", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), *[F.col(c).alias(f"{c}1") for c in names])
-    right = entry.select("s", "block", *[F.col(c).alias(f"{c}2") for c in names])
     fits = (
         (F.col("root1") < F.col("root2"))
         & (100 * F.col("hi1") >= percent * F.col("lo2"))
@@ -275,16 +296,26 @@ def _candidates(index: DataFrame, ref: DataFrame, comp: DataFrame, percent: int,
         # a linking pair's first shared lists, as many as are counted below, leave the rest of the needed overlap behind them in both
         & (F.least("rest1", "rest2") >= _need(F.col("lo1"), F.col("lo2"), percent) - extra_lists * (F.floor(F.least("lo1", "lo2") / MORE) + 1))
     )
-    pairs = left.join(right, ["s", "block"]).where(fits)
+    left, right = (entry.select("s", F.col("block").alias(f"block{i}"), *[F.col(c).alias(f"{c}{i}") for c in names]) for i in (1, 2))
+    if extra_lists:
+        pairs = left.join(right, "s").where(fits & (F.abs(F.col("block1") - F.col("block2")) <= 1))
+    else:
+        left = left.withColumn("block2", F.explode(F.array(F.col("block1") - 1, F.col("block1"), F.col("block1") + 1)))
+        pairs = left.join(right, ["s", "block2"]).where(fits)
     pairs = pairs.groupBy("ref1", "ref2").agg(F.min("lo1").alias("lo1"), F.min("lo2").alias("lo2"), F.max("extra1").alias("e1"), F.max("extra2").alias("e2"), F.count(F.lit(1)).alias("c"), F.max(F.when(F.col("stays1") & F.col("stays2"), 0).otherwise(F.least("h1", "h2"))).alias("slack"))
     return pairs.where(f"c > {extra_lists} * floor(least(lo1, lo2) / {MORE}) - slack").select("ref1", "ref2", "lo1", "lo2", "e1", "e2")
 
 
-def _overlaps(docs: DataFrame, k: int, pairs: DataFrame, known_docs: DataFrame, clash: frozenset[int]) -> DataFrame:
-    """pairs (u, v) of nodes plus nu, nv and both (the exact overlap). Sets are made anew for one document of each node that occurs."""
+def _compared(docs: DataFrame, k: int, pairs: DataFrame, known_docs: DataFrame, clash: frozenset[int]) -> DataFrame:
+    """(node, s): the sets of the nodes in pairs (u, v), written. Sets are made anew for one document of each node that occurs."""
     wanted = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
     sets = cut(_sets_of(docs, k, wanted, known_docs, clash), "jj-compared")
     sweep(docs.sparkSession)
+    return sets
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (u, v) of nodes plus nu, nv and both (the exact overlap)."""
     with_u = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u")
     met = with_u.join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
     return met.select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("both"))
