@@ -175,3 +175,53 @@ def test_chunk_counts_shuffle_no_postings(spark):
     assert {tuple(r) for r in fts.field_sizes(chunks).collect()} == sizes
     plan = fts.field_sizes(chunks.where("file_path <> 'g'"))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_blocks_give_back_their_postings(monkeypatch):
+    from trailhead.operators import text_index
+
+    monkeypatch.setattr(text_index, "HELD", 1000)
+    monkeypatch.setattr(text_index, "BLOCK", 3000)
+    r, names = random.Random(4), ["path", "content"]
+    texts = [[r.choice(WORDS) for _ in range(r.randint(0, 60))] for _ in range(300)] + [["far"] * 20_000]
+    chunks = pa.RecordBatch.from_arrays([pa.array([f"c{i}" for i in range(301)]), pa.array([f"f{i // 2}" for i in range(301)]), pa.array([["src", f"p{i}"] for i in range(301)]), pa.array(texts)], ["chunk_id", "file_path", *names])
+    given = list(_posting_batches(iter([chunks]), names))
+    packed = list(text_index._packed_batches(iter(given), 7))
+    assert [b["block"][0].as_py() for b in packed] == list(range(7, 7 + len(packed))) and len(packed) > 3
+    sent = [text_index._received(*text_index._sent(b)) for b in packed]
+    blocks = [text_index._Block(pa.Table.from_batches([b])) for b in sent]
+    flat = lambda batches: sorted((x["term"], x["chunk_id"], x["field"], x["file_path"], x["dl"], x["tf"], x["positions"]) for b in batches for x in b.to_pylist())
+    assert flat(p for b in blocks for p in b.postings()) == flat(given)
+    # a chunk counts once for a term, in whatever fields it holds it
+    df = sum(x["df"] for b in packed for x in b.to_pylist() if x["term"] == "src")
+    assert df == 301
+
+
+def bytes_in(spark, folder):
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def test_an_index_takes_few_bytes_a_token(spark):
+    """A posting carries no chunk id, and what is shuffled is packed."""
+    r = random.Random(6)
+    words = [f"{r.choice(WORDS)}{i}" for i in range(3000)]
+    text = lambda: " ".join(words[min(2999, int(r.paretovariate(0.4)))] for _ in range(r.randint(100, 500)))
+    files = {f"src/en/some/longer/path/file{i}.txt": [text()] for i in range(1500)}
+    index = TextIndex(spark, scratch_table(spark, "ix"), buckets=4)
+    build(spark, index, files)
+    assert bytes_in(spark, f"{index.path}/postings") < 5 * index.state()["tokens"]
+
+
+def test_searches_in_passes(spark, monkeypatch):
+    """More words than a pass holds, and more terms than are broadcast: the same rows."""
+    from trailhead.operators import text_index
+
+    index = TextIndex(spark, scratch_table(spark, "ix"), buckets=8)
+    build(spark, index, tree(5, 40))
+    build(spark, index, tree(6, 30))  # some chunks are dead
+    q = spark.createDataFrame(list(enumerate(QUERIES)), "query_id int, query string")
+    terms = spark.createDataFrame([(1, ["alpha", "menu"]), (2, ["the"]), (3, ["alpha", ""]), (4, ["beta", None])], "query_id int, terms array<string>")
+    want, best = rows(index.search(q, k=None)), rows(index.bm25(terms))
+    monkeypatch.setattr(text_index, "SMALL", 7)
+    assert rows(index.search(q, k=None)) == want != [] and rows(index.bm25(terms)) == best and {x[0] for x in best} <= {1, 2}
