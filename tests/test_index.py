@@ -225,3 +225,20 @@ def test_searches_in_passes(spark, monkeypatch):
     want, best = rows(index.search(q, k=None)), rows(index.bm25(terms))
     monkeypatch.setattr(text_index, "SMALL", 7)
     assert rows(index.search(q, k=None)) == want != [] and rows(index.bm25(terms)) == best and {x[0] for x in best} <= {1, 2}
+
+
+def test_few_queries_by_text_store_no_encodings(spark, monkeypatch):
+    from trailhead.operators import vectors
+    from trailhead.operators.graph import shared_dir
+    from trailhead.sources.snapshots import Snapshots
+
+    r = random.Random(8)
+    texts = [" ".join(r.choice(WORDS) for _ in range(r.randint(0, 6))) for _ in range(1200)]
+    chunks = spark.createDataFrame([(f"c{i % 1100}", t) for i, t in enumerate(texts)] + [("none", None)], "chunk_id string, content string").repartition(5)
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(texts[::100])] + [(99, None), (100, "")], "query_id long, text string")
+    there = lambda: {n for n in Snapshots(spark, shared_dir(spark)).names(f"{shared_dir(spark)}/trailhead") if n.startswith("encoded-")}
+    before = there()
+    few = rows(vectors.semantic(chunks, queries, k=7))
+    assert there() == before and len(few) == 7 * 14
+    monkeypatch.setattr(vectors, "FEW_QUERIES", 3)
+    assert rows(vectors.semantic(chunks, queries, k=7)) == few

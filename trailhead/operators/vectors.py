@@ -19,6 +19,8 @@ _CODE = np.full(256, 0, np.int64)
 _CODE[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = range(36)
 #: Words whose digests a worker keeps.
 KEPT_WORDS = 200_000
+#: Queries by text up to which each task holds all of them.
+FEW_QUERIES = 2_000
 
 
 class _Hasher:
@@ -172,14 +174,51 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosi
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], column), pa.array([ids[o[1]].item() for o in out], column), pa.array([o[2] for o in out], pa.float64())], ["query_id", key, "distance"])
 
     found = stream.mapInArrow(near, f"query_id {kind}, `{key}` {kind}, distance double")
+    return _placed(found, k, key)
+
+
+def _placed(found: DataFrame, k: int, key: str) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy("distance", key)
     r = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k)
     return r.select("query_id", "place", key, F.round("distance", 6).alias("distance"), F.round(1 / (1 + F.greatest(F.col("distance"), F.lit(0.0))), 6).alias("score"))
 
 
+def _near_texts(chunks: DataFrame, queries: pa.Table, k: int, dims: int, kind: str) -> DataFrame:
+    """(query_id, chunk_id, distance): the k nearest chunks of each task's for each query (query_id, text). One narrow pass: no encoding is stored or shuffled."""
+    ids, texts = pa.concat_arrays(queries["query_id"].chunks or [pa.array([], queries.schema.field("query_id").type)]), queries["text"].to_pylist()
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = _Hasher.get(dims)
+        y, _ = hasher.encode(texts)
+        size = np.linalg.norm(y, axis=1)[:, None]
+        best: list[list[tuple]] = [[] for _ in texts]
+        last = np.full(len(texts), np.inf)  # the distance of the k-th so far
+        for b in batches:
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                keys = part.column(0).to_pylist()
+                x, _ = hasher.encode(part.column(1).to_pylist())
+                norm = size * np.linalg.norm(x, axis=1)[None, :]
+                d = np.round(1 - np.divide(y @ x.T, norm, out=np.zeros((len(y), len(x))), where=norm > 0), 9)
+                closer = d <= last[:, None]
+                for n in np.flatnonzero(closer.any(axis=1)).tolist():
+                    best[n] = sorted(best[n] + [(d[n, j], keys[j]) for j in np.flatnonzero(closer[n]).tolist()])[:k]
+                    if len(best[n]) == k:
+                        last[n] = best[n][-1][0]
+        of = np.repeat(np.arange(len(texts)), [len(x) for x in best])
+        flat = [p for x in best for p in x]
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), pa.array([p[1] for p in flat], pa.string()), pa.array([p[0] for p in flat], pa.float64())], ["query_id", "chunk_id", "distance"])
+
+    return chunks.select("chunk_id", "content").mapInArrow(near, f"query_id {kind}, chunk_id string, distance double")
+
+
 def semantic(chunks: DataFrame, queries: DataFrame, k: int = 10, dims: int = 384) -> DataFrame:
     """The k chunks (chunk_id, content) nearest to each query (query_id, text) by the cosine of their encodings: query_id, place, chunk_id, distance,
-    score. Ties go to the smaller chunk_id."""
+    score. Ties go to the smaller chunk_id. Up to ``FEW_QUERIES`` queries are held by each task, and chunks are compared as they are encoded; beyond,
+    encodings are stored and meet in blocks."""
+    some = queries.select("query_id", "text").limit(FEW_QUERIES + 1).toArrow().combine_chunks()
+    if some.num_rows <= FEW_QUERIES:
+        return _placed(_near_texts(chunks, some, k, dims, dict(queries.dtypes)["query_id"]), k, "chunk_id")
     c = written(embed(chunks.select(F.col("chunk_id").alias("id"), "content"), "id", "content", dims, "double"), "encoded")  # counted, then packed
     q = written(embed(queries.select(F.concat(F.lit("?"), "query_id").alias("id"), "text"), "id", "text", dims, "double"), "encoded")
     back = F.substring("query_id", 2, 64).cast(dict(queries.dtypes)["query_id"])
