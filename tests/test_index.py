@@ -227,6 +227,12 @@ def test_searches_in_passes(spark, monkeypatch):
     assert rows(index.search(q, k=None)) == want != [] and rows(index.bm25(terms)) == best and {x[0] for x in best} <= {1, 2}
 
 
+def test_chunks_without_an_id_count_as_none(spark):
+    """As count(DISTINCT chunk_id) has it; their tokens are counted, and chunks of one id are one."""
+    for rows_, want in (([(None, "x y x"), ("a", "x")], {("x", 3, 1), ("y", 1, 0)}), ([(None, "x"), (None, "x y"), ("a", "x"), ("a", "y x")], {("x", 4, 1), ("y", 2, 1)})):
+        assert {tuple(r) for r in fts.term_totals(spark.createDataFrame(rows_, "chunk_id string, content string")).collect()} == want
+
+
 def test_few_queries_by_text_store_no_encodings(spark, monkeypatch):
     from trailhead.operators import vectors
     from trailhead.operators.graph import shared_dir
@@ -242,3 +248,11 @@ def test_few_queries_by_text_store_no_encodings(spark, monkeypatch):
     assert there() == before and len(few) == 7 * 14
     monkeypatch.setattr(vectors, "FEW_QUERIES", 3)
     assert rows(vectors.semantic(chunks, queries, k=7)) == few
+
+
+def test_totals_are_of_stems(spark):
+    """The index's tokenizer is unicode61 and porter; a chunk with two words of a stem counts once for it, also where its id is repeated."""
+    for ids in ("abc", "aac"):
+        df = spark.createDataFrame([(ids[0], "licensing licensed café"), (ids[1], "Licenses the cafe"), (ids[2], "running runs")], "chunk_id string, content string")
+        n = 2 if ids == "abc" else 1
+        assert {tuple(r) for r in fts.term_totals(df).collect()} == {("licens", 3, n), ("cafe", 2, n), ("the", 1, 1), ("run", 2, 1)}
